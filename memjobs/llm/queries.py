@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjobs.llm import media, secrets, substring, tokens, urls
+from memjobs.llm import media, minhash, mixing, secrets, substring, tokens, urls
 
 # The URL rules that the query is asked to judge by.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,10 +45,26 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_texts(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_url_filters, op5_token_counts, op7_secret_scans, op8_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_substring_dedup, op4_url_filters, op5_token_counts, op7_secret_scans, op8_media_columns)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 ORACLES = {
+    "op1_mixing": rf"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM documents),
+a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s GROUP BY source),
+b AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS weight FROM a),
+c AS (SELECT *, (sum(source_size) OVER () - (sum(3 * source_size) OVER o - 3 * source_size))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER o - weight))::DOUBLE AS level
+      FROM b WINDOW o AS (ORDER BY source_size * 3 / weight, rank ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, rank, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM c),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS position FROM s WHERE size > 0),
+k AS (SELECT rank, position, target, floor(target)::BIGINT AS cut, n * source_size + position AS a, n * source_size + position + size AS b
+      FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source CROSS JOIN range(3) AS r(n) WHERE n * source_size + position < target),
+q AS (SELECT rank, position, target, a, CASE WHEN a < cut AND cut < b THEN cut ELSE b END AS b FROM k
+      UNION ALL SELECT rank, position, target, cut, b FROM k WHERE a < cut AND cut < b),
+r AS (SELECT rank, position, b - a AS words, sum(b - a) OVER (ORDER BY b / target, rank, b ROWS UNBOUNDED PRECEDING) AS running FROM q),
+u AS (SELECT rank, position, sum(least(words, greatest(0, (SELECT sum(size) FROM s) - (running - words))))::BIGINT AS taken FROM r GROUP BY ALL)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN u USING (rank, position)
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source WHERE size = 0""",
     "op3_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
