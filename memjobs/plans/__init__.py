@@ -1,0 +1,13 @@
+"""Registered queries, by subject."""
+
+from memjobs.plans import upkeep
+
+_SUBJECTS = (upkeep,)
+
+
+def queries():
+    return {k: f for subject in _SUBJECTS for k, f in subject.QUERIES.items()}
+
+
+def oracles():
+    return {k: sql for subject in _SUBJECTS for k, sql in subject.ORACLES.items()}
