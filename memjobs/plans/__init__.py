@@ -1,8 +1,8 @@
 """Registered queries, by subject."""
 
-from memjobs.plans import upkeep
+from memjobs.plans import upkeep, writing
 
-_SUBJECTS = (upkeep,)
+_SUBJECTS = (upkeep, writing)
 
 
 def queries():

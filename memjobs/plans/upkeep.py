@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memjobs.operators import health, ledger, lifecycle
+from memjobs.plans.registry import registry
 from memjobs.sources import views
 from memjobs.sources.views import AS_OF, CORRECTIONS_SQL, EV_SQL, LINKS_SQL, MEM_SQL
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = registry()
 _RANK = "ORDER BY recency_score DESC, importance_score DESC, timestamp DESC, memory_id"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 @query("a2_events_for", f"WITH {EV_SQL} SELECT event_id, project_id, raw_text FROM ev WHERE project_id = 'proj_3' ORDER BY timestamp DESC, event_id DESC LIMIT 40")
 def _(spark, d):
     return ledger.events_for(views.ev(spark, d), project_id="proj_3", limit=40).select("event_id", "project_id", "raw_text")
