@@ -1,8 +1,8 @@
 """Registered queries, by subject."""
 
-from memjobs.plans import upkeep, writing
+from memjobs.plans import relating, upkeep, writing
 
-_SUBJECTS = (upkeep, writing)
+_SUBJECTS = (upkeep, writing, relating)
 
 
 def queries():
