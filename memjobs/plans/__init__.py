@@ -1,8 +1,8 @@
 """Registered queries, by subject."""
 
-from memjobs.plans import projects, relating, upkeep, writing
+from memjobs.plans import evaluating, projects, relating, upkeep, writing
 
-_SUBJECTS = (upkeep, writing, relating, projects)
+_SUBJECTS = (upkeep, writing, relating, projects, evaluating)
 
 
 def queries():
