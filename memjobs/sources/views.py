@@ -85,16 +85,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("m", F.col("k") % 7)
+def ev_of(events: DataFrame) -> DataFrame:
+    """The event log of an ``events`` table or stream."""
+    raw = events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("m", F.col("k") % 7)
     return raw.selectExpr(*[f"{sql} AS {name}" for name, sql in EV.items()])
 
 
-def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ev(spark, sf_dir).selectExpr(*[f"{sql} AS {name}" for name, sql in MEM.items()])
+def mem_of(log: DataFrame) -> DataFrame:
+    rows = log.selectExpr(*[f"{sql} AS {name}" for name, sql in MEM.items()])
     return rows.withColumn("file_references", F.when(F.col("file_ref").isNull(), F.expr("CAST(array() AS array<string>)")).otherwise(F.array("file_ref"))).drop("file_ref")
 
 
+def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev_of(table(spark, sf_dir, "events"))
+
+
+def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mem_of(ev(spark, sf_dir))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
