@@ -38,7 +38,7 @@ IDF_SHARE = 0.2
 SLOTS = 1 << 18
 _PART = 1 << 14
 _UNIT = 1 << 12  # idf is kept in whole 1/4096ths, so sums do not depend on their order
-LEADERS, SMALL, FIRST_BANDS = 4, 12, 3
+LEADERS, HEADS, SMALL, FIRST_BANDS = 16, 4, 12, 3
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
@@ -200,7 +200,7 @@ def _verify(weights: np.ndarray, threshold: float):
         for batch in batches:
             keep = [weighted_jaccard(a, b) >= threshold - 1e-9 for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)]
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
     return job
 
@@ -226,9 +226,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     if members.isEmpty():
         of_text = texts.select("key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     else:
-        needed = members.select("doc_id", "key").distinct()
-        bodies = written(keyed.join(needed, ["doc_id", "key"]).dropDuplicates(["key"]).select("key", "text"))
-        labels = _link(members, bodies, weights, threshold)
+        nodes = written(members.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("score")))
+        # The same plan at every size: a small list of nodes is not broadcast.
+        bodies = written(keyed.join(nodes.select("doc_id", "key").hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("key", "text"))
+        members = written(members.join(nodes.select("key", "score"), "key").select("key", "band", "bucket", "n", "score"))
+        labels = _link(members, bodies, nodes.select(F.col("key").alias("node"), F.col("key").alias("component")), weights, threshold)
         lined = texts.join(labels, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
         groups = lined.groupBy("component").agg(F.min("doc_id").alias("class_id"), (F.count("*") - 1).alias("n_links"))
         of_text = lined.select("key", "component").join(groups, "component").select("key", "class_id", "n_links")
@@ -238,43 +240,61 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     return found.union(rest)
 
 
-def _link(members: DataFrame, bodies: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _link(members: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """Components (node, component) of the verified links inside buckets.
 
-    Leaders of a bucket are the members that meet most others over all bands
-    (the text that copies were made from meets more than any copy).  First a
-    few bands against one leader each; then small buckets in full and larger
-    ones against their next leaders, as long as a round joins components.
+    A text scores by how many others it meets over all bands: the text that
+    copies were made from scores above its copies.  First the members of a few
+    bands' buckets meet the best of each.  Then small buckets are compared in
+    full; in larger ones, members note which components of the bucket's best
+    they do not belong to, once for all bands, and meet the best ``LEADERS``
+    members of those; components that grew by it offer their next best, until
+    none grows.
     """
-    score = members.groupBy("key").agg(F.sum("n").alias("score"))
-    members = written(members.join(score, "key").select("key", "band", "bucket", "n", "score"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "key"))
-    labels = written(members.select(F.col("key").alias("node"), F.col("key").alias("component")).distinct())
-    seen, last = None, 0
+    first = members.where(f"band < {FIRST_BANDS}").withColumn("place", place).where(F.col("place") <= 1).select("bucket", F.col("key").alias("leader"))
+    met = members.join(first, "bucket").where("key <> leader").select("key", "leader")
+    labels, _ = _joined(met, bodies, labels, weights, threshold, True)
+
+    state = written(members.join(labels, F.col("key") == F.col("node")).select("key", "bucket", "n", "score", "component"))
+    few = state.where(f"n <= {SMALL}")
+    other = few.select("bucket", F.col("key").alias("leader"), F.col("component").alias("led"))
+    small = few.join(other, "bucket").where("component <> led and key < leader").select("key", "leader")
+    large = state.where(f"n > {SMALL}")
+    heads = large.withColumn("place", place).where(F.col("place") <= HEADS).select("bucket", F.col("component").alias("led")).distinct()
+    meets = written(large.join(heads, "bucket").where("component <> led").select("key", "led").distinct())
+    labels, _ = _joined(small, bodies, labels, weights, threshold)
+
+    scores = members.select("key", "score").distinct()
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("score"), "key"))
+    grown = None
     for round_ in itertools.count():
-        state = members.join(labels, F.col("key") == F.col("node")).select("key", "band", "bucket", "n", "score", "component")
-        upto = 1 if not round_ else last + LEADERS
-        ranked = (members.where(f"band < {FIRST_BANDS}") if not round_ else members.where(f"n > {SMALL}")).withColumn("place", place).where(F.col("place") <= upto)
-        leaders = ranked.where(F.col("place") > last).select("bucket", F.col("key").alias("leader"))
-        leaders = leaders.join(labels, F.col("leader") == F.col("node")).select("bucket", "leader", F.col("component").alias("led"))
-        met = state.join(leaders, "bucket").where("component <> led").select("key", "leader")
-        if round_ == 1:
-            few = state.where(f"n <= {SMALL}")
-            other = few.select("bucket", F.col("key").alias("leader"), F.col("component").alias("led"))
-            met = met.union(few.join(other, "bucket").where("key < leader and component <> led").select("key", "leader"))
-        pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        sided = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        links = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a string, b string"))
-        found = not links.isEmpty()
-        if found:
-            labels = components(links, labels)
-        if round_ and not found:
+        own = labels.select(F.col("node").alias("key"), F.col("component").alias("own"))
+        led = labels.select(F.col("node").alias("led"), "component")
+        apart = meets.join(own, "key").join(led, "led").where("own <> component").select("key", "component").distinct()
+        if grown is not None:
+            apart = apart.join(grown, "component", "left_semi")
+        tops = scores.withColumnRenamed("key", "node").join(labels, "node").select(F.col("node").alias("key"), "component", "score").withColumn("place", rank)
+        tops = tops.where(F.col("place") <= (round_ + 1) * LEADERS).where(F.col("place") > round_ * LEADERS).select("component", F.col("key").alias("leader"))
+        met = apart.join(tops, "component").select("key", "leader")
+        labels, links = _joined(met, bodies, labels, weights, threshold)
+        if links is None:
             return labels
-        seen = pairs if seen is None else seen.union(pairs)
-        last = 0 if not round_ else upto  # the first round led in a few bands only
+        grown = written(links.select(F.col("a").alias("node")).join(labels, "node").select("component").distinct())
+
+
+def _joined(met: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.ndarray, threshold: float, fresh: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The links found, if any, and the labels after the pairs (key, leader) are verified and their links followed; ``fresh``: labels are the nodes themselves."""
+    pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    sided = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    links = ends = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a string, b string"))
+    if links.isEmpty():
+        return labels, None
+    if not fresh:
+        a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        ends = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    new = components(ends).withColumnsRenamed({"node": "old", "component": "new"})
+    return written(labels.join(new, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))), links
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
