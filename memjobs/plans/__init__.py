@@ -1,8 +1,8 @@
 """Registered queries, by subject."""
 
-from memjobs.plans import breadth, evaluating, projects, relating, upkeep, writing
+from memjobs.plans import breadth, compositions, evaluating, projects, relating, upkeep, writing
 
-_SUBJECTS = (upkeep, writing, relating, projects, evaluating, breadth)
+_SUBJECTS = (upkeep, writing, relating, projects, evaluating, breadth, compositions)
 
 
 def queries():
