@@ -9,8 +9,10 @@ damping keeps copies together where the copies themselves fill the corpus.
 
 Each distinct text draws ``bands * rows`` ICWS samples; texts that agree on all
 samples of a band meet in a bucket.  Buckets of up to a dozen texts are compared
-in full, larger ones with leaders, never all with all.  A link is a pair of texts whose exact weighted
-Jaccard similarity is at least the threshold.  Classes are the connected
+in full.  Larger ones are compared with leaders first; of what is then still
+apart, every pair of a bucket is verified or ruled out by an exact bound.  A
+link is a pair of texts whose exact weighted Jaccard similarity is at least the
+threshold.  Classes are the connected
 components of links and exact copies.
 
 Defined cases.  Null and blank texts and null ids belong to no class but their
@@ -39,6 +41,7 @@ SLOTS = 1 << 18
 _PART = 1 << 14
 _UNIT = 1 << 12  # idf is kept in whole 1/4096ths, so sums do not depend on their order
 LEADERS, HEADS, SMALL, FIRST_BANDS = 16, 4, 12, 3
+OUTLINE, BLOCK_TEXTS = 256, 256  # slots of an outline; texts of a bucket that are bounded at once
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
@@ -205,6 +208,52 @@ def _verify(weights: np.ndarray, threshold: float):
     return job
 
 
+def _outline(weights: np.ndarray):
+    """For each text its total weight and its outline: the weights of its shingles added up in ``OUTLINE`` slots."""
+
+    def job(batches):
+        for batch in batches:
+            totals, outlines = [], []
+            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+                for u, x in _shingles(_folded_words(data, offsets), hi - lo, weights):
+                    totals.append(float(x.sum()))
+                    outlines.append(np.bincount((mix(u) >> np.uint64(56)).astype(np.int64), x, OUTLINE).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.float64()), pa.array(outlines, pa.binary())], names=["key", "weight", "outline"])
+
+    return job
+
+
+def _bounded(threshold: float):
+    """The pairs of two blocks (or inside one) in different components that their outlines do not rule out.
+
+    The least of two outlines, added up, is at least the common weight, so the
+    bound is at least the similarity: no link is ruled out.
+    """
+
+    def job(table):
+        table = table.combine_chunks()
+        side, key = np.array(table["side"].to_pylist()), table["key"].to_pylist()
+        component = np.unique(np.array(table["component"].to_pylist()), return_inverse=True)[1]
+        total = table["weight"].to_numpy()
+        outline = np.frombuffer(b"".join(table["outline"].to_pylist()), "<f4").reshape(-1, OUTLINE)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        a, b, bound = [], [], []
+        for i in left:
+            others = right[component[right] != component[i]]
+            others = others[np.minimum(total[others], total[i]) >= (threshold - 1e-3) * np.maximum(total[others], total[i])]
+            if len(others):
+                least = np.minimum(outline[others], outline[i]).sum(1, dtype=np.float64)
+                most = least / (total[others] + total[i] - least)
+                for j, x in zip(others[most >= threshold - 1e-3], most[most >= threshold - 1e-3], strict=True):
+                    a.append(min(key[i], key[j]))
+                    b.append(max(key[i], key[j]))
+                    bound.append(float(x))
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "bound": pa.array(bound, pa.float64())})
+
+    return job
+
+
 def _has_words(column) -> Column:
     return F.coalesce(F.col(column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
@@ -249,7 +298,7 @@ def _link(members: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.
     full; in larger ones, members note which components of the bucket's best
     they do not belong to, once for all bands, and meet the best ``LEADERS``
     members of those; components that grew by it offer their next best, until
-    none grows.
+    none grows.  This joins most; ``_apart`` settles the pairs that are left.
     """
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "key"))
     first = members.where(f"band < {FIRST_BANDS}").withColumn("place", place).where(F.col("place") <= 1).select("bucket", F.col("key").alias("leader"))
@@ -279,10 +328,49 @@ def _link(members: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.
         met = apart.join(tops, "component").select("key", "leader")
         labels, links = _joined(met, bodies, labels, weights, threshold)
         if links is None:
-            return labels
+            return _apart(members, bodies, labels, weights, threshold)
         grown = written(links.select(F.col("a").alias("node")).join(labels, "node").select("component").distinct())
 
 
+def _apart(members: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """The labels after every pair of a large bucket that is still in two components is verified or ruled out.
+
+    Members of a bucket lie in blocks by component and weight.  Two blocks of
+    one component, or too far apart in weight, need no look; other pairs of
+    blocks are bounded text by text.  Pairs of components verify their likeliest
+    pairs first, more of them each round, until all are verified or in one
+    component.
+    """
+    state = members.where(f"n > {SMALL}").select("key", "bucket").join(labels, F.col("key") == F.col("node")).select("key", "bucket", "component")
+    several = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    state = written(state.join(several, "bucket"))
+    if state.isEmpty():
+        return labels
+    outlines = written(bodies.join(state.select("key").distinct(), "key").select("key", "text").mapInArrow(_outline(weights), "key string, weight double, outline binary"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("component", "weight", "key"))
+    placed = written(state.join(outlines.select("key", "weight"), "key").withColumn("block", F.floor((place - 1) / BLOCK_TEXTS)))
+    blocks = placed.groupBy("bucket", "block").agg(*[f("component").alias(f"c_{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))], *[f("weight").alias(f"w_{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    other = blocks.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("block", "c_lo", "c_hi", "w_lo", "w_hi")])
+    near = f"w_hi >= {threshold - 1e-3} * other_w_lo and other_w_hi >= {threshold - 1e-3} * w_lo"
+    two = blocks.join(other, "bucket").where("block <= other_block and not (c_lo = c_hi and c_lo = other_c_lo and c_lo = other_c_hi)").where(near)
+    two = two.select("bucket", "block", "other_block")
+    first = two.select("bucket", "block", "other_block", F.col("block").alias("own"), F.lit(0).alias("side"))
+    second = two.where("block <> other_block").select("bucket", "block", "other_block", F.col("other_block").alias("own"), F.lit(1).alias("side"))
+    texts = placed.join(outlines.select("key", "outline"), "key").withColumnRenamed("block", "own")
+    sided = first.union(second).join(texts, ["bucket", "own"]).select("bucket", "block", "other_block", "side", "key", "component", "weight", "outline")
+    possible = sided.groupBy("bucket", "block", "other_block").applyInArrow(_bounded(threshold), "a string, b string, bound double")
+    left = written(possible.groupBy("a", "b").agg(F.max("bound").alias("bound")))
+    rank = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("bound"), "a", "b"))
+    for round_ in itertools.count():
+        ca, cb = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        left = written(left.join(ca, "a").join(cb, "b").where("ca <> cb").withColumn("place", rank).select("a", "b", "bound", "place"))
+        if left.isEmpty():
+            return labels
+        offered = LEADERS * 8**round_
+        labels, _ = _joined(left.where(F.col("place") <= offered).select(F.col("a").alias("key"), F.col("b").alias("leader")), bodies, labels, weights, threshold)
+        left = left.where(F.col("place") > offered).select("a", "b", "bound")
+
+
 def _joined(met: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.ndarray, threshold: float, fresh: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """The links found, if any, and the labels after the pairs (key, leader) are verified and their links followed; ``fresh``: labels are the nodes themselves."""
     pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()

@@ -160,6 +160,24 @@ def test_classes_match_brute_force(spark):
     assert minhash.one_of_each(docs).columns == docs.columns
 
 
+def test_crowded_buckets_match_brute_force(spark):
+    """Clusters that share boilerplate, and chains that drift from it, meet in large buckets of many components."""
+    rng = random.Random(11)
+    page, texts = prose(rng, 240).split(), []
+    for _ in range(8):
+        base = page + prose(rng, 40).split()
+        texts += [" ".join([*base[:-1], f"end{i}"]) for i in range(15)]
+    for chain in range(4):
+        for i in range(30):
+            texts.append(" ".join(page + [f"drift{chain}x{j}" for j in range(10 * i, 10 * i + 40)]))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    want = brute_classes(rows, minhash.word_weights(docs))
+    assert len(set(want.values())) >= 6
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "same text here for all", "s"), (4, "same text here for all", "s"), (4, "same text here for all", "s"), (4, "quite another text lies here now", "s"), (9, "same text here for all", "s")]
     kept = minhash.one_of_each(frame(spark, rows)).collect()
