@@ -4,10 +4,12 @@ Texts become tokens: letters and digits, case folded.  Numbers, names (capital
 letters inside a sentence) and units (after a number) become typed
 placeholders, so that ``Anna has 3 kg`` and ``Peter has 7 g`` share a template.
 Windows of ``n`` template tokens, at least half of them literal, are hash-joined
-with the windows of the benchmark items.  Matches of one item in one document
+with the windows of the benchmark items.  Windows with more slots, and items of
+fewer than ``shortest`` tokens, are joined on their literal tokens instead, so
+that verbatim passages of any make-up are found.  Template matches of one item in one document
 are then held together: the slot values under the placeholders must map item
 to document consistently, one value always to the same other.  A document
-holds an item if its consistent matches cover ``share`` of the item's tokens,
+holds an item if its consistent and its literal matches cover ``share`` of the item's tokens,
 or ``enough`` of them.
 
 The benchmark is a stated query set, held against all rows in blocks of at
@@ -16,7 +18,7 @@ pass over the documents.
 
 Defined cases.  Null or empty texts and items match nothing.  Items shorter
 than ``n`` tokens are one window of their own length; those of fewer than
-``shortest`` tokens are too unspecific and match nothing.  Repeated items and
+``shortest`` tokens are too unspecific for a template and match verbatim only.  Repeated items and
 rows are reported each.  Long texts are scanned whole.
 """
 
@@ -88,6 +90,13 @@ class Templates:
         at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 : n - 1 + m]) & (2 * (self.slots_before[n : n + m] - self.slots_before[:m]) <= n))
         return at, grams[at]
 
+    def literals(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash of the tokens themselves) of the windows that ``windows`` leaves out, and of all that are too short for it."""
+        grams = Sequences(self.value, SEQUENCE_BASES[0]).grams(n)
+        m = len(grams)
+        at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 : n - 1 + m]) & ((n < SHORTEST) | (2 * (self.slots_before[n : n + m] - self.slots_before[:m]) > n)))
+        return at, grams[at]
+
 
 class Items:
     """One block of benchmark items, ready to be probed."""
@@ -101,14 +110,19 @@ class Items:
         self.t = Templates(data, offsets)
         self.begin = np.searchsorted(self.t.doc, np.arange(len(rows) + 1))
         self.size = np.diff(self.begin)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length in sorted({n} | {int(x) for x in self.size if SHORTEST <= x < n}):
-            at, h = self.t.windows(length)
+        self.by_length = {kind: self._sorted(kind, n, least) for kind, least in (("windows", SHORTEST), ("literals", 1))}
+
+    def _sorted(self, kind: str, n: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """(hashes ascending, first tokens) by length of the windows."""
+        out = {}
+        for length in sorted({n} | {int(x) for x in self.size if least <= x < n}):
+            at, h = getattr(self.t, kind)(length)
             own = self.size[self.t.doc[at]]
             keep = own == length if length < n else own >= n
             order = np.argsort(h[keep], kind="stable")
             if len(order):
-                self.by_length[length] = (h[keep][order], at[keep][order])
+                out[length] = (h[keep][order], at[keep][order])
+        return out
 
 
 def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
@@ -120,24 +134,26 @@ def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
 
 def _matches(t: Templates, items: Items, share: float, enough: int) -> dict[int, list[tuple[int, int, int, int]]]:
     """By document of the block: (item_id, n_covered, n_item, n_slots)."""
-    runs: dict[tuple[int, int], dict[int, set[int]]] = {}
-    for length, (hashes, starts) in items.by_length.items():
-        at, h = t.windows(length)
-        hit = np.flatnonzero(_member(h, hashes))
-        lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
-        for i, a, b in zip(at[hit].tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for s in starts[a:b].tolist():
-                if np.array_equal(t.template[i : i + length], items.t.template[s : s + length]):
-                    tokens = runs.setdefault((int(t.doc[i]), int(items.t.doc[s])), {}).setdefault(i - s, set())
-                    tokens.update(range(s, s + length))
+    runs: dict[tuple[int, int], dict[tuple[str, int], set[int]]] = {}
+    for kind, lengths in items.by_length.items():
+        of_doc, of_item = (x.value if kind == "literals" else x.template for x in (t, items.t))
+        for length, (hashes, starts) in lengths.items():
+            at, h = getattr(t, kind)(length)
+            hit = np.flatnonzero(_member(h, hashes))
+            lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
+            for i, a, b in zip(at[hit].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for s in starts[a:b].tolist():
+                    if np.array_equal(of_doc[i : i + length], of_item[s : s + length]):
+                        tokens = runs.setdefault((int(t.doc[i]), int(items.t.doc[s])), {}).setdefault((kind, i - s), set())
+                        tokens.update(range(s, s + length))
     out: dict[int, list[tuple[int, int, int, int]]] = {}
     for (doc, item), lines in runs.items():
         covered: set[int] = set()
         slots: set[int] = set()
-        for shift, tokens in lines.items():
+        for (kind, shift), tokens in lines.items():
             places = np.array(sorted(tokens))
             slotted = places[items.t.slot[places]]
-            if _consistent(items.t.value[slotted], t.value[slotted + shift]):
+            if kind == "literals" or _consistent(items.t.value[slotted], t.value[slotted + shift]):
                 covered |= tokens
                 slots.update(slotted.tolist())
         n = int(items.size[item])

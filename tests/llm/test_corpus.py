@@ -215,6 +215,17 @@ def test_leaks_exact_reparameterised_and_clean(spark):
     assert decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_verbatim_items_of_any_make_up_are_found(spark):
+    rng = random.Random(6)
+    sums, title, units, short = "3 5 8 13 21 34 55 89 144 233 377", "The Old Man And The Sea Of Stories By Night", "mix 3 kg 5", "zebra quagga"
+    items = [(1, sums), (2, title), (3, units), (4, short)]
+    rows = [(i, f"{prose(rng, 20)} in {t} and {prose(rng, 20)}", "s") for i, t in items]
+    rows += [(5, "in 4 6 9 14 22 35 56 90 145 234 378 and", "s"), (6, "mix 4 kg 6", "s"), (7, "zebra or quagga", "s"), (8, "in One New Sun Over Two Hill Of Horses At Noon and", "s")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), bench).collect()} == {(i, i) for i in range(1, 5)}
+    assert {r.doc_id for r in decontaminate.without_leaks(frame(spark, rows), bench).collect()} == {5, 6, 7, 8}
+
+
 # --- language ---------------------------------------------------------------------
 
 
