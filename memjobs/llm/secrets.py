@@ -41,8 +41,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character that the window of a candidate must reach, by class; a window of 20 reaches 4.32 at most.
 THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.6, "base64": 3.8}
-#: Strings that look random and are no secrets: identifiers of content, paths, padding.
-ALLOWED = tuple(re.compile(p) for p in (r"(?i)(example|sample|dummy|placeholder|changeme)", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.{1,4})\1+.{0,3}$", r"^[/_=+-]|//|/.*/.*/"))
+#: Strings that look random and are no secrets: identifiers of content, padding.
+ALLOWED = tuple(re.compile(p) for p in (r"(?i)(example|sample|dummy|placeholder|changeme)", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.{1,4})\1+.{0,3}$"))
+#: Paths are allowed too, but only if all their pieces are words, numbers or of low entropy: keys hold slashes as well.
+_PATH = re.compile(r"^[/_=+-]|//|/.*/.*/")
+_PIECE = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z])\d{0,4}|\d+)?")
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -74,6 +77,18 @@ def largest_entropy(text: str, window: int = WINDOW) -> float:
     return best
 
 
+def is_path(text: str) -> bool:
+    return bool(_PATH.search(text)) and all(_is_plain(piece) for piece in text.split("/"))
+
+
+def _is_plain(piece: str) -> bool:
+    """A piece of a path: words and numbers, or long and of low entropy in its own windows."""
+    if all(_PIECE.fullmatch(x) for x in re.split(r"[_=+-]", piece)):
+        return True
+    kind = character_class(piece)
+    return len(piece) >= WINDOW and kind is not None and largest_entropy(piece) < THRESHOLDS[kind]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end)."""
     out = []
@@ -92,7 +107,7 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         if any(s < m.end() and m.start() < e for s, _, e in base):
             continue
         kind = character_class(m[0])
-        if kind and largest_entropy(m[0]) >= THRESHOLDS[kind] and not any(p.search(m[0]) for p in ALLOWED):
+        if kind and largest_entropy(m[0]) >= THRESHOLDS[kind] and not any(p.search(m[0]) for p in ALLOWED) and not is_path(m[0]):
             out.append((m.start(), 3, m.end()))
     return out
 

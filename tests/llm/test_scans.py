@@ -59,6 +59,19 @@ def test_entropy_finds_keys_and_leaves_words(spark):
     assert r[0].spans == f"entropy:8:{8 + len(key)}" and r[1].spans == "" and r[2].spans == ""
 
 
+def test_keys_with_slashes_are_found_and_paths_left():
+    rng = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (40, 64, 88, 200, 400):
+        for first in ("", "/", "+", "ab//", "a/b/c/"):
+            for _ in range(40):
+                key = first + "".join(rng.choices(chars, k=n - len(first)))
+                if secrets.character_class(key) == "base64" and secrets.largest_entropy(key) >= secrets.THRESHOLDS["base64"]:
+                    assert secrets.entropy_spans(key, []) == [(0, 3, n)], key
+    for path in ("/usr/lib/python3/dist-packages/numpy/core", "/home/maker/projects/2024/summer_photos/july", "--dry-run=1/2/export/monthly_figures"):
+        assert secrets.largest_entropy(path) >= 3.0 and not secrets.entropy_spans(path, [])
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, ODD)
     out = secrets.redact(docs)
