@@ -1,8 +1,10 @@
 """Benchmark decontamination by canonical templates.
 
-Texts become tokens: letters and digits, case folded.  Numbers, names (capital
-letters inside a sentence) and units (after a number) become typed
-placeholders, so that ``Anna has 3 kg`` and ``Peter has 7 g`` share a template.
+Texts become tokens: letters and digits, case folded; a number with inner
+points or commas (3.5, 1,000) is one token.  Numbers, names (capital letters)
+and units (after a number) become typed placeholders, so that ``Anna has 3 kg``
+and ``Peter has 7 g`` share a template.  A capitalised word that opens a sentence
+may be a name or not: there are two templates, and texts are joined on either.
 Windows of ``n`` template tokens, at least half of them literal, are hash-joined
 with the windows of the benchmark items.  Windows with more slots, and items of
 fewer than ``shortest`` tokens, are joined on their literal tokens instead, so
@@ -42,12 +44,21 @@ UNITS = "mm cm m km mg g kg t ml cl l s sec min h hour hours day days week weeks
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1001, 0x1002, 0x1003))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_INNER = np.zeros(256, bool)
+_INNER[[44, 46]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 58, 63, 10]] = True
 
 
 def _words_of_text(data, offsets):
-    return words_of(folded(data), offsets)
+    """Words; a point or comma between two digits of one text belongs to the number."""
+    out = folded(data)
+    inner = np.zeros(len(data), bool)
+    inner[1:-1] = _INNER[data[1:-1]] & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
+    edges = np.concatenate((offsets, offsets - 1))
+    inner[edges[(edges >= 0) & (edges < len(data))]] = False
+    out[inner] = data[inner]
+    return words_of(out, offsets)
 
 
 _joined = " ".join(UNITS).encode()
@@ -61,40 +72,45 @@ def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """The tokens of a block: literal hashes, template hashes, and what is a slot."""
+    """The tokens of a block: literal hashes, and by kind of template the hashes and what is a slot.
+
+    In ``opened`` templates a capitalised word that opens a sentence is a name, in ``inside`` ones a literal.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         w = _words_of_text(data, offsets)
         self.doc, self.value = w.doc, w.hash
         n = len(w.hash)
-        digits, stops = (np.concatenate(([0], np.cumsum(t[data], dtype=np.int64))) for t in (_DIGIT, _STOP))
+        digits, stops = (np.concatenate(([0], np.cumsum(t[data], dtype=np.int64))) for t in (_DIGIT | _INNER, _STOP))
         number = (digits[w.end] - digits[w.start]) == (w.end - w.start)
         first = np.ones(n, bool)
         first[1:] = (self.doc[1:] != self.doc[:-1]) | (stops[w.start[1:]] > stops[w.end[:-1]])
         head = data[w.start]
         following = data[np.minimum(w.start + 1, max(len(data) - 1, 0))] if n else head
         capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (following >= 0x80) & (following <= 0x9E) & (following != 0x97))
-        name = capital & ~first & ~number
         unit = np.zeros(n, bool)
         unit[1:] = number[:-1] & (self.doc[1:] == self.doc[:-1])
         unit &= _member(w.hash, _UNIT_HASHES)
-        self.slot = number | name | unit
-        self.template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, w.hash)))
-        self.template = mix(self.template)
-        self.slots_before = np.concatenate(([0], np.cumsum(self.slot, dtype=np.int64)))
-
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of the windows inside one text with at least half of their tokens literal."""
-        grams = Sequences(self.template, SEQUENCE_BASES[1]).grams(n)
-        m = len(grams)
-        at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 : n - 1 + m]) & (2 * (self.slots_before[n : n + m] - self.slots_before[:m]) <= n))
-        return at, grams[at]
-
-    def literals(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash of the tokens themselves) of the windows that ``windows`` leaves out, and of all that are too short for it."""
-        grams = Sequences(self.value, SEQUENCE_BASES[0]).grams(n)
+        self.slot, self.template, self.slots_before = {}, {}, {}
+        for kind, name in (("inside", capital & ~first & ~number), ("opened", capital & ~number)):
+            self.slot[kind] = number | name | unit
+            self.template[kind] = mix(np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, w.hash))))
+            self.slots_before[kind] = np.concatenate(([0], np.cumsum(self.slot[kind], dtype=np.int64)))
+
+    def tokens(self, kind: str) -> np.ndarray:
+        return self.value if kind == "literal" else self.template[kind]
+
+    def windows(self, kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of the windows inside one text with at least half of their tokens literal.
+
+        ``literal``: the hash of the tokens themselves, for the windows that ``inside`` templates leave out and all that are too short for one.
+        """
+        literal = kind == "literal"
+        grams = Sequences(self.tokens(kind), SEQUENCE_BASES[0 if literal else 1]).grams(n)
         m = len(grams)
-        at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 : n - 1 + m]) & ((n < SHORTEST) | (2 * (self.slots_before[n : n + m] - self.slots_before[:m]) > n)))
+        before = self.slots_before["inside" if literal else kind]
+        few = 2 * (before[n : n + m] - before[:m]) <= n
+        at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 : n - 1 + m]) & ((~few | (n < SHORTEST)) if literal else few))
         return at, grams[at]
 
 
@@ -110,13 +126,13 @@ class Items:
         self.t = Templates(data, offsets)
         self.begin = np.searchsorted(self.t.doc, np.arange(len(rows) + 1))
         self.size = np.diff(self.begin)
-        self.by_length = {kind: self._sorted(kind, n, least) for kind, least in (("windows", SHORTEST), ("literals", 1))}
+        self.by_length = {kind: self._sorted(kind, n, least) for kind, least in (("inside", SHORTEST), ("opened", SHORTEST), ("literal", 1))}
 
     def _sorted(self, kind: str, n: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """(hashes ascending, first tokens) by length of the windows."""
         out = {}
         for length in sorted({n} | {int(x) for x in self.size if least <= x < n}):
-            at, h = getattr(self.t, kind)(length)
+            at, h = self.t.windows(kind, length)
             own = self.size[self.t.doc[at]]
             keep = own == length if length < n else own >= n
             order = np.argsort(h[keep], kind="stable")
@@ -136,9 +152,9 @@ def _matches(t: Templates, items: Items, share: float, enough: int) -> dict[int,
     """By document of the block: (item_id, n_covered, n_item, n_slots)."""
     runs: dict[tuple[int, int], dict[tuple[str, int], set[int]]] = {}
     for kind, lengths in items.by_length.items():
-        of_doc, of_item = (x.value if kind == "literals" else x.template for x in (t, items.t))
+        of_doc, of_item = (x.tokens(kind) for x in (t, items.t))
         for length, (hashes, starts) in lengths.items():
-            at, h = getattr(t, kind)(length)
+            at, h = t.windows(kind, length)
             hit = np.flatnonzero(_member(h, hashes))
             lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
             for i, a, b in zip(at[hit].tolist(), lo.tolist(), hi.tolist(), strict=True):
@@ -152,8 +168,8 @@ def _matches(t: Templates, items: Items, share: float, enough: int) -> dict[int,
         slots: set[int] = set()
         for (kind, shift), tokens in lines.items():
             places = np.array(sorted(tokens))
-            slotted = places[items.t.slot[places]]
-            if kind == "literals" or _consistent(items.t.value[slotted], t.value[slotted + shift]):
+            slotted = places[items.t.slot["inside" if kind == "literal" else kind][places]]
+            if kind == "literal" or _consistent(items.t.value[slotted], t.value[slotted + shift]):
                 covered |= tokens
                 slots.update(slotted.tolist())
         n = int(items.size[item])

@@ -215,6 +215,17 @@ def test_leaks_exact_reparameterised_and_clean(spark):
     assert decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_names_that_open_sentences_and_grouped_numbers_are_slots(spark):
+    rng = random.Random(7)
+    names = "Anna buys six red apples today. Peter gives her two more. Maria wants half of them. Anna asks how many are left"
+    sizes = "the tank holds 3.5 l of oil and 1,000 l of water so it weighs 20.25 kg more than before"
+    rows = [(1, prose(rng, 20) + ". " + names.replace("Anna", "Bertha").replace("Peter", "Omar").replace("Maria", "Ines"), "s")]
+    rows += [(2, prose(rng, 20) + " " + sizes.replace("3.5", "7").replace("1,000", "250").replace("20.25", "1,300.5"), "s")]
+    rows += [(3, names.replace("Peter", "Anna").replace("Maria", "Anna"), "s"), (4, "3.", "s"), (5, "5 " + prose(rng, 40), "s")]
+    bench = spark.createDataFrame([(1, names), (2, sizes)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), bench).collect()} == {(1, 1), (2, 2)}
+
+
 def test_verbatim_items_of_any_make_up_are_found(spark):
     rng = random.Random(6)
     sums, title, units, short = "3 5 8 13 21 34 55 89 144 233 377", "The Old Man And The Sea Of Stories By Night", "mix 3 kg 5", "zebra quagga"
