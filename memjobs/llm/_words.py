@@ -7,14 +7,18 @@ memory follows the block and the longest single text, not the batch.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 20
-_LONGEST = 1 << 16
+LONG = 64  # bytes of a word beyond which it is hashed on its own
+_PRIME = 4294967291
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
@@ -68,22 +72,24 @@ class Words:
     end: np.ndarray
 
 
-def _hash_piece(data: np.ndarray, start: np.ndarray, space: np.ndarray, base: int) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    at = np.arange(len(data), dtype=np.int64)
-    lengths = np.diff(np.append(start, len(data)))
-    at[start[0] :] -= np.repeat(start, lengths)
-    at[: start[0]] = 0
-    np.bitwise_and(at, _LONGEST - 1, out=at)
-    value = powers(base, _LONGEST)[at]
-    value *= data.astype(np.uint64) + np.uint64(1)
-    value[space] = 0
-    return mix(np.add.reduceat(value, start))
+def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes at a time through the finaliser; words over ``LONG`` bytes by xxh3."""
+    length = end - start
+    h = mix(length.astype(np.uint64) + np.uint64(seed))
+    eights = np.lib.stride_tricks.as_strided(np.append(data, np.zeros(8, np.uint8)), (len(data) + 1, 8), (1, 1))
+    live, done = np.flatnonzero(length <= LONG), 0
+    while len(live):
+        left = length[live] - done
+        piece = eights[start[live] + done].view("<u8").ravel() & _LOW_BYTES[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ piece) * np.uint64(WORD_BASES[1]) + np.uint64(seed))
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return h
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, base: int = WORD_BASES[0]) -> Words:
-    """The words of a block; a word never crosses a row.  Long blocks are hashed in pieces cut between words."""
+    """The words of a block; a word never crosses a row.  Words hashed under two bases have 128 bits together."""
     n = len(data)
     word = ~_SPACE[data]
     before = np.zeros(n, bool)
@@ -96,31 +102,46 @@ def words_of(data: np.ndarray, offsets: np.ndarray, base: int = WORD_BASES[0]) -
     last = offsets[1:][offsets[1:] > 0] - 1
     after[last] = False
     end = np.flatnonzero(word & ~after) + 1
-    if n <= 2 * BLOCK:
-        h = _hash_piece(data, start, ~word, base)
-    else:
-        cuts = np.unique(np.concatenate(([0], np.searchsorted(start, np.arange(BLOCK, n, BLOCK)), [len(start)])))
-        parts = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            lo, hi = start[a], end[b - 1]
-            parts.append(_hash_piece(data[lo:hi], start[a:b] - lo, ~word[lo:hi], base))
-        h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    h = _hash_words(data, start, end, base)
     doc = np.searchsorted(offsets, start, "right") - 1
     return Words(h, doc, start, end)
 
 
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)))
+    return out[:n]
+
+
 class Sequences:
-    """Hashes of word sequences in constant time each, from prefix sums."""
+    """Hashes of word sequences in constant time each, from prefix sums.
+
+    Sums modulo 2**64 serve short grams.  Spans of any length add a sum modulo
+    a prime: long sequences of two alternating words can cancel under every odd
+    base modulo a power of two.
+    """
 
     def __init__(self, h: np.ndarray, base: int = SEQUENCE_BASES[0]):
         n = len(h)
+        self.h, self.base = h, base % _PRIME
         self.inverse = powers(pow(base, -1, 1 << 64), n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(h * powers(base, n + 1)[:n], out=self.prefix[1:])
 
+    @functools.cached_property
+    def _by_prime(self) -> tuple[np.ndarray, np.ndarray]:
+        n, p = len(self.h), np.uint64(_PRIME)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.h % p * _prime_powers(self.base, n) % p, out=prefix[1:])
+        return prefix, _prime_powers(pow(self.base, -1, _PRIME), n + 1)
+
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of the words a..b-1."""
-        return mix((self.prefix[b] - self.prefix[a]) * self.inverse[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        prefix, inverse = self._by_prime
+        second = (prefix[b] - prefix[a]) % np.uint64(_PRIME) * inverse[a] % np.uint64(_PRIME)
+        return mix((self.prefix[b] - self.prefix[a]) * self.inverse[a] + mix((second << np.uint64(32)) + (b - a).astype(np.uint64)))
 
     def grams(self, k: int) -> np.ndarray:
         n = len(self.prefix) - k

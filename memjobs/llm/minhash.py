@@ -8,26 +8,34 @@ frequencies come from all documents, in a hashed table of fixed size.  The
 damping keeps copies together where the copies themselves fill the corpus.
 
 Each distinct text draws ``bands * rows`` ICWS samples; texts that agree on all
-samples of a band meet in a bucket.  Buckets of up to a dozen texts are compared
-in full.  Larger ones are compared with leaders first; of what is then still
-apart, every pair of a bucket is verified or ruled out by an exact bound.  A
-link is a pair of texts whose exact weighted Jaccard similarity is at least the
-threshold.  Classes are the connected
-components of links and exact copies.
+samples of a band meet in a bucket.  A link is a pair of texts whose exact
+weighted Jaccard similarity is at least the threshold.  Classes are the
+connected components of links and exact copies.
+
+One plan serves buckets of any size.  Every member of a bucket is compared with
+the bucket's leader, the text that shares most buckets with others.  Then only
+buckets are left whose other members lie in several components.  There every
+pair of two components is verified, or ruled out by its weights or by an
+outline whose bound is at least the similarity.  Large buckets are dealt into
+blocks for this; members of the bucket's largest component meet only those of
+the others.  A pair is judged in the first bucket it shares, and no more once
+links have joined its components.  So no pair of a bucket is lost; only texts
+that share no bucket are left to chance (0.001 of pairs at 0.8).
 
 Defined cases.  Null and blank texts and null ids belong to no class but their
 own.  Texts under five words are one shingle.  Texts without any word link to
-exact copies only.  Repeated rows share a class.  Other columns are ignored.
+exact copies only.  Repeated rows share a class.  Texts that share a doc_id are
+told apart by their digest.  Ids may be of any ordered type.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memjobs.llm._shared import written
@@ -40,8 +48,8 @@ IDF_SHARE = 0.2
 SLOTS = 1 << 18
 _PART = 1 << 14
 _UNIT = 1 << 12  # idf is kept in whole 1/4096ths, so sums do not depend on their order
-LEADERS, HEADS, SMALL, FIRST_BANDS = 16, 4, 12, 3
-OUTLINE, BLOCK_TEXTS = 256, 256  # slots of an outline; texts of a bucket that are bounded at once
+OUTLINE, BLOCK_TEXTS = 256, 512  # slots of an outline; texts of a block, about
+LANES = 64  # tasks that first add up one part of the word table
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
@@ -95,9 +103,10 @@ def _add_up(batches):
 def word_weights(docs: DataFrame, idf_share: float = IDF_SHARE) -> np.ndarray:
     """Weight of each word slot in 1/4096ths: a table of fixed size (``SLOTS``), whatever the corpus."""
     schema = "part bigint, counts binary"
-    # A task adds up what it has counted; then 16 tasks add up parts; a table of fixed size goes to the driver.
+    # A task adds up what it has counted, lanes of tasks add up parts of that, and 16 tasks the lanes; a table of fixed size goes to the driver.
     counted = docs.select("text").where("text is not null").mapInArrow(_count_slots, schema)
-    summed = counted.repartition(16, "part").mapInArrow(_add_up, schema)
+    lanes = counted.repartition("part", F.pmod(F.spark_partition_id(), F.lit(LANES))).mapInArrow(_add_up, schema)
+    summed = lanes.repartition(16, "part").mapInArrow(_add_up, schema)
     table = {r.part: np.frombuffer(bytes(r.counts), "<u8") for r in summed.collect()}
     n = int(table[-1][0]) if -1 in table else 0
     counts = np.concatenate([table.get(i, np.zeros(_PART, "<u8")) for i in range(SLOTS // _PART)]).astype(float)
@@ -163,7 +172,9 @@ def icws(u: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
     return out
 
 
-def _sketch(weights: np.ndarray, bands: int, rows: int):
+def _sketch(weights, bands: int, rows: int):
+    """``weights`` is a broadcast."""
+
     def job(batches):
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
@@ -172,7 +183,7 @@ def _sketch(weights: np.ndarray, bands: int, rows: int):
                 out = np.zeros((hi - lo, bands), np.uint64)
                 empty = np.zeros(hi - lo, bool)
                 salt = np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                for d, (u, x) in enumerate(_shingles(w, hi - lo, weights)):
+                for d, (u, x) in enumerate(_shingles(w, hi - lo, weights.value)):
                     empty[d] = not len(u)
                     if len(u):
                         s = icws(u, x, bands * rows).reshape(bands, rows)
@@ -194,62 +205,69 @@ def weighted_jaccard(a, b) -> float:
     return least / total if total > 0 else 0.0
 
 
-def _verify(weights: np.ndarray, threshold: float):
-    def sets(column):
-        for lo, hi, data, offsets in text_blocks(column):
-            yield from _shingles(_folded_words(data, offsets), hi - lo, weights)
+def _sets(column, weights: np.ndarray):
+    for lo, hi, data, offsets in text_blocks(column):
+        yield from _shingles(_folded_words(data, offsets), hi - lo, weights)
 
-    def job(batches):
-        for batch in batches:
-            keep = [weighted_jaccard(a, b) >= threshold - 1e-9 for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
-
-    return job
 
-
-def _outline(weights: np.ndarray):
-    """For each text its total weight and its outline: the weights of its shingles added up in ``OUTLINE`` slots."""
+def _verify(weights, threshold: float):
+    """Rows (a, b, text_a, text_b) -> the links among them.  Consecutive rows of one b, the leader, share its set."""
 
     def job(batches):
+        last, held = None, None
         for batch in batches:
-            totals, outlines = [], []
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                for u, x in _shingles(_folded_words(data, offsets), hi - lo, weights):
-                    totals.append(float(x.sum()))
-                    outlines.append(np.bincount((mix(u) >> np.uint64(56)).astype(np.int64), x, OUTLINE).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.float64()), pa.array(outlines, pa.binary())], names=["key", "weight", "outline"])
+            keys = batch.column(1).to_pylist()
+            new = [x != y for x, y in zip(keys, [last, *keys], strict=False)]
+            fresh = _sets(batch.column(3).filter(pa.array(new, pa.bool_())), weights.value)
+            keep = []
+            for a, is_new in zip(_sets(batch.column(2), weights.value), new, strict=True):
+                held = next(fresh) if is_new else held
+                keep.append(weighted_jaccard(a, held) >= threshold - 1e-9)
+            last = keys[-1] if keys else last
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
     return job
 
 
-def _bounded(threshold: float):
-    """The pairs of two blocks (or inside one) in different components that their outlines do not rule out.
+def _settled(weights, threshold: float):
+    """One block, or two, of a bucket -> the links that join components of it.
 
-    The least of two outlines, added up, is at least the common weight, so the
-    bound is at least the similarity: no link is ruled out.
+    Columns: key, component, band, bands, main, own, apart, text.  ``apart``
+    tells whether members with one (main, own) have met in another block.  The
+    least of two outlines, added up, is at least the common weight, so the
+    bound on the similarity rules out no link.
     """
 
     def job(table):
         table = table.combine_chunks()
-        side, key = np.array(table["side"].to_pylist()), table["key"].to_pylist()
-        component = np.unique(np.array(table["component"].to_pylist()), return_inverse=True)[1]
-        total = table["weight"].to_numpy()
-        outline = np.frombuffer(b"".join(table["outline"].to_pylist()), "<f4").reshape(-1, OUTLINE)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        a, b, bound = [], [], []
-        for i in left:
-            others = right[component[right] != component[i]]
-            others = others[np.minimum(total[others], total[i]) >= (threshold - 1e-3) * np.maximum(total[others], total[i])]
-            if len(others):
-                least = np.minimum(outline[others], outline[i]).sum(1, dtype=np.float64)
-                most = least / (total[others] + total[i] - least)
-                for j, x in zip(others[most >= threshold - 1e-3], most[most >= threshold - 1e-3], strict=True):
-                    a.append(min(key[i], key[j]))
-                    b.append(max(key[i], key[j]))
-                    bound.append(float(x))
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "bound": pa.array(bound, pa.float64())})
+        key, names = table["key"].to_pylist(), table["component"].to_pylist()
+        band, apart = table["band"][0].as_py(), table["apart"][0].as_py()
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        side = table["own"].to_numpy() * 2 + np.array(table["main"].to_pylist(), np.int64)
+        sets = list(_sets(table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"], weights.value))
+        total = np.array([x.sum() for _, x in sets])
+        outline = np.array([np.bincount((mix(u) >> np.uint64(56)).astype(np.int64), x, OUTLINE) for u, x in sets])
+        component = np.unique(np.array(names), return_inverse=True)[1]
+        low = threshold - 1e-6
+        a, b = [], []
+        for i in range(len(key) - 1):
+            j = np.arange(i + 1, len(key))
+            j = j[(component[j] != component[i]) & (np.minimum(total[j], total[i]) >= low * np.maximum(total[j], total[i]))]
+            if apart:
+                j = j[side[j] != side[i]]
+            j = j[(bands[j] == bands[i]).argmax(1) == band] if len(j) else j
+            if not len(j):
+                continue
+            least = np.minimum(outline[j], outline[i]).sum(1)
+            bound = least / (total[j] + total[i] - least)
+            order = np.argsort(-bound, kind="stable")
+            for o in order[bound[order] >= low].tolist():
+                if component[j[o]] != component[i] and weighted_jaccard(sets[i], sets[j[o]]) >= threshold - 1e-9:
+                    component[component == component[j[o]]] = component[i]
+                    a.append(key[i])
+                    b.append(key[j[o]])
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
     return job
 
@@ -258,143 +276,96 @@ def _has_words(column) -> Column:
     return F.coalesce(F.col(column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
+def _buckets(texts: DataFrame, *names: str) -> DataFrame:
+    return texts.select("key", *names, F.posexplode("bands").alias("band", "bucket"))
+
+
+def _first_links(texts: DataFrame, leaders: DataFrame, weights, threshold: float) -> DataFrame:
+    """The links (a, b) of texts with the leaders of their buckets."""
+    met = _buckets(texts).join(leaders, "bucket").where("key <> leader").groupBy("key").agg(F.collect_set("leader").alias("leaders"))
+    mine = met.join(texts.select("key", F.col("text").alias("text_a")), "key").select(F.col("key").alias("a"), F.explode("leaders").alias("b"), "text_a")
+    sided = mine.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return written(sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a string, b string"))
+
+
+def _later_links(texts: DataFrame, leaders: DataFrame, labels: DataFrame, weights, threshold: float) -> DataFrame:
+    """The links (a, b) that join components of one bucket, of all its members but the leader."""
+    named = texts.select("key", "bands").join(labels, F.col("key") == F.col("node"), "left").select("key", "bands", F.coalesce("component", "key").alias("component"))
+    members = written(_buckets(named, "component").join(leaders.where("n > 2"), "bucket").where("key <> leader").select("key", "band", "bucket", "component"))
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("k > 1")
+    several = written(several.select("bucket", F.col("most.component").alias("largest"), F.col("n").alias("n_all"), F.col("most.n").alias("n_main")))
+    block = F.lit(BLOCK_TEXTS)
+    dealt = members.join(several, "bucket").withColumn("whole", F.col("n_all") <= block).withColumn("main", (F.col("component") == F.col("largest")) & ~F.col("whole"))
+    mains, others = F.ceil(F.col("n_main") / block), F.ceil((F.col("n_all") - F.col("n_main")) / block)
+    dealt = dealt.withColumn("mains", mains).withColumn("others", F.when(F.col("whole"), F.lit(1)).otherwise(others))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+
+    def meeting(left, right, with_main) -> Column:
+        return F.struct(left.cast("bigint").alias("left"), right.cast("bigint").alias("right"), F.lit(with_main).alias("with_main"))
+
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    own = F.col("own")
+    among = F.transform(upto(F.col("others")), lambda x: meeting(F.least(own, x), F.greatest(own, x), False))
+    meetings = (
+        F.when(F.col("main"), F.transform(upto(F.col("others")), lambda x: meeting(x, own, True)))
+        .when(F.col("whole"), among)
+        .otherwise(F.concat(among, F.transform(upto(F.col("mains")), lambda x: meeting(own, x, True))))
+    )
+    met = dealt.select("key", "band", "bucket", "component", "main", "own", F.explode(meetings).alias("m"))
+    apart = F.col("m.with_main") | (F.col("m.left") != F.col("m.right"))
+    met = met.select("key", "band", "bucket", "component", "main", "own", "m.left", "m.right", "m.with_main", apart.alias("apart"))
+    sided = met.join(texts.select("key", "bands", "text"), "key")
+    return written(sided.groupBy("bucket", "left", "right", "with_main").applyInArrow(_settled(weights, threshold), "a string, b string"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key, class_id, n_links for each input row.
+    """doc_id, key, class_id, class_key, n_links for each input row.
 
     key is the text's digest (null for blank texts), class_id the least doc_id
-    of the class, n_links the number of other distinct texts in it.
+    of the class, class_key the least digest under that id, n_links the number
+    of other distinct texts in the class.
     """
-    weights = word_weights(docs)
+    weights = docs.sparkSession.sparkContext.broadcast(word_weights(docs))  # a table of fixed size
+    kind = docs.schema["doc_id"].dataType.simpleString()
     member = F.col("doc_id").isNotNull() & _has_words("text")
     keyed = docs.select("doc_id", "text", F.md5("text").alias("key")).where(member)
-    sketched = written(keyed.select("doc_id", "key", "text").mapInArrow(_sketch(weights, bands, rows), "doc_id bigint, key string, bands array<bigint>"))
-    texts = written(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    entries = texts.select("key", "doc_id", F.posexplode("bands").alias("band", "bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(entries.join(full, "bucket"))
-    if members.isEmpty():
-        of_text = texts.select("key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    else:
-        nodes = written(members.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("score")))
-        # The same plan at every size: a small list of nodes is not broadcast.
-        bodies = written(keyed.join(nodes.select("doc_id", "key").hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("key", "text"))
-        members = written(members.join(nodes.select("key", "score"), "key").select("key", "band", "bucket", "n", "score"))
-        labels = _link(members, bodies, nodes.select(F.col("key").alias("node"), F.col("key").alias("component")), weights, threshold)
-        lined = texts.join(labels, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
-        groups = lined.groupBy("component").agg(F.min("doc_id").alias("class_id"), (F.count("*") - 1).alias("n_links"))
-        of_text = lined.select("key", "component").join(groups, "component").select("key", "class_id", "n_links")
-    found = sketched.select("doc_id", "key").join(of_text, "key").select("doc_id", "key", "class_id", "n_links")
-    own = F.col("doc_id").cast("bigint")
-    rest = docs.where(~member).select(own.alias("doc_id"), F.lit(None).cast("string").alias("key"), own.alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    sketched = written(keyed.select("doc_id", "key", "text").mapInArrow(_sketch(weights, bands, rows), f"doc_id {kind}, key string, bands array<bigint>"))
+    firsts = written(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    entries = _buckets(firsts)
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    scores = entries.join(shared, "bucket").groupBy("key").agg(F.sum("n").alias("score"))
+    nodes = written(firsts.join(scores, "key"))
+    # The same plan at every size: a small list of nodes is not broadcast.
+    texts = written(keyed.join(nodes.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("key", "bands", "score", "text"))
+    leaders = _buckets(texts, "score").groupBy("bucket").agg(F.max_by("key", F.struct("score", "key")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    leaders = written(leaders)
+    links = _first_links(texts, leaders, weights, threshold)
+    labels = components(links)
+    more = _later_links(texts, leaders, labels, weights, threshold)
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    lined = firsts.join(labels, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    groups = lined.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"), (F.count("*") - 1).alias("n_links"))
+    of_text = lined.select("key", "component").join(groups, "component").select("key", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"), "n_links")
+    found = sketched.select("doc_id", "key").join(of_text, "key").select("doc_id", "key", "class_id", "class_key", "n_links")
+    none = F.lit(None).cast("string")
+    rest = docs.where(~member).select("doc_id", none.alias("key"), F.col("doc_id").alias("class_id"), none.alias("class_key"), F.lit(0).cast("bigint").alias("n_links"))
     return found.union(rest)
 
 
-def _link(members: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """Components (node, component) of the verified links inside buckets.
-
-    A text scores by how many others it meets over all bands: the text that
-    copies were made from scores above its copies.  First the members of a few
-    bands' buckets meet the best of each.  Then small buckets are compared in
-    full; in larger ones, members note which components of the bucket's best
-    they do not belong to, once for all bands, and meet the best ``LEADERS``
-    members of those; components that grew by it offer their next best, until
-    none grows.  This joins most; ``_apart`` settles the pairs that are left.
-    """
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "key"))
-    first = members.where(f"band < {FIRST_BANDS}").withColumn("place", place).where(F.col("place") <= 1).select("bucket", F.col("key").alias("leader"))
-    met = members.join(first, "bucket").where("key <> leader").select("key", "leader")
-    labels, _ = _joined(met, bodies, labels, weights, threshold, True)
-
-    state = written(members.join(labels, F.col("key") == F.col("node")).select("key", "bucket", "n", "score", "component"))
-    few = state.where(f"n <= {SMALL}")
-    other = few.select("bucket", F.col("key").alias("leader"), F.col("component").alias("led"))
-    small = few.join(other, "bucket").where("component <> led and key < leader").select("key", "leader")
-    large = state.where(f"n > {SMALL}")
-    heads = large.withColumn("place", place).where(F.col("place") <= HEADS).select("bucket", F.col("component").alias("led")).distinct()
-    meets = written(large.join(heads, "bucket").where("component <> led").select("key", "led").distinct())
-    labels, _ = _joined(small, bodies, labels, weights, threshold)
-
-    scores = members.select("key", "score").distinct()
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("score"), "key"))
-    grown = None
-    for round_ in itertools.count():
-        own = labels.select(F.col("node").alias("key"), F.col("component").alias("own"))
-        led = labels.select(F.col("node").alias("led"), "component")
-        apart = meets.join(own, "key").join(led, "led").where("own <> component").select("key", "component").distinct()
-        if grown is not None:
-            apart = apart.join(grown, "component", "left_semi")
-        tops = scores.withColumnRenamed("key", "node").join(labels, "node").select(F.col("node").alias("key"), "component", "score").withColumn("place", rank)
-        tops = tops.where(F.col("place") <= (round_ + 1) * LEADERS).where(F.col("place") > round_ * LEADERS).select("component", F.col("key").alias("leader"))
-        met = apart.join(tops, "component").select("key", "leader")
-        labels, links = _joined(met, bodies, labels, weights, threshold)
-        if links is None:
-            return _apart(members, bodies, labels, weights, threshold)
-        grown = written(links.select(F.col("a").alias("node")).join(labels, "node").select("component").distinct())
-
-
-def _apart(members: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """The labels after every pair of a large bucket that is still in two components is verified or ruled out.
-
-    Members of a bucket lie in blocks by component and weight.  Two blocks of
-    one component, or too far apart in weight, need no look; other pairs of
-    blocks are bounded text by text.  Pairs of components verify their likeliest
-    pairs first, more of them each round, until all are verified or in one
-    component.
-    """
-    state = members.where(f"n > {SMALL}").select("key", "bucket").join(labels, F.col("key") == F.col("node")).select("key", "bucket", "component")
-    several = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    state = written(state.join(several, "bucket"))
-    if state.isEmpty():
-        return labels
-    outlines = written(bodies.join(state.select("key").distinct(), "key").select("key", "text").mapInArrow(_outline(weights), "key string, weight double, outline binary"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("component", "weight", "key"))
-    placed = written(state.join(outlines.select("key", "weight"), "key").withColumn("block", F.floor((place - 1) / BLOCK_TEXTS)))
-    blocks = placed.groupBy("bucket", "block").agg(*[f("component").alias(f"c_{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))], *[f("weight").alias(f"w_{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    other = blocks.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("block", "c_lo", "c_hi", "w_lo", "w_hi")])
-    near = f"w_hi >= {threshold - 1e-3} * other_w_lo and other_w_hi >= {threshold - 1e-3} * w_lo"
-    two = blocks.join(other, "bucket").where("block <= other_block and not (c_lo = c_hi and c_lo = other_c_lo and c_lo = other_c_hi)").where(near)
-    two = two.select("bucket", "block", "other_block")
-    first = two.select("bucket", "block", "other_block", F.col("block").alias("own"), F.lit(0).alias("side"))
-    second = two.where("block <> other_block").select("bucket", "block", "other_block", F.col("other_block").alias("own"), F.lit(1).alias("side"))
-    texts = placed.join(outlines.select("key", "outline"), "key").withColumnRenamed("block", "own")
-    sided = first.union(second).join(texts, ["bucket", "own"]).select("bucket", "block", "other_block", "side", "key", "component", "weight", "outline")
-    possible = sided.groupBy("bucket", "block", "other_block").applyInArrow(_bounded(threshold), "a string, b string, bound double")
-    left = written(possible.groupBy("a", "b").agg(F.max("bound").alias("bound")))
-    rank = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("bound"), "a", "b"))
-    for round_ in itertools.count():
-        ca, cb = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        left = written(left.join(ca, "a").join(cb, "b").where("ca <> cb").withColumn("place", rank).select("a", "b", "bound", "place"))
-        if left.isEmpty():
-            return labels
-        offered = LEADERS * 8**round_
-        labels, _ = _joined(left.where(F.col("place") <= offered).select(F.col("a").alias("key"), F.col("b").alias("leader")), bodies, labels, weights, threshold)
-        left = left.where(F.col("place") > offered).select("a", "b", "bound")
-
-
-def _joined(met: DataFrame, bodies: DataFrame, labels: DataFrame, weights: np.ndarray, threshold: float, fresh: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """The links found, if any, and the labels after the pairs (key, leader) are verified and their links followed; ``fresh``: labels are the nodes themselves."""
-    pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-    sided = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    links = ends = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a string, b string"))
-    if links.isEmpty():
-        return labels, None
-    if not fresh:
-        a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        ends = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    new = components(ends).withColumnsRenamed({"node": "old", "component": "new"})
-    return written(labels.join(new, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))), links
-
-
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the row of the least doc_id stays; rows without a class all stay.
+    """The rows of ``docs`` without near duplicates: of each class one text under its least doc_id stays; rows without a class all stay.
 
-    Repeated rows (one doc_id, one text) are reduced to one.
+    Repeated rows (one doc_id, one text) are reduced to one: the one whose
+    columns, written as JSON, come first.
     """
     found = written(classes(docs, **options))
-    gone = found.where("class_id < doc_id").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    gone = found.where("class_id <> doc_id or class_key <> key").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
     kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.md5(docs["text"]) == gone["gone_key"]), "left_anti")
     repeated = found.where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     if repeated.isEmpty():
         return kept
     same = (kept["doc_id"] == repeated["gone_id"]) & (F.md5(kept["text"]) == repeated["gone_key"])
-    return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    first = kept.join(repeated, same, "left_semi").select(F.struct("*").alias("row")).groupBy("row.doc_id", F.md5("row.text").alias("digest")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(repeated, same, "left_anti").union(first.select("row.*"))

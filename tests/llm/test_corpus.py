@@ -39,12 +39,23 @@ def test_words_and_sequences_match_plain_splitting():
     assert s.span(np.array([0]), np.array([3]))[0] == s.span(np.array([3]), np.array([6]))[0] != s.span(np.array([4]), np.array([7]))[0]
 
 
-def test_long_texts_hash_alike_in_pieces(monkeypatch):
-    data = np.frombuffer(b"word other thing " * 3000, np.uint8)
-    offsets = np.array([0, len(data)])
-    whole = _words.words_of(data, offsets).hash
-    monkeypatch.setattr(_words, "BLOCK", 1000)
-    assert (_words.words_of(data, offsets).hash == whole).all()
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_alike_words_and_sequences_do_not_collide():
+    tm = "".join("ab"[x] for x in thue_morse(4096))
+    far = ["x" * 65_536 + "ab" + "y" * 65_536, "x" * 65_536 + "ba" + "y" * 65_536, "y" * 65_536 + "ab" + "x" * 65_536]
+    words = [tm, tm.translate(str.maketrans("ab", "ba")), *far, *("z" * n for n in range(1, 80)), "a" * 8 + "b", "a" * 9, "a\0", "a"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    for base in _words.WORD_BASES:
+        assert len(set(_words.words_of(data, np.array([0, len(data)]), base).hash.tolist())) == len(set(words))
+    two = np.array([3, 5], np.uint64)
+    sequence = np.array([two[x] for x in thue_morse(4096)] + [two[1 - x] for x in thue_morse(4096)])
+    for base in _words.SEQUENCE_BASES:
+        s = _words.Sequences(_words.mix(sequence), base)
+        a, b = s.span(np.array([0, 4096]), np.array([4096, 8192]))
+        assert a != b
 
 
 # --- mixing ------------------------------------------------------------------
