@@ -11,13 +11,13 @@ document for each extent goes on.
 
 Extend.  Those anchors are extended to both sides to every placement of the
 window that contains the seed; equal placements in a smaller document are
-matches.  Overlapping matches merge to maximal repeats, none shorter than the
+matches.  Words are compared by hashes of 128 bits over their whole length.  Overlapping matches merge to maximal repeats, none shorter than the
 window.  No pair of documents is ever written down, so a passage in a third of
 all documents costs a few rows for each of them.
 
 Defined cases.  Null text: no words.  Null ``doc_id``: the row neither loses
 words nor makes others lose any.  Rows that share a ``doc_id`` never match each
-other.  Texts under ``window`` words keep all.  Only ``doc_id`` and ``text``
+other; their texts are told apart by a 64-bit digest.  Ids may be of any ordered type.  Texts under ``window`` words keep all.  Only ``doc_id`` and ``text``
 are read; other columns are ignored.
 """
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from memjobs.llm._shared import written
 from memjobs.llm._words import SEQUENCE_BASES, WORD_BASES, Sequences, sliding_min, text_blocks, words_of
 
-RUNS = "doc_id bigint, version int, anchor bigint, extent bigint, start int, n int"
-PLACED = "doc_id bigint, version int, h1 bigint, h2 bigint, start int"
+RUNS = "doc_id {id}, version bigint, anchor bigint, extent bigint, start int, n int"
+PLACED = "doc_id {id}, version bigint, h1 bigint, h2 bigint, start int"
 
 
 def _seeds(window: int, seed: int):
@@ -116,7 +116,9 @@ def _cut(batches):
 def repeats(docs: DataFrame, window: int = 50, seed: int = 20) -> DataFrame:
     """Matched stretches (doc_id, version, start, end) in words; ``version`` tells texts of one id apart."""
     texts = _identified(docs)
-    runs = written(texts.mapInArrow(_seeds(window, seed), RUNS))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed_rows = PLACED.format(id=kind)
+    runs = written(texts.mapInArrow(_seeds(window, seed), RUNS.format(id=kind)))
     shared = (
         runs.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("extent").alias("e_lo"), F.max("extent").alias("e_hi"))
@@ -124,18 +126,20 @@ def repeats(docs: DataFrame, window: int = 50, seed: int = 20) -> DataFrame:
         .select("anchor", (F.col("e_lo") != F.col("e_hi")).alias("differs"))
     )
     met = written(runs.join(shared, "anchor"))
-    first = met.groupBy("anchor", "extent").agg(F.min("doc_id").alias("first_doc"))
+    # Written, so that both sides of the join are plain exchanges and a hot anchor can be split.
+    first = written(met.groupBy("anchor", "extent").agg(F.min("doc_id").alias("first_doc")))
     judged = met.join(first, ["anchor", "extent"])
     whole = judged.where("first_doc < doc_id").select("doc_id", "version", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
     open_runs = judged.where("first_doc = doc_id and differs").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    placed = texts.join(open_runs, ["doc_id", "version"]).select("doc_id", "text", "version", "runs").mapInArrow(_place(window), PLACED)
-    earliest = placed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    placed = texts.join(open_runs, ["doc_id", "version"]).select("doc_id", "text", "version", "runs").mapInArrow(_place(window), placed_rows)
+    placed = written(placed)
+    earliest = written(placed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"))
     parts = placed.join(earliest, ["h1", "h2"]).where("first_doc < doc_id").select("doc_id", "version", "start", (F.col("start") + window).alias("end"))
     return whole.union(parts)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.hash("text").alias("version")).where("doc_id is not null and text is not null")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("doc_id is not null and text is not null")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 20) -> DataFrame:
@@ -143,4 +147,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 20) -> DataFra
     spans = repeats(docs, window, seed).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = _identified(docs).join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
     empty = docs.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
-    return joined.union(empty).mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return joined.union(empty).mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_text string")
