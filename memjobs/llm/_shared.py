@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -36,3 +37,11 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which executors, those started later too, find a file of the driver by ``SparkFiles.get``."""
+    name = os.path.basename(path)
+    if not any(os.path.basename(x) == name for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return name

@@ -6,10 +6,15 @@ the one of the highest total score, and on equal scores the one of fewer
 pieces.  The distinct pre-tokens of a task are inserted in a trie; forward
 scores are computed once for each node, so once per shared prefix, and the
 piece count of the best path is stored at terminal nodes.  The trie of a task
-is dropped and begun anew beyond ``max_nodes``: a bound on memory that changes
-no count.
+is dropped and begun anew beyond ``max_nodes``, looked at after every
+``STEP`` pre-tokens: a bound on memory that changes no count.  Pre-tokens over
+``LONGEST`` bytes share no prefix worth keeping: the same scores are computed
+for them in one forward pass, which keeps as many positions as the longest
+piece has bytes.
 
-Defined cases.  Null or empty text: 0 pre-tokens, 0 tokens.  Every byte is a
+Spark ships the vocabulary file to the executors; its path is one of the driver.
+
+Defined cases.  Null or empty text, empty table: 0 pre-tokens, 0 tokens, no rows.  Repeated rows are counted each.  Every byte is a
 piece of its own, so any text has a segmentation.
 """
 
@@ -21,10 +26,14 @@ import math
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from memjobs.llm._shared import shipped
+
 # Fixed value: the usual pre-token pattern of byte-level vocabularies.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONGEST, STEP = 256, 4096
 
 
 @functools.lru_cache(maxsize=2)
@@ -42,6 +51,7 @@ class CountingTrie:
         self.children: list[dict[int, int]] = [{}]
         self.score, self.count = [0.0], [0]
         self.terminal: dict[str, int] = {}
+        self._starts: set[bytes] | None = None
 
     def __len__(self) -> int:
         return len(self.children)
@@ -49,9 +59,32 @@ class CountingTrie:
     def tokens(self, pretoken: str) -> int:
         found = self.terminal.get(pretoken)
         if found is None:
-            found = self.terminal[pretoken] = self._insert(pretoken.encode("utf-8", "surrogatepass"))
+            word = pretoken.encode("utf-8", "surrogatepass")
+            if len(word) > LONGEST:
+                return self._forward(word)
+            found = self.terminal[pretoken] = self._insert(word)
         return found
 
+    def _forward(self, word: bytes) -> int:
+        """The same best path for one long word: each position hands its score on to the ends of the pieces that begin there."""
+        if self._starts is None:
+            self._starts = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        pieces, starts, ring = self.pieces, self._starts, self.longest + 1
+        none = (-math.inf, 0)
+        best = [none] * ring
+        best[0] = (0.0, 0)
+        for begin in range(len(word)):
+            score, count = best[begin % ring]
+            best[begin % ring] = none
+            for end in range(begin + 1, min(len(word), begin + self.longest) + 1):
+                piece = word[begin:end]
+                if piece not in starts:
+                    break
+                s = pieces.get(piece)
+                if s is not None:
+                    best[end % ring] = max(best[end % ring], (score + s, count - 1))
+        return -best[len(word) % ring][1]
+
     def _insert(self, word: bytes) -> int:
         children, score, count, pieces = self.children, self.score, self.count, self.pieces
         node, path = 0, [0]
@@ -73,9 +106,9 @@ class CountingTrie:
         return count[node]
 
 
-def _count(path: str, max_nodes: int):
+def _count(name: str, max_nodes: int):
     def job(batches):
-        pieces, longest = vocabulary(path)
+        pieces, longest = vocabulary(SparkFiles.get(name))
         split = regex.compile(PRETOKEN).findall
         trie = CountingTrie(pieces, longest)
         for batch in batches:
@@ -83,13 +116,16 @@ def _count(path: str, max_nodes: int):
             for text in batch.column(1):
                 found = split(text.as_py() or "")
                 pretokens.append(len(found))
-                have = trie.terminal
-                try:
-                    tokens.append(sum([have[x] for x in found]))
-                except KeyError:
-                    tokens.append(sum([trie.tokens(x) for x in found]))
-                if len(trie) > max_nodes:
-                    trie = CountingTrie(pieces, longest)
+                n = 0
+                for lo in range(0, len(found), STEP):
+                    have, part = trie.terminal, found[lo : lo + STEP]
+                    try:
+                        n += sum([have[x] for x in part])
+                    except KeyError:
+                        n += sum([trie.tokens(x) for x in part])
+                    if len(trie) > max_nodes:
+                        trie = CountingTrie(pieces, longest)
+                tokens.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pretokens, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return job
@@ -98,4 +134,4 @@ def _count(path: str, max_nodes: int):
 def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = 400_000) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for each input row."""
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(_count(vocabulary_path, max_nodes), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens bigint, n_tokens bigint")
+    return rows.mapInArrow(_count(shipped(docs.sparkSession, vocabulary_path), max_nodes), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens bigint, n_tokens bigint")

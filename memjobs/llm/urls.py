@@ -9,6 +9,7 @@ cannot decide.  The longest confirmed rule wins; on equal length the longer
 host.  Without a rule the verdict is ``default``.
 
 Defined cases.  Null URL or none with ``://``: empty host and path, no rule.
+Of rules with one host and path and two verdicts, ``block`` wins.
 Only A-Z are lower-cased, in the host alone; ports and user names stay part of
 the host.  Repeated rows are judged alike; other columns are passed by.
 """
@@ -27,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memjobs.llm._shared import shipped
+
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 VERDICTS = ("allow", "block")
@@ -40,7 +43,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def digest_bytes(rules: list[tuple[str, str, str]]) -> bytes:
     """rules: (host, path, verdict).  Layout, little endian: n, m; n keys; n+1 offsets; n host lengths; n verdicts; m path lengths; strings."""
-    rows = sorted((xxhash.xxh64_intdigest((h + p).encode()), (h + p).encode(), len(h.encode()), VERDICTS.index(v)) for h, p, v in set(rules))
+    verdicts: dict[tuple[str, str], int] = {}
+    for h, p, v in rules:
+        verdicts[h, p] = max(verdicts.get((h, p), 0), VERDICTS.index(v))
+    rows = sorted((xxhash.xxh64_intdigest((h + p).encode()), (h + p).encode(), len(h.encode()), v) for (h, p), v in verdicts.items())
     lengths = sorted({len(p.encode()) for _, p, _ in rules})
     blob = b"".join(r[1] for r in rows)
     parts = [
@@ -120,9 +126,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     with open(path, "wb") as out:
         out.write(content)
-    context = pages.sparkSession.sparkContext
-    if not any(os.path.basename(x) == name for x in context.listFiles):
-        context.addFile(path)  # Spark serves it to executors, those started later too
+    shipped(pages.sparkSession, path)
     rows = pages.select(key, F.col(url).cast("string").alias("url"))
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(_judge(name, default), f"`{key}` {kind}, {OUT}")
