@@ -9,10 +9,11 @@ Windows of ``n`` template tokens, at least half of them literal, are hash-joined
 with the windows of the benchmark items.  Windows with more slots, and items of
 fewer than ``shortest`` tokens, are joined on their literal tokens instead, so
 that verbatim passages of any make-up are found.  Template matches of one item in one document
-are then held together: the slot values under the placeholders must map item
-to document consistently, one value always to the same other.  A document
-holds an item if its consistent and its literal matches cover ``share`` of the item's tokens,
-or ``enough`` of them.
+are then held together, over all their alignments: the slot values under the
+placeholders must map item to document consistently, one value always to the
+same other.  Alignments that contradict the longest ones make up a reading of
+their own, as of a second copy.  A document holds an item if one reading covers
+``share`` of the item's tokens, or ``enough`` of them.
 
 The benchmark is a stated query set, held against all rows in blocks of at
 most ``block_bytes`` of its text; each block is broadcast and each needs one
@@ -141,11 +142,26 @@ class Items:
         return out
 
 
-def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
-    """One value of a slot always meets the same other, both ways."""
-    there: dict[int, int] = {}
-    back: dict[int, int] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(item.tolist(), doc.tolist(), strict=True))
+class _Reading:
+    """Alignments of an item in a document under one mapping of slot values: one value always meets the same other, both ways."""
+
+    def __init__(self):
+        self.there: dict[int, int] = {}
+        self.back: dict[int, int] = {}
+        self.covered: set[int] = set()
+        self.slots: set[int] = set()
+
+    def takes(self, pairs: list[tuple[int, int]], tokens: set[int], slotted: list[int]) -> bool:
+        there: dict[int, int] = {}
+        back: dict[int, int] = {}
+        for a, b in pairs:
+            if self.there.get(a, b) != b or self.back.get(b, a) != a or there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                return False
+        self.there |= there
+        self.back |= back
+        self.covered |= tokens
+        self.slots.update(slotted)
+        return True
 
 
 def _matches(t: Templates, items: Items, share: float, enough: int) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -164,20 +180,27 @@ def _matches(t: Templates, items: Items, share: float, enough: int) -> dict[int,
                         tokens.update(range(s, s + length))
     out: dict[int, list[tuple[int, int, int, int]]] = {}
     for (doc, item), lines in runs.items():
-        covered: set[int] = set()
-        slots: set[int] = set()
-        for (kind, shift), tokens in lines.items():
+        n = int(items.size[item])
+        left = []
+        for (kind, shift), tokens in sorted(lines.items(), key=lambda x: (-len(x[1]), x[0])):
             places = np.array(sorted(tokens))
             slotted = places[items.t.slot["inside" if kind == "literal" else kind][places]]
-            if kind == "literal" or _consistent(items.t.value[slotted], t.value[slotted + shift]):
-                covered |= tokens
-                slots.update(slotted.tolist())
-        n = int(items.size[item])
-        if covered and (len(covered) >= share * n or len(covered) >= enough):
-            out.setdefault(doc, []).append((items.ids[item], len(covered), n, len(slots)))
+            left.append((list(zip(items.t.value[slotted].tolist(), t.value[slotted + shift].tolist(), strict=True)), tokens, slotted.tolist()))
+        # Readings in turn, the longest alignment first, as long as what no reading holds could be enough.
+        while left and _enough(len(set().union(*(x[1] for x in left))), n, share, enough):
+            reading = _Reading()
+            left = [x for x in left if not reading.takes(*x)]
+            if _enough(len(reading.covered), n, share, enough):
+                out.setdefault(doc, []).append((items.ids[item], len(reading.covered), n, len(reading.slots)))
+            if not reading.covered or _enough(len(reading.covered), n, share, enough):
+                break
     return out
 
 
+def _enough(covered: int, n: int, share: float, enough: int) -> bool:
+    return covered > 0 and (covered >= share * n or covered >= enough)
+
+
 def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
