@@ -103,8 +103,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
+    held = iter(sorted((s, e) for s, _, e in base))
+    reach, ahead = -1, next(held, None)  # the furthest end of the base spans that begin before the candidate's end
     for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        while ahead and ahead[0] < m.end():
+            reach, ahead = max(reach, ahead[1]), next(held, None)
+        if reach > m.start():
             continue
         kind = character_class(m[0])
         if kind and largest_entropy(m[0]) >= THRESHOLDS[kind] and not any(p.search(m[0]) for p in ALLOWED) and not is_path(m[0]):
