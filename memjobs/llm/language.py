@@ -3,17 +3,26 @@
 Evidence for a page's language, multiplied:
 
 - text: byte trigrams of the visible, case-folded text under a model counted
-  over all labelled documents (a table of fixed size), tempered because
-  neighbouring trigrams repeat each other;
-- the declared markup language and the address suffix, each by its probability
-  given the language, counted over all pages from their text posteriors;
-- the host: priors smoothed from all pages to suffix, registered domain and
-  host, by grouped sums of text posteriors without the page's own share.
+  over all labelled documents, tempered because neighbouring trigrams repeat
+  each other;
+- the declared markup language, by its probability given the language, counted
+  over all other pages from their text posteriors;
+- address suffix and host: one prior, smoothed from all pages to suffix,
+  registered domain and host, by grouped sums of the other pages' text
+  posteriors.  The suffix enters here alone, and a page's own posterior is left
+  out on every level, so nothing counts twice.
+
+Posteriors enter the sums as whole numbers of ``UNIT`` parts, as rows of
+(page, language), so sums don't depend on their order and any number of
+languages is modelled: trigram counts are one row for each language, and pages
+are scored against blocks of ``BLOCK_LANGUAGES`` languages.
 
 Defined cases.  Null or empty html gives flat text evidence; a null URL shares
-the empty host.  Missing declarations are a value of their own.  Without any
-labelled document the language is ``und``.  Ties go to the first language in
-code-point order.  Repeated pages are judged alike, each as a page.
+the empty host.  Missing declarations are a value of their own; the first
+``<html`` tag counts.  An element that is never closed hides nothing.  Without
+any labelled document the language is ``und``.  Ties go to the first language
+in code-point order.  Repeated pages are judged alike, each as a page.  Empty
+tables of pages give no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +41,12 @@ from memjobs.llm.minhash import folded
 SLOTS = 1 << 14
 TEMPER, MOST = 0.05, 60.0  # share of the log likelihood that counts, and its largest span in nats
 KAPPA = 4.0  # pages that a level's parent weighs
-MAX_LANGUAGES = 64
-_HIDDEN = re.compile(r"<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;|&#\d+;", re.S | re.I)
+UNIT = 1 << 20
+BLOCK_LANGUAGES = 256  # languages whose log probabilities are broadcast at once: 16 MB
+_HELD = 64  # languages that a counting task holds before it hands counts on
+_OPEN = re.compile(rb"<(script|style|nav|head)\b")
+_LANG = re.compile(rb"""\blang\s*=\s*["']?([a-z]+)""")
+_ENTITY = re.compile(rb"&(?:[a-z]+|#[0-9]+);")
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -46,19 +59,55 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
     return (((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
 
 
-def _count(languages: list[str]):
-    place = {x: i for i, x in enumerate(languages)}
+def visible(html: bytes) -> bytes:
+    """The text between tags, without scripts, styles, navigation, heads, comments and entities: one pass over the bytes."""
+    low, out, at, unclosed = html.lower(), [], 0, set()
+    while (tag := low.find(b"<", at)) >= 0:
+        out.append(html[at:tag])
+        at = -1
+        opened = _OPEN.match(low, tag)
+        closing = b"-->" if low.startswith(b"<!--", tag) else b"</" + opened[1] if opened else None
+        if closing and closing not in unclosed:
+            end = low.find(closing, tag + 1)
+            if end < 0:
+                unclosed.add(closing)
+            else:
+                at = low.find(b">", end) + 1 or -1
+        if at < 0:
+            at = low.find(b">", tag) + 1
+            if not at:
+                out.append(html[tag:])
+                at = len(html)
+    out.append(html[at:])
+    return _ENTITY.sub(b" ", b" ".join(out))
+
+
+def declared_language(html: bytes) -> str:
+    low = html.lower()
+    tag = low.find(b"<html")
+    end = low.find(b">", tag) if tag >= 0 else -1
+    found = _LANG.search(low, tag, end if end >= 0 else len(low)) if tag >= 0 else None
+    return found[1].decode() if found else ""
+
+
+def _count(batches):
+    """Trigram counts by language, as they fill up or at the end of a task."""
+    held: dict[str, np.ndarray] = {}
+
+    def rows():
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.astype("<i8").tobytes() for x in held.values()], pa.binary())], names=["lang", "counts"])
+        held.clear()
 
-    def job(batches):
-        counts = np.zeros((len(languages), SLOTS), np.int64)
-        for batch in batches:
-            lang = batch.column(1).to_pylist()
-            for lo, _, data, offsets in text_blocks(batch.column(0)):
-                for d in range(len(offsets) - 1):
-                    counts[place[lang[lo + d]]] += np.bincount(_trigrams(data[offsets[d] : offsets[d + 1]]), minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array(languages), pa.array([x.astype("<i8").tobytes() for x in counts], pa.binary())], names=["lang", "counts"])
-
-    return job
+    for batch in batches:
+        lang = batch.column(1).to_pylist()
+        for lo, _, data, offsets in text_blocks(batch.column(0)):
+            for d in range(len(offsets) - 1):
+                if lang[lo + d] not in held:
+                    if len(held) >= _HELD:
+                        yield from rows()
+                    held[lang[lo + d]] = np.zeros(SLOTS, np.int64)
+                held[lang[lo + d]] += np.bincount(_trigrams(data[offsets[d] : offsets[d + 1]]), minlength=SLOTS)
+    yield from rows()
 
 
 def _add(batches):
@@ -70,86 +119,122 @@ def _add(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "counts"])
 
 
-def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by language and slot) from all documents with a language; the commonest ``MAX_LANGUAGES``."""
+def text_model(docs: DataFrame) -> DataFrame:
+    """(lang, counts): trigram counts of every language, from all documents that name one."""
     labelled = docs.select("text", "lang").where("text is not null and lang is not null")
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in top)
-    if not languages:
-        return [], np.zeros((0, SLOTS))
     schema = "lang string, counts binary"
-    counted = labelled.where(F.col("lang").isin(languages)).mapInArrow(_count(languages), schema)
-    summed = {r.lang: np.frombuffer(bytes(r.counts), "<i8") for r in counted.repartition(8, "lang").mapInArrow(_add, schema).collect()}
-    counts = np.array([summed[x] for x in languages]) + 0.5
-    return languages, np.log(counts / counts.sum(1, keepdims=True))
+    lanes = labelled.mapInArrow(_count, schema).repartition("lang", F.pmod(F.spark_partition_id(), F.lit(64))).mapInArrow(_add, schema)
+    return written(lanes.repartition("lang").mapInArrow(_add, schema))
+
+
+def _opened(batches):
+    """Pages (page_id, host, html) -> (page_id, host, declared, html as visible text, scores so far: none)."""
+    for batch in batches:
+        raw = [x.as_py() or b"" for x in batch.column(2).cast(pa.large_binary())]
+        declared = pa.array([declared_language(x) for x in raw], pa.string())
+        none = pa.array([[]] * batch.num_rows, pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), declared, pa.array([visible(x) for x in raw], pa.binary()), none], names=["page_id", "host", "declared", "shown", "scores"])
 
 
-def _posteriors(log_p: np.ndarray):
+def _scored(model):
+    """Adds the scores of one block of languages."""
+
+    def job(batches):
+        log_p = model.value
+        for batch in batches:
+            scores = []
+            for shown, have in zip(batch.column(3), batch.column(4).to_pylist(), strict=True):
+                slots = _trigrams(np.frombuffer(shown.as_py(), np.uint8))
+                scores.append(np.concatenate((np.array(have, np.float32), TEMPER * log_p[:, slots].sum(1, dtype=np.float64))).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.list_(pa.float32()))], names=["page_id", "host", "declared", "shown", "scores"])
+
+    return job
+
+
+def _posteriors(batches):
+    """Scores within ``MOST`` of the best, and the posterior in whole parts as lists of (language, parts)."""
+    part = pa.list_(pa.struct([("l", pa.int32()), ("n", pa.int64())]))
+    for batch in batches:
+        scores, parts = [], []
+        for row in batch.column(4).to_pylist():
+            x = np.array(row, np.float64)
+            x = np.maximum(x - x.max(), -MOST)
+            p = np.rint(UNIT * np.exp(x) / np.exp(x).sum()).astype(np.int64)
+            scores.append(x)
+            parts.append([{"l": int(i), "n": int(p[i])} for i in np.flatnonzero(p)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.list_(pa.float64())), pa.array(parts, part)], names=["page_id", "host", "declared", "scores", "parts"])
+
+
+def fuse(scores: np.ndarray, own: np.ndarray, everything: np.ndarray, levels: list[np.ndarray], declared: np.ndarray, n_declared: int) -> np.ndarray:
+    """The posterior of one page: counts of ``UNIT`` parts by language, the page's own among them."""
+    prior = (everything - own + UNIT / len(own)) / (everything.sum() - own.sum() + UNIT)
+    for counts in levels:
+        others = counts - own
+        prior = (others + KAPPA * UNIT * prior) / (others.sum() + KAPPA * UNIT)
+    said = (declared - own + UNIT / n_declared) / (everything - own + UNIT)
+    total = scores + np.log(prior) + np.log(said)
+    p = np.exp(total - total.max())
+    return p / p.sum()
+
+
+def _fused(languages: list[str], everything: np.ndarray, n_declared: int):
+    def dense(rows) -> np.ndarray:
+        out = np.zeros(len(languages), np.int64)
+        for r in rows or ():
+            out[r["l"]] = r["n"]
+        return out
+
     def job(batches):
-        k = len(log_p)
         for batch in batches:
-            out = np.full((batch.num_rows, k), 1 / k)
-            for i, html in enumerate(batch.column(3)):
-                text = html.as_py()
-                slots = _trigrams(np.frombuffer(_HIDDEN.sub(" ", text).encode("utf-8", "replace"), np.uint8)) if text else ()
-                if len(slots):
-                    score = TEMPER * log_p[:, slots].sum(1)
-                    score = np.maximum(score - score.max(), -MOST)
-                    out[i] = np.exp(score) / np.exp(score).sum()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * batch.num_rows + 1, k, dtype=np.int32)), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["page_id", "host", "declared", "text_p"])
+            picked, probability, text = [], [], []
+            for r in batch.select(["scores", "parts", "n_suffix", "n_domain", "n_host", "n_declared"]).to_pylist():
+                scores = np.array(r["scores"])
+                p = fuse(scores, dense(r["parts"]), everything, [dense(r[x]) for x in ("n_suffix", "n_domain", "n_host")], dense(r["n_declared"]), n_declared)
+                picked.append(languages[int(p.argmax())])
+                probability.append(float(p.max()))
+                text.append(languages[int(scores.argmax())])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(picked, pa.string()), pa.array(probability, pa.float64()), batch.column("declared"), pa.array(text, pa.string())], names=["page_id", "host", "lang", "probability", "declared", "text_lang"])
 
     return job
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, lang, probability, declared, text_lang for each page."""
-    languages, log_p = text_model(docs)
+    context = pages.sparkSession.sparkContext
+    model = text_model(docs)
+    languages = sorted(r.lang for r in model.select("lang").collect())
+    kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#:]*)", 1), F.lit("")))
-    declared = F.lower(F.coalesce(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1), F.lit("")))
-    base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), declared.alias("declared"), "html")
+    base = pages.select("page_id", host.alias("host"), "html")
+    opened = base.mapInArrow(_opened, f"page_id {kind}, host string, declared string, shown binary, scores array<float>")
     if not languages:
         und = F.lit("und")
-        return base.select("page_id", "host", und.alias("lang"), F.lit(1.0).alias("probability"), "declared", und.alias("text_lang"))
-    k = len(languages)
-    slim = written(base.mapInArrow(_posteriors(log_p), "page_id bigint, host string, declared string, text_p array<double>"))
+        return opened.select("page_id", "host", und.alias("lang"), F.lit(1.0).alias("probability"), "declared", und.alias("text_lang"))
+    for lo in range(0, len(languages), BLOCK_LANGUAGES):
+        block = languages[lo : lo + BLOCK_LANGUAGES]
+        counts = {r.lang: np.frombuffer(bytes(r.counts), "<i8") for r in model.where(F.col("lang").isin(block)).collect()}
+        table = np.array([counts[x] for x in block]) + 0.5
+        opened = opened.mapInArrow(_scored(context.broadcast(np.log(table / table.sum(1, keepdims=True)).astype(np.float32))), opened.schema)
+    parts = "array<struct<l:int,n:bigint>>"
+    slim = opened.mapInArrow(_posteriors, f"page_id {kind}, host string, declared string, scores array<double>, parts {parts}")
     labels = F.split("host", r"\.")
-    slim = slim.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.array_join(F.slice(F.concat(F.array(F.lit("")), labels), -2, 2), "."))
-
-    def sums(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(*[F.sum(F.col("text_p")[i]).alias(f"n{i}") for i in range(k)])
-
-    def vector(name: str) -> F.Column:
-        return F.array(*[F.col(f"n{i}") for i in range(k)]).alias(name)
-
-    def smoothed(counts: str, parent: F.Column) -> F.Column:
-        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, parent, lambda n, p: (F.greatest(n, F.lit(0.0)) + KAPPA * p) / (total + KAPPA))
-
-    # One row for each host: its own sums and its parents' priors.
-    hosts = sums(slim, "host", "domain", "suffix").withColumn("text_p", F.array(*[F.col(f"n{i}") for i in range(k)])).select("host", "domain", "suffix", "text_p")
-    hosts = written(hosts)
-    domains, suffixes = sums(hosts, "domain").select("domain", vector("n_domain")), sums(hosts, "suffix").select("suffix", vector("n_suffix"))
-    everything = hosts.agg(*[F.coalesce(F.sum(F.col("text_p")[i]), F.lit(0.0)) for i in range(k)]).first()
-    total = sum(everything) or 1.0
-    overall = [(x + 1 / k) / (total + 1) for x in everything]
-    priors = hosts.join(domains, "domain").join(suffixes, "suffix")
-    priors = priors.withColumn("p_suffix", smoothed("n_suffix", F.array(*map(F.lit, overall)))).withColumn("p_domain", smoothed("n_domain", F.col("p_suffix")))
-    priors = priors.select("host", "suffix", F.col("text_p").alias("n_host"), "p_domain", F.col("n_suffix"))
-
-    # P(declared | language) and P(suffix | language), with one pseudo-page spread over the values seen.
-    def likelihood(key: str) -> DataFrame:
-        values = sums(slim, key)
-        n = values.count()
-        return values.select(F.col(key).alias(f"{key}_key"), F.array(*[F.log((F.col(f"n{i}") + 1.0 / n) / (everything[i] + 1.0)) for i in range(k)]).alias(f"l_{key}"))
-
-    own = F.zip_with("n_host", "text_p", lambda n, p: n - p)
-    joined = slim.drop("suffix", "domain").join(priors, "host").join(likelihood("declared"), F.col("declared") == F.col("declared_key")).join(likelihood("suffix"), F.col("suffix") == F.col("suffix_key"))
-    joined = joined.withColumn("others", own).withColumn("prior", smoothed("others", F.col("p_domain")))
-    score = F.array(*[F.log(F.greatest(F.col("text_p")[i], F.lit(1e-30))) + F.log(F.greatest(F.col("prior")[i], F.lit(1e-9))) + F.col("l_declared")[i] + F.col("l_suffix")[i] for i in range(k)])
-    joined = joined.withColumn("score", score).withColumn("best", F.array_max("score"))
-    names = F.array(*map(F.lit, languages))
-    pick = F.element_at(names, F.array_position("score", F.col("best")).cast("int"))
-    mass = F.aggregate(F.transform("score", lambda x: F.exp(x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)
-    text_pick = F.element_at(names, F.array_position("text_p", F.array_max("text_p")).cast("int"))
-    return joined.select("page_id", "host", pick.alias("lang"), (1 / mass).alias("probability"), "declared", text_pick.alias("text_lang"))
+    slim = written(slim.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.array_join(F.slice(F.concat(F.array(F.lit("")), labels), -2, 2), ".")))
+
+    def sums(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys, "l").agg(F.sum("n").alias("n"))
+
+    def lists(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.collect_list(F.struct("l", "n")).alias(name))  # a row for each language at most
+
+    long = slim.select("host", "domain", "suffix", "declared", F.inline("parts"))
+    by_host = written(sums(long, "host", "domain", "suffix"))
+    by_suffix = sums(by_host, "suffix")
+    everything = np.zeros(len(languages), np.int64)
+    for r in sums(by_host).collect():  # a row for each language
+        everything[r.l] = r.n
+    said = written(lists(sums(long, "declared"), "n_declared", "declared"))
+    priors = lists(by_host, "n_host", "host", "domain", "suffix").join(lists(sums(by_host, "domain"), "n_domain", "domain"), "domain").join(lists(by_suffix, "n_suffix", "suffix"), "suffix")
+    # Written, so that a hot host or declaration meets plain exchanges that can be split.
+    priors = written(priors.select("host", "n_host", "n_domain", "n_suffix"))
+    joined = slim.select("page_id", "host", "declared", "scores", "parts").join(priors, "host").join(said, "declared")
+    return joined.mapInArrow(_fused(languages, everything, max(1, said.count())), f"page_id {kind}, host string, lang string, probability double, declared string, text_lang string")
