@@ -1,27 +1,37 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on windows of ordinary and of toxic
-text.  A window's distance is its compressed length with the ordinary
-dictionary less that with both.  Every character is written as two bytes, and
-a constant block stands before the window, so that short windows gain by
-matches and the frame is never stored raw.  Windows are folded words; equal
-windows of a task are compressed once.
-
-A document's level is its number of windows beyond the distance threshold.
-Threshold and the probability of each level are calibrated on sampled rows
-that the dictionaries have not seen, weighted to the share of toxic labels.
+Two zstandard dictionaries are trained apart, on ordinary and on toxic text.
+A window's distance is its compressed length with the ordinary dictionary less
+that with the toxic one.  A window is a folded word: windows of two words and
+more were tried and tell the classes apart no better than chance, as the toxic
+dictionary saves a few bytes on one word and loses them on the next.  Every
+character is written as two bytes, and a constant block stands before the
+window, so that short windows gain by matches and the frame is never stored
+raw.  Equal windows of a task are compressed once.
+
+A window is a hit if its distance reaches the threshold.  A document's
+statistic is the log likelihood ratio of its hits, normalised by its windows:
+``hits * log(1 + excess / (rate * windows))``, with ``rate`` the share of hits
+in ordinary windows and ``excess`` the hits that toxic documents have beyond
+it.  Calibrated levels, as many as the sample tells apart, up to ``LEVELS``,
+turn the statistic into a probability by isotonic regression.  All of this is
+fitted on sampled rows that the dictionaries have not seen, weighted to the
+share of toxic labels.
 
 The sample is bounded: at most ``toxic_rows`` and ``ordinary_rows`` labelled
-rows, by order of a hash of their ids.  Every document is scored over its whole
-text.  Only the text enters a score.
+ids, by order of a hash, one text for each id, and texts of ``sample_bytes`` at
+most.  Every document is scored over its whole text.  Only the text enters a
+score.
 
-Defined cases.  Null and empty texts have level 0.  Without toxic labels to
+Defined cases.  Null and empty texts have no hits.  Without toxic labels to
 learn from, every score is 0.  Repeated rows get equal scores.  Null labels are
-left out; of repeated labels of one id all count.
+left out; of repeated labels of one id all count.  A null id is not held out.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -34,9 +44,10 @@ from pyspark.sql import functions as F
 from memjobs.llm.minhash import folded
 
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000
-TOXIC_BYTES, ORDINARY_BYTES = 12_288, 112_640
+TOXIC_BYTES, ORDINARY_BYTES = 16_384, 112_640
+SAMPLE_BYTES = 32_768  # longer texts are scored, but not learned from
 TRAIN_WORDS = 4  # words in a training window
-TOP_LEVEL = 4
+LEVELS = 64
 CUTOFF = 0.3
 MEMO = 400_000
 _PAD = b"\0" * 64
@@ -58,14 +69,17 @@ class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
     threshold: int = 1
-    levels: list[float] = field(default_factory=lambda: [0.0] * (TOP_LEVEL + 1))
+    rate: float = 1.0
+    excess: float = 0.0
+    edges: list[float] = field(default_factory=list)  # least statistic of each level but the lowest
+    levels: list[float] = field(default_factory=lambda: [0.0])
 
     def compressors(self):
         settings = zstandard.ZstdCompressionParameters(
             compression_level=19, strategy=zstandard.STRATEGY_BTULTRA2, window_log=18, hash_log=15, chain_log=16, search_log=7, min_match=3, target_length=32,
             write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
-        for content in (self.ordinary, self.toxic + self.ordinary):
+        for content in (self.ordinary, self.toxic):
             kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             kept.precompute_compress(compression_params=settings)
             yield zstandard.ZstdCompressor(compression_params=settings, dict_data=kept).compress
@@ -74,7 +88,7 @@ class Model:
         """A function from a list of windows to their distances, with a bounded memory of those seen."""
         if not self.toxic:
             return lambda found: [0] * len(found)
-        ordinary, both = self.compressors()
+        ordinary, toxic = self.compressors()
         memo: dict[bytes, int] = {}
 
         def of(found: list[bytes]) -> list[int]:
@@ -85,14 +99,34 @@ class Model:
                     if len(memo) >= MEMO:
                         memo.clear()
                     x = _PAD + widened(b" " + w + b" ")
-                    d = memo[w] = len(ordinary(x)) - len(both(x))
+                    d = memo[w] = len(ordinary(x)) - len(toxic(x))
                 out.append(d)
             return out
 
         return of
 
+    def statistic(self, distances: list[int]) -> float:
+        hits = sum(d >= self.threshold for d in distances)
+        return hits * math.log1p(self.excess / (self.rate * len(distances))) if hits else 0.0
+
     def score(self, distances: list[int]) -> float:
-        return self.levels[min(TOP_LEVEL, sum(d >= self.threshold for d in distances))]
+        return self.levels[bisect.bisect_right(self.edges, self.statistic(distances))]
+
+
+def isotonic(values: np.ndarray, toxic: np.ndarray, weight: np.ndarray, most: int = LEVELS) -> list[list[float]]:
+    """[least value, probability] of ascending levels: adjacent values pool until probabilities ascend."""
+    values = np.round(values, 9)
+    distinct, at = np.unique(values, return_inverse=True)
+    grouped = np.minimum(np.arange(len(distinct)) * most // max(1, len(distinct)), np.arange(len(distinct))) if len(distinct) > most else np.arange(len(distinct))
+    pools: list[list[float]] = []
+    for g in np.unique(grouped):
+        inside = grouped[at] == g
+        pools.append([float(values[inside].min()), float(weight[inside & toxic].sum()), float(weight[inside].sum())])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, hit, all_ = pools.pop()
+            pools[-1][1] += hit
+            pools[-1][2] += all_
+    return [[low, hit / all_] for low, hit, all_ in pools]
 
 
 def _dictionary(windows: list[bytes], size: int) -> bytes:
@@ -117,25 +151,30 @@ def fit(rows: list[tuple[int, str | None, int]], shares: tuple[float, float]) ->
     model = Model(contents[1], contents[0])
     distances = model.distances()
     found = [[distances(w) for w in side] for side in test]
-    best = None
-    for threshold in range(2, 12):
-        counts = np.ones((2, TOP_LEVEL + 1)) * np.array([[0.2], [0.2 * shares[1] / shares[0]]])
-        for side in (0, 1):
-            for d in found[side]:
-                counts[side, min(TOP_LEVEL, sum(x >= threshold for x in d))] += shares[side] / len(found[side]) * len(test[0]) / shares[0]
-        p = counts[1] / counts.sum(0)
-        likelihood = float((counts[1] * np.log(p) + counts[0] * np.log1p(-p)).sum())
-        if best is None or likelihood > best[0] + 1e-9:
-            best = (likelihood, threshold, np.maximum.accumulate(p))
-    model.threshold, model.levels = best[1], [float(x) for x in best[2]]
+    toxic = np.repeat([False, True], [len(x) for x in found])
+    weight = np.repeat([shares[k] / len(found[k]) for k in (0, 1)], [len(x) for x in found])
+    tried = []
+    for threshold in range(2, 16):
+        hits, windows = ([np.array([f(d) for d in side]) for side in found] for f in (lambda d: sum(x >= threshold for x in d), len))
+        model.threshold, model.rate = threshold, (hits[0].sum() + 0.5) / max(1, windows[0].sum())
+        model.excess = max(0.1, float(hits[1].mean() - model.rate * windows[1].mean()))
+        values = np.array([model.statistic(d) for side in found for d in side])
+        pools = isotonic(values, toxic, weight)
+        p = np.array([x[1] for x in pools])[np.searchsorted([x[0] for x in pools], np.round(values, 9), "right") - 1]
+        p = np.clip(p, 0.5 / len(p), 1 - 0.5 / len(p))
+        likelihood = float((weight * np.log(np.where(toxic, p, 1 - p))).sum())
+        tried.append((likelihood, threshold, model.rate, model.excess, [x[0] - 1e-9 for x in pools[1:]], [x[1] for x in pools]))
+    most = max(x[0] for x in tried)
+    alike = [x for x in tried if x[0] >= most - 1e-9 * abs(most)]  # of equally good thresholds the one in the middle
+    _, model.threshold, model.rate, model.excess, model.edges, model.levels = alike[len(alike) // 2]
     return model
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the labelled rows that are not held out."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out("label_id"))
     totals = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
@@ -144,7 +183,9 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     order = [F.xxhash64("label_id"), F.col("label_id")]
     picked = [usable.where(F.col("label") == side).orderBy(*order).limit(n) for side, n in ((1, toxic_rows), (0, ordinary_rows))]
     sample = F.broadcast(picked[0].union(picked[1]))  # toxic_rows + ordinary_rows rows of two numbers at most
-    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label").collect()
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
+    # One text of each id and label, whatever the rows of an id: at most toxic_rows + ordinary_rows texts of sample_bytes reach the driver.
+    rows = short.join(sample, F.col("doc_id") == F.col("label_id")).groupBy("label_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label_id", "text", "label").collect()
     return fit([tuple(r) for r in rows], (totals[0], totals[1]))
 
 
