@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = SE
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(F.col("source").alias("o_source"), F.col("range").alias("o_range"), before.alias("offset"))
-    within = Window.partitionBy("source", "range").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "range").orderBy("digest", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = ranged.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
     placed = placed.withColumn("position", F.col("offset") + F.sum("size").over(within) - F.col("size"))
 
@@ -108,14 +108,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = SE
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
     """The mix itself: each taken copy as a row of ``docs`` with ``copy`` and ``copy_words``; a copy cut at the budget has its text cut.
 
-    Rows with equal doc_id and text count as one document.  Columns of the
+    Rows with equal doc_id, text and source count as one document: the one
+    whose columns, written as JSON, come first.  Columns of the
     input named ``copy`` or ``copy_words`` are replaced.
     """
-    numbered = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("version"))
+    version = F.xxhash64("text", "source")
+    repeated = docs.groupBy("doc_id", version.alias("version")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("version").alias("r_version"))
+    repeated = written(repeated)
+    if not repeated.isEmpty():
+        same = docs["doc_id"].eqNullSafe(repeated["r_id"]) & (version == repeated["r_version"])
+        firsts = docs.join(repeated, same, "left_semi").select(F.struct("*").alias("row")).groupBy("row.doc_id", F.xxhash64("row.text", "row.source").alias("version")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+        docs = docs.join(repeated, same, "left_anti").union(firsts.select("row.*"))
+    numbered = docs.select("doc_id", "source", "text", version.alias("version"))
     taken = mix(numbered, weights, repeats, seed, ("version",)).where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("version").alias("t_version")).agg(F.struct(F.max("size").alias("size"), F.max("taken").alias("words")).alias("t"))
+    taken = taken.select(F.col("doc_id").alias("t_id"), F.col("version").alias("t_version"), F.struct("size", F.col("taken").alias("words")).alias("t"))
     packed = docs.select(F.struct("*").alias("row"))
-    joined = packed.join(taken, F.col("row.doc_id").eqNullSafe(F.col("t_id")) & (F.xxhash64("row.text") == F.col("t_version")))
+    joined = packed.join(taken, F.col("row.doc_id").eqNullSafe(F.col("t_id")) & (F.xxhash64("row.text", "row.source") == F.col("t_version")))
     copies = joined.select("row", "t", F.explode(F.sequence(F.lit(1), F.ceil(F.col("t.words") / F.col("t.size")).cast("int"))).alias("copy"))
     words = F.least(F.col("t.size"), F.col("t.words") - (F.col("copy") - 1) * F.col("t.size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
