@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -197,6 +198,38 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.one_of_each(frame(spark, [(1, None, "s")])).count() == 1
 
 
+def test_near_copies_under_one_id_leave_one(spark):
+    rng = random.Random(12)
+    base = prose(rng, 80).split()
+    near = " ".join([*base[:-1], "other"])
+    for ids in ((5, 5), (5, 6)):
+        docs = frame(spark, [(ids[0], " ".join(base), "s"), (ids[1], near, "s"), (9, prose(rng, 50), "s")])
+        assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == [5, 9]
+    named = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    assert sorted(r.doc_id for r in minhash.one_of_each(named).collect()) == ["5", "9"]
+
+
+def test_a_large_group_and_its_neighbours_match_brute_force(spark):
+    """500 copies, many under 0.8 of each other, and looser clusters that share their buckets: blocks of 64 texts."""
+    rng = random.Random(13)
+    page = prose(rng, 120).split()
+    texts = []
+    for i in range(500):
+        at = rng.randint(0, 115)
+        texts.append(" ".join([*page[:at], f"c{i}", f"d{i}", *page[at + rng.randint(0, 3) :]]))
+    for c in range(6):
+        other = page[:70] + prose(rng, 30).split()
+        texts += [" ".join([*other, f"x{c}y{i}"]) for i in range(12)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    want = brute_classes(rows, minhash.word_weights(docs))
+    for size in (64, minhash.BLOCK_TEXTS):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(minhash, "BLOCK_TEXTS", size)
+            got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+        assert got == want
+
+
 def test_icws_collides_by_weighted_jaccard():
     rng = np.random.default_rng(4)
     u = np.sort(rng.integers(1, 1 << 63, 300, dtype=np.uint64))
@@ -248,6 +281,49 @@ def test_verbatim_items_of_any_make_up_are_found(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(frame(spark, rows), bench).collect()} == {5, 6, 7, 8}
 
 
+def brute_leaks(docs, items, n=8, share=0.5, enough=13):
+    """Verbatim leaks of items without numbers or capitals, by plain slicing."""
+    found = set()
+    for d, text in docs:
+        words = text.split()
+        grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+        for i, item in items:
+            w = item.split()
+            covered = {p + k for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in grams for k in range(n)}
+            if covered and (len(covered) >= share * len(w) or len(covered) >= enough):
+                found.add((d, i))
+    return found
+
+
+def test_verbatim_leaks_match_brute_force(spark):
+    rng = random.Random(15)
+    def letters(n):
+        return " ".join(rng.choice("abcdefghij") * rng.randint(2, 4) for _ in range(n))
+    items = [(i, letters(rng.randint(8, 60))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        words = letters(rng.randint(0, 20)).split()
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            a = rng.randint(0, len(w) - 1)
+            words += w[a : a + rng.randint(1, len(w))] + letters(rng.randint(0, 5)).split()
+        docs.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, [(d, t, "s") for d, t in docs]), bench).collect()}
+    assert got == brute_leaks(docs, items) and len(got) > 20
+
+
+def test_slots_are_consistent_over_alignments(spark):
+    item = "first take 12 of the small blue cubes and put them down then take 12 of the large red cubes and keep them near"
+    inserted = item.replace("12", "31").replace("down then", "down quietly then")
+    mixed = inserted.replace("31", "77", 1)  # 12 maps to 77 before the inserted word and to 31 after it
+    twice = item.replace("12", "5") + " and later " + item.replace("12", "6")
+    long = "so " * 50_000 + item + " so" * 50_000
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r.doc_id: r.n_covered for r in decontaminate.leaks(frame(spark, [(1, inserted, "s"), (2, mixed, "s"), (3, twice, "s"), (4, long, "s")]), bench, enough=100, share=0.7).collect()}
+    assert set(got) == {1, 3, 4} and got[3] == got[4] == len(item.split())
+
+
 # --- language ---------------------------------------------------------------------
 
 
@@ -264,6 +340,58 @@ def test_language_fuses_evidence(spark):
     assert {r.lang for r in language.identify(pages, docs.limit(0)).collect()} == {"und"}
 
 
+def test_fusion_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 16)
+    rng = random.Random(8)
+    names = [f"l{i:02d}" for i in range(70)]
+    stems = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(8)] for x in names}
+    docs = [(i, " ".join(rng.choices(stems[x], k=60)), x) for i, x in enumerate(names * 2)]
+    pages = []
+    for i in range(120):
+        x = rng.choice(names[:6] + [rng.choice(names)])
+        lang = rng.choice([x, x, "", "zz"])
+        host = rng.choice([f"{x}.example.com", "a.b.org", "b.org", "c.net"])
+        pages.append((i, f"http://{host}/p", f"<html lang='{lang}'><p>{' '.join(rng.choices(stems[x], k=rng.randint(0, 12)))}</p>"))
+    pages += [pages[3], (500, None, None)]
+    got = language.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()
+    counts = {x: np.full(language.SLOTS, 0.5) for x in names}
+    for _, t, x in docs:
+        np.add.at(counts[x], language._trigrams(np.frombuffer(t.encode(), np.uint8)), 1)
+    log_p = np.array([np.log(counts[x] / counts[x].sum()) for x in names]).astype(np.float32)
+    rows = []
+    for i, url, html in pages:
+        raw = (html or "").encode()
+        x = language.TEMPER * log_p[:, language._trigrams(np.frombuffer(language.visible(raw), np.uint8))].sum(1, dtype=np.float64)
+        x = np.maximum(x - x.max(), -language.MOST)
+        host = url.split("/")[2] if url else ""
+        rows.append((i, host, language.declared_language(raw), x, np.rint(language.UNIT * np.exp(x) / np.exp(x).sum())))
+    u, want = language.UNIT, {}
+    for k, (i, host, said, x, own) in enumerate(rows):
+        prior = None
+        for level in (lambda h: 0, lambda h: h.split(".")[-1], lambda h: ".".join(["", *h.split(".")][-2:]), lambda h: h):
+            others = sum((r[4] for j, r in enumerate(rows) if j != k and level(r[1]) == level(host)), np.zeros(70))
+            prior = (others + u / 70) / (others.sum() + u) if prior is None else (others + language.KAPPA * u * prior) / (others.sum() + language.KAPPA * u)
+        alike = sum((r[4] for j, r in enumerate(rows) if j != k and r[2] == said), np.zeros(70))
+        everything = sum((r[4] for j, r in enumerate(rows) if j != k), np.zeros(70))
+        total = x + np.log(prior) + np.log((alike + u / len({r[2] for r in rows})) / (everything + u))
+        p = np.exp(total - total.max())
+        want[i] = (names[int(p.argmax())], float((p / p.sum()).max()))
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.lang == want[r.page_id][0] and r.probability == pytest.approx(want[r.page_id][1], rel=1e-4)
+    assert language.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string").limit(0), spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).count() == 0
+
+
+def test_visible_text_in_one_pass():
+    html = b"<html LANG=de><head><title>t</title></head><body><!-- c > --><p>one&amp;two</p><Script>x<y</SCRIPT >three<nav>n</nav >four < five"
+    assert language.visible(html).split() == [b"one", b"two", b"three", b"four", b"<", b"five"] and language.declared_language(html) == "de"
+    began = time.time()
+    for junk in (b"<script ", b"<!-- ", b"<nav><", b"<head> ", b"&a"):
+        assert language.visible(junk * 100_000) is not None
+    language.declared_language(b"<html " * 100_000)
+    assert time.time() - began < 10
+
+
 # --- toxicity ----------------------------------------------------------------------
 
 
@@ -292,10 +420,30 @@ def test_toxicity_on_held_out_rows(spark):
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
     assert {r.score for r in toxicity.score(docs, toxicity.learn(docs, marks.limit(0))).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    odd = frame(spark, [(None, "wretched vermin " * 3, "s"), (1, "wretched " * 60_000, "s")]).select("doc_id", "text", toxicity.held_out("doc_id").alias("h"))
+    assert [r.h for r in odd.where("doc_id is null").collect()] == [False] and toxicity.score(odd, model).count() == 2
     hashed = docs.select("doc_id", toxicity.held_out("doc_id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in hashed)
 
 
+def test_levels_are_isotonic():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=400), 1)
+    y = rng.random(400) < 1 / (1 + np.exp(-3 * x))
+    pools = toxicity.isotonic(x, y, np.ones(400))
+    assert len(pools) > 3 and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pools, pools[1:], strict=False))
+    at = np.searchsorted([p[0] for p in pools], x, "right") - 1
+    for k, (_, p) in enumerate(pools):
+        assert p == pytest.approx(y[at == k].mean())
+    assert len(toxicity.isotonic(np.arange(400.0), np.arange(400) > 200, np.ones(400))) <= toxicity.LEVELS
+
+
+def test_a_document_is_scored_by_hits_for_its_length():
+    model = toxicity.Model(b"x", b"y", 5, 0.001, 3.0)
+    assert model.statistic([9] * 3 + [0] * 50) > model.statistic([9] * 3 + [0] * 5000) > model.statistic([0] * 50) == 0
+
+
 # --- the pipeline --------------------------------------------------------------------
 
 
@@ -323,3 +471,29 @@ def test_pipeline_stages_and_result(spark, tmp_path):
     assert set(kept["mixing"]) <= set(kept["secrets"])
     assert text  # the stages only read the table
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, tmp_path):
+    rng = random.Random(9)
+    rows, labels = toxic_rows(rng, 60)
+    odd = [(None, "no id at all", "a"), (700, None, "a"), (701, "", None), (702, " ", "b"), (703, "x" * 300_000, "b"), (704, "word " * 60_000, "a"), (5, rows[5][1], "s"), (5, rows[5][1], "s"), (5, "another text", "s"), (705, ITEM, "a")]
+    clashing = "class_id bigint, key string, n_links bigint, row string, taken bigint, version bigint, spans string, rest string, copy int, words int, t string"
+    names = [x.split()[0] for x in clashing.split(", ")]
+    full = frame(spark, rows + odd).selectExpr("doc_id", "text", "lang", "source", "n_chars", *[f"cast(null as {x.split()[1]}) as {x.split()[0]}" for x in clashing.split(", ")])
+    for name, docs in (("odd", full), ("none", full.limit(0))):
+        path = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{path}/documents.parquet")
+        marks = spark.createDataFrame(labels + [(None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int")
+        items = spark.createDataFrame([(1, ITEM), (2, None), (None, "null id of an item in here")], "item_id bigint, text string")
+        (marks if name == "odd" else marks.limit(0)).write.parquet(f"{path}/labels.parquet")
+        (items if name == "odd" else items.limit(0)).write.parquet(f"{path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, docs, path)
+            assert stage == "mixing" or out.columns == docs.columns
+            out.write.parquet(f"{path}/{stage}")
+            docs = spark.read.parquet(f"{path}/{stage}")
+            ids = {r.doc_id for r in docs.select("doc_id").collect()}
+            if stage != "mixing":
+                assert ids == set() if name == "none" else {None, 700, 701, 702, 703, 704} <= ids
+        assert name == "none" or (705 not in ids and 703 in ids and set(names) <= set(docs.columns))

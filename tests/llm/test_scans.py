@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -44,6 +45,38 @@ def test_secrets_match_brute_force(spark):
         assert not base or set(joined.split(",")) <= set(r.spans.split(","))
 
 
+def brute_entropy_spans(text, base):
+    """Candidates by hand, every window counted anew."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        w = m[0]
+        if any(s < m.end() and m.start() < e for s, _, e in base) or not (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)):
+            continue
+        kind = "hex" if set(w) <= set("0123456789abcdefABCDEF") else "alphanumeric" if w.isalnum() else "base64"
+        best = max(-sum(x.count(c) / 20 * math.log2(x.count(c) / 20) for c in set(x)) for x in (w[i : i + 20] for i in range(len(w) - 19)))
+        allowed = any(p.search(w) for p in secrets.ALLOWED) or secrets.is_path(w)
+        if best >= secrets.THRESHOLDS[kind] - 1e-9 and not allowed:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_entropy_spans_match_brute_force():
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    bits = [lambda: "".join(rng.choices(chars, k=rng.randint(5, 40))), lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(10, 30))), lambda: "token=abcdefgh", lambda: "path/to/file2", lambda: "aaaa1111" * 4, lambda: "word"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits)() + rng.choice([" ", " ", "", "/", ":"]) for _ in range(12))
+        base = secrets.base_spans(text)
+        assert secrets.entropy_spans(text, base) == brute_entropy_spans(text, base)
+
+
+def test_long_texts_scan_in_linear_time():
+    text = ("token=abcdefgh1 q7Zk2LmX9vB4nT8wYcR3pD6s " * 20_000)[:-1]
+    began = time.time()
+    base = secrets.base_spans(text)
+    assert len(base) == 20_000 and len(secrets.entropy_spans(text, base)) == 20_000 and time.time() - began < 15
+
+
 def test_incremental_entropy_is_shannon():
     rng = random.Random(2)
     for _ in range(50):
@@ -102,6 +135,27 @@ def test_token_counts_match_plain_dynamic_programming(spark):
         assert {r.doc_id: r.n_tokens for r in out.collect()} == {i: brute_tokens(pieces, t) for i, t in enumerate(texts)}
 
 
+def test_long_pretokens_count_alike_in_linear_time(spark):
+    pieces, longest = tokens.vocabulary(VOCABULARY)
+    rng = random.Random(5)
+    trie = tokens.CountingTrie(pieces, longest)
+    for n in (1, 7, 200, 300, 700):
+        word = "".join(rng.choices("etaoinabc", k=n)).encode()
+        assert trie._forward(word) == trie._insert(word)
+    began = time.time()
+    long = "".join(rng.choices("etaoinabc", k=300_000))
+    out = tokens.token_counts(frame(spark, [long, "a b"]), VOCABULARY).collect()
+    assert time.time() - began < 30 and sorted(r.n_pretokens for r in out) == [1, 2]
+    assert tokens.token_counts(frame(spark, ["x"]).limit(0), VOCABULARY).count() == 0
+
+
+def test_urls_of_odd_rows(spark):
+    pages = spark.createDataFrame([(None, "http://x.org/a", "h"), (None, "http://x.org/a", "h")], "page_id bigint, url string, html string")
+    rules = [("x.org", "/", "allow"), ("x.org", "/", "block"), ("x.org", "/", "allow")]
+    assert [(r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()] == [("x.org/", "block")] * 2
+    assert urls.judge_urls(pages.limit(0), URL_RULES).count() == 0 and [r.verdict for r in urls.judge_urls(pages, []).collect()] == ["allow"] * 2
+
+
 def test_urls_longest_rule_wins(spark):
     cases = {
         "http://WWW.Example.com/en/x?q": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
@@ -144,13 +198,101 @@ def test_media_reads_without_index_and_by_walking_tables():
     assert media.payload_of(avi)[0] == payload
     assert media.payload_of(avi[: avi.rindex(b"idx1")])[0] == payload
     frame_ = media.read_frames(avi)[0][0]
-    scan = frame_[frame_.index(b"\xff\xda") + 10 : -2].replace(b"\xff\0", b"\xff")
-    walked = media._walk(scan, 64 * 64, (media.DC_COUNTS, media.DC_SYMBOLS), (media.AC_COUNTS, media.AC_SYMBOLS))
-    assert bytes((walked + 128).astype("uint8")) == payload[:4096]
+    other = frame_.replace(b"\xff\xda", b"\xff\xdd\0\4\xff\xff\xff\xda", 1)  # with a restart interval, so by the tables
+    assert (media.decode_frame(other)[::8, ::8].tobytes()) == payload[:4096]
     with pytest.raises(ValueError):
         media.read_frames(b"RIFF....WAVE")
 
 
+def encode_jpeg(blocks, width, height, parts, interval=0):
+    """A plain encoder: blocks by unit of (part, 64 coefficients in zigzag order); codes of 4 bits for DC, 8 for AC."""
+    bits, out, before = "", [], [0] * len(parts)
+    ac = [r << 4 | s for r in range(16) for s in range(11)]
+    def number(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+    scan, units = b"", 0
+    for unit in blocks:
+        if interval and units and units % interval == 0:
+            scan += flush(bits) + bytes([255, 0xD0 + (units // interval - 1) % 8])
+            bits, before = "", [0] * len(parts)
+        units += 1
+        for part, c in unit:
+            n, raw = number(c[0] - before[part])
+            before[part] = c[0]
+            bits += format(n, "04b") + raw
+            run = 0
+            last = max((k for k in range(1, 64) if c[k]), default=0)
+            for k in range(1, last + 1):
+                if not c[k]:
+                    run += 1
+                    if run == 16:
+                        bits, run = bits + format(ac.index(0xF0), "08b"), 0
+                    continue
+                n, raw = number(c[k])
+                bits, run = bits + format(ac.index(run << 4 | n), "08b") + raw, 0
+            if last < 63:
+                bits += format(ac.index(0), "08b")
+    scan += flush(bits)
+    def seg(m, body):
+        return bytes([255, m]) + (len(body) + 2).to_bytes(2, "big") + body
+    sof = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(parts))
+    sos = bytes([len(parts)]) + b"".join(bytes([i + 1, 0]) for i in range(len(parts))) + b"\0\x3f\0"
+    dht = b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)) + b"\x10" + bytes([0] * 7 + [len(ac)] + [0] * 8) + bytes(ac)
+    dri = seg(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    out = [b"\xff\xd8", seg(0xE0, b"JFIF\0"), seg(0xDB, b"\0" + bytes(range(1, 65))), seg(0xC0, sof), seg(0xC4, dht), dri, seg(0xDA, sos), scan, b"\xff\xd9"]
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("parts,interval", [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2), ([(1, 1), (1, 1), (1, 1)], 1)])
+def test_frames_of_other_encoders(parts, interval):
+    rng = random.Random(len(parts) * 10 + interval)
+    h, v = parts[0] if len(parts) > 1 else (1, 1)
+    width, height = 37, 29
+    wide, high = -(-width // (8 * h)), -(-height // (8 * v))
+    units, luma = [], {}
+    for y in range(high):
+        for x in range(wide):
+            unit = []
+            for part, (ph, pv) in enumerate(parts):
+                for b in range(ph * pv if len(parts) > 1 else 1):
+                    c = [rng.randint(-300, 300)] + [rng.choice([0, 0, 0, rng.randint(-9, 9)]) for _ in range(63)]
+                    unit.append((part, c))
+                    if part == 0:
+                        luma[y * v + b // h, x * h + b % h] = c
+            units.append(unit)
+    got = media.decode_frame(encode_jpeg(units, width, height, parts, interval))
+    assert got.shape == (height, width)
+    order = [(0, 0)]  # the zigzag walk, step by step
+    while len(order) < 64:
+        r, c = order[-1]
+        if (r + c) % 2 == 0:
+            order.append((r, c + 1) if r == 0 and c < 7 else (r + 1, c) if c == 7 else (r - 1, c + 1))
+        else:
+            order.append((r + 1, c) if c == 0 and r < 7 else (r, c + 1) if r == 7 else (r + 1, c - 1))
+    for y, x in ((0, 0), (5, 9), (28, 36), (13, 30), (20, 2)):
+        c, total = luma[y // 8, x // 8], 0.0
+        for k, (i, j) in enumerate(order):
+            scale = (0.5**0.5 if i == 0 else 1) * (0.5**0.5 if j == 0 else 1) / 4
+            total += scale * c[k] * (k + 1) * math.cos((2 * (y % 8) + 1) * i * math.pi / 16) * math.cos((2 * (x % 8) + 1) * j * math.pi / 16)
+        assert abs(int(got[y, x]) - min(255, max(0, total + 128))) <= 1
+
+
+def test_null_and_broken_media(spark):
+    good = media.write_avi(b"x" * 64)
+    cut = good[: good.index(b"\xff\xda") + 4]
+    table = [(1, 64, good), (2, 1, None), (3, 1, b""), (4, 1, b"RIFF1234AVI nothing"), (5, 1, cut), (6, 1, good.replace(b"\xff\xc0", b"\xff\xc2"))]
+    df = spark.createDataFrame(table, "doc_id bigint, n_bytes bigint, media binary")
+    got = {r.doc_id: r for r in media.media_features(df).collect()}
+    assert got[1].payload_bytes == 64 and got[2].feature is None and got[2].media_bytes is None
+    assert all(got[i].feature == "broken" and got[i].payload_sha256 is None and got[i].media_bytes == len(table[i - 1][2]) for i in (3, 4, 5, 6))
+    assert {r.doc_id for r in media.clips(df).collect()} == {1}
+    assert media.media_features(media.store_texts(frame(spark, ["x"]).limit(0))).count() == 0
+
+
 def test_shots_cut_where_the_picture_changes(spark):
     dark, bright = bytes([10] * 4096), bytes([200] * 4096)
     df = spark.createDataFrame([(1, media.write_avi(dark * 10 + bright * 5)), (2, None)], "doc_id bigint, media binary")
@@ -196,3 +338,16 @@ def test_repeats_with_null_and_repeated_ids(spark):
     got = substring.remove_repeats(frame(spark, [text, text, text, "other"], [None, 5, 5, 5]), 50).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 60, 0), (5, 1, 0), (5, 60, 0), (5, 60, 0)]
     assert substring.remove_repeats(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_alike_words_are_told_apart(spark):
+    """Words that cancel under polynomial hashes, and words that differ far behind their start."""
+    tm = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    pair = [" ".join([f"w{i}" for i in range(59)] + [w]) for w in (tm, other)]
+    far = [" ".join([f"v{i}" for i in range(30)] + ["x" * 65_536 + w + "y" * 65_536] + [f"u{i}" for i in range(29)]) for w in ("ab", "ba")]
+    texts = [*pair, *far]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(frame(spark, texts), 50).collect()}
+    assert got == brute_repeats(list(enumerate(texts)), 50) and got[1][1] == 59 and got[3][1] == 0
+    named = frame(spark, texts[:2]).selectExpr("cast(doc_id as string) doc_id", "text")
+    assert sorted(r.n_removed for r in substring.remove_repeats(named, 50).collect()) == [0, 59]
