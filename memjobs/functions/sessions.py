@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -18,7 +19,7 @@ GOALS = [
     r"(?:continue from|continue working on|resume work on)\s+(.{5,200})",
     r"(?:priority|blocker|must have|should have)\s*[:-]?\s*(.{5,200})",
 ]
-SPECULATION = r"(?:I think|Maybe|Perhaps|It might|One option|Alternatively|If we|We could|We might|Another idea|Let's consider)"
+SPECULATION = ("I think", "Maybe", "Perhaps", "It might", "One option", "Alternatively", "If we", "We could", "We might", "Another idea", "Let's consider")
 ERRORS = [
     r"(?:failed because|error:|error\s+\(|exception:|bug:|crash:|panic:|segfault:?)\s*(.{5,300})",
     r"(?:test failed|tests failed|build failed|deploy failed)\s*(.{5,300})",
@@ -30,9 +31,12 @@ ERRORS = [
 ]
 TRACE = r"(Traceback \(most recent call last\):.*?\n(?:  File .+\n(?:    .+\n)*)*(?:\w+Error:.*?\n?.*?)(?=\n\n|\n[A-Z]|\Z))"
 MOST = 5
+#: What a text has in it wherever a pattern fits: others needn't go through Python.
+MAY_AIM = r"(?i)we |should|must|need|goal|objective|let's|continue|resume|priority|blocker"
+MAY_FAIL = r"(?i)fail|error|exception|bug:|crash:|panic:|segfault|trace"
 
 _GOALS, _ERRORS = ([re.compile(p, re.I) for p in x] for x in (GOALS, ERRORS))
-_SPECULATION, _TRACE, _TAIL = re.compile(SPECULATION, re.I), re.compile(TRACE, re.I | re.S), re.compile(r"[.!?;,]+$")
+_SPECULATION, _TRACE, _TAIL = re.compile("|".join(SPECULATION), re.I), re.compile(TRACE, re.I | re.S), re.compile(r"[.!?;,]+$")
 
 
 def _statements(patterns, text: str):
@@ -63,10 +67,18 @@ def _ordered(found: list[str], key) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def extract_goals(text: pd.Series) -> pd.Series:
+def _goals_of(text: pd.Series) -> pd.Series:
     return text.map(goals, na_action=None)
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def extract_errors(text: pd.Series) -> pd.Series:
+def _errors_of(text: pd.Series) -> pd.Series:
     return text.map(errors, na_action=None)
+
+
+def extract_goals(text: Column) -> Column:
+    return _goals_of(F.when(text.rlike(MAY_AIM), text))
+
+
+def extract_errors(text: Column) -> Column:
+    return _errors_of(F.when(text.rlike(MAY_FAIL), text))

@@ -27,11 +27,16 @@ SECRETS = [
 ]
 
 
+#: What every text that a secret pattern fits has in it: one pass tells most texts apart from those worth fifteen.
+SUSPECT = r"(?i)api|secret|token|bearer|pass|pwd|key|auth|-----begin|akia|xox|gh[pousr]_|[sp]k_|eyj|://|@|\d\.\d|[0-9a-z/+]{40}"
+
+
 def redact_secrets(text: Column) -> Column:
     """All secret patterns replaced, in order; one expression, no shuffle."""
+    clean = text
     for _, pattern, replacement in SECRETS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+        clean = F.regexp_replace(clean, pattern, replacement)
+    return F.when(text.rlike(SUSPECT), clean).otherwise(text)
 
 
 def secret_types(text: Column) -> Column:
@@ -70,6 +75,7 @@ TERMS = [
     r"[\w\-/.]+\.(?:py|ts|js|tsx|jsx|rs|go|java|cpp|c|h|yaml|yml|json|toml|md|txt|cfg|ini)", r"/api/[\w/:-]+", r"CVE-\d{4}-\d+", r"\d+\.\d+\.\d+", r"[A-Z][A-Z_0-9]{2,}",
     r"\$\w+|\$\{\w+\}", r"test_\w+|\w+_test\.py", r"ERR_\w+|E\d+|\d{3,4}[A-Z]?", r"[a-z][a-z0-9_-]*>=?[\d.]+|[a-z][a-z0-9_-]*==[\d.]+",
 ]
+# Camel-case names, words that are none, and the shorter list of keywords.
 CAMEL = r"\b[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b|\b[A-Z][a-zA-Z0-9]*[a-z][a-zA-Z0-9]*\b"
 PLAIN = ("Decision", "Requirement", "Error", "Assistant", "Migration")
 KEYWORDS = [(r"[\w\-/]+\.(py|ts|js|yaml|yml|json|toml|md|txt)", 1), (r"/api/[a-zA-Z0-9_\-/]+", 0), (r"\b[A-Z][A-Z0-9_]{2,}\b", 0), (r"\b\d+\.\d+\.\d+\b", 0), (r"CVE-\d{4}-\d+", 0), (r"\b[A-Z][a-z]+Error\b|\b[A-Z_]+_ERROR\b", 0), (r"\b[a-z_][a-zA-Z0-9_]*\(\)", 0)]
@@ -95,20 +101,35 @@ FIELDS = {
     "fix_attempt": r"(?is)(?:Fix attempt|Fix|Attempted fix|Attempt)[\s:—]+(.{5,300}?)(?=\n|\.\s+(?:Verified|Root cause|Alternative|Tradeoff)|\z)",
     "verified_fix": r"(?is)(?:Verified fix|Verified|Confirmed fix|Confirmed)[\s:—]+(.{5,300}?)(?=\n|\.\s+(?:Recurrence|Root cause|Fix|Alternative)|\z)",
 }
+# Alternatives and file names in free text.
 ALTERNATIVE = r"(?i)(?:Alternative|Instead of|Option)[\s:—]+([^\n.]{5,120})"
 FILE_REF = r"([a-zA-Z0-9_\-/]+\.(?:py|ts|js|rs|go|java|c|cpp|h|yaml|yml|json|toml|md|txt))"
 
 
+#: A word of each label, in lower case: without one of them a field's pattern can't fit.
+LABELS = {"rationale": ("rationale", "because", "reason"), "tradeoffs": ("trade", "pro"), "root_cause": ("cause",), "fix_attempt": ("fix", "attempt"), "verified_fix": ("verified", "confirmed")}
+
+
+def _mentions(text: Column, words) -> Column:
+    low = F.lower(text)
+    out = low.contains(words[0])
+    for w in words[1:]:
+        out = out | low.contains(w)
+    return out
+
+
 def field(text: Column, name: str) -> Column:
-    return F.trim(F.regexp_extract(text, FIELDS[name], 1))
+    return F.when(_mentions(text, LABELS[name]), F.trim(F.regexp_extract(text, FIELDS[name], 1))).when(text.isNotNull(), "")
 
 
 def alternatives(text: Column) -> Column:
-    return F.transform(F.slice(all_matches(text, ALTERNATIVE, 1), 1, 3), F.trim)
+    found = F.transform(F.slice(all_matches(text, ALTERNATIVE, 1), 1, 3), F.trim)
+    return F.when(_mentions(text, ("alternative", "instead of", "option")), found).otherwise(F.array().cast("array<string>"))
 
 
 def file_refs(text: Column, k: int = 5) -> Column:
-    return F.slice(F.array_distinct(all_matches(text, FILE_REF, 1)), 1, k)
+    found = F.slice(F.array_distinct(all_matches(text, FILE_REF, 1)), 1, k)
+    return F.when(text.contains("."), found).otherwise(F.array().cast("array<string>"))
 
 
 def recurrence_risk(text: Column) -> Column:

@@ -10,18 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Line patterns by language, in order of use; the first that fits names the line's symbol.
-_VARIABLE, _VISIBLE = r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?", r"^(?:public\s+|private\s+|protected\s+)?"
-_C_FUNCTION = r"\w+\s+\*?\s*(\w+)\s*\([^)]*\)\s*\{"
 PATTERNS = {
     "py": [("class", r"^class\s+(\w+)"), ("function", r"^def\s+(\w+)"), ("method", r"^\s+def\s+(\w+)")],
-    "js": [("class", r"^class\s+(\w+)"), ("function", r"^function\s+(\w+)"), ("function", _VARIABLE + "function"), ("arrow_function", _VARIABLE + r"\("), ("method", r"^\s+(?:async\s+)?(\w+)\s*\([^)]*\)\s*\{")],
-    "ts": [("class", r"^class\s+(\w+)"), ("interface", r"^interface\s+(\w+)"), ("function", r"^function\s+(\w+)"), ("function", _VARIABLE + "function"), ("arrow_function", _VARIABLE + r"\("), ("method", r"^\s+(?:async\s+)?(\w+)\s*\([^)]*\)\s*[:\{]")],
+    "js": [
+        ("class", r"^class\s+(\w+)"), ("function", r"^function\s+(\w+)"), ("function", r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?function"),
+        ("arrow_function", r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\("), ("method", r"^\s+(?:async\s+)?(\w+)\s*\([^)]*\)\s*\{"),
+    ],
+    "ts": [
+        ("class", r"^class\s+(\w+)"), ("interface", r"^interface\s+(\w+)"), ("function", r"^function\s+(\w+)"), ("function", r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?function"),
+        ("arrow_function", r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\("), ("method", r"^\s+(?:async\s+)?(\w+)\s*\([^)]*\)\s*[:\{]"),
+    ],
     "rs": [("struct", r"^struct\s+(\w+)"), ("enum", r"^enum\s+(\w+)"), ("trait", r"^trait\s+(\w+)"), ("function", r"^fn\s+(\w+)"), ("impl", r"^impl\s+(?:\w+\s+for\s+)?(\w+)"), ("method", r"^\s+fn\s+(\w+)")],
     "go": [("function", r"^func\s+(?:\([^)]*\)\s+)?(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface")],
-    "java": [("class", _VISIBLE + r"class\s+(\w+)"), ("interface", _VISIBLE + r"interface\s+(\w+)"), ("method", _VISIBLE + r"(?:static\s+)?\w+\s+(\w+)\s*\(")],
-    "c": [("function", "^" + _C_FUNCTION), ("struct", r"^typedef\s+struct\s+\{?[^}]*\}?\s*(\w+)")],
-    "cpp": [("class", r"^class\s+(\w+)"), ("function", "^" + _C_FUNCTION), ("method", r"^\s+" + _C_FUNCTION)],
-}
+    "java": [
+        ("class", r"^(?:public\s+|private\s+|protected\s+)?class\s+(\w+)"), ("interface", r"^(?:public\s+|private\s+|protected\s+)?interface\s+(\w+)"),
+        ("method", r"^(?:public\s+|private\s+|protected\s+)?(?:static\s+)?\w+\s+(\w+)\s*\("),
+    ],
+    "c": [("function", r"^\w+\s+\*?\s*(\w+)\s*\([^)]*\)\s*\{"), ("struct", r"^typedef\s+struct\s+\{?[^}]*\}?\s*(\w+)")],
+    "cpp": [("class", r"^class\s+(\w+)"), ("function", r"^\w+\s+\*?\s*(\w+)\s*\([^)]*\)\s*\{"), ("method", r"^\s+\w+\s+\*?\s*(\w+)\s*\([^)]*\)\s*\{")],
+}
 ENDINGS = {"h": "c", "hpp": "cpp"}
 WINDOW = 5  # lines after a symbol's own that are searched for calls
 
@@ -60,37 +67,40 @@ def index_code_regex(files: DataFrame) -> DataFrame:
 PYTHON = "name string, symbol_type string, file_path string, line_start int, line_end int, signature string, docstring string, parent string, decorators array<string>, calls array<string>"
 
 
-def _name(node) -> str | None:
-    if isinstance(node, ast.Call):
+def _last_name(node: ast.expr) -> str | None:
+    """``f`` of f, a.f, a.b().f and of a call of these."""
+    while isinstance(node, ast.Call):
         node = node.func
-    return node.id if isinstance(node, ast.Name) else None
-
-
-def _called(tree) -> list[str]:
-    heads = [n.func for n in ast.walk(tree) if isinstance(n, ast.Call)]
-    return [h.id if isinstance(h, ast.Name) else h.attr for h in heads if isinstance(h, ast.Name) or (isinstance(h, ast.Attribute) and isinstance(h.value, ast.Name))]
-
-
-def _symbols(tree, path: str, parent: str | None = None) -> Iterator[dict]:
-    for node in ast.iter_child_nodes(tree):
-        row = {"file_path": path, "line_start": getattr(node, "lineno", 1), "line_end": getattr(node, "end_lineno", 1), "decorators": [], "calls": []}
-        if isinstance(node, ast.Import | ast.ImportFrom):
-            module = f"{node.module}." if isinstance(node, ast.ImportFrom) and node.module else ""
-            for alias in node.names:
-                yield row | {"name": module + alias.name, "symbol_type": "import", "line_end": node.lineno}
-            continue
-        if not isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-            yield from _symbols(node, path, parent)
-            continue
-        row |= {"docstring": (ast.get_docstring(node) or "")[:500] or None, "decorators": [d for d in map(_name, node.decorator_list) if d], "calls": _called(node)}
-        if isinstance(node, ast.ClassDef):
-            yield row | {"name": node.name, "symbol_type": "class"}
-            yield from _symbols(node, path, node.name)
-        else:
-            args = [a.arg + (f": {a.annotation.id}" if isinstance(a.annotation, ast.Name) else "") for a in node.args.args]
-            full = f"{parent}.{node.name}" if parent else node.name
-            yield row | {"name": full, "symbol_type": "method" if parent else "function", "parent": parent, "signature": f"def {node.name}({', '.join(args)})"}
-            yield from _symbols(node, path, parent)
+    return node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else None
+
+
+def _facts(node: ast.AST, owner: str | None) -> list[dict]:
+    """What a statement defines, as rows; an import defines a row for each name."""
+    if isinstance(node, ast.Import | ast.ImportFrom):
+        source = getattr(node, "module", None)
+        return [{"name": f"{source}.{a.name}" if source else a.name, "symbol_type": "import"} for a in node.names]
+    if not isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+        return []
+    calls = sorted((c for c in ast.walk(node) if isinstance(c, ast.Call)), key=lambda c: (c.lineno, c.col_offset))
+    row = {
+        "docstring": (ast.get_docstring(node) or "")[:500] or None, "decorators": [ast.unparse(d) for d in node.decorator_list],
+        "calls": list(dict.fromkeys(filter(None, map(_last_name, calls)))),
+    }
+    if isinstance(node, ast.ClassDef):
+        return [row | {"name": node.name, "symbol_type": "class"}]
+    head = f"def {node.name}({ast.unparse(node.args)})"
+    return [row | {"name": f"{owner}.{node.name}", "symbol_type": "method", "parent": owner, "signature": head} if owner else row | {"name": node.name, "symbol_type": "function", "signature": head}]
+
+
+def _symbols(tree: ast.Module, path: str) -> Iterator[dict]:
+    """Rows in source order: a stack of statements with the class they stand in."""
+    todo: list[tuple[ast.AST, str | None]] = [(n, None) for n in reversed(tree.body)]
+    while todo:
+        node, owner = todo.pop()
+        lines = {"file_path": path, "line_start": getattr(node, "lineno", 1), "line_end": getattr(node, "end_lineno", 1), "decorators": [], "calls": []}
+        yield from (lines | row for row in _facts(node, owner))
+        inside = node.name if isinstance(node, ast.ClassDef) else owner
+        todo += [(n, inside) for n in reversed(list(ast.iter_child_nodes(node))) if isinstance(n, ast.stmt | ast.excepthandler | ast.match_case)]
 
 
 def index_code_python(files: DataFrame) -> DataFrame:
@@ -110,17 +120,33 @@ def index_code_python(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInPandas(job, PYTHON)
 
 
-def search_symbols(symbols: DataFrame, names: DataFrame) -> DataFrame:
-    """names (needle): symbols whose name contains one."""
-    return symbols.join(names, F.contains(symbols["name"], names["needle"]))
+def search_symbols(symbols: DataFrame, needles: list[str]) -> DataFrame:
+    """Symbols whose name contains a needle, with ``needle``: a stated list, held against each row in one pass."""
+    found = F.filter(F.array(*map(F.lit, needles)), lambda n: F.contains(F.col("name"), n))
+    return symbols.withColumn("needle", F.explode(found))
 
 
-def call_edges(symbols: DataFrame) -> DataFrame:
-    """Distinct (caller, callee) between symbols of one file set: explode calls, equi-join on the bare name."""
-    callers = symbols.select("file_path", F.col("name").alias("caller"), F.explode("calls").alias("bare"))
+def call_edges(symbols: DataFrame, root: Column | None = None) -> DataFrame:
+    """Distinct (file_path, caller, callee_path, callee): explode calls, equi-join on the bare name.
+
+    Files of one ``root`` (an expression over file_path; all files without it)
+    call each other, so a name finds its definitions in other files too.
+    """
+    within = F.lit("") if root is None else root
     bare = F.element_at(F.split("name", r"\."), -1)
-    callees = symbols.where("symbol_type <> 'import'").select("file_path", bare.alias("bare"), F.col("name").alias("callee")).distinct()
-    return callers.join(callees, ["file_path", "bare"]).select("file_path", "caller", "callee").distinct()
+    callers = symbols.select(within.alias("root"), "file_path", F.col("name").alias("caller"), F.explode(F.array_distinct("calls")).alias("bare")).distinct()
+    callees = symbols.where("symbol_type <> 'import'").select(within.alias("root"), F.col("file_path").alias("callee_path"), bare.alias("bare"), F.col("name").alias("callee")).distinct()
+    return callers.join(callees, ["root", "bare"]).where("caller <> callee or file_path <> callee_path").select("file_path", "caller", "callee_path", "callee").distinct()
+
+
+def callers(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """names (callee): what calls them, in any file."""
+    return edges.join(names.select("callee").distinct(), "callee", "left_semi").select("callee", "file_path", "caller").distinct()
+
+
+def callees(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """names (caller): what they call, in any file."""
+    return edges.join(names.select("caller").distinct(), "caller", "left_semi").select("caller", "callee_path", "callee").distinct()
 
 
 def affected_symbols(symbols: DataFrame, changes: DataFrame) -> DataFrame:
@@ -131,19 +157,20 @@ def affected_symbols(symbols: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def transitive_affected(seeds: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
-    """(file_path, name) reached over callers and callees in rounds 0..max_hops-1; the loop is over hops."""
-    both = edges.select("file_path", F.col("caller").alias("name"), F.col("callee").alias("next")).union(edges.select("file_path", "callee", "caller")).distinct()
+    """(file_path, name) reached over callers and callees, across files, in rounds 0..max_hops-1; the loop is over hops."""
+    ways = edges.select("file_path", F.col("caller").alias("name"), F.col("callee_path").alias("next_path"), F.col("callee").alias("next"))
+    both = ways.union(edges.select("callee_path", "callee", "file_path", "caller")).distinct()
     frontier = seen = seeds.select("file_path", "name").distinct()
     for _ in range(max_hops - 1):
-        reached = frontier.join(both, ["file_path", "name"]).select("file_path", F.col("next").alias("name")).distinct()
+        reached = frontier.join(both, ["file_path", "name"]).select(F.col("next_path").alias("file_path"), F.col("next").alias("name")).distinct()
         frontier = reached.join(seen, ["file_path", "name"], "left_anti")
         seen = seen.union(frontier)
     return seen
 
 
 def dependency_chain(edges: DataFrame) -> DataFrame:
-    """name, upstream callers and downstream callees, sorted."""
-    up = edges.groupBy("file_path", F.col("callee").alias("name")).agg(F.array_sort(F.collect_set("caller")).alias("upstream"))
+    """file_path, name, upstream callers and downstream callees by name, sorted."""
+    up = edges.groupBy(F.col("callee_path").alias("file_path"), F.col("callee").alias("name")).agg(F.array_sort(F.collect_set("caller")).alias("upstream"))
     down = edges.groupBy("file_path", F.col("caller").alias("name")).agg(F.array_sort(F.collect_set("callee")).alias("downstream"))
     return up.join(down, ["file_path", "name"], "full")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memjobs.operators.ledger import any_contains
 
+# Words that tell a reason, and words that excuse a stale fact.
 WHY = ("why", "because", "rationale", "reason", "tradeoff", "alternative", "instead of")
 EXCUSES = ("deprecated", "rejected", "superseded", "old", "do not use", "v2", "instead")
 NEAR = 60
@@ -38,18 +39,38 @@ def restore_metrics(packs: DataFrame, scenarios: DataFrame) -> DataFrame:
     return x.select("name", "method", "tokens", verbatim.alias("goal_verbatim"), exact.alias("goal_exact"), decisions.alias("decision"), errors.alias("error"), rationale.alias("rationale"), state.alias("project_state"), ((verbatim + decisions + errors) / 3).alias("overall_verbatim"), ((exact + decisions + errors) / 3).alias("overall_exact"))
 
 
+def _told(x: DataFrame, text: Column, terms: str) -> Column:
+    """The recall of a list of terms that scenarios may lack: then it counts as met."""
+    return recall(text, terms) if terms in x.columns else F.lit(1.0)
+
+
 def component_metrics(packs: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Decision correctness, state, error, file and stale components of each pack; lists that a scenario lacks count as met."""
+    """The parts of quality of each pack.
+
+    State: goals .3, tasks .3, constraints .2, dependencies .2.  Errors: text
+    .4, root cause .35, fix .25.  Files and functions by halves.  Lists that a
+    scenario lacks (expected_tasks, constraints, dependencies, root_causes,
+    fixes, functions, expected_rationales) count as met; open tasks count as
+    not, and without rationales a marker word tells one.
+    """
     x = packs.join(scenarios, "name")
     text = F.col("text")
     wrong = F.when(F.size("rejected") > 0, _hits(text, "rejected") / F.size("rejected")).otherwise(0.0)
     correct = F.greatest(F.lit(0.0), _hits(text, "expected_decisions") / F.greatest(F.size("expected_decisions"), F.lit(1)) - wrong)
     goals, errors = recall(text, "expected_goals"), recall(text, "expected_errors")
-    return x.select(
-        "name", "method", recall(text, "exact_symbols").alias("exact_symbol"), recall(text, "expected_decisions").alias("decision"), correct.alias("decision_correctness"), (0.3 * goals + 0.7).alias("project_state"),
-        F.lit(0.0).alias("open_task"), (0.4 * errors + 0.6).alias("error_bug"), (0.5 * recall(text, "expected_files") + 0.5).alias("file_function"), (1 - F.when(F.size("stale_facts") > 0, _hits(text, "stale_facts") / F.size("stale_facts")).otherwise(0.0)).alias("stale_suppression"),
-        F.lit(1.0).alias("citation"), F.lit(0.0).alias("context_usefulness"), F.when(any_contains(text, WHY), 1.0).otherwise(0.0).alias("rationale"), ((goals + recall(text, "expected_decisions") + errors) / 3 * (1 - F.col("tokens") / 306.0)).alias("token_efficiency"),
-    )
+    told = lambda name: _told(x, text, name)
+    marked = F.when(any_contains(text, WHY), 1.0).otherwise(0.0)
+    rationale = F.when(F.size("expected_rationales") > 0, recall(text, "expected_rationales")).otherwise(marked) if "expected_rationales" in x.columns else marked
+    stale = F.when(F.size("stale_facts") > 0, _hits(text, "stale_facts") / F.size("stale_facts")).otherwise(0.0)
+    parts = {
+        "exact_symbol": recall(text, "exact_symbols"), "decision": recall(text, "expected_decisions"), "decision_correctness": correct,
+        "project_state": 0.3 * goals + 0.3 * told("expected_tasks") + 0.2 * told("constraints") + 0.2 * told("dependencies"),
+        "open_task": told("expected_tasks") if "expected_tasks" in x.columns else F.lit(0.0),
+        "error_bug": 0.4 * errors + 0.35 * told("root_causes") + 0.25 * told("fixes"), "file_function": 0.5 * recall(text, "expected_files") + 0.5 * told("functions"),
+        "stale_suppression": 1 - stale, "citation": F.lit(1.0), "context_usefulness": F.lit(0.0), "rationale": rationale,
+        "token_efficiency": (goals + recall(text, "expected_decisions") + errors) / 3 * (1 - F.col("tokens") / 306.0),
+    }
+    return x.select("name", "method", *[c.alias(n) for n, c in parts.items()])
 
 
 def quality(components: DataFrame) -> DataFrame:
@@ -143,12 +164,31 @@ def pack_success_rates(scores: DataFrame, enough: float = 0.67) -> DataFrame:
     return scores.groupingSets(sets, F.col("task"), F.col("method")).agg(F.count("*").alias("n"), F.avg(ok).alias("rate"))
 
 
-def task_scores(packs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """packs (name, text, verified), tasks (name, category, expected, forbidden): recall less half the forbidden share, less 0.2 if unverified; mean per category."""
+def content_success_rates(scores: DataFrame, packs: DataFrame, memories: DataFrame, enough: float = 0.67) -> DataFrame:
+    """kind, value, n, rate: the share of successes among packs that show a section, and among memories of a type that packs include.
+
+    scores: request_id, restore.  packs: request_id, sections.
+    """
+    sections = packs.select("request_id", F.explode("sections").alias("s")).select("request_id", F.col("s.name").alias("section"), F.col("s.memory_ids").alias("ids"))
+    of_sections = sections.select("request_id", F.lit("section").alias("kind"), F.col("section").alias("value"))
+    included = sections.select("request_id", F.explode("ids").alias("memory_id")).join(memories.select("memory_id", "memory_type"), "memory_id")
+    of_types = included.select("request_id", F.lit("memory_type").alias("kind"), F.col("memory_type").alias("value"))
+    judged = of_sections.union(of_types).join(scores.select("request_id", (F.col("restore") >= enough).cast("double").alias("ok")), "request_id")
+    return judged.groupBy("kind", "value").agg(F.count("*").alias("n"), F.avg("ok").alias("rate"))
+
+
+def task_scores(packs: DataFrame, tasks: DataFrame, second: bool = False) -> DataFrame:
+    """packs (name, text, verified), tasks (name, category, expected, forbidden): recall less half the forbidden share, less 0.2 if unverified; mean per category.
+
+    The second variant knows no forbidden terms and takes 0.1 off the recall, even below zero.
+    """
     x = packs.join(tasks, "name")
     text = F.col("text")
-    forbidden = F.when(F.size("forbidden") > 0, _hits(text, "forbidden") / F.size("forbidden")).otherwise(0.0)
-    score = F.greatest(F.lit(0.0), recall(text, "expected") - 0.5 * forbidden - F.when(F.col("verified"), 0.0).otherwise(0.2))
+    if second:
+        score = recall(text, "expected") - F.when(F.col("verified"), 0.0).otherwise(0.1)
+    else:
+        forbidden = F.when(F.size("forbidden") > 0, _hits(text, "forbidden") / F.size("forbidden")).otherwise(0.0)
+        score = F.greatest(F.lit(0.0), recall(text, "expected") - 0.5 * forbidden - F.when(F.col("verified"), 0.0).otherwise(0.2))
     return x.groupBy("category").agg(F.avg(score).alias("mean_score"), F.avg((score >= 0.8).cast("double")).alias("share_passed"), F.count("*").alias("n"))
 
 

@@ -13,7 +13,7 @@ from memjobs.operators.ledger import any_contains
 DECISION = "array<struct<statement:string,rationale:string,status:string,alternatives:array<string>,tradeoffs:string>>"
 ERROR = "array<struct<kind:string,message:string,root_cause:string,fix_attempt:string,verified_fix:string,recurrence_risk:int,affected_files:array<string>>>"
 
-# Trigger words, held against lower-case text.
+# Trigger words, held against lower-case text, and file names.
 DECIDES_START, DECIDES = ("decision:", "use "), (": decision", ": use ", " decide to ", " will use ", " going with ", " choose ", " decided to ")
 FAILS = ("error:", "error ", "bug:", "bug ", "failed", "failure", "exception", "crash", "injection", "leak", "degraded")
 REQUIRES = ("must ", "should ", "need to", "requirement", "constraint")
@@ -21,6 +21,7 @@ AIMS_START, AIMS = ("goal:", "our goal", "the goal", "objective:", "aim:"), (" o
 TASKS_START, TASKS = ("task:",), (": task", " todo ", " implement ", " create ", " add ")
 PROPOSES = ("propose", "suggest", "recommend", "should use", "decision:")
 REPAIRS = ("fix attempt", "verified fix", "root cause", "recurrence risk", "error:", "bug:")
+FILES = r"[\w\-/]+\.(?:py|ts|js|tsx|jsx|rs|go|java|cpp|c|h|yaml|yml|json|toml|md)"
 TESTERS = ("test", "pytest", "jest", "mocha")
 TOOL_FAILS = ("error", "fail", "traceback")
 
@@ -54,29 +55,36 @@ def _prefixed(prefix: str, text: Column, n: int) -> Column:
     return F.concat(F.lit(prefix), F.substring(text, 1, n))
 
 
-def _decision(text: Column, statement: Column, status: str) -> Column:
-    entry = F.struct(F.substring(statement, 1, 400).alias("statement"), T.field(text, "rationale").alias("rationale"), F.lit(status).alias("status"), T.alternatives(text).alias("alternatives"), T.field(text, "tradeoffs").alias("tradeoffs"))
+def _decision(statement: Column, status: str) -> Column:
+    entry = F.struct(F.substring(statement, 1, 400).alias("statement"), F.col("_rationale").alias("rationale"), F.lit(status).alias("status"), F.col("_alternatives").alias("alternatives"), F.col("_tradeoffs").alias("tradeoffs"))
     return F.array(entry)
 
 
-def _error(kind: str | Column, message: Column, text: Column | None = None, full: bool = True) -> Column:
+def _error(kind: str | Column, message: Column, told: bool = False, full: bool = True) -> Column:
+    """``told``: with what the text tells of cause, fix and files; ``full``: of verification and risk too."""
     none = F.lit(None).cast("string")
     parts = [F.lit(kind) if isinstance(kind, str) else kind, message]
-    parts += [T.field(text, "root_cause"), T.field(text, "fix_attempt")] if text is not None else [none, none]
-    parts += [T.field(text, "verified_fix"), T.recurrence_risk(text)] if text is not None and full else [none, F.lit(0)]
-    parts.append(T.file_refs(text) if text is not None else F.array().cast("array<string>"))
+    parts += [F.col("_root_cause"), F.col("_fix_attempt")] if told else [none, none]
+    parts += [F.col("_verified_fix"), F.col("_risk")] if told and full else [none, F.lit(0)]
+    parts.append(F.col("_files") if told else F.array().cast("array<string>"))
     names = ("kind", "message", "root_cause", "fix_attempt", "verified_fix", "recurrence_risk", "affected_files")
     return F.array(F.struct(*[p.alias(n) for p, n in zip(parts, names, strict=True)]))
 
 
 def candidates(events: DataFrame) -> DataFrame:
-    """Events with ``rows``: the array of memory rows each gives, in rule order."""
+    """Events with ``rows``: the array of memory rows each gives, in rule order.
+
+    What several rules read (fields, file names, goals, errors) is computed once an event, in columns of its own.
+    """
     x = events.withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
     t = F.col("raw_text")
-    low = F.lower(t)
     user = F.col("event_type") == "user_message"
-    x = x.withColumn("_errors", F.when(user, extract_errors(t)).otherwise(F.array().cast("array<string>"))).withColumn("_goals", F.when(user, extract_goals(t)).otherwise(F.array().cast("array<string>")))
-    refs = F.array_sort(F.array_distinct(T.all_matches(t, r"[\w\-/]+\.(?:py|ts|js|tsx|jsx|rs|go|java|cpp|c|h|yaml|yml|json|toml|md)")))
+    none = F.array().cast("array<string>")
+    x = x.withColumn("_errors", F.coalesce(extract_errors(F.when(user, t)), none)).withColumn("_goals", F.coalesce(extract_goals(F.when(user, t)), none))
+    found = F.array_sort(F.array_distinct(T.all_matches(t, FILES)))
+    shared = {"_low": F.lower(t), "_refs": F.when(t.contains("."), found).otherwise(none), "_alternatives": T.alternatives(t), "_risk": T.recurrence_risk(t), "_files": T.file_refs(t)}
+    x = x.withColumns(shared | {f"_{n}": T.field(t, n) for n in T.FIELDS})
+    low, refs = F.col("_low"), F.col("_refs")
     head = F.substring(t, 1, 500)
     first = F.array(_row("event", F.when(F.col("event_type") == "tool_call", "tool_output").otherwise("user_message"), F.when(t != "", head), F.when(t != "", head)))
 
@@ -86,9 +94,9 @@ def candidates(events: DataFrame) -> DataFrame:
     no_error = F.size("_errors") == 0
     of_user = F.concat(
         F.array(_row("intent", "user_message", _prefixed("User intent: ", t, 300), F.substring(t, 1, 400), files=refs)),
-        F.array_compact(F.array(F.when(_starts(low, DECIDES_START) | any_contains(low, DECIDES), _row("decision", "user_message", _prefixed("Decision: ", stated, 300), decisions=_decision(t, stated, "active"), files=refs)))),
-        F.transform("_errors", lambda e: _row("error", "user_message", _prefixed("Error: ", e, 300), errors=_error("session_error", F.substring(e, 1, 400), t), files=refs)),
-        F.array_compact(F.array(F.when(no_error & any_contains(low, FAILS), _row("error", "user_message", _prefixed("Error: ", message, 300), errors=_error("runtime_error", F.substring(message, 1, 400), t, False), files=refs)))),
+        F.array_compact(F.array(F.when(_starts(low, DECIDES_START) | any_contains(low, DECIDES), _row("decision", "user_message", _prefixed("Decision: ", stated, 300), decisions=_decision(stated, "active"), files=refs)))),
+        F.transform("_errors", lambda e: _row("error", "user_message", _prefixed("Error: ", e, 300), errors=_error("session_error", F.substring(e, 1, 400), True), files=refs)),
+        F.array_compact(F.array(F.when(no_error & any_contains(low, FAILS), _row("error", "user_message", _prefixed("Error: ", message, 300), errors=_error("runtime_error", F.substring(message, 1, 400), True, False), files=refs)))),
         F.transform("_goals", lambda g: _row("goal", "user_message", _prefixed("Goal: ", g, 300), files=refs)),
         F.array_compact(F.array(
             F.when(any_contains(low, REQUIRES), _row("requirement", "user_message", _prefixed("Requirement: ", t, 300), files=refs)),
@@ -98,11 +106,11 @@ def candidates(events: DataFrame) -> DataFrame:
     )
 
     questions = F.slice(T.all_matches(t, r"\?[^.!?]*"), 1, 5)
-    repaired = (T.field(t, "root_cause") != "") | (T.field(t, "fix_attempt") != "") | (T.field(t, "verified_fix") != "") | (T.recurrence_risk(t) > 0)
+    repaired = (F.col("_root_cause") != "") | (F.col("_fix_attempt") != "") | (F.col("_verified_fix") != "") | (F.col("_risk") > 0)
     of_assistant = F.array_compact(F.array(
         _row("task", "assistant_message", _prefixed("Assistant plan: ", t, 300), F.substring(t, 1, 400), "proposed"),
-        F.when(any_contains(low, PROPOSES), _row("decision", "assistant_message", _prefixed("Proposed decision: ", stated, 300), validity="proposed", decisions=_decision(t, stated, "proposed"))),
-        F.when(any_contains(low, REPAIRS) & repaired, _row("error", "assistant_message", _prefixed("Error fix: ", t, 300), errors=_error("session_error", F.substring(t, 1, 400), t))),
+        F.when(any_contains(low, PROPOSES), _row("decision", "assistant_message", _prefixed("Proposed decision: ", stated, 300), validity="proposed", decisions=_decision(stated, "proposed"))),
+        F.when(any_contains(low, REPAIRS) & repaired, _row("error", "assistant_message", _prefixed("Error fix: ", t, 300), errors=_error("session_error", F.substring(t, 1, 400), True))),
         F.when(F.size(questions) > 0, _row("uncertainty", "assistant_message", questions=questions)),
     ))
 
@@ -119,16 +127,19 @@ def candidates(events: DataFrame) -> DataFrame:
     for name, rows in (("assistant_response", of_assistant), ("tool_call", of_tool), ("code_change", of_change), ("error", of_error)):
         branch = branch.when(F.col("event_type") == name, rows)
     nothing = F.filter(first, lambda r: F.lit(False))
-    return x.withColumn("rows", F.concat(first, F.coalesce(branch, nothing))).drop("_errors", "_goals")
+    return x.withColumn("rows", F.concat(first, F.coalesce(branch, nothing))).drop("_errors", "_goals", *shared, *(f"_{n}" for n in T.FIELDS))
 
 
 def extract_memories(events: DataFrame, keep_all: bool = False) -> DataFrame:
     """One memory row for each rule that fires; of one event's rows of a type the first stays, unless ``keep_all``."""
-    found = candidates(events).select("event_id", "project_id", "session_id", "timestamp", "raw_text", F.posexplode("rows").alias("ordinal", "r"))
-    flat = found.select("event_id", "project_id", "session_id", "timestamp", "raw_text", "ordinal", "r.*")
+    numbered = candidates(events).withColumn("rows", F.transform("rows", lambda r, i: F.struct(i.alias("ordinal"), r.alias("r"))))
     if not keep_all:
-        earlier = F.row_number().over(Window.partitionBy("event_id", "memory_type").orderBy("ordinal"))
-        flat = flat.withColumn("_n", earlier).where("_n = 1").drop("_n")
+        # The rows of an event lie in one array, so the first of a type is found without a shuffle.
+        numbered = numbered.withColumn("_kinds", F.transform("rows", lambda x: x["r"]["memory_type"]))
+        numbered = numbered.withColumn("rows", F.filter("rows", lambda x: F.array_position("_kinds", x["r"]["memory_type"]) == x["ordinal"] + 1))
+    # Every event has a row; the outer form keeps the optimizer from copying the whole expression into a filter on its size.
+    found = numbered.select("event_id", "project_id", "session_id", "timestamp", "raw_text", F.inline_outer("rows"))
+    flat = found.select("event_id", "project_id", "session_id", "timestamp", "raw_text", "ordinal", "r.*")
     key = F.sha2(F.concat_ws("|", "event_id", "memory_type", F.col("ordinal").cast("string")), 256)
     return flat.withColumn("memory_id", F.concat(F.lit("mem_"), F.substring(key, 1, 16)))
 

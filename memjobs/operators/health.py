@@ -78,6 +78,11 @@ def project_breakdown(memories: DataFrame) -> DataFrame:
     return memories.groupingSets(sets, F.col("project_id"), F.col("memory_type"), F.col("validity")).agg(F.count("*").alias("n"))
 
 
+def symbol_breakdown(symbols: DataFrame) -> DataFrame:
+    """Symbols by project and type."""
+    return symbols.groupBy("project_id", "symbol_type").agg(F.count("*").alias("n"))
+
+
 def newest_events(events: DataFrame, k: int = 5) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("timestamp"), F.desc("event_id")))
     return events.withColumn("place", place).where(F.col("place") <= k)
@@ -95,3 +100,15 @@ def duplicate_groups(memories: DataFrame, k: int | None = 10) -> DataFrame:
 def duplicate_totals(memories: DataFrame) -> DataFrame:
     groups = memories.groupBy(normalised(F.col("raw_text")).alias("text")).agg(F.count("*").alias("n"))
     return groups.agg(F.count("*").alias("unique_texts"), F.sum(F.col("n") - 1).alias("surplus"))
+
+
+def duplicate_members(memories: DataFrame, k: int | None = 10) -> DataFrame:
+    """(text, memory_id, memory_type) of the largest groups: a row for each member, so no group is gathered."""
+    groups = duplicate_groups(memories, k).select("text")
+    return memories.select(normalised(F.col("raw_text")).alias("text"), "memory_id", "memory_type").join(groups, "text", "left_semi")
+
+
+def busy_events(memories: DataFrame) -> DataFrame:
+    """Events that gave more than one memory: event_id, n, their types."""
+    counted = memories.where("event_id is not null").groupBy("event_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("memory_type")), "|").alias("types"))
+    return counted.where("n > 1")

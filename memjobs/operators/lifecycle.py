@@ -115,3 +115,15 @@ def decision_actions(memories: DataFrame, actions: DataFrame) -> DataFrame:
     )
     child = F.when(F.col("_action") == "supersede", F.col("_other"))
     return joined.withColumn("validity", validity).withColumn("child_id", child).drop("_action", "_other")
+
+
+def add_verified_fix(memories: DataFrame, fixes: DataFrame) -> DataFrame:
+    """fixes (memory_id, fix): fills each empty ``verified_fix`` of the row's errors and appends a lesson; one fix a row, the first in order of text."""
+    own = fixes.groupBy("memory_id").agg(F.min("fix").alias("_fix"))
+    joined = memories.join(own, "memory_id", "left")
+    told = F.transform("errors_found", lambda e: e.withField("verified_fix", F.when(F.coalesce(e["verified_fix"], F.lit("")) == "", F.col("_fix")).otherwise(e["verified_fix"])))
+    none = F.array().cast("array<string>")
+    lessons = F.coalesce("lessons_learned", none) if "lessons_learned" in memories.columns else none
+    learned = F.array_append(lessons, F.concat(F.lit("Verified fix: "), F.substring("_fix", 1, 200)))
+    fixed = F.col("_fix").isNotNull()
+    return joined.withColumns({"errors_found": F.when(fixed, told).otherwise(F.col("errors_found")), "lessons_learned": F.when(fixed, learned).otherwise(lessons)}).drop("_fix")

@@ -17,13 +17,11 @@ RELATIONS = {
     ("tool_call", "error"): "tool_output_verifies_error", ("tool_call", "code_change"): "tool_output_verifies_fix", ("intent", "goal"): "intent_promoted_to_goal",
     ("fact", "decision"): "fact_supports_decision", ("requirement", "decision"): "requirement_leads_to_decision",
 }
-STOP_WORDS = (
-    "lorem ipsum dolor amet consectetur adipiscing elit this that with from have been were they their would could should there where when what how"
-).split()
+STOP_WORDS = ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "this", "that", "with", "from", "have", "been", "were", "they", "their", "would", "could", "should", "there", "where", "when", "what", "how")
 CLOSE_SECONDS = 300
 
 
-def keywords(*columns: str, stop: list[str] = STOP_WORDS) -> Column:
+def keywords(*columns: str, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Distinct lower-case words of four letters or more."""
     text = F.lower(F.concat_ws(" ", *columns))
     return F.array_except(F.array_distinct(T.all_matches(text, r"\b[a-z]{4,}\b")), F.array(*map(F.lit, stop)))
@@ -137,25 +135,40 @@ def detect_contradictions(memories: DataFrame, threshold: float = 0.5) -> DataFr
     return best.withColumn("confidence", F.least(F.lit(1.0), F.col("similarity") + 0.2)).where(F.col("confidence") > threshold)
 
 
-def expand_graph(seeds: DataFrame, links: DataFrame, max_hops: int = 2, relation_types: list[str] | None = None) -> DataFrame:
+def _stored_links(memories: DataFrame) -> DataFrame:
+    """(memory_id, next) from the link arrays that memories carry themselves."""
+    held = [c for c in ("dependency_links", "contradiction_links") if c in memories.columns]
+    none = F.array().cast("array<string>")
+    return memories.select("memory_id", F.explode(F.concat(none, *[F.coalesce(c, none) for c in held])).alias("next"))
+
+
+def expand_graph(seeds: DataFrame, links: DataFrame, max_hops: int = 2, relation_types: list[str] | None = None, memories: DataFrame | None = None) -> DataFrame:
     """(group_id, memory_id) reached from each group's seeds over links in both directions, in rounds 0..max_hops-1.
 
-    The loop is over hops, a small constant; each is a join and an anti join.
+    Seeds may have a ``hops`` column, each group's own number of rounds.  With
+    ``memories``, what these carry as dependency and contradiction links of the
+    nodes reached is added at the end, as far as it exists.  The loop is over
+    hops, a small number; each is a join and an anti join.
     """
     if relation_types is not None:
         links = links.where(F.col("relation_type").isin(relation_types))
     edges = links.select(F.col("source_id").alias("memory_id"), F.col("target_id").alias("next")).union(links.select("target_id", "source_id")).distinct()
-    frontier = visited = seeds.select("group_id", "memory_id").distinct()
-    for _ in range(max_hops - 1):
-        reached = frontier.join(edges, "memory_id").select("group_id", F.col("next").alias("memory_id")).distinct()
-        frontier = reached.join(visited, ["group_id", "memory_id"], "left_anti")
+    hops = F.col("hops") if "hops" in seeds.columns else F.lit(max_hops)
+    frontier = visited = seeds.select("group_id", "memory_id", hops.alias("hops")).where("hops > 0").distinct()
+    for hop in range(1, max_hops):
+        reached = frontier.where(F.col("hops") > hop).join(edges, "memory_id").select("group_id", F.col("next").alias("memory_id"), "hops").distinct()
+        frontier = reached.join(visited, ["group_id", "memory_id"], "left_anti").select("group_id", "memory_id", "hops")
         visited = visited.union(frontier)
-    return visited
+    visited = visited.select("group_id", "memory_id")
+    if memories is None:
+        return visited
+    stored = visited.join(_stored_links(memories), "memory_id").select("group_id", F.col("next").alias("memory_id"))
+    return visited.union(stored.join(memories.select("memory_id"), "memory_id", "left_semi").select("group_id", "memory_id")).distinct()
 
 
 def neighbors(memories: DataFrame, links: DataFrame) -> DataFrame:
-    """(memory_id, neighbor_id) over links in both directions, ends that exist only."""
-    both = links.select(F.col("source_id").alias("memory_id"), F.col("target_id").alias("neighbor_id")).union(links.select("target_id", "source_id")).distinct()
+    """(memory_id, neighbor_id) over links in both directions and the links that memories carry, ends that exist only."""
+    both = links.select(F.col("source_id").alias("memory_id"), F.col("target_id").alias("neighbor_id")).union(links.select("target_id", "source_id")).union(_stored_links(memories)).distinct()
     ids = memories.select("memory_id")
     return both.join(ids, "memory_id", "left_semi").join(ids.withColumnRenamed("memory_id", "neighbor_id"), "neighbor_id", "left_semi").select("memory_id", "neighbor_id")
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memjobs.functions import text as T
-from memjobs.operators.ledger import any_contains, top_memories
+from memjobs.operators.ledger import any_contains, rank_order, top_memories
+from memjobs.sources.tables import written
 
 # BM25 parameters; floor of negative idf as a share of the mean.
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -33,7 +36,23 @@ def term_stats(index: DataFrame, n_docs: int) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
-def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: str = "project") -> DataFrame:
+@dataclass
+class Index:
+    """Postings and term statistics as written tables, and two totals: made once, searched often."""
+
+    postings: DataFrame
+    stats: DataFrame
+    mean_length: float
+
+
+def bm25_index(memories: DataFrame) -> Index:
+    n_docs = memories.count()
+    index = written(postings(memories))
+    words = index.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    return Index(index, written(term_stats(index, n_docs)), words / max(1, n_docs))
+
+
+def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: str = "project", index: Index | None = None) -> DataFrame:
     """request_id, memory_id, score, rank: the best k of each request.
 
     requests: request_id, project_id, query.  Scope ``project`` scores the
@@ -41,17 +60,12 @@ def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: st
     all memories either way.  Postings meet query terms by an equi-join, so
     only terms that are asked for are scored.
     """
-    totals = memories.agg(F.count("*").alias("n")).first()
-    index = postings(memories)
-    lengths = index.select("memory_id", "length").distinct().agg(F.sum("length").alias("words")).first()
-    mean_length = (lengths["words"] or 0) / max(1, totals["n"])
+    index = index or bm25_index(memories)
     asked = requests.select("request_id", F.col("project_id").alias("asked_project"), F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy("request_id", "asked_project", "term").agg(F.count("*").alias("qtf"))
-    stats = term_stats(index, totals["n"])
-    hits = index.join(stats, "term").join(asked, "term")
-    if scope == "project":
-        hits = hits.where("project_id = asked_project")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
-    scored = hits.groupBy("request_id", "memory_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score")).where("score > 0")
+    asked = asked.join(index.stats, "term")
+    met = index.postings.join(asked, "term") if scope == "global" else index.postings.join(asked.withColumnRenamed("asked_project", "project_id"), ["project_id", "term"])
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.mean_length))
+    scored = met.groupBy("request_id", "memory_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score")).where("score > 0")
     return ranked(scored, k)
 
 
@@ -60,17 +74,24 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _nearest(ids: list, matrix: np.ndarray, k: int):
+def _nearest(queries, k: int):
+    """The k nearest rows of a batch for each query of a broadcast block (ids, matrix); equal similarities go to the lesser ids."""
+
     def job(batches):
+        ids, matrix = queries.value
         norms = np.linalg.norm(matrix, axis=1)
         for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(0)))
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             vectors = flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, matrix.shape[1]))
-            sims = (matrix @ vectors.T) / (norms[:, None] * np.linalg.norm(vectors, axis=1)[None, :] + 1e-10)
+            sims = np.round((matrix @ vectors.T) / (norms[:, None] * np.linalg.norm(vectors, axis=1)[None, :] + 1e-10), 9)
             n = min(k, batch.num_rows)
-            best = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n else np.zeros((len(ids), 0), int)
-            rows = best.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), batch.column(0).take(pa.array(rows)), pa.array(np.take_along_axis(sims, best, 1).reshape(-1))], names=["request_id", "memory_id", "score"])
+            best = np.zeros((len(ids), n), np.int64)
+            for q in range(len(ids) if n else 0):
+                least = np.partition(sims[q], batch.num_rows - n)[batch.num_rows - n]
+                over, ties = np.flatnonzero(sims[q] > least), np.flatnonzero(sims[q] == least)
+                best[q] = np.concatenate((over, ties[: n - len(over)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), batch.column(0).take(pa.array(best.reshape(-1))), pa.array(np.take_along_axis(sims, best, 1).reshape(-1))], names=["request_id", "memory_id", "score"])
 
     return job
 
@@ -78,22 +99,32 @@ def _nearest(ids: list, matrix: np.ndarray, k: int):
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """The k nearest by cosine: vectors (memory_id, vector) against queries (request_id, vector), both ids long.
 
-    Queries are a stated set, taken in blocks of bounded size; each task keeps
-    k rows for each query and batch, then a window merges them.  Zero queries
-    have no neighbours.
+    Queries are a stated set, taken in blocks of about ``QUERY_BLOCK``; each
+    block is broadcast, each task keeps k rows for each query and batch, then a
+    window merges them.  Zero queries have no neighbours.
     """
+    queries = written(queries.select("request_id", "vector").where(F.col("vector").isNotNull() & F.exists("vector", lambda v: v != 0)))
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    out = None
+    found = vectors.sparkSession.createDataFrame([], "request_id bigint, memory_id bigint, score double")
     for b in range(blocks):
-        rows = queries.select("request_id", "vector").where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b).collect()
-        rows = [r for r in rows if r.vector is not None and any(r.vector)]
+        rows = queries.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b).collect()
         if rows:
-            matrix = np.array([r.vector for r in rows], np.float64)
-            part = vectors.select("memory_id", "vector").where("vector is not null").mapInArrow(_nearest([r.request_id for r in rows], matrix, k), "request_id bigint, memory_id bigint, score double")
-            out = part if out is None else out.union(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "request_id bigint, memory_id bigint, score double")
-    return ranked(out, k)
+            block = vectors.sparkSession.sparkContext.broadcast(([r.request_id for r in rows], np.array([r.vector for r in rows], np.float64)))
+            found = found.union(vectors.select("memory_id", "vector").where("vector is not null").mapInArrow(_nearest(block, k), found.schema))
+    return ranked(found, k)
+
+
+def vector_candidates(vectors: DataFrame, requests: DataFrame, k: int = 50) -> DataFrame:
+    """request_id, memory_id, score, rank: the k nearest of the request's own project.
+
+    vectors: memory_id, project_id, vector.  requests: request_id, project_id,
+    vector.  A join on the project, so each request sees its project's rows.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
+    left = vectors.select("memory_id", "project_id", "vector", F.sqrt(dot("vector", "vector")).alias("norm"))
+    asked = requests.select("request_id", "project_id", F.col("vector").alias("asked"), F.sqrt(dot("vector", "vector")).alias("asked_norm")).where("asked_norm > 0")
+    score = dot("vector", "asked") / (F.col("norm") * F.col("asked_norm") + 1e-10)
+    return ranked(left.join(asked, "project_id").select("request_id", "memory_id", F.round(score, 9).alias("score")), k)
 
 
 # Task keywords in their order of use.
@@ -113,11 +144,12 @@ def classify_task(query: Column) -> Column:
     return out
 
 
+HOPS = 2
 NEEDS = {"session": True, "project": True, "decisions": True, "errors": True, "code": True, "graph": False}
 
 
 def make_plan(requests: DataFrame) -> DataFrame:
-    """requests (request_id, query, requirements map<string,boolean>) with ``task`` and a boolean for each need."""
+    """requests (request_id, query, requirements map<string,boolean>, optional max_graph_hops) with ``task``, a boolean for each need, and ``hops``."""
     task = classify_task(F.col("query"))
     own = {n: F.coalesce(F.try_element_at("requirements", F.lit(f"include_{n}")), F.lit(default)) for n, default in NEEDS.items()}
     debugging, architecture, feature, research = (task == t for t in TASK_WORDS)
@@ -125,24 +157,41 @@ def make_plan(requests: DataFrame) -> DataFrame:
     own["decisions"] = own["decisions"] | debugging | architecture | feature
     own["code"] = (own["code"] | debugging | feature) & ~(architecture | research)
     own["project"] = own["project"] | research
-    return requests.withColumn("task", task).withColumns({f"needs_{n}": c for n, c in own.items()})
+    hops = F.coalesce("max_graph_hops", F.lit(HOPS)) if "max_graph_hops" in requests.columns else F.lit(HOPS)
+    return requests.withColumn("task", task).withColumns({f"needs_{n}": c for n, c in own.items()} | {"hops": hops})
 
 
 # Metadata lists in order: (type, rows, need).
 LISTS = (("decision", 30, "decisions"), ("error", 30, "errors"), ("intent", 20, None), ("requirement", 20, None), ("code_change", 15, "code"))
-SESSION_ROWS = 20
+SESSION_ROWS, RECENT = 20, 5
+
 
+def metadata_candidates(plans: DataFrame, memories: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """request_id, memory_id, position: the session's recent decisions and errors, its best rows, then lists by type.
 
-def metadata_candidates(plans: DataFrame, memories: DataFrame) -> DataFrame:
-    """request_id, memory_id, position: the session's best rows, then lists by type, each pre-ranked once per project."""
+    states: session_id, recent_decisions, recent_errors (arrays of ids, oldest
+    first).  The lists by type are ranked in one window over (project, type).
+    """
     parts = []
     if "session_id" in plans.columns:
+        inside = plans.where("needs_session and session_id is not null")
+        if states is not None:
+            known = memories.select("memory_id")
+            for place, name in ((-2, "recent_decisions"), (-1, "recent_errors")):
+                last = F.slice(name, F.greatest(F.size(name) - RECENT + 1, F.lit(1)), F.lit(RECENT))
+                told = inside.select("request_id", "session_id").join(states, "session_id").select("request_id", F.posexplode(last).alias("at", "memory_id"))
+                parts.append(told.join(known, "memory_id", "left_semi").select("request_id", "memory_id", F.lit(place).alias("list"), (F.col("at") + 1).alias("rank")))
         best = top_memories(memories, ("session_id",), k=SESSION_ROWS).select("session_id", "memory_id", F.lit(0).alias("list"), "rank")
-        parts.append(plans.where("needs_session and session_id is not null").join(best, "session_id").select("request_id", "memory_id", "list", "rank"))
+        parts.append(inside.join(best, "session_id").select("request_id", "memory_id", "list", "rank"))
+    place = most = F.lit(None).cast("int")
+    wanted = F.lit(False)
     for i, (kind, k, need) in enumerate(LISTS, 1):
-        best = top_memories(memories, memory_type=kind, k=k).select("project_id", "memory_id", F.lit(i).alias("list"), "rank")
-        asking = plans if need is None else plans.where(f"needs_{need}")
-        parts.append(asking.join(best, "project_id").select("request_id", "memory_id", "list", "rank"))
+        place, most = (F.when(F.col("memory_type") == kind, v).otherwise(c) for v, c in ((i, place), (k, most)))
+        wanted = wanted | ((F.col("list") == i) & (F.lit(True) if need is None else F.col(f"needs_{need}")))
+    listed = memories.select("memory_id", "project_id", "memory_type", "recency_score", "importance_score", "timestamp", place.alias("list"), most.alias("most")).where("list is not null")
+    rank = F.row_number().over(Window.partitionBy("project_id", "memory_type").orderBy(*rank_order()))
+    listed = listed.withColumn("rank", rank).where(F.col("rank") <= max(k for _, k, _ in LISTS)).where("rank <= most")
+    parts.append(plans.join(listed.select("project_id", "memory_id", "list", "rank"), "project_id").where(wanted).select("request_id", "memory_id", "list", "rank"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
@@ -198,20 +247,30 @@ def rerank_score(candidates: DataFrame) -> DataFrame:
 INACTIVE = ("superseded", "rejected", "archived")
 
 
-def retrieve(requests: DataFrame, memories: DataFrame, links: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """request_id, memory_id, score, rank: BM25 and metadata lists, fused, expanded over links for plans that want it, reranked.
+def retrieve(requests: DataFrame, memories: DataFrame, links: DataFrame | None = None, k: int = 50, vectors: DataFrame | None = None, states: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """request_id, memory_id, score, rank: vector, BM25 and metadata lists, fused, expanded over links for plans that want it, reranked.
 
-    requests: request_id, project_id, query, requirements, optional session_id.
+    requests: request_id, project_id, query, requirements, optional session_id,
+    max_graph_hops and vector.  vectors (memory_id, project_id, vector) add the
+    vector list, states (session_id, recent ids) the session's recent rows.
     """
     plans = make_plan(requests)
-    sparse = bm25_search(memories, plans.where("needs_project"), 50).select("request_id", "memory_id", F.lit(0).alias("list"), "rank")
-    metadata = metadata_candidates(plans, memories).select("request_id", "memory_id", F.lit(1).alias("list"), F.col("position").alias("rank"))
-    fused = rrf(sparse.union(metadata)).select("request_id", "memory_id", F.col("score").alias("base"), "place")
-    if links is not None:
+    inside = plans.where("needs_project")
+    lists = bm25_search(memories, inside, 50, index=index).select("request_id", "memory_id", F.lit(0).alias("list"), "rank")
+    if vectors is not None:
+        lists = lists.union(vector_candidates(vectors, inside, 50).select("request_id", "memory_id", F.lit(-1).alias("list"), "rank"))
+    metadata = metadata_candidates(plans, memories, states).select("request_id", "memory_id", F.lit(1).alias("list"), F.col("position").alias("rank"))
+    fused = rrf(lists.union(metadata)).select("request_id", "memory_id", F.col("score").alias("base"), "place")
+    if links is None:
+        fused = fused.select("request_id", "memory_id", "base")
+    else:
         from memjobs.operators.links import expand_graph
 
-        seeds = fused.where("place <= 10").join(plans.where("needs_graph").select("request_id"), "request_id", "left_semi").select(F.col("request_id").alias("group_id"), "memory_id")
-        more = expand_graph(seeds, links).select(F.col("group_id").alias("request_id"), "memory_id").join(fused, ["request_id", "memory_id"], "left_anti")
+        fused = written(fused)
+        graph = plans.where("needs_graph and hops > 0").select("request_id", "hops")
+        seeds = fused.where("place <= 10").join(graph, "request_id").select(F.col("request_id").alias("group_id"), "memory_id", "hops")
+        most = graph.agg(F.max("hops")).first()[0] or 0
+        more = expand_graph(seeds, links, most, memories=memories).select(F.col("group_id").alias("request_id"), "memory_id").join(fused, ["request_id", "memory_id"], "left_anti")
         fused = fused.select("request_id", "memory_id", "base").union(more.select("request_id", "memory_id", F.lit(0.5)))
     found = fused.join(memories.drop("project_id", "session_id"), "memory_id").where(~F.col("validity").isin(*INACTIVE)).join(plans.select("request_id", "task"), "request_id")
     scored = rerank_recency_importance(found).withColumn("score", F.round("score", 9))

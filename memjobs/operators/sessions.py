@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memjobs.functions import text as T
 from memjobs.operators import packs, retrieve
+from memjobs.sources.tables import written
 
 ROUNDS = 2
 
@@ -22,36 +23,54 @@ def restore_sessions(sessions: DataFrame, memories: DataFrame, states: DataFrame
 def _checked(requests: DataFrame, built: DataFrame, found: DataFrame, memories: DataFrame) -> DataFrame:
     text = built.select("request_id", packs.pack_text("sections").alias("text"))
     held = found.select("request_id", "memory_id").join(memories, "memory_id").withColumn("statement", F.when(F.col("memory_type") == "decision", F.col("raw_text")))
-    return packs.pack_sufficiency(requests, text, held).join(text, "request_id")
+    return packs.pack_sufficiency(requests, text, held)
+
+
+def _rewritten() -> Column:
+    """The query with up to three words that the pack lacks, the types that no candidate has, and ``recent`` for a short pack."""
+    words = F.slice("missing_words", 1, 3)
+    hints = F.filter("missing_types", lambda t: ~F.contains(F.lower(F.concat_ws(" ", "query", F.array_join(words, " "))), t))
+    recent = F.when(F.array_contains("issues", "pack_too_short") & ~F.contains(F.lower("query"), F.lit("recent")), "recent")
+    return F.concat_ws(" ", "query", F.when(F.size(words) > 0, F.array_join(words, " ")), F.when(F.size(hints) > 0, F.array_join(hints, " ")), recent)
 
 
 def auto_expand(requests: DataFrame, memories: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Packs of all requests after up to ``rounds`` re-retrievals of the insufficient ones.
 
-    A query grows by up to three of its words that the pack lacks and by
-    ``recent`` where the pack is short; new candidates follow the old ones.
-    The loop is over rounds, and each round reads the insufficient requests only.
+    A request goes on while its pack is insufficient and its query grows by it.
+    New candidates follow the old ones, and all enter the next pack.  The loop
+    is over rounds; each reads the insufficient requests only, and writes what
+    the next one starts from.
     """
-    found = retrieve.retrieve(requests, memories)
-    plans = lambda r: retrieve.make_plan(r).withColumns({"token_budget": F.lit(32768), "max_pack_tokens": F.lit(65)})
-    done, todo = None, requests
+    index = retrieve.bm25_index(memories)
+    memories = written(memories)
+    budget = {"token_budget": F.lit(32768), "max_pack_tokens": F.lit(65)}
+    todo, found, done = requests, None, []
     for round_ in range(rounds + 1):
-        built = packs.build_packs(plans(todo), found.join(todo.select("request_id"), "request_id", "left_semi"), memories)
-        judged = _checked(todo, built, found, memories)
-        final = built if round_ == rounds else built.join(judged.where("sufficient").select("request_id"), "request_id", "left_semi")
-        done = final if done is None else done.union(final)
+        plans = written(retrieve.make_plan(todo).withColumns(budget))
+        fresh = written(retrieve.retrieve(todo, memories, index=index).select("request_id", "memory_id", "rank"))
+        if found is None:
+            found = fresh
+        else:
+            known = found.join(todo.select("request_id"), "request_id", "left_semi")
+            last = known.groupBy("request_id").agg(F.max("rank").alias("last"))
+            place = F.row_number().over(Window.partitionBy("request_id").orderBy("rank")) + F.coalesce("last", F.lit(0))
+            new = fresh.join(known, ["request_id", "memory_id"], "left_anti").join(last, "request_id", "left")
+            found = written(known.union(new.select("request_id", "memory_id", place.alias("rank"))))
+        built = written(packs.build_packs(plans, found, memories, most=packs.MOST * (round_ + 1)))
         if round_ == rounds:
-            return done
-        asked = todo.join(judged.where("not sufficient").select("request_id", "issues", "text"), "request_id")
-        lacking = F.slice(F.filter(T.words(F.col("query")), lambda w: (F.length(w) > 3) & ~F.contains(F.col("text"), w)), 1, 3)
-        recent = F.when(F.array_contains("issues", "pack_too_short") & ~F.contains(F.lower("query"), F.lit("recent")), "recent")
-        more = F.concat_ws(" ", "query", F.array_join(lacking, " "), recent)
-        todo = asked.withColumn("query", F.trim(more)).select(*requests.columns)
-        fresh = retrieve.retrieve(todo, memories).join(found.select("request_id", "memory_id"), ["request_id", "memory_id"], "left_anti")
-        after = found.groupBy("request_id").agg(F.max("rank").alias("last"))
-        place = F.row_number().over(Window.partitionBy("request_id").orderBy("rank")) + F.coalesce("last", F.lit(0))
-        found = found.unionByName(fresh.join(after, "request_id", "left").select("request_id", "memory_id", "score", place.alias("rank")))
-    return done
+            done.append(built)
+            break
+        judged = plans.join(_checked(plans, built, found, memories), "request_id").withColumn("asked", _rewritten())
+        judged = written(judged.withColumn("again", ~F.col("sufficient") & (F.col("asked") != F.col("query"))))
+        done.append(built.join(judged.where("not again").select("request_id"), "request_id", "left_semi"))
+        todo = judged.where("again").withColumn("query", F.col("asked")).select(*requests.columns)
+        if todo.isEmpty():
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out
 
 
 # The state's fields that a pack should show.

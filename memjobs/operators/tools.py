@@ -17,14 +17,35 @@ FAMILIES = {
     "lint": ("mypy", "tsc", "eslint", "rustfmt", "clippy", "flake8", "pylint", "black", "prettier"), "docker": ("docker", "docker_build", "docker_compose"), "terraform": ("terraform", "tf_plan", "tf_apply"),
     "kubernetes": ("kubectl", "k8s", "helm"), "packages": ("pip", "npm", "yarn", "pnpm", "cargo", "go_mod"), "api": ("curl", "http", "api_call"), "security": ("bandit", "snyk", "trivy", "semgrep"), "coverage": ("coverage", "codecov", "cargo_tarpaulin"),
 }
-FAILED = re.compile(r"FAILED\s+([\w/_.]+)::?([\w_]+).*?\n(.*?)(?=\nFAILED|\n=+|$)", re.S)
+# What is read from the tools' output.
+PATTERNS = {
+    "failed_block": r"(?s)FAILED\s+([\w/_.]+)::?([\w_]+).*?\n(.*?)(?=\nFAILED|\n=+|$)",
+    "passed": r"(?i)(\d+)\s+passed",
+    "failed": r"(?i)(\d+)\s+failed",
+    "diff_file": r"(?m)^diff --git a/(.+?) b/",
+    "added_function": r"(?m)^\+.+def\s+(\w+)",
+    "removed_function": r"(?m)^-.*def\s+(\w+)",
+    "search_hit": r"(?m)^([^\n:]+):\d+:",
+    "lint_issue": r"(?mi)^([^\n:]+):(\d+):\s*(error|warning)[\s:]*(.+)$",
+    "docker_image": r"Successfully built\s+([a-f0-9]{12})",
+    "to_add": r"(\d+) to add",
+    "to_change": r"(\d+) to change",
+    "to_destroy": r"(\d+) to destroy",
+    "pod": r"(?m)^(\S+)\s+\d+/\d+\s+(\w+)",
+    "installed": r"Successfully installed\s+(.+)",
+    "vulnerabilities": r"(?i)(\d+)\s+(?:vulnerabilities?|high|critical)",
+    "http_status": r"HTTP/(\d\.\d)\s+(\d{3})",
+    "severity": r"(?i)(high|critical|medium|low)\s+severity",
+    "percent": r"(\d+(?:\.\d+)?)%",
+}
+_FAILED = re.compile(PATTERNS["failed_block"])
 _BLOCK = ArrayType(StructType([StructField(n, StringType()) for n in ("file", "test", "detail")]))
 
 
 @F.pandas_udf(_BLOCK)
 def failed_blocks(text: pd.Series) -> pd.Series:
     """The failing tests told in a test run's output."""
-    return text.map(lambda t: [{"file": m[1], "test": m[2], "detail": m[3].strip()[:200]} for m in FAILED.finditer(t or "")], na_action=None)
+    return text.map(lambda t: [{"file": m[1], "test": m[2], "detail": m[3].strip()[:200]} for m in _FAILED.finditer(t or "")], na_action=None)
 
 
 def _row(kind: str, summary: Column, message: Column | None = None) -> Column:
@@ -42,31 +63,30 @@ def parse_tool_output(events: DataFrame) -> DataFrame:
     low = F.lower(t)
     fact = _row("fact", _text(tool, ": ", F.substring(t, 1, 200)))
     head = F.substring(t, 1, 500)
-    one = lambda p, g=1: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
-    every = lambda p, g=1: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    one = lambda p, g=1: F.nullif(F.regexp_extract(t, PATTERNS[p], g), F.lit(""))
+    every = lambda p, g=1: F.regexp_extract_all(t, F.lit(PATTERNS[p]), F.lit(g))
     rows = lambda *xs: F.array_compact(F.array(*xs))
 
-    passed, failed = one(r"(?i)(\d+)\s+passed"), one(r"(?i)(\d+)\s+failed")
+    passed, failed = one("passed"), one("failed")
     status = F.when(failed.cast("int") > 0, "failing").when(passed.cast("int") > 0, "passing").otherwise("unknown")
     told = F.concat_ws(", ", _text(tool, ": ", status), _text(passed, " passed"), _text(failed, " failed"))
     broken = F.transform("_failed", lambda b: _row("error", _text("Test fail: ", b["test"], " in ", b["file"]), F.substring(_text(b["test"], ": ", b["detail"]), 1, 400)))
-    files = F.array_distinct(every(r"(?m)^diff --git a/(.+?) b/"))
-    added, removed = every(r"(?m)^\+.+def\s+(\w+)"), every(r"(?m)^-.*def\s+(\w+)")
+    files = F.array_distinct(every("diff_file"))
+    added, removed = every("added_function"), every("removed_function")
     some = lambda sign, xs: F.when(F.size(xs) > 0, _text(sign, F.array_join(F.slice(xs, 1, 3), ",")))
     changed = (F.size(added) > 0) | (F.size(removed) > 0)
-    hits = F.array_distinct(every(r"(?m)^([^\n:]+):\d+:"))
-    lint = r"(?mi)^([^\n:]+):(\d+):\s*(error|warning)[\s:]*(.+)$"
-    issues = every(lint, 4)
+    hits = F.array_distinct(every("search_hit"))
+    lint = PATTERNS["lint_issue"]
+    issues = every("lint_issue", 4)
     first = F.substring(_text(F.regexp_extract(t, lint, 1), ":", F.regexp_extract(t, lint, 2), ": ", F.trim(F.regexp_extract(t, lint, 4))), 1, 400)
-    image = one(r"Successfully built\s+([a-f0-9]{12})")
-    plan = F.concat_ws(" ", *[_text(sign, one(rf"(\d+) to {word}")) for sign, word in (("+", "add"), ("~", "change"), ("-", "destroy"))])
-    pods = r"(?m)^(\S+)\s+\d+/\d+\s+(\w+)"
-    states = F.slice(F.zip_with(every(pods, 1), every(pods, 2), lambda a, b: F.concat(a, F.lit(":"), b)), 1, 3)
-    installed, flaws = one(r"Successfully installed\s+(.+)"), one(r"(?i)(\d+)\s+(?:vulnerabilities?|high|critical)")
-    code = one(r"HTTP/(\d\.\d)\s+(\d{3})", 2).cast("int")
-    severe = F.transform(every(r"(?i)(high|critical|medium|low)\s+severity"), F.lower)
+    image = one("docker_image")
+    plan = F.concat_ws(" ", *[_text(sign, one(f"to_{word}")) for sign, word in (("+", "add"), ("~", "change"), ("-", "destroy"))])
+    states = F.slice(F.zip_with(every("pod", 1), every("pod", 2), lambda a, b: F.concat(a, F.lit(":"), b)), 1, 3)
+    installed, flaws = one("installed"), one("vulnerabilities")
+    code = one("http_status", 2).cast("int")
+    severe = F.transform(every("severity"), F.lower)
     counts = F.array_join(F.transform(F.array_sort(F.array_distinct(severe)), lambda s: F.concat(s, F.lit(":"), F.size(F.filter(severe, lambda x: x == s)).cast("string"))), ", ")
-    percent = one(r"(\d+(?:\.\d+)?)%").cast("double")
+    percent = one("percent").cast("double")
     share = percent.cast("string")
     families = {
         "tests": F.concat(F.array(_row("fact", F.substring(told, 1, 300))), broken),
@@ -91,7 +111,8 @@ def parse_tool_output(events: DataFrame) -> DataFrame:
 
 
 ITEM = "array<struct<memory_type:string,summary:string,status:string,rationale:string,error_kind:string,error_message:string,importance:double,confidence:double,file_references:array<string>>>"
-TYPES = "event intent goal decision error task fact requirement code_change tool_call uncertainty reflection procedure preference".split()
+# Memory types.
+TYPES = ("event", "intent", "goal", "decision", "error", "task", "fact", "requirement", "code_change", "tool_call", "uncertainty", "reflection", "procedure", "preference")
 
 
 def from_precomputed(events: DataFrame) -> DataFrame:

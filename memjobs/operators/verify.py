@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memjobs.functions import text as T
-from memjobs.operators.ledger import any_contains
+from memjobs.operators.ledger import any_contains, top_memories
 
 # Claims that need a citation, strong words, negations, file endings.
 CLAIMS = (r"we decided to \w+", r"the (error|bug|issue) is \w+", r"the (test|deployment|build) (passed|failed|succeeded)", r"we should use \w+", r"the current (phase|status|branch) is \w+")
@@ -82,6 +82,44 @@ def verify_citations(answers: DataFrame, memories: DataFrame) -> DataFrame:
     return out.withColumn("score", F.greatest(F.lit(0.0), 1.0 - 0.25 * violations)).withColumn("consistent", violations == 0)
 
 
+# Words that deny, and words that claim a change of files.
+DENIALS = ("not", "no", "never", "don't", "doesn't", "shouldn't", "avoid", "instead")
+CHANGES = ("changed", "modified")
+UNUSABLE = ("superseded", "rejected", "archived")
+
+
+def verify_consistency(answers: DataFrame, packs: DataFrame, memories: DataFrame, decisions: int = 50) -> DataFrame:
+    """answer_id with counts of findings, score and ``consistent``.
+
+    Violations, a quarter each: cited ids that are missing or unusable;
+    ``contradicted`` active decisions (the first ``decisions`` of the project
+    in rank order) that share a word with an answer that denies something; ids
+    in the pack of other projects, one for all.  A warning, a tenth: the
+    answer claims changed files and no section of the pack speaks of a tool.
+    answers: answer_id, project_id, text.  packs: answer_id, sections.
+    memories: with ``statement`` of decisions.
+    """
+    own = answers.select("answer_id", F.col("project_id").alias("own"), "text")
+    known = memories.select("memory_id", "validity", "project_id")
+    cited = own.select("answer_id", F.explode(T.all_matches(F.col("text"), "mem_[a-f0-9]+")).alias("memory_id")).join(known, "memory_id", "left")
+    cited = cited.groupBy("answer_id").agg(F.count_if(F.col("validity").isNull()).alias("missing"), F.count_if(F.col("validity").isin(*UNUSABLE)).alias("unusable"), F.count_if(~F.col("validity").isin(*UNUSABLE)).alias("citations"))
+    said = top_memories(memories.where("statement is not null"), memory_type="decision", validity="active", k=decisions)
+    denying = own.withColumn("words", T.words(F.col("text"))).where(F.arrays_overlap("words", F.array(*map(F.lit, DENIALS))))
+    against = denying.join(said.select(F.col("project_id").alias("own"), T.words(F.col("statement")).alias("said")), "own").where(F.arrays_overlap("words", "said"))
+    against = against.groupBy("answer_id").agg(F.count("*").alias("contradicted"))
+    packed = packs.select("answer_id", F.explode(F.flatten(F.transform("sections", lambda s: s["memory_ids"]))).alias("memory_id")).join(known.select("memory_id", "project_id"), "memory_id")
+    foreign = packed.join(own.select("answer_id", "own"), "answer_id").groupBy("answer_id").agg(F.max((F.col("project_id") != F.col("own")).cast("int")).alias("foreign"))
+    proved = packs.select("answer_id", F.exists("sections", lambda s: F.lower(s["content"]).contains("tool")).alias("proved"))
+    x = own
+    for part in (cited, against, foreign, proved):
+        x = x.join(part, "answer_id", "left")
+    x = x.fillna(0, ["missing", "unusable", "citations", "contradicted", "foreign"])
+    unproved = (any_contains(F.lower("text"), CHANGES) & ~F.coalesce("proved", F.lit(False))).cast("int")
+    violations = F.col("missing") + F.col("unusable") + F.col("contradicted") + F.col("foreign")
+    score = F.greatest(F.lit(0.0), 1.0 - 0.25 * violations - 0.1 * unproved)
+    return x.select("answer_id", "missing", "unusable", "citations", "contradicted", "foreign", unproved.alias("unproved"), F.round(score, 6).alias("score"), (violations == 0).alias("consistent"))
+
+
 def repair_actions(results: DataFrame) -> DataFrame:
     """response_id, actions: pass, or what to do about each kind of finding."""
     has = lambda column, *names: F.arrays_overlap(F.col(column), F.array(*map(F.lit, names)))

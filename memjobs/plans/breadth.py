@@ -81,14 +81,28 @@ def _(spark, d):
     return rows.select("event_id", "memory_type", "summary", "decision_status", "error_kind", "importance")
 
 
-# One Python file for each project: a function of two lines for each event.
-_FN = f"{EV_SQL}, fn AS (SELECT 'src/' || project_id || '.py' AS file_path, 'fn_' || k AS name, m, row_number() OVER (PARTITION BY project_id ORDER BY timestamp, event_id) - 1 AS i FROM ev)"
+# A Python file for each session, in a folder for each project: a function of two lines for each event.
+_FN = f"{EV_SQL}, fn AS (SELECT project_id, 'src/' || project_id || '/' || session_id || '.py' AS file_path, 'fn_' || k AS name, m, row_number() OVER (PARTITION BY project_id, session_id ORDER BY timestamp, event_id) - 1 AS i FROM ev)"
+
+
+def _path():
+    return F.concat(F.lit("src/"), "project_id", F.lit("/"), "session_id", F.lit(".py")).alias("file_path")
 
 
 def _files(spark, d):
     body = F.concat(F.lit("def fn_"), F.col("k").cast("string"), F.lit("(x):\n    return helper_"), F.col("m").cast("string"), F.lit("(x)\n"))
-    rows = views.ev(spark, d).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id", body.alias("body")))).alias("b"))
-    return rows.select(F.concat(F.lit("src/"), "project_id", F.lit(".py")).alias("file_path"), F.array_join(F.transform("b", lambda x: x["body"]), "").alias("content"))
+    rows = views.ev(spark, d).groupBy("project_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id", body.alias("body")))).alias("b"))
+    return rows.select(_path(), F.array_join(F.transform("b", lambda x: x["body"]), "").alias("content"))
+
+
+@query("a1_read_session_logs", f"WITH {EV_SQL} SELECT 'evt_log_' || lpad((row_number() OVER (PARTITION BY project_id ORDER BY timestamp, event_id) - 1)::VARCHAR, 3, '0') AS event_id, event_type, raw_text, tool_name FROM ev")
+def _(spark, d):
+    from memjobs.sources.tables import shared_folder
+
+    folder = shared_folder(spark, "logs")
+    rows = views.ev(spark, d).repartition("project_id").sortWithinPartitions("project_id", "timestamp", "event_id")
+    rows.select("project_id", "event_type", "timestamp", "raw_text", "tool_name").write.partitionBy("project_id").json(folder)
+    return readers.read_session_logs(spark, folder, "all", "log").select("event_id", "event_type", "raw_text", F.col("payload")["tool_name"].alias("tool_name"))
 
 
 @query("l1_index_code_regex", f"WITH {_FN} SELECT file_path, name, 'function' AS symbol_type, (2 * i + 1)::INT AS line_start FROM fn")
@@ -102,25 +116,39 @@ def _(spark, d):
     return rows.select("file_path", "name", "signature", "line_start", "line_end", F.array_join("calls", "|").alias("calls"))
 
 
-@query("l3_search_symbols", f"WITH {_FN} SELECT file_path, name FROM fn WHERE contains(name, 'fn_7')")
+@query("l3_search_symbols", f"WITH {_FN} SELECT file_path, name, needle FROM fn JOIN (SELECT unnest(['fn_7', '_3']) AS needle) ON contains(name, needle)")
 def _(spark, d):
-    needles = spark.range(1).select(F.lit("fn_7").alias("needle"))
-    return code.search_symbols(code.index_code_python(_files(spark, d)), F.broadcast(needles)).select("file_path", "name")
+    return code.search_symbols(code.index_code_python(_files(spark, d)), ["fn_7", "_3"]).select("file_path", "name", "needle")
+
+
+# A name called in one file is defined in any of the project's.
+_EDGES = f"""{_FN}, called AS (SELECT DISTINCT a.project_id, a.file_path, a.name AS caller, b.name AS callee FROM fn a JOIN fn b ON a.file_path = b.file_path AND b.i IN (a.i + 1, a.i + 2) AND a.name <> b.name),
+ed AS (SELECT DISTINCT c.file_path, caller, f.file_path AS callee_path, callee FROM called c JOIN fn f ON c.project_id = f.project_id AND callee = f.name)"""
 
 
-_EDGES = f"{_FN}, ed AS (SELECT DISTINCT a.file_path, a.name AS caller, b.name AS callee FROM fn a JOIN fn b ON a.file_path = b.file_path AND b.i IN (a.i + 1, a.i + 2) AND a.name <> b.name)"
+def _edges(spark, d):
+    return code.call_edges(code.index_code_regex(_files(spark, d)), F.regexp_extract("file_path", "^src/([^/]+)/", 1))
 
 
-@query("l4_call_edges", f"WITH {_EDGES} SELECT file_path, caller, callee FROM ed")
+@query("l4_call_edges", f"WITH {_EDGES} SELECT file_path, caller, callee_path, callee FROM ed")
 def _(spark, d):
-    return code.call_edges(code.index_code_regex(_files(spark, d)))
+    return _edges(spark, d)
 
 
-_CHANGES = f"{_EDGES}, ch AS (SELECT DISTINCT 'src/' || project_id || '.py' AS file_path, k % 12 + 1 AS line FROM ev WHERE event_type = 'code_change'), hit AS (SELECT DISTINCT fn.file_path, name FROM fn JOIN ch ON fn.file_path = ch.file_path AND line BETWEEN 2 * i + 1 AND 2 * i + 2)"
+@query("l4_callers_callees", f"WITH {_EDGES} SELECT 'caller' AS kind, callee AS name, file_path, caller AS other FROM ed WHERE callee IN ('fn_7', 'fn_12') UNION SELECT 'callee', caller, callee_path, callee FROM ed WHERE caller IN ('fn_7', 'fn_12')")
+def _(spark, d):
+    edges = _edges(spark, d)
+    names = edges.where("callee in ('fn_7', 'fn_12')").select("callee")
+    up = code.callers(edges, names).select(F.lit("caller").alias("kind"), F.col("callee").alias("name"), "file_path", F.col("caller").alias("other"))
+    down = code.callees(edges, edges.where("caller in ('fn_7', 'fn_12')").select("caller"))
+    return up.union(down.select(F.lit("callee"), "caller", "callee_path", "callee"))
+
+
+_CHANGES = f"{_EDGES}, ch AS (SELECT DISTINCT 'src/' || project_id || '/' || session_id || '.py' AS file_path, k % 12 + 1 AS line FROM ev WHERE event_type = 'code_change' AND k % 3 = 0), hit AS (SELECT DISTINCT fn.file_path, name FROM fn JOIN ch ON fn.file_path = ch.file_path AND line BETWEEN 2 * i + 1 AND 2 * i + 2)"
 
 
 def _changes(spark, d):
-    return views.ev(spark, d).where("event_type = 'code_change'").select(F.concat(F.lit("src/"), "project_id", F.lit(".py")).alias("file_path"), (F.col("k") % 12 + 1).alias("line"))
+    return views.ev(spark, d).where("event_type = 'code_change' and k % 3 = 0").select(_path(), (F.col("k") % 12 + 1).alias("line"))
 
 
 @query("l5_affected_symbols", f"WITH {_CHANGES} SELECT file_path, name FROM hit")
@@ -130,18 +158,17 @@ def _(spark, d):
 
 @query(
     "l6_transitive_affected",
-    f"""WITH {_CHANGES}, e AS (SELECT file_path, caller AS x, callee AS y FROM ed UNION SELECT file_path, callee, caller FROM ed), h1 AS (SELECT file_path, y AS name FROM hit JOIN e USING (file_path) WHERE hit.name = e.x UNION FROM hit)
-SELECT file_path, y AS name FROM h1 JOIN e USING (file_path) WHERE h1.name = e.x UNION SELECT file_path, name FROM h1""",
+    f"""WITH {_CHANGES}, e AS (SELECT file_path AS fx, caller AS x, callee_path AS fy, callee AS y FROM ed UNION SELECT callee_path, callee, file_path, caller FROM ed), h1 AS (SELECT fy AS file_path, y AS name FROM hit JOIN e ON hit.file_path = fx AND hit.name = x UNION FROM hit)
+SELECT fy AS file_path, y AS name FROM h1 JOIN e ON h1.file_path = fx AND h1.name = x UNION SELECT file_path, name FROM h1""",
 )
 def _(spark, d):
-    files = _files(spark, d)
-    seeds = code.affected_symbols(code.index_code_python(files), _changes(spark, d))
-    return code.transitive_affected(seeds, code.call_edges(code.index_code_regex(files)), 3)
+    seeds = code.affected_symbols(code.index_code_python(_files(spark, d)), _changes(spark, d))
+    return code.transitive_affected(seeds, _edges(spark, d), 3)
 
 
-@query("l7_dependency_chain", f"WITH {_EDGES}, u AS (SELECT file_path, callee AS name, string_agg(caller, '|' ORDER BY caller) AS upstream FROM ed GROUP BY ALL), w AS (SELECT file_path, caller AS name, string_agg(callee, '|' ORDER BY callee) AS downstream FROM ed GROUP BY ALL) SELECT file_path, name, upstream, downstream FROM u FULL JOIN w USING (file_path, name)")
+@query("l7_dependency_chain", f"WITH {_EDGES}, u AS (SELECT callee_path AS file_path, callee AS name, string_agg(DISTINCT caller, '|' ORDER BY caller) AS upstream FROM ed GROUP BY ALL), w AS (SELECT file_path, caller AS name, string_agg(DISTINCT callee, '|' ORDER BY callee) AS downstream FROM ed GROUP BY ALL) SELECT file_path, name, upstream, downstream FROM u FULL JOIN w USING (file_path, name)")
 def _(spark, d):
-    rows = code.dependency_chain(code.call_edges(code.index_code_regex(_files(spark, d))))
+    rows = code.dependency_chain(_edges(spark, d))
     return rows.select("file_path", "name", F.array_join("upstream", "|").alias("upstream"), F.array_join("downstream", "|").alias("downstream"))
 
 
@@ -195,6 +222,32 @@ def _(spark, d):
     return verify.verify_citations(answers, rows).select("answer_id", "missing", "unusable", F.col("foreign").alias("foreign_"), F.round("score", 6).alias("score"))
 
 
+# Answers that deny and claim; packs of each project's first rows, and of another project's for some.
+_CONSISTENT = f"""{MEM_SQL}, a AS (SELECT DISTINCT project_id AS answer_id, project_id, substr(project_id, 6)::INT AS i FROM mem), an AS (SELECT *, CASE WHEN i % 2 = 0 THEN 'We do not use engine' || i % 7 || ' here' ELSE 'All fine' END || CASE WHEN i % 3 = 0 THEN ' and changed a file' ELSE '' END AS text FROM a),
+o AS (SELECT *, row_number() OVER (PARTITION BY project_id, memory_type, validity ORDER BY recency_score DESC, importance_score DESC, timestamp DESC, memory_id) AS n FROM mem), de AS (SELECT * FROM o WHERE memory_type = 'decision' AND validity = 'active' AND n <= 50),
+co AS (SELECT answer_id, count(*) AS c FROM an JOIN de USING (project_id) WHERE i % 2 = 0 AND len(list_intersect(string_split(lower(text), ' '), string_split(lower(raw_text), ' '))) > 0 GROUP BY 1),
+x AS (SELECT answer_id, coalesce(c, 0) AS contradicted, (i % 4 = 0)::INT AS foreign_, (i % 3 = 0 AND i % 6 <> 0)::INT AS unproved FROM an LEFT JOIN co USING (answer_id))"""
+
+
+@query("i2_verify_consistency", f"WITH {_CONSISTENT} SELECT answer_id, contradicted::BIGINT AS contradicted, foreign_, unproved, greatest(0, round(1 - 0.25 * (contradicted + foreign_) - 0.1 * unproved, 6))::DOUBLE AS score, contradicted + foreign_ = 0 AS consistent FROM x")
+def _(spark, d):
+    rows = views.mem(spark, d).withColumn("statement", F.when(F.col("memory_type") == "decision", F.col("raw_text")))
+    i = F.substring("project_id", 6, 10).cast("int")
+    denies = F.when(i % 2 == 0, F.concat(F.lit("We do not use engine"), (i % 7).cast("string"), F.lit(" here"))).otherwise("All fine")
+    text = F.concat(denies, F.when(i % 3 == 0, " and changed a file").otherwise(""))
+    answers = rows.select("project_id").distinct().select(F.col("project_id").alias("answer_id"), "project_id", text.alias("text"))
+    own = rows.groupBy("project_id").agg(F.min("memory_id").alias("own"))
+    other = own.select(F.concat(F.lit("proj_"), (F.substring("project_id", 6, 10).cast("int") - 1).cast("string")).alias("project_id"), F.col("own").alias("other"))
+    first = rows.agg(F.min_by("memory_id", "project_id").alias("a"), F.max_by("memory_id", "project_id").alias("b"), F.min("project_id").alias("p"))  # one row
+    held = own.join(other, "project_id", "left").join(F.broadcast(first)).withColumn("other", F.coalesce("other", F.when(F.col("project_id") == F.col("p"), F.col("b")).otherwise(F.col("a"))))
+    ids = F.when(i % 4 == 0, F.array("own", "other")).otherwise(F.array("own"))
+    content = F.when(i % 6 == 0, "a TOOL told").otherwise("text")
+    section = F.struct(content.alias("content"), ids.alias("memory_ids"))
+    packs = held.select(F.col("project_id").alias("answer_id"), F.array(section).alias("sections"))
+    out = verify.verify_consistency(answers, packs, rows)
+    return out.select("answer_id", "contradicted", F.col("foreign").alias("foreign_"), "unproved", "score", "consistent")
+
+
 def _stream(spark, d):
     schema = views.table(spark, d, "events").schema
     return views.ev_of(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"))  # a pattern: a stream takes a single file only so

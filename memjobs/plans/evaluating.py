@@ -36,11 +36,49 @@ def _(spark, d):
     return packs.flat_packs(_packs(spark, d, compact=True))
 
 
+@query("f3_rescue_terms")
+def _(spark, d):
+    memories = views.mem(spark, d)
+    requests = _requests(spark, d).withColumn("required_terms", F.array(F.lit("CACHE_TTL_7"), F.lit("field3")))
+    return packs.flat_packs(packs.build_packs(requests, retrieve.retrieve(requests, memories), memories)).where("section = 'protected_evidence'")
+
+
+# Packs that SQL can make too: the ten first rows of each request, in two sections.
+_SECTIONED = f"""{relating._LISTS}, pr AS (SELECT request_id, memory_id, place, CASE WHEN place <= 5 THEN 'first_rows' ELSE 'rest' END AS section, raw_text, memory_type FROM fused JOIN mem USING (memory_id) WHERE place <= 10),
+ps AS (SELECT request_id, section, string_agg(raw_text, chr(10) ORDER BY place) AS content FROM pr GROUP BY ALL)"""
+
+
+def _sectioned(spark, d):
+    rows = relating._fused(spark, d).where("place <= 10").join(views.mem(spark, d).select("memory_id", "raw_text"), "memory_id").withColumn("section", F.when(F.col("place") <= 5, "first_rows").otherwise("rest"))
+    parts = rows.groupBy("request_id", "section").agg(F.array_sort(F.collect_list(F.struct("place", "memory_id", "raw_text"))).alias("r"))
+    section = F.struct(F.col("section").alias("name"), F.array_join(F.transform("r", lambda x: x["raw_text"]), "\n").alias("content"), F.transform("r", lambda x: x["memory_id"]).alias("memory_ids"), F.lit(1).alias("tokens"))
+    made = parts.groupBy("request_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    return made.join(relating._asks(spark, d).select("request_id", "project_id"), "request_id").withColumn("warnings", F.array(F.lit("one"), F.concat(F.lit("two of "), "project_id")))
+
+
 @query("f8_compose_prompts")
 def _(spark, d):
     return packs.compose_prompts(_packs(spark, d), _requests(spark, d))
 
 
+_DUTIES = "'## ANSWER REQUIREMENTS' || " + " || ".join(f"chr(10) || '- {w}'" for w in packs.DUTIES)
+
+
+@query(
+    "f8_prompts_of_sections",
+    f"""WITH {_SECTIONED}, b AS (SELECT request_id, string_agg('## ' || upper(replace(section, '_', ' ')) || chr(10) || content, chr(10) || chr(10) ORDER BY section) AS body FROM ps GROUP BY 1)
+SELECT request_id, body || chr(10) || chr(10) || '## WARNINGS' || chr(10) || '- one' || chr(10) || '- two of ' || project_id || chr(10) || chr(10) || '## FORBIDDEN CONTEXT' || chr(10) || '- Scope:' || project_id || chr(10) || chr(10) || '## USER QUERY' || chr(10) || query || chr(10) || chr(10) || {_DUTIES} AS prompt FROM b JOIN reqs USING (request_id)""",
+)
+def _(spark, d):
+    return packs.compose_prompts(_sectioned(spark, d), relating._asks(spark, d))
+
+
+@query("f9_rag_packs")
+def _(spark, d):
+    requests = relating._with_vectors(spark, d, _requests(spark, d))
+    return packs.flat_packs(packs.rag_packs(requests, views.mem(spark, d), relating._vectors(spark, d)))
+
+
 @query("f11_pack_trace")
 def _(spark, d):
     memories, requests = views.mem(spark, d), _requests(spark, d)
@@ -49,6 +87,27 @@ def _(spark, d):
     return packs.pack_trace(found.join(memories.select("memory_id", "validity"), "memory_id"), built)
 
 
+@query(
+    "f11_trace_of_sections",
+    f"WITH {_SECTIONED} SELECT f.request_id, f.memory_id, coalesce(section, CASE WHEN validity IN ('superseded', 'rejected') THEN 'dropped: ' || validity ELSE 'dropped: budget' END) AS fate FROM fused f JOIN mem USING (memory_id) LEFT JOIN pr ON pr.request_id = f.request_id AND pr.memory_id = f.memory_id",
+)
+def _(spark, d):
+    found = relating._fused(spark, d).join(views.mem(spark, d).select("memory_id", "validity"), "memory_id")
+    return packs.pack_trace(found, _sectioned(spark, d))
+
+
+@query(
+    "m10_content_success_rates",
+    f"""WITH {_SECTIONED}, sc AS (SELECT request_id, least(1.0, count(*) FILTER (WHERE memory_type = 'error') / 3) >= 0.67 AS ok FROM pr GROUP BY 1)
+SELECT 'section' AS kind, section AS value, count(*) AS n, round(avg(ok::INT), 6) AS rate FROM ps JOIN sc USING (request_id) GROUP BY 2 UNION ALL SELECT 'memory_type', memory_type, count(*), round(avg(ok::INT), 6) FROM pr JOIN sc USING (request_id) GROUP BY 2""",
+)
+def _(spark, d):
+    made, memories = _sectioned(spark, d), views.mem(spark, d)
+    held = made.select("request_id", F.explode(F.flatten(F.transform("sections", lambda s: s["memory_ids"]))).alias("memory_id")).join(memories.select("memory_id", "memory_type"), "memory_id")
+    scores = held.groupBy("request_id").agg(F.least(F.lit(1.0), F.count_if(F.col("memory_type") == "error") / 3).alias("restore"))
+    return _rounded(evals.content_success_rates(scores, made, memories), "rate")
+
+
 @query("m11_budget_curve")
 def _(spark, d):
     memories, requests = views.mem(spark, d), _requests(spark, d)
@@ -133,6 +192,7 @@ def _(spark, d):
 _LABELS = {
     "expected_goals": ["'fix src/mod' || a", "'add endpoint'"], "expected_decisions": ["'use engine' || a", "'module store'"], "expected_errors": ["'parser' || a", "'connection refused'", "'test failed'"], "stale_facts": ["'engine' || b", "'step'"],
     "keywords": ["'engine'", "'parser'", "'release'"], "exact_symbols": ["'engine' || a", "'parser' || b"], "rejected": ["'engine3'"], "expected_files": ["'api.py'"],
+    "expected_tasks": ["'step'", "'refactor parser' || a"], "constraints": ["'must'"], "dependencies": ["'parser' || b", "'field' || a"], "root_causes": ["'pool too small'"], "fixes": ["'raise limit'", "'build failed'"], "functions": ["'assertion'"],
 }
 _SCENARIOS = f"""{MEM_SQL}, {_SUMMARY}, ids AS (SELECT DISTINCT project_id AS name, substr(project_id, 6)::INT % 7 AS a, (substr(project_id, 6)::INT + 1) % 7 AS b FROM mem),
 sc AS (SELECT name, {', '.join(f'[{", ".join(v)}] AS {k}' for k, v in _LABELS.items())} FROM ids),
@@ -175,8 +235,8 @@ def _(spark, d):
 
 
 _COMPONENTS = f"""{_SCENARIOS}, w AS (SELECT *, CASE WHEN {' OR '.join(f"contains(text, '{x}')" for x in evals.WHY)} THEN 1.0 ELSE 0.0 END AS rationale FROM j),
-cm AS (SELECT name, method, {_share('exact_symbols')} AS exact_symbol, {_share('expected_decisions')} AS decision, greatest(0, {_share('expected_decisions')} - {_share('rejected')}) AS decision_correctness, 0.3 * {_share('expected_goals')} + 0.7 AS project_state, 0.4 * {_share('expected_errors')} + 0.6 AS error_bug,
- 0.5 * {_share('expected_files')} + 0.5 AS file_function, 1 - {_share('stale_facts')} AS stale_suppression, rationale, ({_share('expected_goals')} + {_share('expected_decisions')} + {_share('expected_errors')}) / 3 * (1 - tokens / 306.0) AS token_efficiency FROM w)"""
+cm AS (SELECT name, method, {_share('exact_symbols')} AS exact_symbol, {_share('expected_decisions')} AS decision, greatest(0, {_share('expected_decisions')} - {_share('rejected')}) AS decision_correctness, 0.3 * {_share('expected_goals')} + 0.3 * {_share('expected_tasks')} + 0.2 * {_share('constraints')} + 0.2 * {_share('dependencies')} AS project_state, {_share('expected_tasks')} AS open_task,
+ 0.4 * {_share('expected_errors')} + 0.35 * {_share('root_causes')} + 0.25 * {_share('fixes')} AS error_bug, 0.5 * {_share('expected_files')} + 0.5 * {_share('functions')} AS file_function, 1 - {_share('stale_facts')} AS stale_suppression, rationale, ({_share('expected_goals')} + {_share('expected_decisions')} + {_share('expected_errors')}) / 3 * (1 - tokens / 306.0) AS token_efficiency FROM w)"""
 
 
 @query("m2_component_metrics", f"WITH {_COMPONENTS} SELECT name, method, round(decision_correctness, 6) AS decision_correctness, round(project_state, 6) AS project_state, round(error_bug, 6) AS error_bug, round(file_function, 6) AS file_function, round(stale_suppression, 6) AS stale_suppression, round(token_efficiency, 6) AS token_efficiency FROM cm")
@@ -187,7 +247,7 @@ def _(spark, d):
 
 @query(
     "m3_quality",
-    f"WITH {_COMPONENTS} SELECT name, method, round(0.15 * exact_symbol + 0.15 * decision + 0.15 * project_state + 0.1 * error_bug + 0.1 * file_function + 0.1 * stale_suppression + 0.05 + 0.05 * token_efficiency, 6) AS quality_7, round(0.15 * exact_symbol + 0.15 * decision + 0.15 * project_state + 0.1 * error_bug + 0.1 * file_function + 0.1 * stale_suppression + 0.05 * rationale + 0.1 * token_efficiency, 6) AS quality_9 FROM cm",
+    f"WITH {_COMPONENTS} SELECT name, method, round(0.15 * exact_symbol + 0.15 * decision + 0.15 * project_state + 0.1 * open_task + 0.1 * error_bug + 0.1 * file_function + 0.1 * stale_suppression + 0.05 + 0.05 * token_efficiency, 6) AS quality_7, round(0.15 * exact_symbol + 0.15 * decision + 0.15 * project_state + 0.1 * open_task + 0.1 * error_bug + 0.1 * file_function + 0.1 * stale_suppression + 0.05 * rationale + 0.1 * token_efficiency, 6) AS quality_9 FROM cm",
 )
 def _(spark, d):
     return _rounded(evals.quality(evals.component_metrics(_made(spark, d), _scenarios(spark, d))), "quality_7", "quality_9")
@@ -287,8 +347,28 @@ def _(spark, d):
     return _rounded(evals.task_scores(made, tasks), "mean_score", "share_passed")
 
 
-@query("m12_audit_scenarios")
+@query(
+    "m14_task_scores_second",
+    f"""WITH {_SCENARIOS}, s AS (SELECT ascii(right(name, 1)) % 3 AS category, {_share('keywords')} - CASE WHEN tokens % 2 = 0 THEN 0 ELSE 0.1 END AS s FROM j WHERE method = 'full')
+SELECT category, round(avg(s), 6) AS mean_score, round(avg((s >= 0.8)::INT), 6) AS share_passed, count(*) AS n FROM s GROUP BY 1""",
+)
+def _(spark, d):
+    made = _made(spark, d).where("method = 'full'").select("name", "text", (F.col("tokens") % 2 == 0).alias("verified"))
+    tasks = _scenarios(spark, d).select("name", (F.ascii(F.right("name", F.lit(1))) % 3).alias("category"), F.col("keywords").alias("expected"), F.col("stale_facts").alias("forbidden"))
+    return _rounded(evals.task_scores(made, tasks, second=True), "mean_score", "share_passed")
+
+
+_NUMBER = "substr(name, 6)::INT"
+
+
+@query(
+    "m12_audit_scenarios",
+    f"""WITH {_SCENARIOS}, n AS (SELECT name, {_NUMBER} AS i FROM sc), c AS (SELECT 0::BIGINT AS missing, count(*) FILTER (WHERE i % 7 = 0) AS extra, count(*) FILTER (WHERE i % 7 > 0 AND i % 10 = 0) AS unlocked, count(*) FILTER (WHERE i % 7 > 0 AND i % 11 = 0) AS changed, count(*) FILTER (WHERE i % 20 = 3) AS overlap FROM n)
+SELECT *, extra + unlocked + changed + overlap = 0 AS ok FROM c""",
+)
 def _(spark, d):
     run = _scenarios(spark, d)
-    hashed = run.select("name", F.sha2(F.to_json(F.struct(*[c for c in run.columns if c != "name"])), 256).alias("hash"), (F.crc32("name") % 10 > 0).alias("locked"))
-    return evals.audit_scenarios(run, hashed.where("crc32(name) % 7 > 0"), run.where("crc32(name) % 20 = 0"))
+    i = F.substring("name", 6, 10).cast("int")
+    content = F.sha2(F.to_json(F.struct(*[c for c in run.columns if c != "name"])), 256)
+    manifest = run.where(i % 7 > 0).select("name", F.when(i % 11 == 0, "another").otherwise(content).alias("hash"), (i % 10 > 0).alias("locked"))
+    return evals.audit_scenarios(run, manifest, run.where(i % 20 == 3))

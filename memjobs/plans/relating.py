@@ -27,9 +27,9 @@ SELECT source_id, target_id, CASE WHEN same THEN 'same_session' WHEN relation IS
  CASE WHEN same THEN 0.9 WHEN relation IS NOT NULL THEN 0.7 WHEN file THEN 0.8 WHEN n >= 3 THEN round(least(0.8, 0.5 + n * 0.05), 6) ELSE 0.5 END::DOUBLE AS confidence FROM p WHERE relation_type IS NOT NULL"""
 
 
-@query("d1_auto_link", _linked(f"QUALIFY row_number() OVER (PARTITION BY project_id {_RANK}) <= 20"))
+@query("d1_auto_link", _linked(f"QUALIFY row_number() OVER (PARTITION BY project_id {_RANK}) <= 100"))
 def _(spark, d):
-    return links.auto_link(views.mem(spark, d), 20).withColumn("confidence", F.round("confidence", 6))
+    return links.auto_link(views.mem(spark, d), 100).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("d1_auto_link_uncapped", _linked(""))
@@ -69,19 +69,29 @@ def _(spark, d):
 _EDGES = f"{LINKS_SQL}, e AS (SELECT source_id AS x, target_id AS y FROM links UNION SELECT target_id, source_id FROM links)"
 
 
+# Memories with links of their own, next to the link table.
+_STORED = "st AS (SELECT memory_id AS x, 'mem_' || (substr(memory_id, 5)::INT + 7) AS y FROM mem WHERE k % 6 = 0 UNION SELECT memory_id, 'mem_' || (substr(memory_id, 5)::INT + 11) FROM mem WHERE k % 9 = 0)"
+
+
+def _linked_memories(spark, d):
+    other = lambda step: F.array(F.concat(F.lit("mem_"), (F.substring("memory_id", 5, 20).cast("int") + step).cast("string")))
+    none = F.array().cast("array<string>")
+    return views.mem(spark, d).withColumn("dependency_links", F.when(F.col("k") % 6 == 0, other(7)).otherwise(none)).withColumn("contradiction_links", F.when(F.col("k") % 9 == 0, other(11)).otherwise(none))
+
+
 @query(
     "d5_expand_graph",
-    f"""WITH {_EDGES}, h0 AS (SELECT project_id AS g, memory_id AS x FROM mem WHERE k % 20 = 0), h1 AS (SELECT g, y AS x FROM h0 JOIN e USING (x) UNION FROM h0), h2 AS (SELECT g, y AS x FROM h1 JOIN e USING (x) UNION FROM h1)
-SELECT g AS group_id, x AS memory_id FROM h2""",
+    f"""WITH {_EDGES}, {_STORED}, h0 AS (SELECT project_id AS g, memory_id AS x FROM mem WHERE k % 20 = 0), h1 AS (SELECT g, y AS x FROM h0 JOIN e USING (x) UNION FROM h0), h2 AS (SELECT g, y AS x FROM h1 JOIN e USING (x) UNION FROM h1)
+SELECT g AS group_id, x AS memory_id FROM h2 UNION SELECT g, y FROM h2 JOIN st USING (x) WHERE y IN (SELECT memory_id FROM mem)""",
 )
 def _(spark, d):
     seeds = views.mem(spark, d).where("k % 20 = 0").select(F.col("project_id").alias("group_id"), "memory_id")
-    return links.expand_graph(seeds, views.links(spark, d), 3)
+    return links.expand_graph(seeds, views.links(spark, d), 3, memories=_linked_memories(spark, d))
 
 
-@query("d6_neighbors", f"WITH {_EDGES} SELECT x AS memory_id, y AS neighbor_id FROM e")
+@query("d6_neighbors", f"WITH {_EDGES}, {_STORED} SELECT x AS memory_id, y AS neighbor_id FROM e UNION SELECT x, y FROM st WHERE y IN (SELECT memory_id FROM mem)")
 def _(spark, d):
-    return links.neighbors(views.mem(spark, d), views.links(spark, d))
+    return links.neighbors(_linked_memories(spark, d), views.links(spark, d))
 
 
 @query(
@@ -105,7 +115,7 @@ def _(spark, d):
 
 # Documents as memories, benchmark items as requests.
 _TOKENS = """d AS (SELECT doc_id AS memory_id, source AS project_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}') AS tokens FROM documents),
-r AS (SELECT item_id AS request_id, 'src' || (item_id % 20) AS project_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:8], ' ') AS query FROM benchmark),
+r AS (SELECT item_id AS request_id, 'src' || (item_id % 20) AS project_id, text AS query FROM benchmark),
 p AS (SELECT memory_id, project_id, len(tokens) AS length, unnest(tokens) AS term FROM d), ix AS (SELECT memory_id, project_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
 s AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM ix GROUP BY term),
 st AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM s) ELSE raw END AS idf FROM s)"""
@@ -119,8 +129,7 @@ def _docs(spark, d):
 
 
 def _requests(spark, d):
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 8)
-    return views.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("project_id"), F.array_join(words, " ").alias("query"))
+    return views.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("project_id"), F.col("text").alias("query"))
 
 
 @query("e1_tokenize", "SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}'))::INT AS n, regexp_extract(lower(coalesce(text, '')), '[a-z0-9_]{2,}') AS first FROM documents")
@@ -147,12 +156,12 @@ def _(spark, d):
 
 @query(
     "e4_vector_search",
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS request_id, v.vec_id AS memory_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id % 50 = 0)
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS request_id, v.vec_id AS memory_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id % 20 = 0)
 SELECT request_id, memory_id, score FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 10""",
 )
 def _(spark, d):
     vectors = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    asked = vectors.where("memory_id % 50 = 0").withColumnRenamed("memory_id", "request_id")
+    asked = vectors.where("memory_id % 20 = 0").withColumnRenamed("memory_id", "request_id")
     return retrieve.vector_search(vectors, asked, 10).select("request_id", "memory_id", F.round("score", 6).alias("score"))
 
 
@@ -182,6 +191,47 @@ def _(spark, d):
     return retrieve.make_plan(_asks(spark, d)).select("request_id", "task", "needs_errors", "needs_decisions", "needs_code", "needs_graph")
 
 
+# Requests with sessions, vectors and requirements of their own.
+_OWN = f"""{_REQS}, nums AS (SELECT *, query AS q, substr(project_id, 6)::INT AS i FROM reqs), own AS (SELECT *, {_TASK} AS task, i % 5 <> 0 AS asks_errors, i % 4 <> 1 AS asks_decisions, i % 3 = 0 AS needs_graph, 1 + i % 3 AS hops, 'sess_' || i || '_' || (i % 4) AS session_id FROM nums),
+plan AS (SELECT *, asks_errors OR task = 'debugging' AS needs_errors, asks_decisions OR task IN ('debugging', 'architecture', 'feature') AS needs_decisions, task NOT IN ('architecture', 'research') AS needs_code FROM own)"""
+
+
+def _own_asks(spark, d):
+    i = F.substring("project_id", 6, 10).cast("int")
+    told = F.create_map(F.lit("include_errors"), i % 5 != 0, F.lit("include_decisions"), i % 4 != 1, F.lit("include_graph"), i % 3 == 0)
+    session = F.concat_ws("_", F.lit("sess"), i.cast("string"), (i % 4).cast("string"))
+    return _asks(spark, d).withColumns({"requirements": told, "max_graph_hops": 1 + i % 3, "session_id": session})
+
+
+@query("e6_make_plan_overrides", f"WITH {_OWN} SELECT request_id, task, needs_errors, needs_decisions, needs_code, needs_graph, hops FROM plan")
+def _(spark, d):
+    return retrieve.make_plan(_own_asks(spark, d)).select("request_id", "task", "needs_errors", "needs_decisions", "needs_code", "needs_graph", "hops")
+
+
+_STATES = """ses AS (SELECT session_id, memory_id, memory_type, row_number() OVER (PARTITION BY session_id, memory_type ORDER BY timestamp DESC, memory_id DESC) AS back FROM mem WHERE memory_type IN ('decision', 'error') QUALIFY back <= 5),
+sn AS (SELECT session_id, memory_id, CASE memory_type WHEN 'decision' THEN -2 ELSE -1 END AS l, max(back) OVER (PARTITION BY session_id, memory_type) - back + 1 AS n FROM ses)"""
+
+
+def _states(spark, d):
+    def ids(kind: str):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("memory_type") == kind, F.struct("timestamp", "memory_id")))), lambda x: x["memory_id"])
+
+    return views.mem(spark, d).groupBy("session_id").agg(ids("decision").alias("recent_decisions"), ids("error").alias("recent_errors"))
+
+
+_SESSION_META = f"""{_OWN}, {_STATES}, sm AS (SELECT session_id, memory_id, 0 AS l, row_number() OVER (PARTITION BY session_id {_RANK}) AS n FROM mem QUALIFY n <= 20),
+best AS (SELECT project_id, memory_id, CASE memory_type WHEN 'decision' THEN 1 WHEN 'error' THEN 2 WHEN 'intent' THEN 3 WHEN 'code_change' THEN 5 END AS l, row_number() OVER (PARTITION BY project_id, memory_type {_RANK}) AS n FROM mem WHERE memory_type IN ('decision', 'error', 'intent', 'code_change')),
+listed AS (SELECT request_id, memory_id, l, n FROM plan JOIN sn USING (session_id) UNION ALL SELECT request_id, memory_id, l, n FROM plan JOIN sm USING (session_id) UNION ALL
+ SELECT request_id, memory_id, l, n FROM best JOIN plan USING (project_id) WHERE n <= CASE l WHEN 1 THEN 30 WHEN 2 THEN 30 WHEN 3 THEN 20 ELSE 15 END AND (l <> 1 OR needs_decisions) AND (l <> 2 OR needs_errors) AND (l <> 5 OR needs_code)),
+smeta AS (SELECT request_id, memory_id, row_number() OVER (PARTITION BY request_id ORDER BY l, n) AS position FROM listed)"""
+
+
+@query("e7_session_candidates", f"WITH {_SESSION_META} SELECT request_id, memory_id, position FROM smeta")
+def _(spark, d):
+    out = retrieve.metadata_candidates(retrieve.make_plan(_own_asks(spark, d)), views.mem(spark, d), _states(spark, d))
+    return out.select("request_id", "memory_id", F.col("position").cast("long").alias("position"))
+
+
 _META = f"""{_REQS}, tk AS (SELECT *, {_TASK} AS task FROM (SELECT *, query AS q FROM reqs)),
 best AS (SELECT project_id, memory_id, CASE memory_type WHEN 'decision' THEN 1 WHEN 'error' THEN 2 WHEN 'intent' THEN 3 WHEN 'code_change' THEN 5 END AS l, row_number() OVER (PARTITION BY project_id, memory_type {_RANK}) AS n FROM mem WHERE memory_type IN ('decision', 'error', 'intent', 'code_change')),
 meta AS (SELECT request_id, memory_id, row_number() OVER (PARTITION BY request_id ORDER BY l, n) AS position FROM best JOIN tk USING (project_id)
@@ -258,6 +308,48 @@ def _(spark, d):
     return retrieve.retrieve(_asks(spark, d), views.mem(spark, d)).select("request_id", "memory_id", F.round("score", 6).alias("score"))
 
 
+# Vectors of memories and of requests, from the embeddings by number.
+_VECTORS = "mv AS (SELECT memory_id, project_id, embedding::DOUBLE[] AS e FROM mem JOIN embeddings ON memory_id = 'mem_' || vec_id), qv AS (SELECT request_id, project_id, embedding::DOUBLE[] AS q FROM reqs JOIN embeddings ON vec_id = substr(project_id, 6)::INT)"
+_NEAREST = "vs AS (SELECT request_id, memory_id, round(list_cosine_similarity(q, e), 9) AS score FROM qv JOIN mv USING (project_id)), vl AS (SELECT request_id, memory_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) AS rank FROM vs QUALIFY rank <= 50)"
+
+
+def _vectors(spark, d):
+    rows = views.table(spark, d, "embeddings").select(F.concat(F.lit("mem_"), F.col("vec_id").cast("string")).alias("memory_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.join(views.mem(spark, d).select("memory_id", "project_id"), "memory_id")
+
+
+def _with_vectors(spark, d, requests):
+    own = views.table(spark, d, "embeddings").select(F.concat(F.lit("proj_"), F.col("vec_id").cast("string")).alias("project_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return requests.join(own, "project_id", "left")
+
+
+@query("e4_project_vectors", f"WITH {_REQS}, {_VECTORS}, {_NEAREST} SELECT request_id, memory_id, rank FROM vl")
+def _(spark, d):
+    return retrieve.vector_candidates(_vectors(spark, d), _with_vectors(spark, d, _asks(spark, d)), 50).select("request_id", "memory_id", F.col("rank").cast("long").alias("rank"))
+
+
+# Three lists, session rows, and a walk over links for the requests that want one.
+_HYBRID_INDEX = _INDEX[: _INDEX.index("lists AS (")]
+_HYBRID = f"""{_SESSION_META}, {_VECTORS}, {_NEAREST}, {_HYBRID_INDEX}lists AS (SELECT request_id, memory_id, 0 AS list, rank FROM bm UNION ALL SELECT request_id, memory_id, -1, rank FROM vl UNION ALL SELECT request_id, memory_id, 1, position FROM smeta),
+rf AS (SELECT request_id, memory_id, sum(1.0::DOUBLE / (60 + rank)) AS base, min((list, rank)) AS f FROM lists GROUP BY ALL),
+top AS (SELECT request_id, memory_id, base, row_number() OVER (PARTITION BY request_id ORDER BY round(base, 12) DESC, f, memory_id) AS place FROM rf QUALIFY place <= 100),
+{LINKS_SQL[len(MEM_SQL) + 2:]}, e AS (SELECT source_id AS x, target_id AS y FROM links UNION SELECT target_id, source_id FROM links), {_STORED},
+g0 AS (SELECT request_id AS g, memory_id AS x, hops FROM top JOIN plan USING (request_id) WHERE needs_graph AND place <= 10), g1 AS (SELECT g, y AS x, hops FROM g0 JOIN e USING (x) WHERE hops > 1 UNION FROM g0), g2 AS (SELECT g, y AS x, hops FROM g1 JOIN e USING (x) WHERE hops > 2 UNION FROM g1),
+walked AS (SELECT g AS request_id, x AS memory_id FROM g2 UNION SELECT g, y FROM g2 JOIN st USING (x) WHERE y IN (SELECT memory_id FROM mem)),
+every AS (SELECT request_id, memory_id, base FROM top UNION ALL SELECT request_id, memory_id, 0.5 FROM walked ANTI JOIN top USING (request_id, memory_id))"""
+
+
+@query(
+    "e11_hybrid_retrieve",
+    f"""WITH {_HYBRID}, fin AS (SELECT every.request_id, every.memory_id, round(greatest(0, 0.35 * base + 0.15 * recency_score + 0.2 * importance_score + 0.1 * confidence_score + {_BOOST} + CASE stability WHEN 'canonical' THEN 0.1 WHEN 'stable' THEN 0.05 ELSE 0 END), 9)::DOUBLE AS score
+ FROM every JOIN mem USING (memory_id) JOIN plan ON every.request_id = plan.request_id WHERE validity NOT IN ('superseded', 'rejected')) SELECT request_id, memory_id, round(score, 6) AS score FROM fin QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 50""",
+)
+def _(spark, d):
+    requests = _with_vectors(spark, d, _own_asks(spark, d))
+    found = retrieve.retrieve(requests, _linked_memories(spark, d), views.links(spark, d), vectors=_vectors(spark, d), states=_states(spark, d))
+    return found.select("request_id", "memory_id", F.round("score", 6).alias("score"))
+
+
 @query("e12_suppress_stale_facts", f"WITH {_LISTS} SELECT request_id, memory_id FROM fused JOIN mem USING (memory_id) WHERE NOT contains(lower(raw_text), 'engine3') AND NOT contains(lower(raw_text), 'step')")
 def _(spark, d):
     facts = _asks(spark, d).select("request_id", F.explode(F.array(F.lit("ENGINE3"), F.lit("step"))).alias("fact"))

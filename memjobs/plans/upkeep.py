@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memjobs.operators import health, ledger, lifecycle
+from memjobs.plans import writing
 from memjobs.plans.registry import registry
 from memjobs.sources import views
 from memjobs.sources.views import AS_OF, CORRECTIONS_SQL, EV_SQL, LINKS_SQL, MEM_SQL
@@ -178,6 +179,20 @@ def _(spark, d):
     return lifecycle.decision_actions(decisions, actions).select("memory_id", "validity", "child_id", "parent_id")
 
 
+@query(
+    "h8_add_verified_fix",
+    f"""WITH {writing._ROWS} SELECT event_id, source_type, CASE WHEN event_type = 'assistant_response' THEN 'load test ok' ELSE 'patch ' || event_id END AS verified, 'Verified fix: patch ' || event_id AS lesson FROM found WHERE memory_type = 'error' AND k % 3 <> 0""",
+)
+def _(spark, d):
+    from memjobs.operators import extract
+
+    log = views.ev(spark, d)
+    rows = extract.extract_memories(log).where("memory_type = 'error'").join(log.where("k % 3 <> 0").select("event_id"), "event_id", "left_semi")
+    fixes = rows.select("memory_id", F.concat(F.lit("patch "), "event_id").alias("fix"))
+    out = lifecycle.add_verified_fix(rows, fixes)
+    return out.select("event_id", "source_type", F.get("errors_found", F.lit(0))["verified_fix"].alias("verified"), F.array_join("lessons_learned", "|").alias("lesson"))
+
+
 @query("d7_orphans", f"WITH {LINKS_SQL} SELECT memory_id FROM mem WHERE memory_id NOT IN (SELECT source_id FROM links UNION SELECT target_id FROM links)")
 def _(spark, d):
     return health.orphans(views.mem(spark, d), views.links(spark, d)).select("memory_id")
@@ -239,6 +254,13 @@ def _(spark, d):
     return health.project_breakdown(views.mem(spark, d))
 
 
+@query("k4_symbols_by_type", f"{writing.ORACLES['c17_extract_symbols'].rsplit('SELECT project_id', 1)[0]}, x AS (SELECT project_id, symbol, arg_min(symbol_type, (memory_id, rank)) AS symbol_type FROM s GROUP BY ALL) SELECT project_id, symbol_type, count(*) AS n FROM x GROUP BY ALL")
+def _(spark, d):
+    from memjobs.operators import extract
+
+    return health.symbol_breakdown(extract.extract_symbols(views.mem(spark, d)))
+
+
 @query("k4_newest_events", f"WITH {EV_SQL} SELECT project_id, event_id, row_number() OVER (PARTITION BY project_id ORDER BY timestamp DESC, event_id DESC) AS place FROM ev QUALIFY place <= 5")
 def _(spark, d):
     return health.newest_events(views.ev(spark, d)).select("project_id", "event_id", F.col("place").cast("long").alias("place"))
@@ -249,6 +271,18 @@ def _(spark, d):
     return health.duplicate_groups(views.mem(spark, d))
 
 
+@query("k5_duplicate_members", f"WITH {MEM_SQL}, g AS (SELECT {_NORM} AS text, count(*) AS n FROM mem GROUP BY 1 HAVING n > 1 ORDER BY n DESC, text LIMIT 10) SELECT text, memory_id, memory_type FROM (SELECT {_NORM} AS text, memory_id, memory_type FROM mem) SEMI JOIN g USING (text)")
+def _(spark, d):
+    return health.duplicate_members(views.mem(spark, d))
+
+
+@query("k5_busy_events", f"WITH {writing._ROWS} SELECT event_id, count(*) AS n, string_agg(DISTINCT memory_type, '|' ORDER BY memory_type) AS types FROM found GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    from memjobs.operators import extract
+
+    return health.busy_events(extract.extract_memories(views.ev(spark, d)))
+
+
 @query("k5_duplicate_documents", "WITH g AS (SELECT lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS t, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) AS unique_texts, sum(n - 1)::BIGINT AS surplus FROM g")
 def _(spark, d):
     return health.duplicate_totals(views.table(spark, d, "documents").select(F.col("text").alias("raw_text")))

@@ -101,6 +101,17 @@ def _(spark, d):
     return rows.select("conv_id", "turn", F.array_join("goals", "|").alias("goals"), F.array_join("errors", "|").alias("errors"))
 
 
+@query(
+    "c9_session_goals_errors",
+    f"""WITH {EV_SQL} SELECT event_id, CASE WHEN event_type <> 'user_message' THEN NULL WHEN k % 4 = 1 THEN substr(raw_text, 12) || '|' || substr(raw_text, 16) WHEN k % 4 = 3 THEN substr(raw_text, 9) ELSE '' END AS goals,
+ CASE WHEN event_type <> 'user_message' THEN NULL WHEN k % 4 = 2 THEN substr(raw_text, 12) ELSE '' END AS errors FROM ev WHERE event_type = 'user_message'""",
+)
+def _(spark, d):
+    text = F.col("raw_text")
+    rows = views.ev(spark, d).where("event_type = 'user_message'").select("event_id", F.coalesce(extract_goals(text), F.array()).alias("goals"), F.coalesce(extract_errors(text), F.array()).alias("errors"))
+    return rows.select("event_id", F.array_join("goals", "|").alias("goals"), F.array_join("errors", "|").alias("errors"))
+
+
 @query(
     "c10_extract_fields",
     f"""WITH {EV_SQL} SELECT event_id, trim(regexp_extract(raw_text, '(?i)(?:Rationale|Because|Reason)[\\s:—]+([^\\n.]{{10,200}})', 1)) AS rationale,
@@ -166,6 +177,11 @@ def _(spark, d):
     return rows.select("event_id", "memory_type", extract.compress(2).alias("body"))
 
 
+@query("c16_compress_plain", f"WITH {_ROWS} SELECT event_id, memory_type, raw_text AS whole, left(raw_text, 400) AS head FROM found")
+def _(spark, d):
+    return _found(spark, d).select("event_id", "memory_type", extract.compress(0).alias("whole"), extract.compress(1).alias("head"))
+
+
 @query("c16_compress_semantic")
 def _(spark, d):
     return _found(spark, d).select("event_id", "memory_type", extract.compress(3).alias("body"))

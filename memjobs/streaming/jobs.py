@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memjobs.operators import extract, state
 from memjobs.operators.health import normalised
+from memjobs.sources.tables import shared_folder
 
 
 def stream_memories(events: DataFrame) -> DataFrame:
@@ -24,16 +23,16 @@ def stream_dedupe(memories: DataFrame, delay: str = "1 day") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["project_id", "session_id", "memory_type", "content_hash"])
 
 
-def state_sink(load: Callable[[], DataFrame | None], save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rolls a batch up and merges it into the stored state.
+def state_sink(load: Callable[[int | None], DataFrame | None], save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: rolls a batch up and merges it into the state stored before it.
 
-    ``save`` gets the batch id and must ignore one it has stored before, so a
-    replayed batch changes nothing.
+    ``load`` gets the batch id and gives the state of earlier batches; ``save``
+    overwrites what a replayed batch has stored before.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         delta = state.project_state(batch)
-        old = load()
+        old = load(batch_id)
         save(delta.drop("n_sources") if old is None else state.merge_state(old, delta), batch_id)
 
     return merge
@@ -48,33 +47,39 @@ def stream_activity(events: DataFrame, window: str = "24 hours", slide: str = "1
     return counts.select("project_id", F.col("w.start").alias("start"), "n")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Runs a stream over what is there now into a Parquet table, and reads that."""
-    folder = shared_folder(stream.sparkSession)
+    folder = shared_folder(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_to_state(stream: DataFrame) -> DataFrame:
-    """Runs a stream of memories into one stored state: a folder for each batch id, so a replay overwrites its own result."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
-    last: list[int] = []
+def state_store(spark: SparkSession, folder: str) -> tuple[Callable[[int | None], DataFrame | None], Callable[[DataFrame, int], None]]:
+    """``load(before)`` and ``save`` of a stored state: a table for each batch id, found by listing the folder.
+
+    Nothing is kept on the driver, so a restarted query goes on from the last
+    whole table, and a replayed batch starts from the one before its own.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
 
-    def load() -> DataFrame | None:
-        return spark.read.parquet(f"{folder}/state/{last[-1]}") if last else None
+    def load(before: int | None = None) -> DataFrame | None:
+        path = hadoop.Path(f"{folder}/state/*/_SUCCESS")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        whole = [int(f.getPath().getParent().getName()) for f in found]
+        last = max((i for i in whole if before is None or i < before), default=None)
+        return None if last is None else spark.read.parquet(f"{folder}/state/{last}")
 
     def save(rows: DataFrame, batch_id: int) -> None:
-        if batch_id not in last:
-            rows.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
-            last.append(batch_id)
+        rows.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
+
+    return load, save
+
 
+def run_to_state(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Runs a stream of memories into one stored state below ``folder``; a second run on that folder goes on from the first."""
+    folder = folder or shared_folder(stream.sparkSession, "stream")
+    load, save = state_store(stream.sparkSession, folder)
     query = stream.writeStream.foreachBatch(state_sink(load, save)).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return load()
