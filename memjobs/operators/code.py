@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,19 +105,20 @@ def _symbols(tree: ast.Module, path: str) -> Iterator[dict]:
 
 def index_code_python(files: DataFrame) -> DataFrame:
     """Symbols of Python files by their syntax tree; files that don't parse give none."""
-    columns = [c.split()[0] for c in PYTHON.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in PYTHON.split(", "))])
 
     def job(batches):
         for batch in batches:
             rows = []
-            for path, content in zip(batch.file_path, batch.content, strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows += _symbols(ast.parse(content or ""), path)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("file_path", "content").mapInPandas(job, PYTHON)
+    return files.select("file_path", "content").mapInArrow(job, PYTHON)
 
 
 def search_symbols(symbols: DataFrame, needles: list[str]) -> DataFrame:

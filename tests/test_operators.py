@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from memjobs.functions import sessions
 from memjobs.functions import text as T
 from memjobs.operators import code, extract, ledger, lifecycle, links, packs, retrieve, tools
+from memjobs.operators import sessions as session_ops
 from memjobs.sources import readers
 from memjobs.sources.views import AS_OF
+from memjobs.streaming import jobs
 
 
 def values(df):
@@ -158,3 +160,153 @@ def test_decay_fates(spark):
     rows = [("a", "active", False, 0.9, 1), ("b", "active", False, 0.1, 20), ("c", "superseded", False, 0.9, 31), ("d", "superseded", False, 0.9, 5), ("e", "active", True, 0.1, 99)]
     df = spark.createDataFrame(rows, "memory_id string, validity string, never_delete boolean, importance_score double, age int").withColumns({"project_id": F.lit("p"), "memory_type": F.lit("fact"), "timestamp": F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(days="age")})
     assert {r.memory_id: r.fate for r in lifecycle.decay(df, AS_OF).collect()} == {"a": "unchanged", "b": "archived", "c": "archived", "d": None, "e": "pinned"}
+
+
+# --- packs against a plain reading of their rules ---------------------------
+
+
+def plain_pack(request, rows, budgets, required=()):
+    """One pack by hand: ``rows`` are dicts in rank order, ``budgets`` tokens by section."""
+    task, limit = request["task"], request["max_pack_tokens"]
+    size = lambda text: max(1, len(text) // 4) if text else 0
+    live = [r for r in rows if r["validity"] not in packs.INACTIVE]
+    room = int((limit - 150) / 100) if limit > 150 else 0
+    wide = min(5.0, max(1.0, limit / 100))
+    plan = [(n, t, budgets[n], items, n != "code_context" or task == "debugging" or any(w in request["query"] for w in packs.BROKEN)) for n, t, items in packs.FIRST.get(task, packs.FIRST[""])]
+    plan += [(n, t, min(b, budgets["requirements"]) if n == "requirements" else b, 1, False) for n, t, b in packs.FILLERS]
+    asked = f"p={request['project_id']} q={request['query'][:20]}"
+    sections, ids, seen = [["system_task", asked, [], size(asked)]], set(), set()
+    for name, types, budget, items, always in plan:
+        own = [r for t in types for r in live if r["memory_type"] == t]
+        if not own and not always:
+            continue
+        if types[0] in packs.RANKED_TYPES:
+            own = sorted(own, key=lambda r: -(0.6 * r["importance_score"] + 0.4 * r["recency_score"]))
+        kept, used = [], 0
+        for r in own:
+            key = " ".join(r["raw_text"].lower().split())[:120]
+            if r["memory_id"] in ids or key in seen:
+                continue
+            seen.add(key)
+            body = r["body"][: int((100 if r["keywords"] else 72) * wide)]
+            if used + size(body) > budget:
+                break
+            used += size(body)
+            kept.append((r["memory_id"], body))
+            ids.add(r["memory_id"])
+            if len(kept) == items + room:
+                break
+        sections.append([name, "\n".join(b for _, b in kept), [i for i, _ in kept], used])
+    said = " ".join(s[1].lower() for s in sections)
+    unused = [r for r in rows if r["memory_id"] not in ids]
+    terms = {k.lower() for r in unused for k in r["keywords"]} | {t.lower() for t in required}
+    saved, used = [], 0
+    for term in sorted(t for t in terms if t not in said):
+        holders = sorted((r for r in unused if term in [k.lower() for k in r["keywords"]]), key=lambda r: -r["importance_score"]) or [r for r in unused if term in r["raw_text"].lower()][:1]
+        if not holders or holders[0]["memory_id"] in [i for i, _ in saved]:
+            continue
+        if used + size(holders[0]["body"]) > packs.RESCUE:
+            break
+        used += size(holders[0]["body"])
+        saved.append((holders[0]["memory_id"], holders[0]["body"]))
+    if saved:
+        sections.append(["protected_evidence", "\n".join(b for _, b in saved), [i for i, _ in saved], used])
+    while sum(s[3] for s in sections) > min(limit, request["token_budget"]) and len(sections) > 3:
+        spare = [s for s in sections if s[0] in packs.TRIMMED]
+        if not spare:
+            break
+        sections.remove(spare[-1])
+    return [tuple(s[:2]) + (tuple(s[2]), s[3]) for s in sections]
+
+
+def test_packs_match_a_plain_reading(spark):
+    import random
+
+    rng = random.Random(4)
+    kinds = ("decision", "error", "code_change", "goal", "requirement", "intent", "reflection", "task", "uncertainty")
+    words = ("parser", "CACHE_TTL", "src/a.py", "engine", "v1.2.3", "ERR_LIMIT", "store", "run()")
+    tasks = ("debugging", "architecture", "feature", "research")
+    memories, found, requests = [], [], []
+    for q in range(40):
+        limit = rng.choice((40, 65, 200, 500))
+        requests.append((f"r{q}", "p", rng.choice(("fix the parser", "what is broken", "design it")), rng.choice(tasks), rng.choice((300, 2000)), limit, rng.sample(("field3", "CACHE_TTL", "engine"), 2)))
+        for rank in range(rng.randint(0, 25)):
+            text = " ".join(rng.choices(words, k=rng.randint(1, 14))) + (f" field{rng.randint(1, 3)}" if rng.random() < 0.2 else "")
+            memories.append((f"m{q}_{rank}", rng.choice(kinds), rng.choice(("active", "active", "active", "stale", "superseded")), text, text, None, rng.randint(0, 9) / 10, rng.randint(0, 9) / 10))
+            found.append((f"r{q}", f"m{q}_{rank}", rank + 1))
+    rows = spark.createDataFrame(memories, "memory_id string, memory_type string, validity string, raw_text string, compressed_summary string, semantic_summary string, importance_score double, recency_score double")
+    asked = spark.createDataFrame(requests, "request_id string, project_id string, query string, task string, token_budget int, max_pack_tokens int, required_terms array<string>")
+    got = {r.request_id: [(s.name, s.content, tuple(s.memory_ids), s.tokens) for s in r.sections] for r in packs.build_packs(asked, spark.createDataFrame(found, "request_id string, memory_id string, rank int"), rows).collect()}
+    keys = {r.memory_id: list(r.k) for r in rows.select("memory_id", T.protected_keywords(F.col("raw_text")).alias("k")).collect()}
+    budgets = {r.request_id: r.asDict() for r in retrieve.token_budget(asked).collect()}
+    held = {m[0]: dict(zip(rows.columns, m, strict=True)) | {"body": m[3], "keywords": keys[m[0]]} for m in memories}
+    for q in requests:
+        request = dict(zip(asked.columns, q, strict=True))
+        own = [held[m] for r, m, _ in found if r == q[0]]
+        assert got[q[0]] == plain_pack(request, own, budgets[q[0]], q[6]), q
+    assert any(s[0] == "protected_evidence" for p in got.values() for s in p)
+    compact = packs.build_packs(asked, spark.createDataFrame(found, "request_id string, memory_id string, rank int"), rows, compact=True).collect()
+    assert len(compact) == 40 and all(sum(s.tokens for s in r.sections) == r.tokens for r in compact)
+
+
+def test_expansion_lets_new_candidates_in(spark):
+    """The first query finds nothing of the missing type and word; the rewritten one does."""
+    rows = [(f"mem_a{i}", "p", "s", "task", "active", "user_message", f"alpha note {i} of the long project text about things", 0.1) for i in range(60)]
+    rows += [("mem_b", "p", "s", "requirement", "archived", "user_message", "old", 0.9), ("mem_c", "p", "s", "procedure", "active", "tool_output", "recent work on alpha", 0.9)]
+    memories = spark.createDataFrame(rows, "memory_id string, project_id string, session_id string, memory_type string, validity string, source_type string, raw_text string, importance_score double")
+    memories = memories.withColumns({"compressed_summary": F.col("raw_text"), "semantic_summary": F.lit(None).cast("string"), "timestamp": F.to_timestamp(F.lit("2024-01-01")), "recency_score": F.lit(1.0), "confidence_score": F.lit(0.5), "stability": F.lit("ephemeral"), "file_references": F.array().cast("array<string>")})
+    requests = spark.createDataFrame([("r1", "p", "alpha deploy gamma"), ("r2", "none", "alpha")], "request_id string, project_id string, query string").withColumn("requirements", F.expr("CAST(map() AS map<string, boolean>)"))
+    out = session_ops.auto_expand(requests, memories).collect()
+    assert sorted(r.request_id for r in out) == ["r1", "r2"]
+    asked = next(s.content for r in out if r.request_id == "r1" for s in r.sections if s.name == "system_task")
+    assert asked.startswith("p=p q=alpha deploy gamma")
+    first = retrieve.retrieve(requests.where("request_id = 'r1'"), memories)
+    again = requests.where("request_id = 'r1'").withColumn("query", F.concat("query", F.lit(" deploy gamma fact decision recent")))
+    fresh = retrieve.retrieve(again, memories).join(first.select("memory_id"), "memory_id", "left_anti")
+    assert first.count() == 50 and "mem_c" in {r.memory_id for r in fresh.collect()} | {r.memory_id for r in first.collect()}
+
+
+def test_restored_sessions_hold_their_own_rows(spark):
+    rows = [(f"mem_{s}{i}", "p", s, ("decision", "error", "intent")[i % 3], "active", f"{s} text {i}", 0.5) for s in ("s1", "s2") for i in range(6)]
+    memories = spark.createDataFrame(rows, "memory_id string, project_id string, session_id string, memory_type string, validity string, raw_text string, importance_score double")
+    memories = memories.withColumns({"compressed_summary": F.col("raw_text"), "semantic_summary": F.lit(None).cast("string"), "timestamp": F.to_timestamp(F.lit("2024-01-01")), "recency_score": F.lit(1.0), "confidence_score": F.lit(0.5), "stability": F.lit("ephemeral"), "file_references": F.array().cast("array<string>")})
+    got = session_ops.restore_sessions(spark.createDataFrame([("s1", "p"), ("s3", "none")], "session_id string, project_id string"), memories).collect()
+    assert sorted(r.request_id for r in got) == ["s1", "s3"]
+    pack = next(r for r in got if r.request_id == "s1")
+    assert pack.sections[0].content == "p=p q=resume work" and any(s.memory_ids for s in pack.sections)
+    trace = packs.pack_trace(memories.select(F.lit("s1").alias("request_id"), "memory_id", "validity"), spark.createDataFrame([pack], "request_id string, project_id string, sections " + packs.SECTION + ", tokens int, sufficiency double, warnings array<string>"))
+    held = {m for s in pack.sections for m in s.memory_ids}
+    assert {r.memory_id for r in trace.collect() if not r.fate.startswith("dropped")} == held and trace.count() == len(rows)
+
+
+def test_semantic_text_keeps_its_terms(spark):
+    error = [("kind", "limit of MAX_ROWS reached in loader", None, None, None, 0, [])]
+    rows = spark.createDataFrame([("error", "see src/load.py", None, None, [], [], error, []), ("fact", "plain words", "short", "said so", [], [], [], [])], f"memory_type string, raw_text string, compressed_summary string, semantic_summary string, decisions {extract.DECISION}, file_references array<string>, errors_found {extract.ERROR}, open_questions array<string>")
+    assert [r[0] for r in rows.select(extract.compress(3)).collect()] == ["limit of MAX_ROWS reached in loader. Terms: src/load.py", "said so"]
+
+
+def test_stream_state_goes_on_after_a_restart(spark, tmp_path):
+    def run(*names):
+        for name, branch in names:
+            row = [(name, "p", "code_change", f"Deploy to staging, branch: {branch}", None, "2024-01-01", 1.0, 0.5, [f"src/{name}.py"])]
+            df = spark.createDataFrame(row, "memory_id string, project_id string, memory_type string, raw_text string, compressed_summary string, at string, recency_score double, importance_score double, file_references array<string>")
+            df.withColumn("timestamp", F.to_timestamp("at")).drop("at").write.mode("append").parquet(f"{tmp_path}/in")
+        schema = spark.read.parquet(f"{tmp_path}/in").schema
+        return jobs.run_to_state(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/state").collect()
+
+    assert [(r.version, r.active_files) for r in run(("a", "one"))] == [(1, ["src/a.py"])]
+    assert [(r.version, sorted(r.active_files)) for r in run(("b", "two"))] == [(2, ["src/a.py", "src/b.py"])]
+
+
+def test_calls_reach_into_other_files(spark):
+    files = [("p/a.py", "import os\n\n@cache\ndef run(x: int):\n    return helper(x)\n"), ("p/b.py", "class H:\n    @staticmethod\n    def helper(y):\n        return os.path.join(y)\n"), ("q/c.py", "def helper(z):\n    pass\n")]
+    tree = code.index_code_python(spark.createDataFrame(files, "file_path string, content string"))
+    assert {(r.name, r.signature, tuple(r.decorators), tuple(r.calls)) for r in tree.where("symbol_type <> 'import'").collect()} == {("run", "def run(x: int)", ("cache",), ("helper",)), ("H", None, (), ("join",)), ("H.helper", "def helper(y)", ("staticmethod",), ("join",)), ("helper", "def helper(z)", (), ())}
+    root = F.regexp_extract("file_path", "^([^/]+)/", 1)
+    assert values(code.call_edges(tree, root)) == [("p/a.py", "run", "p/b.py", "H.helper")] and code.call_edges(tree).count() == 2
+
+
+def test_neighbours_of_equal_similarity_are_those_of_lesser_ids(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)] + [(50, [0.0, 1.0]), (51, None)], "memory_id bigint, vector array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "request_id bigint, vector array<double>")
+    assert sorted(values(retrieve.vector_search(vectors.repartition(3), queries, 4).select("request_id", "memory_id"))) == [(1, i) for i in range(4)]
