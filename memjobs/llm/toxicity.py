@@ -2,12 +2,12 @@
 
 Two zstandard dictionaries are trained apart, on ordinary and on toxic text.
 A window's distance is its compressed length with the ordinary dictionary less
-that with the toxic one.  A window is a folded word: windows of two words and
-more were tried and tell the classes apart no better than chance, as the toxic
-dictionary saves a few bytes on one word and loses them on the next.  Every
-character is written as two bytes, and a constant block stands before the
-window, so that short windows gain by matches and the frame is never stored
-raw.  Equal windows of a task are compressed once.
+that with the toxic one.  A window is a folded word.  Windows of several words
+work too, a little worse with the same dictionaries (the README has figures),
+and far more of them are distinct, so that compressing equal windows of a task
+once saves less.  Every character is written as two bytes, and a constant block
+stands before the window, so that short windows gain by matches and the frame
+is never stored raw.
 
 A window is a hit if its distance reaches the threshold.  A document's
 statistic is the log likelihood ratio of its hits, normalised by its windows:
