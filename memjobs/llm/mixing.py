@@ -34,6 +34,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = "mix"
 ROWS_IN_RANGE = 200_000
+LEAST_DIGITS = 2  # at least 256 ranges in a source, so that one with a third of all rows is spread at every size
 WORDS_IN_RANGE = 5_000_000
 BROADCAST_SOURCES = 50_000  # rows of a few dozen bytes
 
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = SE
     n_rows = rows.count()
 
     # Position of each document in its shuffled source.
-    digits = max(1, math.ceil(math.log(max(2, n_rows / ROWS_IN_RANGE), 16)))
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(2, n_rows / ROWS_IN_RANGE), 16)))
     ranged = rows.where("size > 0").withColumn("range", F.substring("digest", 1, digits))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
