@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITE = 8 << 20  # bytes that go to the JVM at once
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; set to a temporary folder only where it is unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,8 +42,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, name: str, content: bytes) -> str:
+    """The path of a file with these bytes, in a folder of its own in the shared one; both are removed at exit."""
+    folder = f"{shared_dir(spark).rstrip('/')}/file-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    for lo in range(0, len(content), _WRITE):
+        out.write(content[lo : lo + _WRITE])
+    out.close()
+    atexit.register(_remove, spark, folder)
+    return path
+
+
 def shipped(spark: SparkSession, path: str) -> str:
-    """The name under which executors, those started later too, find a file of the driver by ``SparkFiles.get``."""
+    """The name under which executors, those started later too, find a file of the driver or of the shared folder by ``SparkFiles.get``."""
     name = os.path.basename(path)
     if not any(os.path.basename(x) == name for x in spark.sparkContext.listFiles):
         spark.sparkContext.addFile(path)

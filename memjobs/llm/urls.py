@@ -1,8 +1,8 @@
 """URL filters over a sorted digest array.
 
 The rules are laid out once as a file: 64-bit xxhash keys of ``host + path`` in
-ascending order, verdicts, offsets and the full strings.  Spark ships the file
-to every executor (``addFile``), where it is memory-mapped.  A URL probes the
+ascending order, verdicts, offsets and the full strings.  It lies in the shared
+folder; Spark ships it to every executor (``addFile``), where it is memory-mapped.  A URL probes the
 array for each host suffix with each rule-path length, by vectorised binary
 search; every hit is confirmed against the stored string, so colliding keys
 cannot decide.  The longest confirmed rule wins; on equal length the longer
@@ -17,9 +17,7 @@ the host.  Repeated rows are judged alike; other columns are passed by.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memjobs.llm._shared import shipped
+from memjobs.llm._shared import shipped, stored
 
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,10 +121,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "
     """One row per input row: key, host, path, rule, verdict.  ``rules``: (host, path, allow or block)."""
     content = digest_bytes(rules)
     name = f"url-rules-{hashlib.sha256(content).hexdigest()[:16]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-    with open(path, "wb") as out:
-        out.write(content)
-    shipped(pages.sparkSession, path)
+    shipped(pages.sparkSession, stored(pages.sparkSession, name, content))
     rows = pages.select(key, F.col(url).cast("string").alias("url"))
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(_judge(name, default), f"`{key}` {kind}, {OUT}")
