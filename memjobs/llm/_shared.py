@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -14,14 +15,16 @@ _WRITE = 8 << 20  # bytes that go to the JVM at once
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a temporary folder only where it is unset (local runs)."""
+    """``spark.checkpoint.dir`` of the session, else the context's checkpoint folder; a temporary one is set only where both are unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    have = context._jsc.sc().getCheckpointDir()
+    if not have.isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        have = context._jsc.sc().getCheckpointDir()
+    return have.get()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -55,9 +58,9 @@ def stored(spark: SparkSession, name: str, content: bytes) -> str:
     return path
 
 
-def shipped(spark: SparkSession, path: str) -> str:
-    """The name under which executors, those started later too, find a file of the driver or of the shared folder by ``SparkFiles.get``."""
-    name = os.path.basename(path)
+def shipped(spark: SparkSession, stem: str, content: bytes) -> str:
+    """The name under which executors, those started later too, find these bytes by ``SparkFiles.get``; it holds a digest of them, so no two contents share it."""
+    name = f"{stem}-{hashlib.sha256(content).hexdigest()[:32]}"
     if not any(os.path.basename(x) == name for x in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
+        spark.sparkContext.addFile(stored(spark, name, content))
     return name

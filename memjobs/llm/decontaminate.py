@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memjobs.llm._words import SEQUENCE_BASES, Sequences, mix, text_blocks, words_of
 from memjobs.llm.minhash import folded
@@ -118,7 +119,8 @@ class Templates:
 class Items:
     """One block of benchmark items, ready to be probed."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple], n: int, kind: pa.DataType):
+        self.kind = kind  # of the items' ids
         rows = sorted((r for r in rows if r[1] is not None and r[0] is not None), key=lambda r: (r[0], r[1]))
         raw = [t.encode() for _, t in rows]
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -202,11 +204,11 @@ def _enough(covered: int, n: int, share: float, enough: int) -> bool:
 
 
 def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_bytes))
     for b in range(blocks):
-        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], n)
+        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], n, to_arrow_type(benchmark.schema["item_id"].dataType))
 
 
 def _judge(items, share: float, enough: int, at: int, keep_clean: bool):
@@ -222,7 +224,7 @@ def _judge(items, share: float, enough: int, at: int, keep_clean: bool):
                 continue
             row = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
             flat = [h for x in found for h in x]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (held.kind, pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *(pa.array([h[c] for h in flat], k) for c, k in enumerate(kinds))], names=["doc_id", "item_id", "n_covered", "n_item", "n_slots"])
 
     return job
@@ -232,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHAR
     """One row for each document and benchmark item that it holds: doc_id, item_id, n_covered, n_item, n_slots."""
     out = None
     texts = docs.select("doc_id", "text")
-    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id bigint, n_covered int, n_item int, n_slots int"
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_covered int, n_item int, n_slots int"
     for items in _blocks(benchmark, n, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(items)
         part = texts.mapInArrow(_judge(held, share, enough, 1, False), schema)

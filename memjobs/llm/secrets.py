@@ -5,8 +5,9 @@ takes candidate strings (runs of token characters), sorts each into a
 character class, and slides a window over it, keeping the Shannon entropy by
 incremental counts: one character enters and one leaves, and n*H changes by
 two table look-ups.  A candidate is a secret if the largest window entropy
-reaches its class's threshold, unless the allow-list suppresses it or a
-pattern span overlaps it.
+reaches its class's threshold, unless the allow-list suppresses it.  Where
+pattern spans cover a candidate in part, it is judged whole if what they leave
+of it is more than words and numbers, so no key is found by halves.
 
 Defined cases.  Null text: empty, no spans.  Spans are in code points, end
 exclusive, ordered by start, then kind in the order listed.  Texts of any
@@ -104,11 +105,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
     held = iter(sorted((s, e) for s, _, e in base))
-    reach, ahead = -1, next(held, None)  # the furthest end of the base spans that begin before the candidate's end
+    near, ahead = [], next(held, None)  # base spans that reach into the candidate
     for m in CANDIDATE.finditer(text):
         while ahead and ahead[0] < m.end():
-            reach, ahead = max(reach, ahead[1]), next(held, None)
-        if reach > m.start():
+            near.append(ahead)
+            ahead = next(held, None)
+        near = [x for x in near if x[1] > m.start()]
+        if near and all(_is_plain(x) for x in _uncovered(text, m.start(), m.end(), near)):
             continue
         kind = character_class(m[0])
         if kind and largest_entropy(m[0]) >= THRESHOLDS[kind] and not any(p.search(m[0]) for p in ALLOWED) and not is_path(m[0]):
@@ -116,6 +119,16 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     return out
 
 
+def _uncovered(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> list[str]:
+    """What spans, in order of their starts, leave of a stretch of text."""
+    out, at = [], start
+    for s, e in spans:
+        if s > at:
+            out.append(text[at:s])
+        at = max(at, e)
+    return [*out, text[at:end]] if at < end else out
+
+
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

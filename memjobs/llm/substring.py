@@ -11,7 +11,8 @@ document for each extent goes on.
 
 Extend.  Those anchors are extended to both sides to every placement of the
 window that contains the seed; equal placements in a smaller document are
-matches.  Words are compared by hashes of 128 bits over their whole length.  Overlapping matches merge to maximal repeats, none shorter than the
+matches.  Extents and placements alike stand on two hashes of each word, 128 bits over its whole length; the anchor, on
+which runs only meet, on one.  Overlapping matches merge to maximal repeats, none shorter than the
 window.  No pair of documents is ever written down, so a passage in a third of
 all documents costs a few rows for each of them.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from memjobs.llm._shared import written
 from memjobs.llm._words import SEQUENCE_BASES, WORD_BASES, Sequences, sliding_min, text_blocks, words_of
 
-RUNS = "doc_id {id}, version bigint, anchor bigint, extent bigint, start int, n int"
+RUNS = "doc_id {id}, version bigint, anchor bigint, e1 bigint, e2 bigint, start int, n int"
 PLACED = "doc_id {id}, version bigint, h1 bigint, h2 bigint, start int"
 
 
@@ -53,13 +54,14 @@ def _seeds(window: int, seed: int):
                 first = np.flatnonzero(new)
                 a = at[first]
                 n = np.diff(np.append(first, len(at)))
-                extent = Sequences(w.hash, SEQUENCE_BASES[1]).span(a, a + n + window - 1)
+                second = words_of(data, offsets, WORD_BASES[1]).hash
+                extents = [Sequences(h, base).span(a, a + n + window - 1).view(np.int64) for h, base in zip((w.hash, second), SEQUENCE_BASES, strict=True)]
                 begins = np.searchsorted(w.doc, np.arange(hi - lo))
                 doc = w.doc[a]
                 row = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(row), versions.take(row), pa.array(least[a].view(np.int64)), pa.array(extent.view(np.int64)), pa.array((a - begins[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["doc_id", "version", "anchor", "extent", "start", "n"],
+                    [ids.take(row), versions.take(row), pa.array(least[a].view(np.int64)), *map(pa.array, extents), pa.array((a - begins[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["doc_id", "version", "anchor", "e1", "e2", "start", "n"],
                 )
 
     return job
@@ -121,14 +123,14 @@ def repeats(docs: DataFrame, window: int = 50, seed: int = 20) -> DataFrame:
     runs = written(texts.mapInArrow(_seeds(window, seed), RUNS.format(id=kind)))
     shared = (
         runs.groupBy("anchor")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("extent").alias("e_lo"), F.max("extent").alias("e_hi"))
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("e1", "e2")).alias("e_lo"), F.max(F.struct("e1", "e2")).alias("e_hi"))
         .where("lo < hi")
         .select("anchor", (F.col("e_lo") != F.col("e_hi")).alias("differs"))
     )
     met = written(runs.join(shared, "anchor"))
     # Written, so that both sides of the join are plain exchanges and a hot anchor can be split.
-    first = written(met.groupBy("anchor", "extent").agg(F.min("doc_id").alias("first_doc")))
-    judged = met.join(first, ["anchor", "extent"])
+    first = written(met.groupBy("anchor", "e1", "e2").agg(F.min("doc_id").alias("first_doc")))
+    judged = met.join(first, ["anchor", "e1", "e2"])
     whole = judged.where("first_doc < doc_id").select("doc_id", "version", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
     open_runs = judged.where("first_doc = doc_id and differs").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     placed = texts.join(open_runs, ["doc_id", "version"]).select("doc_id", "text", "version", "runs").mapInArrow(_place(window), placed_rows)

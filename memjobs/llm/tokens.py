@@ -12,7 +12,8 @@ is dropped and begun anew beyond ``max_nodes``, looked at after every
 for them in one forward pass, which keeps as many positions as the longest
 piece has bytes.
 
-Spark ships the vocabulary file to the executors; its path is one of the driver.
+Spark ships the vocabulary file to the executors under a digest of its content, so files of one name in two folders are
+two vocabularies; its path is one of the driver.
 
 Defined cases.  Null or empty text, empty table: 0 pre-tokens, 0 tokens, no rows.  Repeated rows are counted each.  Every byte is a
 piece of its own, so any text has a segmentation.
@@ -134,4 +135,6 @@ def _count(name: str, max_nodes: int):
 def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = 400_000) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for each input row."""
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(_count(shipped(docs.sparkSession, vocabulary_path), max_nodes), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens bigint, n_tokens bigint")
+    with open(vocabulary_path, "rb") as file:
+        name = shipped(docs.sparkSession, "vocabulary", file.read())
+    return rows.mapInArrow(_count(name, max_nodes), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens bigint, n_tokens bigint")

@@ -176,7 +176,7 @@ def held_out(doc_id) -> F.Column:
 
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the labelled rows that are not held out."""
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out("label_id"))
+    usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out("label_id"))
     totals = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return Model()
@@ -185,7 +185,9 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     sample = F.broadcast(picked[0].union(picked[1]))  # toxic_rows + ordinary_rows rows of two numbers at most
     short = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
     # One text of each id and label, whatever the rows of an id: at most toxic_rows + ordinary_rows texts of sample_bytes reach the driver.
-    rows = short.join(sample, F.col("doc_id") == F.col("label_id")).groupBy("label_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label_id", "text", "label").collect()
+    alike = docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType
+    same = F.col("doc_id") == F.col("label_id") if alike else F.col("doc_id").cast("string") == F.col("label_id").cast("string")
+    rows = short.join(sample, same).groupBy("label_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label_id", "text", "label").collect()
     return fit([tuple(r) for r in rows], (totals[0], totals[1]))
 
 

@@ -9,6 +9,7 @@ cannot decide.  The longest confirmed rule wins; on equal length the longer
 host.  Without a rule the verdict is ``default``.
 
 Defined cases.  Null URL or none with ``://``: empty host and path, no rule.
+A host of any length is probed with its suffixes up to the longest stored host only.
 Of rules with one host and path and two verdicts, ``block`` wins.
 Only A-Z are lower-cased, in the host alone; ports and user names stay part of
 the host.  Repeated rows are judged alike; other columns are passed by.
@@ -16,7 +17,6 @@ the host.  Repeated rows are judged alike; other columns are passed by.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memjobs.llm._shared import shipped, stored
+from memjobs.llm._shared import shipped
 
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,10 +85,22 @@ class DigestArray:
         return out
 
 
+def _suffixes(host: bytes, longest: int) -> list[bytes]:
+    """The host and its parent domains, those of at most ``longest`` bytes: as long as a stored host can be."""
+    if len(host) > longest:
+        host = host[-longest - 1 :].partition(b".")[2]
+    out = []
+    while host:
+        out.append(host)
+        host = host.partition(b".")[2]
+    return out
+
+
 def _judge(name: str, default: str):
     def job(batches):
         array = DigestArray(SparkFiles.get(name))
         lengths = [int(x) for x in array.path_lengths]
+        longest = int(array.host_len.max(initial=0))
         for batch in batches:
             hosts, paths, candidates, owner = [], [], [], []
             for row, url in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
@@ -96,12 +108,11 @@ def _judge(name: str, default: str):
                 hosts.append(host)
                 paths.append(path)
                 h, p = host.encode(), path.encode()
-                while h:
+                for suffix in _suffixes(h, longest):
                     for n in lengths:
                         if n <= len(p):
-                            candidates.append((h + p[:n], len(h)))
+                            candidates.append((suffix + p[:n], len(suffix)))
                             owner.append(row)
-                    h = h.partition(b".")[2]
             best: list[tuple[int, int, int]] = [(-1, -1, -1)] * len(hosts)
             found = array.probe(candidates)
             for c in np.flatnonzero(found >= 0):
@@ -119,9 +130,7 @@ def _judge(name: str, default: str):
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: key, host, path, rule, verdict.  ``rules``: (host, path, allow or block)."""
-    content = digest_bytes(rules)
-    name = f"url-rules-{hashlib.sha256(content).hexdigest()[:16]}.bin"
-    shipped(pages.sparkSession, stored(pages.sparkSession, name, content))
+    name = shipped(pages.sparkSession, "url-rules", digest_bytes(rules))
     rows = pages.select(key, F.col(url).cast("string").alias("url"))
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(_judge(name, default), f"`{key}` {kind}, {OUT}")

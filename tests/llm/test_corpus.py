@@ -497,3 +497,18 @@ def test_pipeline_of_odd_rows_and_of_nothing(spark, tmp_path):
             if stage != "mixing":
                 assert ids == set() if name == "none" else {None, 700, 701, 702, 703, 704} <= ids
         assert name == "none" or (705 not in ids and 703 in ids and set(names) <= set(docs.columns))
+
+
+def test_ids_of_any_type(spark):
+    """Items, documents and labels named by strings."""
+    item = "the quick brown fox jumps over one lazy dog near some quiet river bank today"
+    docs = spark.createDataFrame([("d1", f"before it {item} after it"), ("d2", "nothing of the sort is said here at all")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q-1", item), (None, item)], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [("d1", "q-1")]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()] == ["d2"]
+    assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] and decontaminate.without_leaks(docs, bench.limit(0)).count() == 2
+    texts = [(f"d{i}", "vile scum filth " * 5 if i % 2 else "calm seas and fair winds " * 5) for i in range(80)]
+    labels = spark.createDataFrame([(d, i % 2) for i, (d, _) in enumerate(texts)], "doc_id string, toxic int")
+    frame = spark.createDataFrame(texts, "doc_id string, text string")
+    scored = {r.doc_id: r.score for r in toxicity.score(frame, toxicity.learn(frame, labels)).collect()}
+    assert min(scored[d] for i, (d, _) in enumerate(texts) if i % 2) > max(scored[d] for i, (d, _) in enumerate(texts) if not i % 2)

@@ -50,7 +50,9 @@ def brute_entropy_spans(text, base):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         w = m[0]
-        if any(s < m.end() and m.start() < e for s, _, e in base) or not (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)):
+        covered = {i for s, _, e in base for i in range(max(s, m.start()), min(e, m.end()))}
+        left = "".join("\n" if i in covered else text[i] for i in range(m.start(), m.end())).split("\n")
+        if covered and all(secrets._is_plain(x) for x in left if x) or not (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)):
             continue
         kind = "hex" if set(w) <= set("0123456789abcdefABCDEF") else "alphanumeric" if w.isalnum() else "base64"
         best = max(-sum(x.count(c) / 20 * math.log2(x.count(c) / 20) for c in set(x)) for x in (w[i : i + 20] for i in range(len(w) - 19)))
@@ -351,3 +353,43 @@ def test_alike_words_are_told_apart(spark):
     assert got == brute_repeats(list(enumerate(texts)), 50) and got[1][1] == 59 and got[3][1] == 0
     named = frame(spark, texts[:2]).selectExpr("cast(doc_id as string) doc_id", "text")
     assert sorted(r.n_removed for r in substring.remove_repeats(named, 50).collect()) == [0, 59]
+
+
+def test_words_that_collide_under_one_hash_stay(spark):
+    """Two words of one first hash, each the fiftieth of a window: nothing repeats."""
+    start = " ".join(f"w{i}" for i in range(49))
+    texts = [f"{start} zTpJPB-6!!!!@!!!", f"{start} wKuDna0H2-D/oALk"]
+    assert [r.n_removed for r in substring.remove_repeats(frame(spark, texts)).collect()] == [0, 0]
+    assert rows(substring.remove_repeats(frame(spark, [*texts, texts[0]])).select("doc_id", "n_removed")) == [(0, 0), (1, 0), (2, 50)]
+
+
+def test_vocabularies_of_one_name_are_told_apart(spark, tmp_path):
+    import base64
+
+    counts = []
+    for folder, pieces in (("a", [b"abab"]), ("b", [])):
+        lines = [base64.b64encode(p) + b" " + str(i).encode() for i, p in enumerate([*pieces, *(bytes([b]) for b in range(256))])]
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "v.tiktoken").write_bytes(b"\n".join(lines))
+        counts.append(tokens.token_counts(frame(spark, ["abab"]), str(tmp_path / folder / "v.tiktoken")).first().n_tokens)
+    assert counts == [1, 4]
+
+
+def test_keys_that_a_pattern_covers_in_part_go_whole(spark):
+    tail = "Zq9/Xk2LmP0vTr7WsY4uBn8Hd3Gf6Jc1"
+    texts = ["deadbeef" * 3 + tail, "x7Kp2mQ9Zr" + "AKIA" + "Q7Z2" * 4 + "q8Lw3nVb5T", "my_token=abcd1234", "deadbeef" * 3 + "_key"]
+    got = [r.text for r in secrets.redact(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["[SECRET]", "[SECRET]", "my_[SECRET]", "[SECRET]_key"]
+    assert brute_secrets(texts[0]) == [(0, 2, 24)] and secrets.entropy_spans(texts[0], brute_secrets(texts[0])) == [(0, 3, 56)]
+
+
+def test_a_url_of_very_many_labels_is_judged_in_little_memory(spark):
+    import tracemalloc
+
+    host = "a." * 50_000 + "example.com"
+    got = urls.judge_urls(spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{'b' * 200_000}/")], "page_id bigint, url string"), URL_RULES)
+    assert [(r.rule, r.verdict) for r in got.orderBy("page_id").collect()] == [("example.com/en/", "block"), (None, "allow")]
+    tracemalloc.start()
+    assert len(urls._suffixes(host.encode(), 15)) == 4
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
