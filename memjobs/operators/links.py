@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from memjobs.functions import text as T
 from memjobs.operators.ledger import rank_order
+from memjobs.operators.similarity import SLACK, distinct_sets, holders, similar_sets
+from memjobs.sources.tables import written
 
 # Relations of type pairs, in either direction.
 RELATIONS = {
@@ -37,57 +39,83 @@ def _before(a: str, b: str) -> Column:
     return F.struct(f"{b}.timestamp", f"{b}.memory_id") < F.struct(f"{a}.timestamp", f"{a}.memory_id")
 
 
+def _given(a: str, b: str) -> dict[str, Column]:
+    """What the rules ask of two memories under these prefixes: one session, a relation of their types, a common file, how many common words, nearness in time."""
+    return {
+        "session": F.coalesce(F.col(f"{a}session_id") == F.col(f"{b}session_id"), F.lit(False)),
+        "relation": type_relation(F.col(f"{a}memory_type"), F.col(f"{b}memory_type")),
+        "file": F.coalesce(F.arrays_overlap(f"{a}file_references", f"{b}file_references"), F.lit(False)),
+        "near": F.abs(F.col(f"{a}timestamp").cast("double") - F.col(f"{b}timestamp").cast("double")) < CLOSE_SECONDS,
+    }
+
+
 def auto_link(memories: DataFrame, cap: int | None = 100, temporal: bool = True) -> DataFrame:
     """source_id, target_id, relation_type, confidence: each memory against earlier ones of its project, first rule that fits.
 
     With ``cap``, only a project's first ``cap`` memories in rank order are
     targets, so the join makes at most cap rows for each memory.  Without it,
-    targets come from joins on what a rule needs (session, type pair, file,
-    keyword, five-minute slot).
+    each rule has a join of its own that leaves out what earlier rules link, so
+    no pair is formed twice; common words are met over prefixes of rare words.
     """
     base = memories.select("memory_id", "project_id", "session_id", "timestamp", "memory_type", "file_references", keywords("raw_text", "compressed_summary", "semantic_summary").alias("words"), "recency_score", "importance_score")
-    if cap is not None:
-        place = F.row_number().over(Window.partitionBy("project_id").orderBy(*rank_order()))
-        targets = base.withColumn("_n", place).where(F.col("_n") <= cap).drop("_n")
-        pairs = base.alias("a").join(targets.alias("b"), (F.col("a.project_id") == F.col("b.project_id")) & _before("a", "b"))
-    else:
-        pairs = _blocked(base)
-    shared = F.size(F.array_intersect("a.words", "b.words"))
-    relation = type_relation(F.col("a.memory_type"), F.col("b.memory_type"))
+    if cap is None:
+        return _uncapped(base.drop("recency_score", "importance_score"), temporal)
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(*rank_order()))
+    targets = base.withColumn("_n", place).where(F.col("_n") <= cap).drop("_n")
+    pairs = base.alias("a").join(targets.alias("b"), (F.col("a.project_id") == F.col("b.project_id")) & _before("a", "b"))
+    shared, given = F.size(F.array_intersect("a.words", "b.words")), _given("a.", "b.")
     rule = (
-        F.when(F.col("a.session_id") == F.col("b.session_id"), F.struct(F.lit("same_session").alias("relation_type"), F.lit(0.9).alias("confidence")))
-        .when(relation.isNotNull(), F.struct(relation.alias("relation_type"), F.lit(0.7).alias("confidence")))
-        .when(F.arrays_overlap("a.file_references", "b.file_references"), F.struct(F.lit("shared_file").alias("relation_type"), F.lit(0.8).alias("confidence")))
-        .when(shared >= 3, F.struct(F.lit("keyword_overlap").alias("relation_type"), F.least(F.lit(0.8), 0.5 + shared * 0.05).alias("confidence")))
+        F.when(given["session"], F.struct(F.lit("same_session").alias("relation_type"), F.lit(0.9).alias("confidence")))
+        .when(given["relation"].isNotNull(), F.struct(given["relation"].alias("relation_type"), F.lit(0.7).alias("confidence")))
+        .when(given["file"], F.struct(F.lit("shared_file").alias("relation_type"), F.lit(0.8).alias("confidence")))
+        .when(shared >= SHARED_WORDS, F.struct(F.lit("keyword_overlap").alias("relation_type"), _overlap_confidence(shared).alias("confidence")))
     )
     if temporal:
-        near = F.abs(F.col("a.timestamp").cast("double") - F.col("b.timestamp").cast("double")) < CLOSE_SECONDS
-        rule = rule.when(near, F.struct(F.lit("temporal_proximity").alias("relation_type"), F.lit(0.5).alias("confidence")))
+        rule = rule.when(given["near"], F.struct(F.lit("temporal_proximity").alias("relation_type"), F.lit(0.5).alias("confidence")))
     linked = pairs.select(F.col("a.memory_id").alias("source_id"), F.col("b.memory_id").alias("target_id"), rule.alias("r")).where("r is not null")
     return linked.select("source_id", "target_id", "r.relation_type", "r.confidence")
 
 
-def _blocked(base: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs that share a session, related types, a file, three keywords or a five-minute neighbourhood."""
-    slot = F.floor(F.col("timestamp").cast("double") / CLOSE_SECONDS)
-    ids = base.select("memory_id", "project_id", "session_id", "timestamp", "memory_type", "file_references", "words", slot.alias("slot"))
-    a, b = ids.alias("a"), ids.alias("b")
+SHARED_WORDS = 3
+
+
+def _overlap_confidence(shared: Column) -> Column:
+    return F.least(F.lit(0.8), 0.5 + shared * 0.05)
+
+
+def _uncapped(base: DataFrame, temporal: bool) -> DataFrame:
+    a, b, given = base.alias("a"), base.alias("b"), _given("a.", "b.")
     same = (F.col("a.project_id") == F.col("b.project_id")) & _before("a", "b")
-    pick = (F.col("a.memory_id").alias("source_id"), F.col("b.memory_id").alias("target_id"))
-    sessions = a.join(b, same & (F.col("a.session_id") == F.col("b.session_id"))).select(*pick)
-    kinds = [(x, y) for x, y in RELATIONS] + [(y, x) for x, y in RELATIONS]
-    others = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in kinds])
-    wanted = ids.withColumn("kind", F.explode(F.filter(others, lambda p: p["x"] == F.col("memory_type")))).alias("a")
-    types = wanted.join(b, same & (F.col("a.kind.y") == F.col("b.memory_type"))).select(*pick)
-    files = ids.withColumn("file", F.explode("file_references"))
-    shared_files = files.alias("a").join(files.alias("b"), same & (F.col("a.file") == F.col("b.file"))).select(*pick)
-    worded = ids.select("memory_id", "project_id", "timestamp", F.explode("words").alias("word"))
-    shared_words = worded.alias("a").join(worded.alias("b"), same & (F.col("a.word") == F.col("b.word"))).groupBy(F.col("a.memory_id").alias("source_id"), F.col("b.memory_id").alias("target_id")).count().where("count >= 3").drop("count")
-    slots = ids.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
-    close = slots.alias("a").join(b, same & (F.col("a.slot") == F.col("b.slot"))).select(*pick)
-    found = sessions.union(types).union(shared_files).union(shared_words).union(close).distinct()
-    left = found.join(ids.alias("a"), F.col("source_id") == F.col("a.memory_id"))
-    return left.join(ids.alias("b"), F.col("target_id") == F.col("b.memory_id"))
+    ends = (F.col("a.memory_id").alias("source_id"), F.col("b.memory_id").alias("target_id"))
+    fresh = ~given["session"] & given["relation"].isNull()
+
+    sessions = a.join(b, same & (F.col("a.session_id") == F.col("b.session_id"))).select(*ends, F.lit("same_session").alias("relation_type"), F.lit(0.9).alias("confidence"))
+
+    kinds = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [*RELATIONS, *((y, x) for x, y in RELATIONS)]])
+    wanted = base.withColumn("other", F.explode(F.transform(F.filter(kinds, lambda p: p["x"] == F.col("memory_type")), lambda p: p["y"]))).alias("a")
+    types = wanted.join(b, same & (F.col("a.other") == F.col("b.memory_type")) & ~given["session"]).select(*ends, given["relation"].alias("relation_type"), F.lit(0.7).alias("confidence"))
+
+    files = base.drop("words").withColumn("file", F.explode(F.array_distinct("file_references")))
+    shared_files = files.alias("a").join(files.alias("b"), same & (F.col("a.file") == F.col("b.file")) & fresh).select(*ends).distinct().select("*", F.lit("shared_file").alias("relation_type"), F.lit(0.8).alias("confidence"))
+
+    sets = distinct_sets(base.select("project_id", F.col("memory_id").alias("id"), F.col("words").alias("tokens")), ("project_id",))
+    found = written(similar_sets(sets, overlap=SHARED_WORDS).select("project_id", "x", "y", "shared"))
+    itself = sets.sets.where(F.col("size") >= SHARED_WORDS).select("project_id", F.col("set_id").alias("x"), F.col("set_id").alias("y"), F.col("size").alias("shared"))
+    own = _given("a_", "b_")
+    later = F.struct("b_timestamp", "b_id") < F.struct("a_timestamp", "a_id")
+    attributes = base.select("project_id", F.col("memory_id").alias("id"), "session_id", "timestamp", "memory_type", "file_references")
+    worded = holders(sets, found.union(found.select("project_id", "y", "x", "shared")).union(itself), attributes, later & ~own["session"] & own["relation"].isNull() & ~own["file"])
+    words = worded.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), F.lit("keyword_overlap").alias("relation_type"), _overlap_confidence(F.col("shared")).alias("confidence"))
+
+    out = sessions.unionByName(types).unionByName(shared_files).unionByName(words)
+    if not temporal:
+        return out
+    slot = F.floor(F.col("timestamp").cast("double") / CLOSE_SECONDS)
+    slotted = base.withColumn("slot", slot).alias("b")
+    around = base.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("a")
+    few = F.size(F.array_intersect("a.words", "b.words")) < SHARED_WORDS
+    close = around.join(slotted, same & (F.col("a.slot") == F.col("b.slot")) & fresh & ~given["file"] & few & given["near"])
+    return out.unionByName(close.select(*ends, F.lit("temporal_proximity").alias("relation_type"), F.lit(0.5).alias("confidence")))
 
 
 def shared_file_links(memories: DataFrame) -> DataFrame:
@@ -100,38 +128,56 @@ def shared_file_links(memories: DataFrame) -> DataFrame:
 
 
 def supersede_decisions(decisions: DataFrame) -> DataFrame:
-    """memory_id, superseded_by: an active decision yields to the earliest later active one it conflicts with.
+    """memory_id, superseded_by: an active decision yields to the earliest later active one it conflicts with, of equally early ones to the least id.
 
     decisions: memory_id, project_id, timestamp, statement, file_references,
     validity.  Two conflict if their statements differ and they share a file or
-    two words; pairs come from joins on (project, word) and (project, file).
+    two words.  No pairs are formed: each decision is listed under its files and
+    its pairs of words, and looks forward in each list to the first moment with
+    another statement than its own.  Moments with one and the same statement make
+    a run; as that moment begins a run, it is the next one's first or, if that
+    still says the same, the first of the one after.
     """
-    active = decisions.where("validity = 'active'").withColumn("said", F.lower("statement"))
-    words = active.select("memory_id", "project_id", "timestamp", "said", F.explode(T.words(F.col("said"))).alias("key"))
-    files = active.select("memory_id", "project_id", "timestamp", "said", F.explode("file_references").alias("key"))
-
-    def pairs(rows: DataFrame, least: int) -> DataFrame:
-        same = (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.said") != F.col("b.said")) & (F.col("b.timestamp") < F.col("a.timestamp"))
-        met = rows.alias("a").join(rows.alias("b"), same)
-        return met.groupBy(F.col("b.memory_id").alias("memory_id"), F.col("a.memory_id").alias("newer"), F.col("a.timestamp").alias("at")).count().where(F.col("count") >= least).drop("count")
-
-    return pairs(words, 2).union(pairs(files, 1)).groupBy("memory_id").agg(F.min_by("newer", F.struct("at", "newer")).alias("superseded_by"))
+    active = decisions.where("validity = 'active' and timestamp is not null and statement is not null and project_id is not null").withColumn("said", F.lower("statement"))
+    base = active.select("memory_id", "project_id", "timestamp", "said", F.array_sort(T.words(F.col("said"))).alias("words"), "file_references")
+    own = ("memory_id", "project_id", "timestamp", "said")
+    first = base.select(*own, "words", F.posexplode("words").alias("at", "k1"))
+    words = first.select(*own, F.lit("words").alias("kind"), "k1", F.explode(F.slice("words", F.col("at") + 2, F.size("words"))).alias("k2"))
+    files = base.select(*own, F.lit("file").alias("kind"), F.explode(F.array_distinct("file_references")).alias("k1"), F.lit("").alias("k2"))
+    listed = written(words.unionByName(files).where("k1 is not null"))
+    key = ("project_id", "kind", "k1", "k2")
+    said = listed.groupBy(*key, "timestamp", "said").agg(F.min("memory_id").alias("id"))
+    least = F.min(F.struct("id", "said")).over(Window.partitionBy(*key, "timestamp"))
+    moments = said.withColumn("least", least).groupBy(*key, "timestamp").agg(F.first("least.id").alias("id"), F.first("least.said").alias("said"), F.min(F.when(F.col("said") != F.col("least.said"), F.col("id"))).alias("other_id"))
+    forward = Window.partitionBy(*key).orderBy("timestamp")
+    only = F.when(F.col("other_id").isNull(), F.col("said"))
+    begins = ~F.coalesce((F.col("only") == F.lag("only").over(forward)), F.lit(False))
+    runs = moments.withColumn("only", only).withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("long")).over(forward))
+    heads = runs.where("begins").select(*key, "run", F.struct("timestamp", "id", "said", "other_id").alias("head"))
+    ahead = Window.partitionBy(*key).orderBy("run")
+    after = heads.select(*key, "run", F.lead("head", 1).over(ahead).alias("next"), F.lead("head", 2).over(ahead).alias("then")).where("next is not null")
+    answers = runs.select(*key, "timestamp", "run").join(after, [*key, "run"]).select(*key, "timestamp", "next", "then")
+    met = listed.join(answers, [*key, "timestamp"])
+    still = F.col("next.other_id").isNull() & (F.col("next.said") == F.col("said"))
+    head = F.when(still, F.col("then")).otherwise(F.col("next"))
+    yields = met.withColumn("head", head).where("head is not null").select("memory_id", F.col("head.timestamp").alias("at"), F.when(F.col("head.said") != F.col("said"), F.col("head.id")).otherwise(F.col("head.other_id")).alias("newer"))
+    return yields.groupBy("memory_id").agg(F.min_by("newer", F.struct("at", "newer")).alias("superseded_by"))
 
 
 def detect_contradictions(memories: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs of one project and type (decision, fact, requirement), both active, whose best word Jaccard + 0.2 exceeds the threshold.
 
-    Candidates share a word, by an equi-join on (project, type, word).
+    A memory holds the word sets of its texts; sets of one project and type are
+    joined exactly over prefixes of rare words, equal ones once.
     """
-    texts = ("raw_text", "compressed_summary", "semantic_summary")
+    texts = F.array(*[T.words(F.col(c)) for c in ("raw_text", "compressed_summary", "semantic_summary")])
     base = memories.where("memory_type in ('decision', 'fact', 'requirement') and validity = 'active'")
-    base = base.select("memory_id", "project_id", "memory_type", *[T.words(F.col(c)).alias(f"w{i}") for i, c in enumerate(texts)])
-    keyed = base.select("memory_id", "project_id", "memory_type", F.explode(F.array_union(F.array_union("w0", "w1"), "w2")).alias("word"))
-    same = (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.memory_type") == F.col("b.memory_type")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.memory_id") < F.col("b.memory_id"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), same).select(F.col("a.memory_id").alias("a_id"), F.col("b.memory_id").alias("b_id")).distinct()
-    sided = pairs.join(base.alias("a"), F.col("a_id") == F.col("a.memory_id")).join(base.alias("b"), F.col("b_id") == F.col("b.memory_id"))
-    sims = [F.when((F.size(f"a.w{i}") > 0) & (F.size(f"b.w{j}") > 0), F.size(F.array_intersect(f"a.w{i}", f"b.w{j}")) / F.size(F.array_union(f"a.w{i}", f"b.w{j}"))).otherwise(0.0) for i in range(3) for j in range(3)]
-    best = sided.select("a_id", "b_id", F.greatest(*sims).alias("similarity")).where("similarity > 0.3")
+    by = ("project_id", "memory_type")
+    sets = distinct_sets(base.select(*by, F.col("memory_id").alias("id"), F.explode(texts).alias("tokens")), by)
+    found = written(similar_sets(sets, jaccard=max(0.3, threshold - 0.2) - SLACK).withColumn("similarity", F.col("shared") / (F.col("size_x") + F.col("size_y") - F.col("shared"))).select(*by, "x", "y", "similarity"))
+    itself = sets.sets.select(*by, F.col("set_id").alias("x"), F.col("set_id").alias("y"), F.lit(1.0).alias("similarity"))
+    pairs = holders(sets, found.union(found.select(*by, "y", "x", "similarity")).union(itself), when=F.col("a_id") < F.col("b_id"))
+    best = pairs.groupBy("a_id", "b_id").agg(F.max("similarity").alias("similarity")).where("similarity > 0.3")
     return best.withColumn("confidence", F.least(F.lit(1.0), F.col("similarity") + 0.2)).where(F.col("confidence") > threshold)
 
 
@@ -186,14 +232,25 @@ def link_quality(memories: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_recall(memories: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: expected pairs (one project, and one session or two files in common) and those linked."""
-    ids = memories.select("memory_id", "project_id", "session_id")
-    a, b = ids.alias("a"), ids.alias("b")
-    pick = (F.col("a.memory_id").alias("x"), F.col("b.memory_id").alias("y"))
-    older = F.col("a.memory_id") < F.col("b.memory_id")
-    sessions = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.session_id") == F.col("b.session_id")) & older).select(*pick)
-    files = memories.select("memory_id", "project_id", F.explode(F.array_distinct("file_references")).alias("file"))
-    shared = files.alias("a").join(files.alias("b"), (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.file") == F.col("b.file")) & older).groupBy(*pick).count().where("count >= 2").drop("count")
-    expected = sessions.union(shared).distinct()
-    linked = links.select(F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y"), F.lit(True).alias("linked")).distinct()
-    return expected.join(linked, ["x", "y"], "left").agg(F.count("*").alias("expected"), F.count("linked").alias("found"))
+    """One row: expected pairs (one project, and one session or two files in common) and those linked.
+
+    Expected pairs are counted, not formed: n(n-1)/2 for each session, and for
+    each two file sets with two common files the product of their holders,
+    without those of one session.  Only links are looked up pair by pair.
+    """
+    ids = memories.select("memory_id", "project_id", "session_id", F.array_distinct("file_references").alias("files")).where("project_id is not null")
+    half = lambda n: n * (n - 1) / 2
+    sessions = ids.where("session_id is not null").groupBy("project_id", "session_id").count().agg(F.sum(half(F.col("count"))).alias("n"))
+    sets = distinct_sets(ids.where("size(files) >= 2").select("project_id", F.struct("memory_id", "session_id").alias("id"), F.col("files").alias("tokens")), ("project_id",))
+    held = written(sets.members.groupBy("project_id", "set_id", F.col("id.session_id").alias("session_id")).agg(F.count("*").alias("n")))
+    totals = held.groupBy("project_id", "set_id").agg(F.sum("n").alias("n"))
+    alone = totals.agg(F.sum(half(F.col("n"))).alias("n")).union(held.where("session_id is not null").agg(-F.sum(half(F.col("n")))))
+    met = written(similar_sets(sets, overlap=2).select("project_id", "x", "y"))
+    named = lambda t, n: t.withColumnRenamed("set_id", n).withColumnRenamed("n", f"n_{n}")
+    across = met.join(named(totals, "x"), ["project_id", "x"]).join(named(totals, "y"), ["project_id", "y"]).agg(F.sum(F.col("n_x") * F.col("n_y")).alias("n"))
+    inside = met.join(named(held, "x"), ["project_id", "x"]).join(named(held, "y"), ["project_id", "y", "session_id"]).agg(-F.sum(F.col("n_x") * F.col("n_y")))
+    expected = sessions.union(alone).union(across).union(inside).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("expected"))
+    linked = links.select(F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y")).where("x < y").distinct()
+    ends = linked.join(ids.alias("a"), F.col("x") == F.col("a.memory_id")).join(ids.alias("b"), (F.col("y") == F.col("b.memory_id")) & (F.col("a.project_id") == F.col("b.project_id")))
+    good = (F.col("a.session_id") == F.col("b.session_id")) | (F.size(F.array_intersect("a.files", "b.files")) >= 2)
+    return expected.join(F.broadcast(ends.where(good).agg(F.count("*").alias("found"))))  # two rows of totals

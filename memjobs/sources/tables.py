@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def base_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the context's checkpoint folder; a temporary one is set only where both are unset, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder that is no longer needed; nothing happens where it or the JVM is gone."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # at exit the JVM may have ended
+        pass
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new folder's path below the shared one; what is written there is removed at exit."""
+    path = f"{base_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
