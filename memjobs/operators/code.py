@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memjobs.operators.walks import walk
+
 # Line patterns by language, in order of use; the first that fits names the line's symbol.
 PATTERNS = {
     "py": [("class", r"^class\s+(\w+)"), ("function", r"^def\s+(\w+)"), ("method", r"^\s+def\s+(\w+)")],
@@ -150,23 +152,28 @@ def callees(edges: DataFrame, names: DataFrame) -> DataFrame:
     return edges.join(names.select("caller").distinct(), "caller", "left_semi").select("caller", "callee_path", "callee").distinct()
 
 
+LINE_BIN = 64
+
+
 def affected_symbols(symbols: DataFrame, changes: DataFrame) -> DataFrame:
-    """Symbols whose lines hold a changed line: equi-join on the file, range on the line."""
-    lines = changes.select("file_path", "line").distinct()
-    spans = symbols.where("symbol_type <> 'import'").select("file_path", "name", "line_start", "line_end")
-    return spans.join(lines, "file_path").where("line between line_start and line_end").select("file_path", "name").distinct()
+    """(file_path, name) of symbols whose lines hold a changed line.
+
+    Spans and lines meet by file and bin of ``LINE_BIN`` lines: a span lies in each
+    bin that it touches, a line in one, so a file of any number of symbols and
+    changes costs what its bins hold.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / LINE_BIN)
+    lines = changes.select("file_path", "line").where("line is not null").distinct().withColumn("bin", bin_of("line"))
+    spans = symbols.where("symbol_type <> 'import' and line_start <= line_end").select("file_path", "name", "line_start", "line_end", F.explode(F.sequence(bin_of("line_start"), bin_of("line_end"))).alias("bin"))
+    return spans.join(lines, ["file_path", "bin"]).where("line between line_start and line_end").select("file_path", "name").distinct()
 
 
 def transitive_affected(seeds: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
-    """(file_path, name) reached over callers and callees, across files, in rounds 0..max_hops-1; the loop is over hops."""
-    ways = edges.select("file_path", F.col("caller").alias("name"), F.col("callee_path").alias("next_path"), F.col("callee").alias("next"))
-    both = ways.union(edges.select("callee_path", "callee", "file_path", "caller")).distinct()
-    frontier = seen = seeds.select("file_path", "name").distinct()
-    for _ in range(max_hops - 1):
-        reached = frontier.join(both, ["file_path", "name"]).select(F.col("next_path").alias("file_path"), F.col("next").alias("name")).distinct()
-        frontier = reached.join(seen, ["file_path", "name"], "left_anti")
-        seen = seen.union(frontier)
-    return seen
+    """(file_path, name) reached over callers and callees, across files, in rounds 0..max_hops-1."""
+    caller, callee = F.struct("file_path", F.col("caller").alias("name")), F.struct(F.col("callee_path").alias("file_path"), F.col("callee").alias("name"))
+    both = edges.select(caller.alias("node"), callee.alias("next")).union(edges.select(callee, caller))
+    reached = walk(seeds.select(F.lit(0).alias("group"), F.struct("file_path", "name").alias("node"), F.lit(max_hops).alias("hops")), both, max_hops)
+    return reached.select("node.file_path", "node.name")
 
 
 def dependency_chain(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memjobs.functions import text as T
 from memjobs.operators.ledger import rank_order
 from memjobs.operators.similarity import SLACK, distinct_sets, holders, similar_sets
+from memjobs.operators.walks import walk
 from memjobs.sources.tables import written
 
 # Relations of type pairs, in either direction.
@@ -193,19 +194,13 @@ def expand_graph(seeds: DataFrame, links: DataFrame, max_hops: int = 2, relation
 
     Seeds may have a ``hops`` column, each group's own number of rounds.  With
     ``memories``, what these carry as dependency and contradiction links of the
-    nodes reached is added at the end, as far as it exists.  The loop is over
-    hops, a small number; each is a join and an anti join.
+    nodes reached is added at the end, as far as it exists.
     """
     if relation_types is not None:
         links = links.where(F.col("relation_type").isin(relation_types))
-    edges = links.select(F.col("source_id").alias("memory_id"), F.col("target_id").alias("next")).union(links.select("target_id", "source_id")).distinct()
+    edges = links.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).union(links.select("target_id", "source_id"))
     hops = F.col("hops") if "hops" in seeds.columns else F.lit(max_hops)
-    frontier = visited = seeds.select("group_id", "memory_id", hops.alias("hops")).where("hops > 0").distinct()
-    for hop in range(1, max_hops):
-        reached = frontier.where(F.col("hops") > hop).join(edges, "memory_id").select("group_id", F.col("next").alias("memory_id"), "hops").distinct()
-        frontier = reached.join(visited, ["group_id", "memory_id"], "left_anti").select("group_id", "memory_id", "hops")
-        visited = visited.union(frontier)
-    visited = visited.select("group_id", "memory_id")
+    visited = walk(seeds.select(F.col("group_id").alias("group"), F.col("memory_id").alias("node"), hops.alias("hops")), edges, max_hops).select(F.col("group").alias("group_id"), F.col("node").alias("memory_id"))
     if memories is None:
         return visited
     stored = visited.join(_stored_links(memories), "memory_id").select("group_id", F.col("next").alias("memory_id"))

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memjobs.functions import text as T
 from memjobs.operators.ledger import any_contains, rank_order, top_memories
+from memjobs.operators.vectors import ranked, vector_candidates, vector_search
 from memjobs.sources.tables import written
 
 # BM25 parameters; floor of negative idf as a share of the mean.
 K1, B, FLOOR = 1.5, 0.75, 0.25
-QUERY_BLOCK = 4096  # query vectors held at once: a few megabytes
 
 
 def postings(memories: DataFrame) -> DataFrame:
@@ -69,64 +65,6 @@ def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: st
     return ranked(scored, k)
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "memory_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
-
-
-def _nearest(queries, k: int):
-    """The k nearest rows of a batch for each query of a broadcast block (ids, matrix); equal similarities go to the lesser ids."""
-
-    def job(batches):
-        ids, matrix = queries.value
-        norms = np.linalg.norm(matrix, axis=1)
-        for batch in batches:
-            batch = batch.take(pc.sort_indices(batch.column(0)))
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, matrix.shape[1]))
-            sims = np.round((matrix @ vectors.T) / (norms[:, None] * np.linalg.norm(vectors, axis=1)[None, :] + 1e-10), 9)
-            n = min(k, batch.num_rows)
-            best = np.zeros((len(ids), n), np.int64)
-            for q in range(len(ids) if n else 0):
-                least = np.partition(sims[q], batch.num_rows - n)[batch.num_rows - n]
-                over, ties = np.flatnonzero(sims[q] > least), np.flatnonzero(sims[q] == least)
-                best[q] = np.concatenate((over, ties[: n - len(over)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), batch.column(0).take(pa.array(best.reshape(-1))), pa.array(np.take_along_axis(sims, best, 1).reshape(-1))], names=["request_id", "memory_id", "score"])
-
-    return job
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """The k nearest by cosine: vectors (memory_id, vector) against queries (request_id, vector), both ids long.
-
-    Queries are a stated set, taken in blocks of about ``QUERY_BLOCK``; each
-    block is broadcast, each task keeps k rows for each query and batch, then a
-    window merges them.  Zero queries have no neighbours.
-    """
-    queries = written(queries.select("request_id", "vector").where(F.col("vector").isNotNull() & F.exists("vector", lambda v: v != 0)))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    found = vectors.sparkSession.createDataFrame([], "request_id bigint, memory_id bigint, score double")
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b).collect()
-        if rows:
-            block = vectors.sparkSession.sparkContext.broadcast(([r.request_id for r in rows], np.array([r.vector for r in rows], np.float64)))
-            found = found.union(vectors.select("memory_id", "vector").where("vector is not null").mapInArrow(_nearest(block, k), found.schema))
-    return ranked(found, k)
-
-
-def vector_candidates(vectors: DataFrame, requests: DataFrame, k: int = 50) -> DataFrame:
-    """request_id, memory_id, score, rank: the k nearest of the request's own project.
-
-    vectors: memory_id, project_id, vector.  requests: request_id, project_id,
-    vector.  A join on the project, so each request sees its project's rows.
-    """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
-    left = vectors.select("memory_id", "project_id", "vector", F.sqrt(dot("vector", "vector")).alias("norm"))
-    asked = requests.select("request_id", "project_id", F.col("vector").alias("asked"), F.sqrt(dot("vector", "vector")).alias("asked_norm")).where("asked_norm > 0")
-    score = dot("vector", "asked") / (F.col("norm") * F.col("asked_norm") + 1e-10)
-    return ranked(left.join(asked, "project_id").select("request_id", "memory_id", F.round(score, 9).alias("score")), k)
-
-
 # Task keywords in their order of use.
 TASK_WORDS = {
     "debugging": ("debug", "fix", "error", "bug", "fail", "traceback", "exception", "crash"),
@@ -247,18 +185,32 @@ def rerank_score(candidates: DataFrame) -> DataFrame:
 INACTIVE = ("superseded", "rejected", "archived")
 
 
-def retrieve(requests: DataFrame, memories: DataFrame, links: DataFrame | None = None, k: int = 50, vectors: DataFrame | None = None, states: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+def _of_project(found: DataFrame, requests: DataFrame, memories: DataFrame) -> DataFrame:
+    """Of rows found in all projects, those of the request's own, ranked anew."""
+    own = found.join(memories.select("memory_id", "project_id"), "memory_id").join(requests.select("request_id", "project_id"), ["request_id", "project_id"])
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("rank")))
+
+
+def retrieve(
+    requests: DataFrame, memories: DataFrame, links: DataFrame | None = None, k: int = 50, vectors: DataFrame | None = None, states: DataFrame | None = None, index: Index | None = None, scope: str = "project"
+) -> DataFrame:
     """request_id, memory_id, score, rank: vector, BM25 and metadata lists, fused, expanded over links for plans that want it, reranked.
 
     requests: request_id, project_id, query, requirements, optional session_id,
     max_graph_hops and vector.  vectors (memory_id, project_id, vector) add the
     vector list, states (session_id, recent ids) the session's recent rows.
+
+    With scope ``project`` each list holds the best 50 of the request's project;
+    with ``global`` the best 50 of all memories, of which those of the project
+    stay, so a request may find few.
     """
     plans = make_plan(requests)
     inside = plans.where("needs_project")
-    lists = bm25_search(memories, inside, 50, index=index).select("request_id", "memory_id", F.lit(0).alias("list"), "rank")
+    words = bm25_search(memories, inside, 50, scope, index)
+    lists = (words if scope == "project" else _of_project(words, inside, memories)).select("request_id", "memory_id", F.lit(0).alias("list"), "rank")
     if vectors is not None:
-        lists = lists.union(vector_candidates(vectors, inside, 50).select("request_id", "memory_id", F.lit(-1).alias("list"), "rank"))
+        near = vector_candidates(vectors, inside, 50) if scope == "project" else _of_project(vector_search(vectors, inside, 50), inside, memories)
+        lists = lists.union(near.select("request_id", "memory_id", F.lit(-1).alias("list"), "rank"))
     metadata = metadata_candidates(plans, memories, states).select("request_id", "memory_id", F.lit(1).alias("list"), F.col("position").alias("rank"))
     fused = rrf(lists.union(metadata)).select("request_id", "memory_id", F.col("score").alias("base"), "place")
     if links is None:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memjobs.functions import text as T
-from memjobs.operators import links, retrieve
+from memjobs.operators import links, retrieve, vectors
 from memjobs.plans.registry import registry
 from memjobs.sources import views
 from memjobs.sources.views import LINKS_SQL, MEM_SQL
@@ -154,15 +154,31 @@ def _(spark, d):
     return retrieve.bm25_search(_docs(spark, d), _requests(spark, d), 50).select("request_id", "memory_id", "score")
 
 
-@query(
-    "e4_vector_search",
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS request_id, v.vec_id AS memory_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id % 20 = 0)
-SELECT request_id, memory_id, score FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 10""",
-)
+_EXACT = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS request_id, v.vec_id AS memory_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id % 20 = 0)
+SELECT request_id, memory_id, score FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 10"""
+
+
+def _embeddings(spark, d):
+    rows = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").alias("vector"))
+    return rows, rows.where("memory_id % 20 = 0").withColumnRenamed("memory_id", "request_id")
+
+
+@query("e4_vector_search", _EXACT)
 def _(spark, d):
-    vectors = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    asked = vectors.where("memory_id % 20 = 0").withColumnRenamed("memory_id", "request_id")
-    return retrieve.vector_search(vectors, asked, 10).select("request_id", "memory_id", F.round("score", 6).alias("score"))
+    return vectors.vector_search(*_embeddings(spark, d), 10).select("request_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query("e4_ivf_search")
+def _(spark, d):
+    rows, asked = _embeddings(spark, d)
+    return vectors.ivf_search(vectors.ivf_index(rows), asked, 10).select("request_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query("e4_ivf_every_cell", _EXACT)
+def _(spark, d):
+    rows, asked = _embeddings(spark, d)
+    index = vectors.ivf_index(rows)
+    return vectors.ivf_search(index, asked, 10, probes=len(index.centroids)).select("request_id", "memory_id", F.round("score", 6).alias("score"))
 
 
 _TASK = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{t}'" for t, words in retrieve.TASK_WORDS.items()) + " ELSE 'general' END"
@@ -308,6 +324,21 @@ def _(spark, d):
     return retrieve.retrieve(_asks(spark, d), views.mem(spark, d)).select("request_id", "memory_id", F.round("score", 6).alias("score"))
 
 
+_RANKED_BM = "bm AS (SELECT request_id, memory_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) AS rank FROM mb QUALIFY rank <= 50)"
+_ALL_INDEX = _INDEX.replace("ON mq.term = mi.term AND mq.project_id = mi.project_id", "ON mq.term = mi.term").replace(
+    _RANKED_BM, f"{_RANKED_BM.replace('bm AS', 'b0 AS')}, bm AS (SELECT request_id, memory_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank FROM b0 JOIN mem USING (memory_id) JOIN reqs USING (request_id, project_id))"
+)
+
+
+@query(
+    "e11_global_retrieve",
+    f"""WITH {_META}, {_ALL_INDEX}, fin AS (SELECT top.request_id, top.memory_id, round(greatest(0, 0.35 * base + 0.15 * recency_score + 0.2 * importance_score + 0.1 * confidence_score + {_BOOST} + CASE stability WHEN 'canonical' THEN 0.1 WHEN 'stable' THEN 0.05 ELSE 0 END), 9)::DOUBLE AS score
+ FROM top JOIN mem USING (memory_id) JOIN tk USING (request_id) WHERE validity NOT IN ('superseded', 'rejected')) SELECT request_id, memory_id, round(score, 6) AS score FROM fin QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 50""",
+)
+def _(spark, d):
+    return retrieve.retrieve(_asks(spark, d), views.mem(spark, d), scope="global").select("request_id", "memory_id", F.round("score", 6).alias("score"))
+
+
 # Vectors of memories and of requests, from the embeddings by number.
 _VECTORS = "mv AS (SELECT memory_id, project_id, embedding::DOUBLE[] AS e FROM mem JOIN embeddings ON memory_id = 'mem_' || vec_id), qv AS (SELECT request_id, project_id, embedding::DOUBLE[] AS q FROM reqs JOIN embeddings ON vec_id = substr(project_id, 6)::INT)"
 _NEAREST = "vs AS (SELECT request_id, memory_id, round(list_cosine_similarity(q, e), 9) AS score FROM qv JOIN mv USING (project_id)), vl AS (SELECT request_id, memory_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) AS rank FROM vs QUALIFY rank <= 50)"
@@ -325,7 +356,7 @@ def _with_vectors(spark, d, requests):
 
 @query("e4_project_vectors", f"WITH {_REQS}, {_VECTORS}, {_NEAREST} SELECT request_id, memory_id, rank FROM vl")
 def _(spark, d):
-    return retrieve.vector_candidates(_vectors(spark, d), _with_vectors(spark, d, _asks(spark, d)), 50).select("request_id", "memory_id", F.col("rank").cast("long").alias("rank"))
+    return vectors.vector_candidates(_vectors(spark, d), _with_vectors(spark, d, _asks(spark, d)), 50).select("request_id", "memory_id", F.col("rank").cast("long").alias("rank"))
 
 
 # Three lists, session rows, and a walk over links for the requests that want one.
