@@ -278,3 +278,13 @@ SELECT project_id, epoch(s)::BIGINT AS start, count(*) AS n FROM w GROUP BY ALL"
 def _(spark, d):
     rows = jobs.stream_activity(views.ev(spark, d), "24 hours", "6 hours")
     return rows.select("project_id", F.col("start").cast("long").alias("start"), "n")
+
+
+_PANES = f"{EV_SQL}, panes AS (SELECT project_id, date_trunc('hour', timestamp) AS hour, count(*) AS n FROM ev GROUP BY ALL)"
+_ROLLING = ", ".join(f"(sum(n) OVER (PARTITION BY project_id ORDER BY hour RANGE BETWEEN INTERVAL {h - 1} HOUR PRECEDING AND CURRENT ROW))::BIGINT AS {n}" for n, h in jobs.WINDOWS.items())
+
+
+@query("n4_rolling_activity", f"WITH {_PANES} SELECT project_id, epoch(hour)::BIGINT AS hour, {_ROLLING} FROM panes")
+def _(spark, d):
+    rows = jobs.rolling_activity(jobs.run_to_panes(_stream(spark, d)))
+    return rows.withColumn("hour", F.unix_seconds("hour"))

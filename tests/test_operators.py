@@ -292,7 +292,7 @@ def test_stream_state_goes_on_after_a_restart(spark, tmp_path):
             df = spark.createDataFrame(row, "memory_id string, project_id string, memory_type string, raw_text string, compressed_summary string, at string, recency_score double, importance_score double, file_references array<string>")
             df.withColumn("timestamp", F.to_timestamp("at")).drop("at").write.mode("append").parquet(f"{tmp_path}/in")
         schema = spark.read.parquet(f"{tmp_path}/in").schema
-        return jobs.run_to_state(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/state").collect()
+        return jobs.run_to_state(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out").collect()
 
     assert [(r.version, r.active_files) for r in run(("a", "one"))] == [(1, ["src/a.py"])]
     assert [(r.version, sorted(r.active_files)) for r in run(("b", "two"))] == [(2, ["src/a.py", "src/b.py"])]
@@ -310,3 +310,36 @@ def test_neighbours_of_equal_similarity_are_those_of_lesser_ids(spark):
     vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)] + [(50, [0.0, 1.0]), (51, None)], "memory_id bigint, vector array<double>")
     queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "request_id bigint, vector array<double>")
     assert sorted(values(retrieve.vector_search(vectors.repartition(3), queries, 4).select("request_id", "memory_id"))) == [(1, i) for i in range(4)]
+
+
+def test_keyed_state_writes_what_a_batch_touched_and_survives_replays(spark, tmp_path):
+    store = jobs.KeyedState(spark, f"{tmp_path}/s", "key", buckets=8)
+    rows = lambda pairs: spark.createDataFrame(pairs, "key string, v long")
+    read = lambda before=None: dict(values(store.load(before)))
+    assert store.load() is None
+    store.save(rows([(f"k{i}", 0) for i in range(2000)]), 0)
+    store.save(rows([("k1", 1), ("new", 5)]), 1)
+    size = [store.bytes_of(p) for _, _, p in store.tables()]
+    assert size[1] < size[0] / 5 and read()["k1"] == 1 and len(read()) == 2001 and read(1)["k1"] == 0
+    store.save(rows([("k1", 7)]), 1)  # replayed with other rows: what it stored before is gone
+    assert read()["k1"] == 7 and "new" not in read()
+    assert dict(values(store.load(None, rows([("k1", 0), ("k5", 0), ("none", 0)])))) == {"k1": 7, "k5": 0}
+    for batch in range(2, 5):
+        store.save(rows([(f"k{i}", batch) for i in range(1500)]), batch)
+    kinds = [(b, kind) for b, kind, _ in store.tables()]
+    assert kinds[0][1] == "full" and len(kinds) <= 3, kinds
+    assert read() == {f"k{i}": 4 if i < 1500 else 0 for i in range(2000)}
+    assert read(4) == {f"k{i}": 3 if i < 1500 else 0 for i in range(2000)}  # a replay of the last batch still finds what lay before it
+
+
+def test_panes_take_late_rows_and_go_on_after_a_restart(spark, tmp_path):
+    def run(name, *times):
+        frame = spark.createDataFrame([("p", t) for t in times], "project_id string, at string").select("project_id", F.to_timestamp("at").alias("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        panes = jobs.run_to_panes(spark.readStream.schema("project_id string, timestamp timestamp").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", "2 hours")
+        return {str(r.hour)[5:16]: tuple(r[2:]) for r in jobs.rolling_activity(panes).collect()}
+
+    assert run("a", "2024-01-01 10:05:00", "2024-01-01 10:59:59", "2024-01-01 11:00:00") == {"01-01 10:00": (2, 2, 2, 2), "01-01 11:00": (1, 3, 3, 3)}
+    assert run("b", "2024-01-02 10:30:00", "2024-01-01 10:10:00") == {"01-01 10:00": (3, 3, 3, 3), "01-01 11:00": (1, 4, 4, 4), "01-02 10:00": (1, 2, 5, 5)}
+    got = run("c", "2024-01-01 10:20:00", "2024-01-20 00:00:00", "2024-01-02 08:45:00")  # the first is over two hours behind: its hour is closed
+    assert got == {"01-01 10:00": (3, 3, 3, 3), "01-01 11:00": (1, 4, 4, 4), "01-02 08:00": (1, 5, 5, 5), "01-02 10:00": (1, 3, 6, 6), "01-20 00:00": (1, 1, 1, 7)}
