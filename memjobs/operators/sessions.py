@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memjobs.functions import text as T
-from memjobs.operators import packs, retrieve
+from memjobs.operators import packs, retrieve, verify
 from memjobs.sources.tables import written
 
 ROUNDS = 2
@@ -73,6 +73,42 @@ def auto_expand(requests: DataFrame, memories: DataFrame, rounds: int = ROUNDS)
     return out
 
 
+# What an answer made of a pack says first, how much of the pack it takes, what a failed verification costs.
+PREAMBLE, SPOKEN, FAILED = "Based on the project memory, ", 500, 0.1
+
+
+def budget_curve(requests: DataFrame, memories: DataFrame, budgets: list[int], k: int = 50, token_budget: int = 8192) -> DataFrame:
+    """budget, recall, passed, score, tokens, sections, n: what packs of different sizes are worth on average.
+
+    requests: request_id, project_id, query, requirements, ``expected`` (texts
+    that a pack should hold).  Retrieval and reranking don't depend on the budget
+    and run once.  A pack's recall is the share of expected texts in it, 1 where
+    none is expected; an answer that repeats its first characters is verified
+    against the candidates, and a failed verification takes ``FAILED`` off.
+    """
+    plans = written(retrieve.make_plan(requests).withColumn("token_budget", F.lit(token_budget)))
+    found = retrieve.retrieve(requests, memories, k=k).select("request_id", "memory_id")
+    scored = retrieve.rerank_score(found.join(memories.drop("project_id", "session_id"), "memory_id").join(plans.select("request_id", "task", "query"), "request_id")).withColumn("score", F.round("score", 9))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "memory_id"))
+    best = written(scored.select("request_id", "memory_id", place.alias("rank")).where(F.col("rank") <= k))
+    each = plans.withColumn("max_pack_tokens", F.explode(F.array(*map(F.lit, budgets)))).withColumn("asked", F.col("request_id"))
+    each = each.withColumn("request_id", F.struct("asked", "max_pack_tokens"))
+    candidates = best.withColumnRenamed("request_id", "asked").join(each.select("request_id", "asked"), "asked").drop("asked")
+    built = written(packs.build_packs(each, candidates, memories).select("request_id", "project_id", packs.pack_text("sections").alias("pack"), "tokens", F.size("sections").alias("sections")))
+    said = built.select(F.col("request_id").alias("response_id"), "project_id", F.concat(F.lit(PREAMBLE), F.substring("pack", 1, SPOKEN)).alias("text"))
+    known = candidates.select(F.col("request_id").alias("response_id"), "memory_id").join(memories, "memory_id")
+    if "statement" not in memories.columns:
+        known = known.withColumn("statement", F.when(F.col("memory_type") == "decision", F.col("raw_text")))
+    verified = verify.verify_responses(said, known).select(F.col("response_id").alias("request_id"), "passed")
+    expected = F.transform(F.coalesce("expected", F.array().cast("array<string>")), F.lower)
+    held = F.size(F.filter("wanted", lambda t: F.contains(F.col("pack"), t)))
+    judged = built.join(each.select("request_id", expected.alias("wanted")), "request_id").join(verified, "request_id")
+    judged = judged.withColumn("recall", F.when(F.size("wanted") > 0, held / F.size("wanted")).otherwise(1.0))
+    judged = judged.withColumn("score", F.greatest(F.lit(0.0), F.col("recall") - F.when(F.col("passed"), 0.0).otherwise(FAILED)))
+    means = [F.avg(c).alias(n) for n, c in (("recall", "recall"), ("passed", F.col("passed").cast("int")), ("score", "score"), ("tokens", "tokens"), ("sections", "sections"))]
+    return judged.groupBy(F.col("request_id.max_pack_tokens").alias("budget")).agg(*means, F.count("*").alias("n"))
+
+
 # The state's fields that a pack should show.
 SHOWN = ("project_phase", "current_branch", "current_milestone", "test_status", "deployment_status")
 SHOWN_LISTS = ("blocked_tasks", "active_experiments", "risk_register")

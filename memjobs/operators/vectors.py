@@ -185,7 +185,8 @@ def ivf_index(vectors: DataFrame, recall: float = 0.95, k: int = 10, cells: int
     length, n = lengths if lengths else (0, 0)
     rows = rows.where(F.size("vector") == length)
     share = lambda most: F.pmod(F.xxhash64("memory_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, most / max(1, n)))
-    sample = np.array([r[0] for r in rows.where(share(SAMPLE)).select("vector").collect()], np.float64).reshape(-1, length)
+    sample = [r[0] for r in rows.where(share(SAMPLE)).select("vector").collect()]
+    sample = np.array(sample, np.float64) if sample else np.zeros((0, length))
     cells = min(cells or max(1, round(math.sqrt(n))), max(1, len(sample)))
     centroids = fit_centroids(sample, cells) if len(sample) else np.zeros((1, length))
     folder = shared_folder(spark, "cells")

@@ -21,12 +21,14 @@ def verify_responses(responses: DataFrame, retrieved: DataFrame) -> DataFrame:
 
     responses: response_id, project_id, text.  retrieved: response_id and its
     memories' memory_type, validity, source_type, project_id, statement (null
-    but for decisions), compressed_summary, raw_text, file_references.
+    but for decisions), compressed_summary, raw_text, file_references, and where
+    known ``entities``, the names that they tell of.
     """
+    entities = F.coalesce("entities", F.array().cast("array<string>")) if "entities" in retrieved.columns else F.array().cast("array<string>")
     m = retrieved.select(
         "response_id", F.col("project_id").alias("m_project"), "memory_type", "validity", "source_type", F.lower("statement").alias("said"),
         F.lower(F.coalesce("compressed_summary", "raw_text", F.lit(""))).alias("summary"), "file_references",
-        F.filter(F.regexp_extract_all(F.coalesce("compressed_summary", "raw_text", F.lit("")), F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0)), lambda s: (F.length(s) > 5) & s.rlike("[A-Z]")).alias("names"),
+        F.concat(entities, F.filter(F.regexp_extract_all(F.coalesce("compressed_summary", "raw_text", F.lit("")), F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0)), lambda s: (F.length(s) > 5) & s.rlike("[A-Z]"))).alias("names"),
     )
     x = responses.withColumn("low", F.lower("text")).join(m, "response_id", "left")
     low = F.col("low")

@@ -105,6 +105,36 @@ def _(spark, d):
     return readers.read_session_logs(spark, folder, "all", "log").select("event_id", "event_type", "raw_text", F.col("payload")["tool_name"].alias("tool_name"))
 
 
+# A source tree: each project's first text as a file, some of them in skipped folders, with other endings or without UTF-8.
+_TREE = f"{EV_SQL}, told AS (SELECT project_id, arg_min(raw_text, (timestamp, event_id)) AS content, substr(project_id, 6)::INT AS i FROM ev GROUP BY project_id)"
+_TREE_PATH = "'src/' || CASE WHEN i % 5 = 0 THEN 'node_modules/' WHEN i % 7 = 0 THEN 'lib/__pycache__/' ELSE 'lib' || i % 3 || '/' END || project_id || CASE i % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.md' ELSE '.hpp' END"
+
+
+def _tree(spark, d) -> str:
+    """The folder of the tree: a partition for each path is written by Spark, and its file then named."""
+    from memjobs.sources.tables import shared_folder
+
+    told = views.ev(spark, d).groupBy("project_id").agg(F.min_by("raw_text", F.struct("timestamp", "event_id")).alias("content")).withColumn("i", F.substring("project_id", 6, 10).cast("int"))
+    folder, staged = shared_folder(spark, "tree"), shared_folder(spark, "staged")
+    told.selectExpr("content AS value", f"{_TREE_PATH} AS path").repartition("path").write.partitionBy("path").text(staged)
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(staged)
+    fs = top.getFileSystem(hadoop)
+    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/path=*/part-*")) or []:  # names alone pass through here
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(part.getPath().getParent().getName())
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name.removeprefix('path=')}")
+        fs.mkdirs(target.getParent())
+        fs.rename(part.getPath(), target)
+    return folder
+
+
+@query("a7_read_source_files", f"WITH {_TREE}, f AS (SELECT {_TREE_PATH} AS file_path, content FROM told) SELECT file_path, content || chr(10) AS content FROM f WHERE NOT regexp_matches(file_path, 'node_modules|__pycache__') AND NOT ends_with(file_path, '.md')")
+def _(spark, d):
+    folder = _tree(spark, d)
+    rows = readers.read_source_files(spark, folder)
+    return rows.select(F.regexp_extract("file_path", "/(src/.*)$", 1).alias("file_path"), "content")
+
+
 @query("l1_index_code_regex", f"WITH {_FN} SELECT file_path, name, 'function' AS symbol_type, (2 * i + 1)::INT AS line_start FROM fn")
 def _(spark, d):
     return code.index_code_regex(_files(spark, d)).select("file_path", "name", "symbol_type", "line_start")

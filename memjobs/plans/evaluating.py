@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from memjobs.operators import evals, packs, retrieve, state
+from memjobs.operators import evals, packs, retrieve, sessions, state
 from memjobs.plans import relating
 from memjobs.plans.registry import registry
 from memjobs.sources import views
@@ -110,13 +110,9 @@ def _(spark, d):
 
 @query("m11_budget_curve")
 def _(spark, d):
-    memories, requests = views.mem(spark, d), _requests(spark, d)
-    found = retrieve.retrieve(requests, memories)
-    at = F.explode(F.array(*map(F.lit, (40, 70, 150, 500))))
-    wide = requests.withColumn("max_pack_tokens", at).withColumn("asked", F.col("request_id")).withColumn("request_id", F.concat_ws("@", "request_id", F.col("max_pack_tokens").cast("string")))
-    each = found.withColumnRenamed("request_id", "asked").join(wide.select("asked", "request_id"), "asked").drop("asked")
-    built = packs.build_packs(wide.drop("asked"), each, memories)
-    return built.groupBy(F.substring_index("request_id", "@", -1).cast("int").alias("budget")).agg(F.round(F.avg("sufficiency"), 6).alias("score"), F.round(F.avg("tokens"), 6).alias("tokens"), F.count("*").alias("n"))
+    requests = relating._asks(spark, d).withColumn("expected", F.array(F.lit("Engine3"), F.lit("module store"), F.lit("parser")))
+    out = sessions.budget_curve(requests, views.mem(spark, d), [40, 70, 150, 500])
+    return out.select("budget", *[F.round(n, 6).alias(n) for n in ("recall", "passed", "score", "tokens", "sections")], "n")
 
 
 # Summary and full packs of each project, in SQL.

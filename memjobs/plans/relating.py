@@ -396,15 +396,25 @@ def _(spark, d):
     return retrieve.expand_query(_asks(spark, d)).select("request_id", "query")
 
 
+def _section_sql(name: str, place: int) -> str:
+    share = "CASE task " + " ".join(f"WHEN '{t}' THEN {x[place]}" for t, x in retrieve.SHARES.items()) + f" ELSE {retrieve.SHARES['feature'][place]} END"
+    learned = retrieve.LEARNED.get(name, 1.0)
+    factor = f"CASE task WHEN 'debugging' THEN 1.0 ELSE {learned} END" if name == "errors" else str(learned)
+    return f"floor(floor(b * {share}) * {factor})::BIGINT AS {name}"
+
+
+_SECTIONS = [n for n in retrieve.SECTIONS if n != "buffer"]
+
+
 @query(
     "e14_token_budget",
-    f"""WITH {_REQS}, t AS (SELECT request_id, {_TASK} AS task, 1000 + substr(project_id, 6)::INT * 37 AS b FROM (SELECT *, query AS q FROM reqs)),
-s AS (SELECT request_id, floor(b * 0.04)::BIGINT AS system_task, floor(floor(b * CASE task WHEN 'debugging' THEN 0.08 WHEN 'architecture' THEN 0.15 WHEN 'research' THEN 0.06 ELSE 0.08 END) * 0.9)::BIGINT AS decisions,
- floor(floor(b * CASE task WHEN 'debugging' THEN 0.10 ELSE 0.02 END) * CASE task WHEN 'debugging' THEN 1.0 ELSE 0.85 END)::BIGINT AS errors FROM t) SELECT * FROM s""",
+    f"""WITH {_REQS}, t AS (SELECT request_id, {_TASK} AS task, 1000 + substr(project_id, 6)::INT * 37 AS b FROM (SELECT *, CASE WHEN substr(project_id, 6)::INT % 5 = 0 THEN 'research ' || query ELSE query END AS q FROM reqs)),
+s AS (SELECT request_id, b, {", ".join(_section_sql(n, i) for i, n in enumerate(_SECTIONS))} FROM t) SELECT * EXCLUDE (b), (b - ({" + ".join(_SECTIONS)}))::BIGINT AS buffer FROM s""",
 )
 def _(spark, d):
-    asks = retrieve.make_plan(_asks(spark, d)).withColumn("token_budget", 1000 + F.substring("project_id", 6, 10).cast("int") * 37)
-    return retrieve.token_budget(asks).select("request_id", "system_task", "decisions", "errors")
+    i = F.substring("project_id", 6, 10).cast("int")
+    asks = _asks(spark, d).withColumn("query", F.when(i % 5 == 0, F.concat(F.lit("research "), "query")).otherwise(F.col("query")))
+    return retrieve.token_budget(retrieve.make_plan(asks).withColumn("token_budget", 1000 + i * 37)).select("request_id", *[F.col(n).cast("long").alias(n) for n in (*_SECTIONS, "buffer")])
 
 
 @query("e15_estimate_tokens", "SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END::INT AS tokens FROM documents")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memjobs.functions import sessions
 from memjobs.functions import text as T
-from memjobs.operators import code, extract, ledger, lifecycle, links, packs, retrieve, tools
+from memjobs.operators import code, extract, ledger, lifecycle, links, packs, retrieve, tools, verify
 from memjobs.operators import sessions as session_ops
 from memjobs.sources import readers
 from memjobs.sources.views import AS_OF
@@ -165,7 +165,7 @@ def test_decay_fates(spark):
 # --- packs against a plain reading of their rules ---------------------------
 
 
-def plain_pack(request, rows, budgets, required=()):
+def plain_pack(request, rows, budgets, required=(), compact=False):
     """One pack by hand: ``rows`` are dicts in rank order, ``budgets`` tokens by section."""
     task, limit = request["task"], request["max_pack_tokens"]
     size = lambda text: max(1, len(text) // 4) if text else 0
@@ -174,6 +174,8 @@ def plain_pack(request, rows, budgets, required=()):
     wide = min(5.0, max(1.0, limit / 100))
     plan = [(n, t, budgets[n], items, n != "code_context" or task == "debugging" or any(w in request["query"] for w in packs.BROKEN)) for n, t, items in packs.FIRST.get(task, packs.FIRST[""])]
     plan += [(n, t, min(b, budgets["requirements"]) if n == "requirements" else b, 1, False) for n, t, b in packs.FILLERS]
+    if compact:
+        plan = [(n, t, b, 3, True) for n, t, b in packs.COMPACT]
     asked = f"p={request['project_id']} q={request['query'][:20]}"
     sections, ids, seen = [["system_task", asked, [], size(asked)]], set(), set()
     for name, types, budget, items, always in plan:
@@ -188,7 +190,7 @@ def plain_pack(request, rows, budgets, required=()):
             if r["memory_id"] in ids or key in seen:
                 continue
             seen.add(key)
-            body = r["body"][: int((100 if r["keywords"] else 72) * wide)]
+            body = r["body"][: 80 if compact else int((100 if r["keywords"] else 72) * wide)]
             if used + size(body) > budget:
                 break
             used += size(body)
@@ -199,7 +201,7 @@ def plain_pack(request, rows, budgets, required=()):
         sections.append([name, "\n".join(b for _, b in kept), [i for i, _ in kept], used])
     said = " ".join(s[1].lower() for s in sections)
     unused = [r for r in rows if r["memory_id"] not in ids]
-    terms = {k.lower() for r in unused for k in r["keywords"]} | {t.lower() for t in required}
+    terms = set() if compact else {k.lower() for r in unused for k in r["keywords"]} | {t.lower() for t in required}
     saved, used = [], 0
     for term in sorted(t for t in terms if t not in said):
         holders = sorted((r for r in unused if term in [k.lower() for k in r["keywords"]]), key=lambda r: -r["importance_score"]) or [r for r in unused if term in r["raw_text"].lower()][:1]
@@ -247,12 +249,29 @@ def test_packs_match_a_plain_reading(spark):
     assert any(s[0] == "protected_evidence" for p in got.values() for s in p)
     compact = packs.build_packs(asked, spark.createDataFrame(found, "request_id string, memory_id string, rank int"), rows, compact=True).collect()
     assert len(compact) == 40 and all(sum(s.tokens for s in r.sections) == r.tokens for r in compact)
+    for r in compact:
+        q = next(q for q in requests if q[0] == r.request_id)
+        request = dict(zip(asked.columns, q, strict=True))
+        want = plain_pack(request, [held[m] for a, m, _ in found if a == q[0]], budgets[q[0]], q[6], compact=True)
+        assert [(s.name, s.content, tuple(s.memory_ids), s.tokens) for s in r.sections] == want, q
+    # Packs of the nearest memories alone: the same reading over a ranking by cosine.
+    vector = {m[0]: [float((7 * i) % 11 - 5), float((3 * i) % 13 - 6), 1.0] for i, m in enumerate(memories)}
+    near = rows.select("memory_id").rdd.map(lambda r: (r.memory_id, "p", vector[r.memory_id])).toDF("memory_id string, project_id string, vector array<double>")
+    ask = [0.5, -1.0, 0.25]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cosine = {m: round(sum(x * y for x, y in zip(v, ask)) / (norm(v) * norm(ask) + 1e-10), 9) for m, v in vector.items()}
+    order = sorted(cosine, key=lambda m: (-cosine[m], m))[:20]
+    rag = packs.rag_packs(asked.withColumn("vector", F.array(*map(F.lit, ask))), rows.withColumn("project_id", F.lit("p")), near).collect()
+    for r in rag:
+        q = next(q for q in requests if q[0] == r.request_id)
+        want = plain_pack(dict(zip(asked.columns, q, strict=True)), [held[m] for m in order], budgets[q[0]], q[6])
+        assert [(s.name, s.content, tuple(s.memory_ids), s.tokens) for s in r.sections] == want, q
 
 
 def test_expansion_lets_new_candidates_in(spark):
     """The first query finds nothing of the missing type and word; the rewritten one does."""
     rows = [(f"mem_a{i}", "p", "s", "task", "active", "user_message", f"alpha note {i} of the long project text about things", 0.1) for i in range(60)]
-    rows += [("mem_b", "p", "s", "requirement", "archived", "user_message", "old", 0.9), ("mem_c", "p", "s", "procedure", "active", "tool_output", "recent work on alpha", 0.9)]
+    rows += [("mem_b", "p", "s", "requirement", "archived", "user_message", "old", 0.9), ("mem_c", "p", "s", "goal", "active", "tool_output", "recent work on things", 0.9)]
     memories = spark.createDataFrame(rows, "memory_id string, project_id string, session_id string, memory_type string, validity string, source_type string, raw_text string, importance_score double")
     memories = memories.withColumns({"compressed_summary": F.col("raw_text"), "semantic_summary": F.lit(None).cast("string"), "timestamp": F.to_timestamp(F.lit("2024-01-01")), "recency_score": F.lit(1.0), "confidence_score": F.lit(0.5), "stability": F.lit("ephemeral"), "file_references": F.array().cast("array<string>")})
     requests = spark.createDataFrame([("r1", "p", "alpha deploy gamma"), ("r2", "none", "alpha")], "request_id string, project_id string, query string").withColumn("requirements", F.expr("CAST(map() AS map<string, boolean>)"))
@@ -260,10 +279,34 @@ def test_expansion_lets_new_candidates_in(spark):
     assert sorted(r.request_id for r in out) == ["r1", "r2"]
     asked = next(s.content for r in out if r.request_id == "r1" for s in r.sections if s.name == "system_task")
     assert asked.startswith("p=p q=alpha deploy gamma")
-    first = retrieve.retrieve(requests.where("request_id = 'r1'"), memories)
-    again = requests.where("request_id = 'r1'").withColumn("query", F.concat("query", F.lit(" deploy gamma fact decision recent")))
-    fresh = retrieve.retrieve(again, memories).join(first.select("memory_id"), "memory_id", "left_anti")
-    assert first.count() == 50 and "mem_c" in {r.memory_id for r in fresh.collect()} | {r.memory_id for r in first.collect()}
+    first = {r.memory_id for r in retrieve.retrieve(requests.where("request_id = 'r1'"), memories).collect()}
+    assert len(first) == 50 and "mem_c" not in first
+    held = {m for r in out if r.request_id == "r1" for s in r.sections for m in s.memory_ids}
+    assert "mem_c" in held  # only the rewritten query asks for recent rows
+
+
+def test_budget_curve_by_hand(spark):
+    """One request: a small pack holds one expected text of two, a large one both; a revived decision fails the verification of both."""
+    texts = [("mem_1", "decision", "active", "use the red engine for the store"), ("mem_2", "error", "active", "parser crashed on empty lines"), ("mem_3", "decision", "rejected", "use the blue engine always now")]
+    memories = spark.createDataFrame([(*t[:3], t[3], t[3]) for t in texts], "memory_id string, memory_type string, validity string, raw_text string, compressed_summary string")
+    memories = memories.withColumns({"project_id": F.lit("p"), "session_id": F.lit("s"), "source_type": F.lit("user_message"), "semantic_summary": F.lit(None).cast("string"), "timestamp": F.to_timestamp(F.lit("2024-01-01")), "importance_score": F.lit(0.5), "recency_score": F.lit(1.0), "confidence_score": F.lit(0.5), "stability": F.lit("ephemeral"), "file_references": F.array().cast("array<string>")})
+    requests = spark.createDataFrame([("r1", "p", "what engine", ["RED engine", "parser"]), ("r2", "none", "what engine", ["x"]), ("r3", "p", "what engine", None)], "request_id string, project_id string, query string, expected array<string>").withColumn("requirements", F.expr("CAST(map() AS map<string, boolean>)"))
+    got = {r.budget: r for r in session_ops.budget_curve(requests, memories, [70, 400]).collect()}
+    for budget in (70, 400):
+        plans = retrieve.make_plan(requests).withColumns({"token_budget": F.lit(8192), "max_pack_tokens": F.lit(budget)})
+        text = {r.request_id: " ".join(s.content.lower() for s in r.sections) for r in packs.build_packs(plans, retrieve.retrieve(requests, memories), memories).collect()}
+        recall = [sum(t in text["r1"] for t in ("red engine", "parser")) / 2, 0.0, 1.0]
+        assert got[budget].n == 3 and abs(got[budget].recall - sum(recall) / 3) < 1e-9 and got[budget].passed == 1.0 and abs(got[budget].score - sum(recall) / 3) < 1e-9
+    # A decision told next to a denial of it: each answer that holds both fails, and costs a tenth.
+    denied = memories.withColumn("validity", F.lit("active")).withColumn("raw_text", F.when(F.col("memory_id") == "mem_3", "do not use it").otherwise(F.col("raw_text"))).withColumn("compressed_summary", F.col("raw_text"))
+    low = session_ops.budget_curve(requests.where("request_id = 'r3'"), denied, [400]).first()
+    assert (low.recall, low.passed, low.score, low.n) == (1.0, 0.0, 0.9, 1)
+
+
+def test_entities_are_known_symbols(spark):
+    retrieved = spark.createDataFrame([("a", "p", "fact", "active", "user_message", None, "plain", "plain", [], ["OrderBook"])], "response_id string, project_id string, memory_type string, validity string, source_type string, statement string, compressed_summary string, raw_text string, file_references array<string>, entities array<string>")
+    said = spark.createDataFrame([("a", "p", "OrderBook and TradeLedger differ")], "response_id string, project_id string, text string")
+    assert verify.verify_responses(said, retrieved).first().n_warnings == 1 and verify.verify_responses(said, retrieved.drop("entities")).first().n_warnings == 2
 
 
 def test_restored_sessions_hold_their_own_rows(spark):
