@@ -14,9 +14,10 @@ statistic is the log likelihood ratio of its hits, normalised by its windows:
 ``hits * log(1 + excess / (rate * windows))``, with ``rate`` the share of hits
 in ordinary windows and ``excess`` the hits that toxic documents have beyond
 it.  Calibrated levels, as many as the sample tells apart, up to ``LEVELS``,
-turn the statistic into a probability by isotonic regression.  All of this is
-fitted on sampled rows that the dictionaries have not seen, weighted to the
-share of toxic labels.
+turn the statistic into a probability by isotonic regression.  All of this, and
+which of ``TOXIC_BYTES`` the toxic dictionary takes, is fitted on sampled rows
+that the dictionaries have not seen, weighted to the share of toxic labels; rows
+that are held out take part in nothing.
 
 The sample is bounded: at most ``toxic_rows`` and ``ordinary_rows`` labelled
 ids, by order of a hash, one text for each id, and texts of ``sample_bytes`` at
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from memjobs.llm.minhash import folded
 
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000
-TOXIC_BYTES, ORDINARY_BYTES = 16_384, 112_640
+TOXIC_BYTES, ORDINARY_BYTES = (8_192, 12_288, 16_384), 112_640  # of the toxic sizes, the one that fits unseen rows best
 SAMPLE_BYTES = 32_768  # longer texts are scored, but not learned from
 TRAIN_WORDS = 4  # words in a training window
 LEVELS = 64
@@ -84,8 +85,11 @@ class Model:
             kept.precompute_compress(compression_params=settings)
             yield zstandard.ZstdCompressor(compression_params=settings, dict_data=kept).compress
 
-    def distances(self):
-        """A function from a list of windows to their distances, with a bounded memory of those seen."""
+    def distances(self, plain: dict[bytes, int] | None = None):
+        """A function from a list of windows to their distances, with a bounded memory of those seen.
+
+        ``plain`` keeps lengths under the ordinary dictionary for other models with the same one.
+        """
         if not self.toxic:
             return lambda found: [0] * len(found)
         ordinary, toxic = self.compressors()
@@ -99,7 +103,12 @@ class Model:
                     if len(memo) >= MEMO:
                         memo.clear()
                     x = _PAD + widened(b" " + w + b" ")
-                    d = memo[w] = len(ordinary(x)) - len(toxic(x))
+                    length = None if plain is None else plain.get(w)
+                    if length is None:
+                        length = len(ordinary(x))
+                        if plain is not None:
+                            plain[w] = length
+                    d = memo[w] = length - len(toxic(x))
                 out.append(d)
             return out
 
@@ -145,11 +154,16 @@ def fit(rows: list[tuple[int, str | None, int]], shares: tuple[float, float]) ->
     test = [x[len(y) :] or x for x, y in zip(by_label, learn, strict=True)]
     if not by_label[0] or not by_label[1]:
         return Model()
-    contents = []
-    for texts, size in zip(learn, (ORDINARY_BYTES, TOXIC_BYTES), strict=True):
-        contents.append(_dictionary([widened(b" " + b" ".join(w[i : i + TRAIN_WORDS]) + b" ") for w in texts for i in range(0, len(w), TRAIN_WORDS)], size))
-    model = Model(contents[1], contents[0])
-    distances = model.distances()
+    windows = [[widened(b" " + b" ".join(w[i : i + TRAIN_WORDS]) + b" ") for w in texts for i in range(0, len(w), TRAIN_WORDS)] for texts in learn]
+    ordinary, plain, best = _dictionary(windows[0], ORDINARY_BYTES), {}, []
+    for size in TOXIC_BYTES:
+        model = Model(_dictionary(windows[1], size), ordinary)
+        best.append((_calibrate(model, model.distances(plain), test, shares), model))
+    return max(best, key=lambda x: x[0])[1]
+
+
+def _calibrate(model: Model, distances, test: list[list[list[bytes]]], shares: tuple[float, float]) -> float:
+    """Sets the model's threshold, rates and levels by texts (by label) that its dictionaries have not seen; gives their likelihood."""
     found = [[distances(w) for w in side] for side in test]
     toxic = np.repeat([False, True], [len(x) for x in found])
     weight = np.repeat([shares[k] / len(found[k]) for k in (0, 1)], [len(x) for x in found])
@@ -167,7 +181,7 @@ def fit(rows: list[tuple[int, str | None, int]], shares: tuple[float, float]) ->
     most = max(x[0] for x in tried)
     alike = [x for x in tried if x[0] >= most - 1e-9 * abs(most)]  # of equally good thresholds the one in the middle
     _, model.threshold, model.rate, model.excess, model.edges, model.levels = alike[len(alike) // 2]
-    return model
+    return most
 
 
 def held_out(doc_id) -> F.Column:

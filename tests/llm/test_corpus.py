@@ -439,6 +439,40 @@ def test_levels_are_isotonic():
     assert len(toxicity.isotonic(np.arange(400.0), np.arange(400) > 200, np.ones(400))) <= toxicity.LEVELS
 
 
+def test_scores_match_a_recomputation_from_windows(spark):
+    """Every window compressed by itself, its text folded by hand, the levels looked up one by one."""
+    rng = random.Random(12)
+    rows, labels = toxic_rows(rng, 200)
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.learn(docs, marks)
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, model).collect()}
+    ordinary, toxic = model.compressors()
+    second = lambda b: bytes(x for c in b for x in (c, (c + 101) % 256))
+    for i, text, _ in rows:
+        found = [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()]
+        hits = 0
+        for w in found:
+            window = bytes(64) + second(f" {w} ".encode())
+            hits += len(ordinary(window)) - len(toxic(window)) >= model.threshold
+        value = hits * np.log(1 + model.excess / (model.rate * len(found))) if hits else 0.0
+        score = model.levels[0]
+        for edge, level in zip(model.edges, model.levels[1:], strict=True):
+            score = level if value >= edge else score
+        assert got[i] == (pytest.approx(score), int(score >= 0.3)), i
+    assert len(model.levels) > 1 and len({s for s, _ in got.values()}) > 1
+
+
+def test_the_size_of_the_toxic_dictionary_is_chosen_by_unseen_rows(monkeypatch):
+    rng = random.Random(13)
+    texts, labels = toxic_rows(rng, 200)
+    rows = [(i, t, bad) for (i, t, _), (_, _, bad) in zip(texts, labels, strict=True)]
+    sizes = []
+    calibrate = toxicity._calibrate
+    monkeypatch.setattr(toxicity, "_calibrate", lambda m, *rest: sizes.append((calibrate(m, *rest), m)) or sizes[-1][0])
+    model = toxicity.fit(rows, (100, 100))
+    assert len(sizes) == len(toxicity.TOXIC_BYTES) and max(sizes, key=lambda x: x[0])[1] is model
+
+
 def test_a_document_is_scored_by_hits_for_its_length():
     model = toxicity.Model(b"x", b"y", 5, 0.001, 3.0)
     assert model.statistic([9] * 3 + [0] * 50) > model.statistic([9] * 3 + [0] * 5000) > model.statistic([0] * 50) == 0
