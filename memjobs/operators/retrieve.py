@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,10 @@ def term_stats(index: DataFrame, n_docs: int) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
+BLOCK_DOCS = 8  # memories of a block, on average
+FIRST_BLOCKS = 8  # blocks of a request that are scored before the rest is judged
+
+
 @dataclass
 class Index:
     """Postings and term statistics as written tables, and two totals: made once, searched often."""
@@ -39,13 +44,34 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     mean_length: float
+    n_docs: int
+
+    @functools.cached_property
+    def tops(self) -> DataFrame:
+        """(term, block, top): the largest weight of a term in a block of memories, idf left out."""
+        return written(self.postings.groupBy("term", self.block().alias("block")).agg(F.max(self.weight()).alias("top")))
+
+    def block(self) -> Column:
+        return F.pmod(F.xxhash64("memory_id"), F.lit(max(1, self.n_docs // BLOCK_DOCS)))
+
+    def weight(self) -> Column:
+        return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / self.mean_length))
 
 
 def bm25_index(memories: DataFrame) -> Index:
     n_docs = memories.count()
     index = written(postings(memories))
     words = index.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    return Index(index, written(term_stats(index, n_docs)), words / max(1, n_docs))
+    return Index(index, written(term_stats(index, n_docs)), words / max(1, n_docs), n_docs)
+
+
+def _asked(index: Index, requests: DataFrame) -> DataFrame:
+    terms = requests.select("request_id", F.col("project_id").alias("asked_project"), F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy("request_id", "asked_project", "term").agg(F.count("*").alias("qtf"))
+    return terms.join(index.stats, "term")
+
+
+def _scored(index: Index, met: DataFrame) -> DataFrame:
+    return met.groupBy("request_id", "memory_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * index.weight()), 6).alias("score")).where("score > 0")
 
 
 def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: str = "project", index: Index | None = None) -> DataFrame:
@@ -57,12 +83,45 @@ def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: st
     only terms that are asked for are scored.
     """
     index = index or bm25_index(memories)
-    asked = requests.select("request_id", F.col("project_id").alias("asked_project"), F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy("request_id", "asked_project", "term").agg(F.count("*").alias("qtf"))
-    asked = asked.join(index.stats, "term")
+    asked = _asked(index, requests)
     met = index.postings.join(asked, "term") if scope == "global" else index.postings.join(asked.withColumnRenamed("asked_project", "project_id"), ["project_id", "term"])
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.mean_length))
-    scored = met.groupBy("request_id", "memory_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score")).where("score > 0")
-    return ranked(scored, k)
+    return ranked(_scored(index, met), k)
+
+
+@dataclass
+class Pruned:
+    """``found``: as of ``bm25_search``.  ``read``: (request_id, postings, read), how many postings its terms have and how many were scored."""
+
+    found: DataFrame
+    read: DataFrame
+
+
+def bm25_pruned(index: Index, requests: DataFrame, k: int = 50) -> Pruned:
+    """The same rows as ``bm25_search`` in all memories, without scoring blocks of memories that can't reach them.
+
+    A block's bound for a request is the sum of its terms' largest weights there.
+    The blocks with the highest bounds are scored first; the k-th best score
+    found is what any other block's bound has to reach, ties included.  Rare
+    terms lie in few blocks, so most blocks have the bounds of common terms only.
+    """
+    asked = written(_asked(index, requests).select("request_id", "term", "qtf", "idf"))
+    bounds = index.tops.join(asked, "term").groupBy("request_id", "block").agg(F.sum(F.greatest(F.lit(0.0), F.col("qtf") * F.col("idf") * F.col("top"))).alias("bound"))
+    order = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("bound"), "block"))
+    bounds = written(bounds.withColumn("place", order))
+    rows = index.postings.select("memory_id", "term", "tf", "length", index.block().alias("block"))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        return written(_scored(index, rows.join(asked.join(blocks.select("request_id", "block"), "request_id"), ["term", "block"])))
+
+    first = scored(bounds.where(F.col("place") <= FIRST_BLOCKS))
+    least = ranked(first, k).where(F.col("rank") == k).select("request_id", F.col("score").alias("least"))
+    rest = written(bounds.where(F.col("place") > FIRST_BLOCKS).join(least, "request_id", "left").where("least is null or bound >= least - 1e-5").select("request_id", "block"))
+    found = ranked(first.union(scored(rest)), k)
+    counts = written(rows.groupBy("term", "block").count())
+    taken = bounds.where(F.col("place") <= FIRST_BLOCKS).select("request_id", "block").union(rest).withColumn("taken", F.lit(True))
+    each = asked.join(counts, "term").join(taken, ["request_id", "block"], "left")
+    read = each.groupBy("request_id").agg(F.sum("count").alias("postings"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("count"))), F.lit(0)).alias("read"))
+    return Pruned(found, read)
 
 
 # Task keywords in their order of use.

@@ -144,11 +144,24 @@ def _(spark, d):
     return retrieve.term_stats(retrieve.postings(docs), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
-@query("e3_bm25_search", f"WITH {_SCORES}, t AS (SELECT request_id, memory_id, round(sum(x), 6) AS score FROM sc GROUP BY ALL HAVING score > 0) SELECT request_id, memory_id, score FROM t QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 10")
+_GLOBAL = f"WITH {_SCORES}, t AS (SELECT request_id, memory_id, round(sum(x), 6) AS score FROM sc GROUP BY ALL HAVING score > 0) SELECT request_id, memory_id, score FROM t QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 10"
+
+
+@query("e3_bm25_search", _GLOBAL)
 def _(spark, d):
     return retrieve.bm25_search(_docs(spark, d), _requests(spark, d), 10, "global").select("request_id", "memory_id", "score")
 
 
+@query("e3_bm25_pruned", _GLOBAL)
+def _(spark, d):
+    return retrieve.bm25_pruned(retrieve.bm25_index(_docs(spark, d)), _requests(spark, d), 10).found.select("request_id", "memory_id", "score")
+
+
+@query("e3_postings_read")
+def _(spark, d):
+    return retrieve.bm25_pruned(retrieve.bm25_index(_docs(spark, d)), _requests(spark, d), 10).read
+
+
 @query("e3_bm25_search_project", f"WITH {_SCORES}, t AS (SELECT request_id, memory_id, round(sum(x), 6) AS score FROM sc WHERE mp = qp GROUP BY ALL HAVING score > 0) SELECT request_id, memory_id, score FROM t QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, memory_id) <= 50")
 def _(spark, d):
     return retrieve.bm25_search(_docs(spark, d), _requests(spark, d), 50).select("request_id", "memory_id", "score")
