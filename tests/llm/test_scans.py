@@ -137,6 +137,18 @@ def test_token_counts_match_plain_dynamic_programming(spark):
         assert {r.doc_id: r.n_tokens for r in out.collect()} == {i: brute_tokens(pieces, t) for i, t in enumerate(texts)}
 
 
+def test_both_engines_split_alike():
+    import regex
+
+    rng, whole = random.Random(9), regex.compile(tokens.PRETOKEN).findall
+    latin = "".join(chr(i) for i in range(0x250) if not tokens._BEYOND(chr(i)))
+    assert len(latin) > 570 and all(tokens._BEYOND(c) for c in "\x1c²½¹٣Ⅷ漢\u0301\u2003")
+    for chars in (latin, latin + "²½Ⅷ漢\u0301\u2003\x1c"):
+        for _ in range(400):
+            text = "".join(rng.choices(chars + " '  sdmtlvre_-\n" * 20, k=150))
+            assert tokens.pretokens(text) == whole(text)
+
+
 def test_long_pretokens_count_alike_in_linear_time(spark):
     pieces, longest = tokens.vocabulary(VOCABULARY)
     rng = random.Random(5)
