@@ -22,7 +22,8 @@ pass over the documents.
 Defined cases.  Null or empty texts and items match nothing.  Items shorter
 than ``n`` tokens are one window of their own length; those of fewer than
 ``shortest`` tokens are too unspecific for a template and match verbatim only.  Repeated items and
-rows are reported each.  Long texts are scanned whole.
+rows are reported each.  Ids of items and documents may be of any type; an item
+without one is left out.  Long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,11 @@ N, SHARE, ENOUGH, SHORTEST = 8, 0.5, 13, 5
 BLOCK_BYTES = 32 << 20
 
 # Units of measure that follow numbers.
-UNITS = "mm cm m km mg g kg t ml cl l s sec min h hour hours day days week weeks month months year years percent pct eur usd euro euros dollar dollars cent cents mph kmh kw kwh mb gb tb inch inches foot feet mile miles pound pounds ounce ounces".split()
+UNITS = (
+    "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "min", "h", "hour", "hours", "day", "days", "week", "weeks", "month",
+    "months", "year", "years", "percent", "pct", "eur", "usd", "euro", "euros", "dollar", "dollars", "cent", "cents", "mph", "kmh", "kw", "kwh",
+    "mb", "gb", "tb", "inch", "inches", "foot", "feet", "mile", "miles", "pound", "pounds", "ounce", "ounces",
+)
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1001, 0x1002, 0x1003))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True

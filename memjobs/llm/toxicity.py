@@ -27,6 +27,8 @@ score.
 Defined cases.  Null and empty texts have no hits.  Without toxic labels to
 learn from, every score is 0.  Repeated rows get equal scores.  Null labels are
 left out; of repeated labels of one id all count.  A null id is not held out.
+Ids may be of any type; where documents and labels differ in it, they are compared
+as strings.
 """
 
 from __future__ import annotations
