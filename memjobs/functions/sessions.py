@@ -19,7 +19,10 @@ GOALS = [
     r"(?:continue from|continue working on|resume work on)\s+(.{5,200})",
     r"(?:priority|blocker|must have|should have)\s*[:-]?\s*(.{5,200})",
 ]
-SPECULATION = ("I think", "Maybe", "Perhaps", "It might", "One option", "Alternatively", "If we", "We could", "We might", "Another idea", "Let's consider")
+SPECULATION = [
+    r"^(?:I think|Maybe|Perhaps|It might|One option|Alternatively)",
+    r"^(?:If we|We could|We might|Another idea|Let's consider)",
+]
 ERRORS = [
     r"(?:failed because|error:|error\s+\(|exception:|bug:|crash:|panic:|segfault:?)\s*(.{5,300})",
     r"(?:test failed|tests failed|build failed|deploy failed)\s*(.{5,300})",
@@ -35,8 +38,8 @@ MOST = 5
 MAY_AIM = r"(?i)we |should|must|need|goal|objective|let's|continue|resume|priority|blocker"
 MAY_FAIL = r"(?i)fail|error|exception|bug:|crash:|panic:|segfault|trace"
 
-_GOALS, _ERRORS = ([re.compile(p, re.I) for p in x] for x in (GOALS, ERRORS))
-_SPECULATION, _TRACE, _TAIL = re.compile("|".join(SPECULATION), re.I), re.compile(TRACE, re.I | re.S), re.compile(r"[.!?;,]+$")
+_GOALS, _ERRORS, _SPECULATION = ([re.compile(p, re.I) for p in x] for x in (GOALS, ERRORS, SPECULATION))
+_TRACE, _TAIL = re.compile(TRACE, re.I | re.S), re.compile(r"[.!?;,]+$")
 
 
 def _statements(patterns, text: str):
@@ -48,7 +51,7 @@ def _statements(patterns, text: str):
 
 
 def goals(text: str | None) -> list[str]:
-    found = [_TAIL.sub("", x) for x in _statements(_GOALS, text or "") if not _SPECULATION.match(x)]
+    found = [_TAIL.sub("", x) for x in _statements(_GOALS, text or "") if not any(p.match(x) for p in _SPECULATION)]
     return _ordered(found, str.lower)
 
 

@@ -20,6 +20,10 @@ from memjobs.operators.retrieve import token_budget, vector_candidates
 SECTION = "array<struct<name:string,content:string,memory_ids:array<string>,tokens:int>>"
 PLACED = "array<struct<ord:int,id:string,body:string,tokens:int>>"
 WORDS = "array<string>"
+# The texts of a pack's warnings.
+FILTERED = "Filtered %d stale/superseded/rejected memories from pack."
+RESCUED = "Rescued %d memories for protected terms."
+CUT = "Trimmed %s to stay under %d tokens."
 MOST = 50  # candidates of a request
 INACTIVE = ("stale", "superseded", "rejected")
 
@@ -32,6 +36,7 @@ FIRST = {
 FILLERS = (("goals", ("goal",), 20), ("requirements", ("requirement",), 14), ("intents", ("intent",), 12), ("reflections", ("reflection",), 12), ("open_questions", ("uncertainty", "task"), 12))
 RANKED_TYPES = ("decision", "error", "intent", "requirement", "goal")
 COMPACT = (("state", ("goal", "requirement", "intent"), 40), ("context", ("decision", "error"), 25), ("code", ("code_change",), 20))
+# Sections that may be trimmed, tokens for rescued rows, words of a query about something broken.
 TRIMMED = ("intents", "reflections", "procedures", "facts", "open_questions")
 RESCUE = 22
 
@@ -203,10 +208,10 @@ def build_packs(requests: DataFrame, retrieved: DataFrame, memories: DataFrame,
     gone = F.size("every") - F.size("live")
     warnings = F.concat(
         F.array_compact(F.array(
-            F.when(gone > 0, F.format_string("Filtered %d stale/superseded/rejected memories from pack.", gone)),
-            F.when(F.size("rescued") > 0, F.format_string("Rescued %d memories for protected terms.", F.size("rescued"))),
+            F.when(gone > 0, F.format_string(FILTERED, gone)),
+            F.when(F.size("rescued") > 0, F.format_string(RESCUED, F.size("rescued"))),
         )),
-        F.transform("trimmed.dropped", lambda n: F.format_string("Trimmed %s to stay under %d tokens.", n, cap)),
+        F.transform("trimmed.dropped", lambda n: F.format_string(CUT, n, cap)),
     )
     return x.select("request_id", "project_id", "sections", _total(F.col("sections")).alias("tokens"), F.least(F.lit(1.0), F.round(score, 6)).alias("sufficiency"), warnings.alias("warnings"))
 
