@@ -57,6 +57,43 @@ def _(spark, d):
     return tools.parse_tool_output(views.ev(spark, d).withColumn("content", F.col("raw_text"))).select("event_id", "memory_type", "summary")
 
 
+# Output of the other families of tools, with and without what each looks for; plain SQL that Spark and DuckDB read alike.
+_TOOL = "CASE n % 8 WHEN 0 THEN 'git_diff' WHEN 1 THEN 'ripgrep' WHEN 2 THEN 'docker' WHEN 3 THEN 'terraform' WHEN 4 THEN 'kubectl' WHEN 5 THEN 'pip' WHEN 6 THEN 'bandit' ELSE 'jest' END"
+_OUTPUT = """CASE n % 8
+ WHEN 0 THEN 'diff --git a/src/f' || m || '.py b/src/f' || m || '.py' || chr(10) || '+  def new_' || k || '():' || chr(10) || CASE WHEN k % 2 = 0 THEN '-def old_' || m || '():' ELSE ' same' END
+ WHEN 1 THEN CASE WHEN k % 2 = 0 THEN 'src/a' || m || '.py:' || k || ': x' || chr(10) || 'src/b' || m || '.py:3: y' || chr(10) || 'src/a' || m || '.py:9: z' ELSE 'nothing found' END
+ WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'Step 1' || chr(10) || 'Successfully built abcdef01234' || m ELSE 'build failed at step ' || k END
+ WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 'Plan: ' || k || ' to add, ' || m || ' to change, 0 to destroy.' ELSE 'Error: no provider ' || m END
+ WHEN 4 THEN 'NAME READY' || chr(10) || 'web-' || m || ' 1/1 Running' || chr(10) || 'job-' || k || ' 0/1 ' || CASE WHEN k % 2 = 0 THEN 'Pending' ELSE 'CrashLoopBackOff' END
+ WHEN 5 THEN CASE k % 3 WHEN 0 THEN 'Successfully installed lib-' || k WHEN 1 THEN 'found ' || k || ' vulnerabilities' ELSE 'up to date' END
+ WHEN 6 THEN CASE WHEN k % 2 = 0 THEN 'High severity: 1' || chr(10) || 'Low severity: 2' || chr(10) || 'high severity' ELSE 'No issues' END
+ ELSE CASE WHEN k % 2 = 0 THEN 'FAILED tests/t_' || m || '.py::test_' || k || ' - boom' || chr(10) || 'assert ' || k || chr(10) || '= 1 passed, 2 failed' ELSE k || ' passed' END END"""
+
+
+@query(
+    "c11_other_tools",
+    f"""WITH {EV_SQL}, c AS (SELECT *, substr(event_id, 5)::INT AS n FROM ev WHERE event_type = 'tool_call'), o AS (SELECT event_id, n, k, m, {_OUTPUT} AS t FROM c)
+SELECT event_id, 'code_change' AS memory_type, 'Diff: src/f' || m || '.py' AS summary FROM o WHERE n % 8 = 0
+UNION ALL SELECT event_id, 'fact', 'Changes: +new_' || k || CASE WHEN k % 2 = 0 THEN ' -old_' || m ELSE '' END FROM o WHERE n % 8 = 0
+UNION ALL SELECT event_id, 'fact', 'Search found: src/a' || m || '.py, src/b' || m || '.py' FROM o WHERE n % 8 = 1 AND k % 2 = 0
+UNION ALL SELECT event_id, 'fact', 'docker: ' || t FROM o WHERE n % 8 = 2 AND k % 2 = 0
+UNION ALL SELECT event_id, 'fact', 'Docker image built: abcdef01234' || m FROM o WHERE n % 8 = 2 AND k % 2 = 0
+UNION ALL SELECT event_id, 'error', 'docker build failed: ' || t FROM o WHERE n % 8 = 2 AND k % 2 = 1
+UNION ALL SELECT event_id, 'fact', CASE WHEN k % 2 = 0 THEN 'Terraform plan: +' || k || ' ~' || m || ' -0' ELSE 'terraform: ' || t END FROM o WHERE n % 8 = 3
+UNION ALL SELECT event_id, 'error', 'Terraform error: ' || t FROM o WHERE n % 8 = 3 AND k % 2 = 1
+UNION ALL SELECT event_id, 'fact', 'K8s status: web-' || m || ':Running job-' || k || CASE WHEN k % 2 = 0 THEN ':Pending' ELSE ':CrashLoopBackOff' END FROM o WHERE n % 8 = 4
+UNION ALL SELECT event_id, 'error', 'K8s pod error detected' FROM o WHERE n % 8 = 4 AND k % 2 = 1
+UNION ALL SELECT event_id, CASE k % 3 WHEN 1 THEN 'error' ELSE 'fact' END, CASE k % 3 WHEN 0 THEN 'Installed: lib-' || k WHEN 1 THEN 'Package vulnerabilities found: ' || k ELSE 'pip: up to date' END FROM o WHERE n % 8 = 5
+UNION ALL SELECT event_id, CASE k % 2 WHEN 0 THEN 'error' ELSE 'fact' END, CASE k % 2 WHEN 0 THEN 'bandit security: high:2, low:1' ELSE 'bandit: No issues' END FROM o WHERE n % 8 = 6
+UNION ALL SELECT event_id, 'fact', 'jest: ' || CASE WHEN k % 2 = 0 THEN 'failing, 1 passed, 2 failed' ELSE 'passing, ' || k || ' passed' END FROM o WHERE n % 8 = 7
+UNION ALL SELECT event_id, 'error', 'Test fail: test_' || k || ' in tests/t_' || m || '.py' FROM o WHERE n % 8 = 7 AND k % 2 = 0""",
+)
+def _(spark, d):
+    calls = views.ev(spark, d).where("event_type = 'tool_call'").withColumn("n", F.substring("event_id", 5, 20).cast("int"))
+    made = calls.selectExpr("event_id", "event_type", f"{_TOOL} AS tool_name", f"{_OUTPUT} AS content")
+    return tools.parse_tool_output(made).select("event_id", "memory_type", "summary")
+
+
 @query("c7_tool_call_rules", f"WITH {writing._ROWS} SELECT event_id, memory_type, source_type, summary FROM found WHERE event_type = 'tool_call' AND memory_type <> 'event'")
 def _(spark, d):
     from memjobs.operators import extract
@@ -239,6 +276,51 @@ def _(spark, d):
     return verify.repair_actions(_verified(spark, d)).select("response_id", F.array_join("actions", "|").alias("actions"))
 
 
+# One answer a project: ten forms, each with one finding, and one with two, over four memories of its own (of another project's in one form).
+_FORMS = (
+    ("rejected_decision_revival", "'Let us use the old engine ' || m || ' again. See mem_1'"), ("stale_usage", "'Right: cache is on node ' || k || ' now. See mem_1'"),
+    ("tool_evidence_mismatch", "'The test run failed on ' || k || ', see mem_1'"), ("active_decision_contradiction", "'We do not adopt the new store ' || m || ', see mem_1'"),
+    ("unverified_file", "'Look into src/lost' || k || '.py, see mem_1'"), ("unverified_symbol", "'The OrderLedger is fine, see mem_1'"), ("no_citations", "repeat('all is well ', 20)"),
+    ("missing_citation_on_claim", "'the error is parser' || m"), ("unsupported_strong_claim", "'you must restart ' || m"), ("cross_project_leakage", "'fine, see mem_1'"),
+    ("", "'Right: cache is on node ' || k || repeat(' all is well', 20)"),
+)
+_SAID = "CASE i % 11 " + " ".join(f"WHEN {n} THEN {text}" for n, (_, text) in enumerate(_FORMS)) + " END"
+_HELD = (
+    ("decision", "rejected", "user_message", "'use the old engine ' || m"), ("fact", "superseded", "user_message", "'cache is on node ' || k"),
+    ("fact", "active", "tool_output", "'tests passed on ' || k"), ("decision", "active", "user_message", "'adopt the new store ' || m"),
+)
+_FORMED = f"{EV_SQL}, f AS (SELECT project_id, arg_min(k, (timestamp, event_id)) AS k, arg_min(m, (timestamp, event_id)) AS m, substr(project_id, 6)::INT AS i FROM ev GROUP BY project_id)"
+
+
+def _formed(spark, d):
+    first = F.min_by(F.struct("k", "m"), F.struct("timestamp", "event_id"))
+    rows = views.ev(spark, d).groupBy("project_id").agg(first.alias("f")).selectExpr("project_id", "f.k", "f.m", "CAST(substr(project_id, 6) AS INT) AS i")
+    answers = rows.selectExpr("project_id AS response_id", "project_id", f"{_SAID} AS text")
+    held = None
+    for kind, validity, source, text in _HELD:
+        own = "CASE i % 11 WHEN 9 THEN 'another' ELSE project_id END AS project_id"
+        part = rows.selectExpr("project_id AS response_id", own, f"'{kind}' AS memory_type", f"'{validity}' AS validity", f"'{source}' AS source_type", f"{text} AS raw_text", f"CASE '{kind}' WHEN 'decision' THEN {text} END AS statement")
+        held = part if held is None else held.unionAll(part)
+    return verify.verify_responses(answers, held.withColumns({"compressed_summary": F.col("raw_text"), "file_references": F.array().cast("array<string>")}))
+
+
+def _told(kinds: range, both: str) -> str:
+    return "CASE i % 11 " + " ".join(f"WHEN {n} THEN '{_FORMS[n][0]}'" for n in kinds) + f" WHEN 10 THEN '{both}' ELSE '' END"
+
+
+@query(
+    "i1_every_kind",
+    f"WITH {_FORMED} SELECT project_id AS response_id, {_told(range(4), 'stale_usage')} AS violations, {_told(range(4, 10), 'no_citations')} AS warnings, CASE WHEN i % 11 < 4 THEN 0.7 WHEN i % 11 < 10 THEN 0.95 ELSE 0.65 END::DOUBLE AS score, i % 11 BETWEEN 4 AND 9 AS passed FROM f",
+)
+def _(spark, d):
+    return _formed(spark, d).select("response_id", F.array_join("violations", "|").alias("violations"), F.array_join("warnings", "|").alias("warnings"), "score", "passed")
+
+
+@query("i3_every_action", f"WITH {_FORMED} SELECT project_id AS response_id, CASE i % 11 WHEN 0 THEN '' WHEN 1 THEN 'stale_flagged' WHEN 2 THEN '' WHEN 3 THEN 'contradiction_warning' WHEN 10 THEN 'stale_flagged|citation_requested' ELSE 'pass' END AS actions FROM f")
+def _(spark, d):
+    return verify.repair_actions(_formed(spark, d)).select("response_id", F.array_join("actions", "|").alias("actions"))
+
+
 @query(
     "i2_verify_citations",
     f"""WITH {MEM_SQL}, a AS (SELECT memory_id AS answer_id, project_id AS own, [memory_id, 'mem_' || (substr(memory_id, 5)::INT + 1), 'mem_fff'] AS ids FROM mem WHERE k % 10 = 0), x AS (SELECT answer_id, own, unnest(ids) AS id FROM a),
