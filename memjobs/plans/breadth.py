@@ -293,8 +293,7 @@ _FORMED = f"{EV_SQL}, f AS (SELECT project_id, arg_min(k, (timestamp, event_id))
 
 
 def _formed(spark, d):
-    first = F.min_by(F.struct("k", "m"), F.struct("timestamp", "event_id"))
-    rows = views.ev(spark, d).groupBy("project_id").agg(first.alias("f")).selectExpr("project_id", "f.k", "f.m", "CAST(substr(project_id, 6) AS INT) AS i")
+    rows = _firsts(spark, d)
     answers = rows.selectExpr("project_id AS response_id", "project_id", f"{_SAID} AS text")
     held = None
     for kind, validity, source, text in _HELD:
@@ -400,3 +399,54 @@ _ROLLING = ", ".join(f"(sum(n) OVER (PARTITION BY project_id ORDER BY hour RANGE
 def _(spark, d):
     rows = jobs.rolling_activity(jobs.run_to_panes(_stream(spark, d)))
     return rows.withColumn("hour", F.unix_seconds("hour"))
+
+
+# A file for each project, of one of seven languages: its ending and lines, and the symbols that stand in them as (type, name, line, calls); plain SQL texts.
+_LANGUAGES = (
+    (".py", ("'class Box' || k || ':'", "'    def put' || m || '(self):'", "'        go' || k || '(1)'"), (("class", "'Box' || k", 1, "'put' || m || '|go' || k"), ("method", "'put' || m", 2, "'go' || k"))),
+    (".js", ("'function run' || k || '() {'", "'  help' || m || '(2)'", "'}'", "'const f' || m || ' = (x) => x'"), (("function", "'run' || k", 1, "'help' || m"), ("arrow_function", "'f' || m", 4, "''"))),
+    (".ts", ("'interface I' || k || ' {'", "'}'", "'class C' || m || ' {'"), (("interface", "'I' || k", 1, "''"), ("class", "'C' || m", 3, "''"))),
+    (".rs", ("'struct S' || k || ';'", "'fn main' || m || '() {'", "'    work' || k || '();'", "'}'"), (("struct", "'S' || k", 1, "'main' || m || '|work' || k"), ("function", "'main' || m", 2, "'work' || k"))),
+    (".go", ("'func Go' || k || '() {'", "'  Stop' || m || '()'", "'}'", "'type T' || m || ' struct {}'"), (("function", "'Go' || k", 1, "'Stop' || m"), ("struct", "'T' || m", 4, "''"))),
+    (".java", ("'public class J' || k || ' {'", "'}'", "'interface K' || m || ' {'"), (("class", "'J' || k", 1, "''"), ("interface", "'K' || m", 3, "''"))),
+    (".hpp", ("'class D' || k || ' {'", "'int sum' || m || '(int a) {'"), (("class", "'D' || k", 1, "'sum' || m"), ("function", "'sum' || m", 2, "''"))),
+)
+_CODE_PATH = "'src/' || project_id || CASE i % 7 " + " ".join(f"WHEN {n} THEN '{ending}'" for n, (ending, _, _) in enumerate(_LANGUAGES)) + " END"
+_CODE = "CASE i % 7 " + " ".join(f"WHEN {n} THEN " + " || chr(10) || ".join(lines) for n, (_, lines, _) in enumerate(_LANGUAGES)) + " END"
+_IN_CODE = " UNION ALL ".join(
+    f"SELECT {_CODE_PATH} AS file_path, '{kind}' AS symbol_type, {name} AS name, {line}::INT AS line_start, {calls} AS calls FROM f WHERE i % 7 = {n}" for n, (_, _, symbols) in enumerate(_LANGUAGES) for kind, name, line, calls in symbols
+)
+
+
+def _firsts(spark, d):
+    first = F.min_by(F.struct("k", "m"), F.struct("timestamp", "event_id"))
+    return views.ev(spark, d).groupBy("project_id").agg(first.alias("f")).selectExpr("project_id", "f.k", "f.m", "CAST(substr(project_id, 6) AS INT) AS i")
+
+
+@query("l1_every_language", f"WITH {_FORMED} {_IN_CODE}")
+def _(spark, d):
+    files = _firsts(spark, d).selectExpr(f"{_CODE_PATH} AS file_path", f"{_CODE} AS content")
+    return code.index_code_regex(files).select("file_path", "symbol_type", "name", "line_start", F.array_join("calls", "|").alias("calls"))
+
+
+_MODULE = (
+    "'import os'", "'from a.b import c' || m", "''", "'@cache' || m", "'class Box' || k || ':'", "'    \"\"\"Doc ' || k || '\"\"\"'", "'    def put(self, x=1):'", "'        return go' || k || '(os.path.join(x))'",
+    "''", "'async def main(*a):'", "'    await run' || m || '()'",
+)
+_IN_MODULE = (
+    ("'os'", "import", 1, 1, "NULL", "NULL", "NULL", "''", "''"), ("'a.b.c' || m", "import", 2, 2, "NULL", "NULL", "NULL", "''", "''"),
+    ("'Box' || k", "class", 5, 8, "NULL", "'Doc ' || k", "NULL", "'cache' || m", "'go' || k || '|join'"),
+    ("'Box' || k || '.put'", "method", 7, 8, "'def put(self, x=1)'", "NULL", "'Box' || k", "''", "'go' || k || '|join'"),
+    ("'main'", "function", 10, 11, "'def main(*a)'", "NULL", "NULL", "''", "'run' || m"),
+)
+_MODULE_ROWS = " UNION ALL ".join(
+    f"SELECT project_id || '.py' AS file_path, {name} AS name, '{kind}' AS symbol_type, {lo}::INT AS line_start, {hi}::INT AS line_end, {signature}::VARCHAR AS signature, {doc}::VARCHAR AS docstring, {parent}::VARCHAR AS parent, {marks} AS decorators, {calls} AS calls FROM f"
+    for name, kind, lo, hi, signature, doc, parent, marks, calls in _IN_MODULE
+)
+
+
+@query("l2_classes_imports_calls", f"WITH {_FORMED} {_MODULE_ROWS}")
+def _(spark, d):
+    files = _firsts(spark, d).selectExpr("project_id || '.py' AS file_path", " || chr(10) || ".join(_MODULE) + " AS content")
+    rows = code.index_code_python(files)
+    return rows.select("file_path", "name", "symbol_type", "line_start", "line_end", "signature", "docstring", "parent", *[F.array_join(c, "|").alias(c) for c in ("decorators", "calls")])
