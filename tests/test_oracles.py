@@ -1,6 +1,8 @@
 """A sample of the registered queries against DuckDB on the smallest tables, and the contract of the entry module."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -8,7 +10,7 @@ import pytest
 import __spark_entry__ as contract
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ("b1_top_memories", "c1_redact_secrets", "c13_write_memories", "d1_auto_link", "e3_bm25_search", "e4_vector_search", "g1_project_state", "h3_apply_corrections", "j2_similar_projects", "k4_project_breakdown", "l4_call_edges", "m4_score_packs", "n4_stream_activity")
+SAMPLE = ("a7_read_source_files", "b1_top_memories", "c11_other_tools", "d3_supersede_decisions", "d8_link_recall", "e11_global_retrieve", "i1_every_kind", "l2_classes_imports_calls", "n4_rolling_activity", "c1_redact_secrets", "c13_write_memories", "d1_auto_link", "e3_bm25_search", "e4_vector_search", "g1_project_state", "h3_apply_corrections", "j2_similar_projects", "k4_project_breakdown", "l4_call_edges", "m4_score_packs", "n4_stream_activity")
 
 
 def rounded(value):
@@ -29,6 +31,14 @@ def test_query_matches_oracle(spark, name):
     assert mine == sorted(tuple(map(rounded, r)) for r in want.fetchall()) and mine
 
 
+def test_entry_runs_where_no_setting_names_a_shared_folder(tmp_path):
+    code = "from pyspark.sql import SparkSession as S; import __spark_entry__ as e; s = S.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate(); assert s.conf.get('spark.checkpoint.dir', None) is None; print('ROWS', e.entry(s).count())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}
+    said = subprocess.run([sys.executable, "-c", code], env=env, cwd=root, capture_output=True, text=True, timeout=300)
+    assert "ROWS " in said.stdout, said.stderr[-2000:]
+
+
 def test_entry_runs(spark):
     assert contract.entry(spark).count() > 0
 
