@@ -15,9 +15,13 @@ same other.  Alignments that contradict the longest ones make up a reading of
 their own, as of a second copy.  A document holds an item if one reading covers
 ``share`` of the item's tokens, or ``enough`` of them.
 
-The benchmark is a stated query set, held against all rows in blocks of at
-most ``block_bytes`` of its text; each block is broadcast and each needs one
-pass over the documents.
+The benchmark is a table of any size.  Its windows are rows (hash, item, place).
+One pass over the documents hashes their windows too and keeps those that a
+Bloom filter of at most 2**26 bits lets through; Spark joins them with the
+items' windows on the hash.  Pairs of text and item whose joined windows can't
+cover enough of the item are left out there; the others are checked token by
+token, where the text lies.  The smaller side of a join is broadcast below
+``BROADCAST`` bytes, else the join is salted.
 
 Defined cases.  Null or empty texts and items match nothing.  Items shorter
 than ``n`` tokens are one window of their own length; those of fewer than
@@ -28,19 +32,20 @@ without one is left out.  Long texts are scanned whole.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from memjobs.llm._shared import written
 from memjobs.llm._words import SEQUENCE_BASES, Sequences, mix, text_blocks, words_of
 from memjobs.llm.minhash import folded
 
 N, SHARE, ENOUGH, SHORTEST = 8, 0.5, 13, 5
-BLOCK_BYTES = 32 << 20
+BROADCAST = 32 << 20  # bytes, as JSON, of what a join may broadcast
+LANES, CHUNK = 16, 256  # salts of a join beyond that; items that one row of candidates holds, about
+_LEAST_BITS, _MOST_BITS = 15, 26  # of the Bloom filter, as powers of two
+_KINDS = {"inside": SHORTEST, "opened": SHORTEST, "literal": 1}  # kinds of windows, with the least tokens of an item that has them
 
 # Units of measure that follow numbers.
 UNITS = (
@@ -98,7 +103,7 @@ class Templates:
         unit = np.zeros(n, bool)
         unit[1:] = number[:-1] & (self.doc[1:] == self.doc[:-1])
         unit &= _member(w.hash, _UNIT_HASHES)
-        self.slot, self.template, self.slots_before = {}, {}, {}
+        self.slot, self.template, self.slots_before, self.sequences = {}, {}, {}, {}
         for kind, name in (("inside", capital & ~first & ~number), ("opened", capital & ~number)):
             self.slot[kind] = number | name | unit
             self.template[kind] = mix(np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, w.hash))))
@@ -113,7 +118,9 @@ class Templates:
         ``literal``: the hash of the tokens themselves, for the windows that ``inside`` templates leave out and all that are too short for one.
         """
         literal = kind == "literal"
-        grams = Sequences(self.tokens(kind), SEQUENCE_BASES[0 if literal else 1]).grams(n)
+        if kind not in self.sequences:
+            self.sequences[kind] = Sequences(self.tokens(kind), SEQUENCE_BASES[0 if literal else 1])
+        grams = self.sequences[kind].grams(n)
         m = len(grams)
         before = self.slots_before["inside" if literal else kind]
         few = 2 * (before[n : n + m] - before[:m]) <= n
@@ -121,32 +128,33 @@ class Templates:
         return at, grams[at]
 
 
+def _item_windows(t: Templates, size: np.ndarray, n: int):
+    """(kind, length, first tokens, hashes) of the windows of items that documents are joined on; ``size`` has the tokens of each item."""
+    for kind, least in _KINDS.items():
+        for length in sorted({n} | {int(x) for x in size if least <= x < n}):
+            at, h = t.windows(kind, length)
+            own = size[t.doc[at]]
+            keep = own == length if length < n else own >= n
+            if keep.any():
+                yield kind, length, at[keep], h[keep]
+
+
 class Items:
-    """One block of benchmark items, ready to be probed."""
+    """A few benchmark items, ready to be probed."""
 
-    def __init__(self, rows: list[tuple], n: int, kind: pa.DataType):
-        self.kind = kind  # of the items' ids
-        rows = sorted((r for r in rows if r[1] is not None and r[0] is not None), key=lambda r: (r[0], r[1]))
+    def __init__(self, rows: list[tuple], n: int):
+        rows = sorted(rows)
         raw = [t.encode() for _, t in rows]
         data = np.frombuffer(b"".join(raw), np.uint8)
         offsets = np.cumsum([0] + [len(x) for x in raw])
-        self.ids = [r[0] for r in rows]
+        self.keys = [r[0] for r in rows]
         self.t = Templates(data, offsets)
         self.begin = np.searchsorted(self.t.doc, np.arange(len(rows) + 1))
         self.size = np.diff(self.begin)
-        self.by_length = {kind: self._sorted(kind, n, least) for kind, least in (("inside", SHORTEST), ("opened", SHORTEST), ("literal", 1))}
-
-    def _sorted(self, kind: str, n: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """(hashes ascending, first tokens) by length of the windows."""
-        out = {}
-        for length in sorted({n} | {int(x) for x in self.size if least <= x < n}):
-            at, h = self.t.windows(kind, length)
-            own = self.size[self.t.doc[at]]
-            keep = own == length if length < n else own >= n
-            order = np.argsort(h[keep], kind="stable")
-            if len(order):
-                out[length] = (h[keep][order], at[keep][order])
-        return out
+        self.by_length = {kind: {} for kind in _KINDS}
+        for kind, length, at, h in _item_windows(self.t, self.size, n):
+            order = np.argsort(h, kind="stable")
+            self.by_length[kind][length] = (h[order], at[order])
 
 
 class _Reading:
@@ -172,7 +180,7 @@ class _Reading:
 
 
 def _matches(t: Templates, items: Items, share: float, enough: int) -> dict[int, list[tuple[int, int, int, int]]]:
-    """By document of the block: (item_id, n_covered, n_item, n_slots)."""
+    """By document of the block: (item, n_covered, n_item, n_slots)."""
     runs: dict[tuple[int, int], dict[tuple[str, int], set[int]]] = {}
     for kind, lengths in items.by_length.items():
         of_doc, of_item = (x.tokens(kind) for x in (t, items.t))
@@ -198,7 +206,7 @@ def _matches(t: Templates, items: Items, share: float, enough: int) -> dict[int,
             reading = _Reading()
             left = [x for x in left if not reading.takes(*x)]
             if _enough(len(reading.covered), n, share, enough):
-                out.setdefault(doc, []).append((items.ids[item], len(reading.covered), n, len(reading.slots)))
+                out.setdefault(doc, []).append((items.keys[item], len(reading.covered), n, len(reading.slots)))
             if not reading.covered or _enough(len(reading.covered), n, share, enough):
                 break
     return out
@@ -208,48 +216,151 @@ def _enough(covered: int, n: int, share: float, enough: int) -> bool:
     return covered > 0 and (covered >= share * n or covered >= enough)
 
 
-def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / block_bytes))
-    for b in range(blocks):
-        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], n, to_arrow_type(benchmark.schema["item_id"].dataType))
+def _join_key(h: np.ndarray, kind: str, length: int) -> np.ndarray:
+    """Windows of different kinds or lengths never meet."""
+    salt = (1 + list(_KINDS).index(kind) + len(_KINDS) * length) * SEQUENCE_BASES[1]
+    return mix(h + np.uint64(salt % (1 << 64)))
+
+
+def _windows_of_items(n: int):
+    """Rows (item, text) -> a row for each window: item, h, kind, length, start, n_item."""
+
+    def job(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+                t = Templates(data, offsets)
+                begin = np.searchsorted(t.doc, np.arange(hi - lo + 1))
+                size = np.diff(begin)
+                for kind, length, at, h in _item_windows(t, size, n):
+                    of = t.doc[at]
+                    fixed = [pa.array([x] * len(at), k) for x, k in ((kind, pa.string()), (length, pa.int32()))]
+                    places = [pa.array(x.astype(np.int32)) for x in (at - begin[of], size[of])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + of)), pa.array(_join_key(h, kind, length).view(np.int64)), *fixed, *places], names=["item", "h", "kind", "length", "start", "n_item"])
+
+    return job
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << _LEAST_BITS, bool)
+    bits[table["bit"].to_numpy()] = True
+    return pa.table({"slab": table["slab"][:1].cast(pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
 
-def _judge(items, share: float, enough: int, at: int, keep_clean: bool):
+def _bloom(windows: DataFrame) -> tuple[np.ndarray, int]:
+    """The packed bits and their power of two: two positions for each hash, 16 bits for a hash while ``_MOST_BITS`` allow it."""
+    n = windows.select("h").distinct().count()
+    power = min(max((16 * n).bit_length(), _LEAST_BITS), _MOST_BITS)
+    mask = F.lit((1 << power) - 1)
+    position = F.explode(F.array(F.shiftrightunsigned("h", 64 - power), F.shiftrightunsigned("h", 64 - 2 * power).bitwiseAND(mask)))
+    at = windows.select(position.alias("p")).distinct().select(F.shiftright("p", _LEAST_BITS).alias("slab"), F.col("p").bitwiseAND(F.lit((1 << _LEAST_BITS) - 1)).alias("bit"))
+    out = np.zeros((1 << power - _LEAST_BITS, 1 << _LEAST_BITS - 3), np.uint8)
+    for r in at.groupBy("slab").applyInArrow(_pack, "slab bigint, bits binary").collect():
+        out[r.slab] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.reshape(-1), power
+
+
+def _held(bits: np.ndarray, power: int, h: np.ndarray) -> np.ndarray:
+    """The places in ``h`` that the filter lets through."""
+    at = np.arange(len(h))
+    for shift, mask in ((64 - power, 0xFFFFFFFFFFFFFFFF), (64 - 2 * power, (1 << power) - 1)):
+        p = ((h[at] >> np.uint64(shift)) & np.uint64(mask)).astype(np.int64)
+        at = at[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def _hits(bloom, lengths: list[tuple[str, int]]):
+    """Rows (key, text) -> (key, h) for the distinct windows of a text that pass the filter; ``bloom`` is a broadcast."""
+
     def job(batches):
-        held = items.value
+        bits, power = bloom.value
         for batch in batches:
-            found: list[list] = [[] for _ in range(batch.num_rows)]
-            for lo, _, data, offsets in text_blocks(batch.column(at)):
-                for doc, hits in _matches(Templates(data, offsets), held, share, enough).items():
-                    found[lo + doc] = sorted(hits)
-            if keep_clean:
-                yield batch.filter(pa.array([not x for x in found], pa.bool_()))
-                continue
-            row = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
-            flat = [h for x in found for h in x]
-            kinds = (held.kind, pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *(pa.array([h[c] for h in flat], k) for c, k in enumerate(kinds))], names=["doc_id", "item_id", "n_covered", "n_item", "n_slots"])
+            for lo, _, data, offsets in text_blocks(batch.column(1)):
+                t = Templates(data, offsets)
+                docs, keys = [], []
+                for kind, length in lengths:
+                    at, h = t.windows(kind, length)
+                    h = _join_key(h, kind, length)
+                    passed = _held(bits, power, h)
+                    docs.append(t.doc[at[passed]])
+                    keys.append(h[passed])
+                doc, h = np.concatenate(docs), np.concatenate(keys)
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + doc[new])), pa.array(h[new].view(np.int64))], names=["key", "h"])
 
     return job
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, enough: int = ENOUGH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _verified(n: int, share: float, enough: int):
+    """Rows (doc_id, key, text, items) -> a row for each of the items that the text holds."""
+
+    def job(batches):
+        for batch in batches:
+            found, row = [], []
+            for i, (text, items) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
+                raw = text.as_py().encode()
+                hits = _matches(Templates(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), Items([(x["item"], x["text"]) for x in items], n), share, enough)
+                found += hits.get(0, [])
+                row += [i] * len(hits.get(0, []))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+            ids = [batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array([h[c] for h in found], k) for c, k in enumerate(kinds))], names=["doc_id", "key", "item", "n_covered", "n_item", "n_slots"])
+
+    return job
+
+
+def _meet(left: DataFrame, key: Column, right: DataFrame, on: str, spread: Column, most: int, how: str = "inner") -> DataFrame:
+    """``left`` with the written table ``right``, which is broadcast up to ``most`` bytes.
+
+    Beyond that the join is salted by ``spread``, as one key may hold a third of ``left``.
+    """
+    size = right.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    if size <= most:
+        return left.join(F.broadcast(right), key == right[on], how)
+    dealt = right.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))).hint("merge")
+    return left.join(dealt, (key == dealt[on]) & (F.pmod(F.xxhash64(spread), F.lit(LANES)) == dealt["lane"]), how)
+
+
+def _candidates(docs: DataFrame, benchmark: DataFrame, n: int, share: float, enough: int, most: int) -> DataFrame:
+    """key, items (item, text): which items a text, named by its digest, might hold; a text of very many has several rows."""
+    items = written(benchmark.where("item_id is not null and text is not null").select(F.md5("text").alias("item"), "text").dropDuplicates(["item"]))
+    windows = written(items.select("item", "text").mapInArrow(_windows_of_items(n), "item string, h bigint, kind string, length int, start int, n_item int"))
+    lengths = sorted((r.kind, r.length) for r in windows.select("kind", "length").distinct().collect())  # at most n of a kind
+    windows = windows.drop("kind")
+    texts = docs.select(F.md5("text").alias("key"), "text").where("text is not null")
+    if not lengths:
+        texts, lengths = texts.limit(0), [("inside", n)]
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(windows))  # 8 MB at most
+    hits = texts.mapInArrow(_hits(bloom, lengths), "key string, h bigint")
+    joined = _meet(hits.withColumnRenamed("h", "hit"), F.col("hit"), windows, "h", F.col("key"), most)
+    whole = joined.groupBy("key", "item").agg(F.first("n_item").alias("n_item"), F.collect_set(F.struct("start", "length")).alias("places"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))))
+    pairs = written(whole.where((covered >= share * F.col("n_item")) | (covered >= enough)).select("key", F.col("item").alias("of")))
+    sided = _meet(pairs, F.col("of"), items, "item", F.col("key"), most).select("key", "item", "text")
+    chunks = F.ceil(F.count("*").over(Window.partitionBy("key")) / CHUNK)
+    dealt = sided.withColumn("chunk", F.pmod(F.xxhash64("item"), chunks))
+    return written(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("item", "text")).alias("items")).select(F.col("key").alias("met"), "items"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, share: float, enough: int, most: int) -> DataFrame:
+    """doc_id, key, item, n_covered, n_item, n_slots."""
+    texts = docs.select("doc_id", F.md5("text").alias("key"), "text")
+    asked = _meet(texts, F.col("key"), _candidates(docs, benchmark, n, share, enough, most), "met", F.col("doc_id"), most)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return asked.select("doc_id", "key", "text", "items").mapInArrow(_verified(n, share, enough), f"doc_id {kind}, key string, item string, n_covered int, n_item int, n_slots int")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, enough: int = ENOUGH, most: int = BROADCAST) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, n_covered, n_item, n_slots."""
-    out = None
-    texts = docs.select("doc_id", "text")
-    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_covered int, n_item int, n_slots int"
-    for items in _blocks(benchmark, n, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(items)
-        part = texts.mapInArrow(_judge(held, share, enough, 1, False), schema)
-        out = part if out is None else out.union(part)
-    return out
+    ids = written(benchmark.where("item_id is not null and text is not null").select("item_id", F.md5("text").alias("of")))
+    found = _found(docs, benchmark, n, share, enough, most)
+    return _meet(found, F.col("item"), ids, "of", F.col("key"), most).select("doc_id", "item_id", "n_covered", "n_item", "n_slots")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, enough: int = ENOUGH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, enough: int = ENOUGH, most: int = BROADCAST) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    for items in _blocks(benchmark, n, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(items)
-        docs = docs.mapInArrow(_judge(held, share, enough, docs.columns.index("text"), True), docs.schema)
-    return docs
+    gone = written(_found(docs, benchmark, n, share, enough, most).select(F.col("key").alias("gone")).distinct())
+    return _meet(docs, F.md5(docs["text"]), gone, "gone", docs["doc_id"], most, "left_anti")

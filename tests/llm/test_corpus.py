@@ -253,8 +253,9 @@ def test_leaks_exact_reparameterised_and_clean(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
     assert got == {(1, 10), (2, 10)}
     assert {r.doc_id for r in decontaminate.without_leaks(frame(spark, rows), bench).collect()} == {3, 4, 5, 6, 7}
-    blocked = decontaminate.leaks(frame(spark, rows), bench, block_bytes=60)
-    assert {(r.doc_id, r.item_id) for r in blocked.collect()} == got
+    salted = decontaminate.leaks(frame(spark, rows), bench, most=0)
+    assert {(r.doc_id, r.item_id) for r in salted.collect()} == got
+    assert {r.doc_id for r in decontaminate.without_leaks(frame(spark, rows), bench, most=0).collect()} == {3, 4, 5, 6, 7}
     assert decontaminate.leaks(frame(spark, rows).limit(0), bench).count() == 0
     assert decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
