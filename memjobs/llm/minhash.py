@@ -17,15 +17,23 @@ the bucket's leader, the text that shares most buckets with others.  Then only
 buckets are left whose other members lie in several components.  There every
 pair of two components is verified, or ruled out by its weights or by an
 outline whose bound is at least the similarity.  Large buckets are dealt into
-blocks for this; members of the bucket's largest component meet only those of
+blocks for this, by texts and by bytes; members of the bucket's largest component meet only those of
 the others.  A pair is judged in the first bucket it shares, and no more once
-links have joined its components.  So no pair of a bucket is lost; only texts
-that share no bucket are left to chance (0.001 of pairs at 0.8).
+links have joined its components.
+
+A bucket with more than a block of texts outside its largest component is
+crowded, as by pages of one template that are too unlike for a link.  Its texts
+meet by their rarest shingles instead: shingles in order of rarity, up to where
+the rest weighs less than the threshold's share of the text.  Two texts of the
+threshold's similarity share one of these, so the split is exact, and texts that
+share only the template no longer meet.  So no pair of a bucket is lost; only
+texts that share no bucket are left to chance (0.001 of pairs at 0.8).
 
 Defined cases.  Null and blank texts and null ids belong to no class but their
 own.  Texts under five words are one shingle.  Texts without any word link to
 exact copies only.  Repeated rows share a class.  Texts that share a doc_id are
-told apart by their digest.  Ids may be of any ordered type.  Other columns are
+told apart by their digest.  Very long texts are read whole, and a block of a
+bucket holds about ``BLOCK_BYTES`` of text or one text.  Ids may be of any ordered type.  Other columns are
 ignored.
 """
 
@@ -48,7 +56,7 @@ IDF_SHARE = 0.2
 SLOTS = 1 << 18
 _PART = 1 << 14
 _UNIT = 1 << 12  # idf is kept in whole 1/4096ths, so sums do not depend on their order
-OUTLINE, BLOCK_TEXTS = 256, 512  # slots of an outline; texts of a block, about
+OUTLINE, BLOCK_TEXTS, BLOCK_BYTES = 256, 512, 32 << 20  # slots of an outline; texts and bytes of a block, about
 LANES = 64  # tasks that first add up one part of the word table
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -75,19 +83,26 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
-def _count_slots(batches):
-    """Documents by word slot, in this task: one row for each part of the table."""
-    counts = np.zeros(SLOTS, np.int64)
-    n = 0
-    for batch in batches:
-        for lo, hi, data, offsets in text_blocks(batch.column(0)):
-            w = _folded_words(data, offsets)
-            n += hi - lo
-            keys = np.unique((w.doc.astype(np.int64) << 18) | _slot(w.hash))
-            counts += np.bincount(keys & (SLOTS - 1), minlength=SLOTS)
-    if n:
-        parts = counts.reshape(-1, _PART)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(parts)), -1)), pa.array([x.astype("<u8").tobytes() for x in parts] + [np.array([n], "<u8").tobytes()])], names=["part", "counts"])
+def _words_once(w: Words, n_docs: int) -> np.ndarray:
+    """The slots of a block's words, each once a document."""
+    return np.unique((w.doc.astype(np.int64) << 18) | _slot(w.hash)) & (SLOTS - 1)
+
+
+def _count_slots(slots_of):
+    """Documents by slot, in this task: one row for each part of the table, and one (part -1) for the number of documents."""
+
+    def job(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        n = 0
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch.column(0)):
+                n += hi - lo
+                counts += np.bincount(slots_of(_folded_words(data, offsets), hi - lo), minlength=SLOTS)
+        if n:
+            parts = counts.reshape(-1, _PART)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(parts)), -1)), pa.array([x.astype("<u8").tobytes() for x in parts] + [np.array([n], "<u8").tobytes()])], names=["part", "counts"])
+
+    return job
 
 
 def _add_up(batches):
@@ -100,17 +115,21 @@ def _add_up(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "counts"])
 
 
-def word_weights(docs: DataFrame, idf_share: float = IDF_SHARE) -> np.ndarray:
-    """Weight of each word slot in 1/4096ths: a table of fixed size (``SLOTS``), whatever the corpus."""
+def _slot_counts(texts: DataFrame, slots_of) -> tuple[int, np.ndarray]:
+    """The number of texts, and of those by slot: a table of fixed size (``SLOTS``), whatever the corpus."""
     schema = "part bigint, counts binary"
     # A task adds up what it has counted, lanes of tasks add up parts of that, and 16 tasks the lanes; a table of fixed size goes to the driver.
-    counted = docs.select("text").where("text is not null").mapInArrow(_count_slots, schema)
+    counted = texts.select("text").where("text is not null").mapInArrow(_count_slots(slots_of), schema)
     lanes = counted.repartition("part", F.pmod(F.spark_partition_id(), F.lit(LANES))).mapInArrow(_add_up, schema)
     summed = lanes.repartition(16, "part").mapInArrow(_add_up, schema)
     table = {r.part: np.frombuffer(bytes(r.counts), "<u8") for r in summed.collect()}
-    n = int(table[-1][0]) if -1 in table else 0
-    counts = np.concatenate([table.get(i, np.zeros(_PART, "<u8")) for i in range(SLOTS // _PART)]).astype(float)
-    idf = np.log((1 + n) / (1 + counts)) / np.log(2 + n)
+    return int(table[-1][0]) if -1 in table else 0, np.concatenate([table.get(i, np.zeros(_PART, "<u8")) for i in range(SLOTS // _PART)])
+
+
+def word_weights(docs: DataFrame, idf_share: float = IDF_SHARE) -> np.ndarray:
+    """Weight of each word slot in 1/4096ths."""
+    n, counts = _slot_counts(docs, _words_once)
+    idf = np.log((1 + n) / (1 + counts.astype(float))) / np.log(2 + n)
     return np.round(_UNIT * (1 - idf_share + idf_share * np.clip(idf, 0, 1))).astype(np.int32)
 
 
@@ -236,7 +255,8 @@ def _settled(weights, threshold: float):
     Columns: key, component, band, bands, main, own, apart, text.  ``apart``
     tells whether members with one (main, own) have met in another block.  The
     least of two outlines, added up, is at least the common weight, so the
-    bound on the similarity rules out no link.
+    bound on the similarity rules out no link.  ``band`` is -1 where texts met
+    by a shingle, not by a band.
     """
 
     def job(table):
@@ -256,7 +276,8 @@ def _settled(weights, threshold: float):
             j = j[(component[j] != component[i]) & (np.minimum(total[j], total[i]) >= low * np.maximum(total[j], total[i]))]
             if apart:
                 j = j[side[j] != side[i]]
-            j = j[(bands[j] == bands[i]).argmax(1) == band] if len(j) else j
+            if band >= 0 and len(j):
+                j = j[(bands[j] == bands[i]).argmax(1) == band]
             if not len(j):
                 continue
             least = np.minimum(outline[j], outline[i]).sum(1)
@@ -288,17 +309,59 @@ def _first_links(texts: DataFrame, leaders: DataFrame, weights, threshold: float
     return written(sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a string, b string"))
 
 
+def _rarest(weights, counts, threshold: float):
+    """Rows (key, text) -> (key, shingles): the rarest shingles of a text, of which it shares one with every text of that similarity."""
+
+    def job(batches):
+        for batch in batches:
+            out = []
+            for u, x in _sets(batch.column(1), weights.value):
+                order = np.lexsort((u, counts.value[_slot(u)]))
+                rest = x.sum() - np.cumsum(x[order])
+                out.append(u[order[: 1 + int((rest >= (threshold - 1e-6) * x.sum()).sum())]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return job
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The buckets with members of several components: bucket, largest, and texts and bytes of all and of the largest component."""
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    most = F.max(F.struct("n", "component", "bytes")).alias("most")
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n_all"), F.sum("bytes").alias("bytes_all"), most).where("k > 1")
+    return several.select("bucket", F.col("most.component").alias("largest"), "n_all", "bytes_all", F.col("most.n").alias("n_main"), F.col("most.bytes").alias("bytes_main"))
+
+
+def _split(members: DataFrame, crowded: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """``members`` with those of crowded buckets dealt by their rarest shingles."""
+    inside = written(members.join(crowded.select("bucket"), "bucket", "left_semi").select("key", "size", "component").distinct())
+    held = texts.join(inside.select("key"), "key", "left_semi").select("key", "text")
+    _, counts = _slot_counts(held, lambda w, n: _slot(np.concatenate([u for u, _ in _shingles(w, n, weights.value)])))
+    counts = texts.sparkSession.sparkContext.broadcast(counts)  # a table of fixed size
+    rarest = held.mapInArrow(_rarest(weights, counts, threshold), "key string, shingles array<bigint>")
+    dealt = rarest.join(inside, "key").select("key", "size", F.lit(-1).alias("band"), F.explode("shingles").alias("bucket"), "component")
+    # A shingle might equal a bucket of a band.
+    apart = F.xxhash64(F.lit("shingle"), "bucket").alias("bucket")
+    return members.join(crowded.select("bucket"), "bucket", "left_anti").select("key", "size", "band", "bucket", "component").union(dealt.select("key", "size", "band", apart, "component"))
+
+
 def _later_links(texts: DataFrame, leaders: DataFrame, labels: DataFrame, weights, threshold: float) -> DataFrame:
     """The links (a, b) that join components of one bucket, of all its members but the leader."""
-    named = texts.select("key", "bands").join(labels, F.col("key") == F.col("node"), "left").select("key", "bands", F.coalesce("component", "key").alias("component"))
-    members = written(_buckets(named, "component").join(leaders.where("n > 2"), "bucket").where("key <> leader").select("key", "band", "bucket", "component"))
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("k > 1")
-    several = written(several.select("bucket", F.col("most.component").alias("largest"), F.col("n").alias("n_all"), F.col("most.n").alias("n_main")))
-    block = F.lit(BLOCK_TEXTS)
-    dealt = members.join(several, "bucket").withColumn("whole", F.col("n_all") <= block).withColumn("main", (F.col("component") == F.col("largest")) & ~F.col("whole"))
-    mains, others = F.ceil(F.col("n_main") / block), F.ceil((F.col("n_all") - F.col("n_main")) / block)
-    dealt = dealt.withColumn("mains", mains).withColumn("others", F.when(F.col("whole"), F.lit(1)).otherwise(others))
+    named = texts.select("key", "bands", "size").join(labels, F.col("key") == F.col("node"), "left").select("key", "bands", "size", F.coalesce("component", "key").alias("component"))
+    members = written(_buckets(named, "size", "component").join(leaders.where("n > 2"), "bucket").where("key <> leader").select("key", "size", "band", "bucket", "component"))
+    several = written(_mixed(members))
+    crowded = several.where(F.col("n_all") - F.col("n_main") > BLOCK_TEXTS)
+    if not crowded.isEmpty():
+        members = written(_split(members, crowded, texts, weights, threshold))
+        several = written(_mixed(members))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_BYTES))
+
+    main = [F.col("n_main"), F.col("bytes_main")]
+    rest = [F.col("n_all") - main[0], F.col("bytes_all") - main[1]]
+    dealt = members.join(several, "bucket").withColumn("whole", blocks(F.col("n_all"), F.col("bytes_all")) <= 1).withColumn("main", (F.col("component") == F.col("largest")) & ~F.col("whole"))
+    dealt = dealt.withColumn("mains", blocks(*main)).withColumn("others", F.when(F.col("whole"), F.lit(1)).otherwise(blocks(*rest)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
 
     def meeting(left, right, with_main) -> Column:
@@ -337,7 +400,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     scores = entries.join(shared, "bucket").groupBy("key").agg(F.sum("n").alias("score"))
     nodes = written(firsts.join(scores, "key"))
     # The same plan at every size: a small list of nodes is not broadcast.
-    texts = written(keyed.join(nodes.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("key", "bands", "score", "text"))
+    texts = written(keyed.join(nodes.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("key", "bands", "score", F.octet_length("text").alias("size"), "text"))
     leaders = _buckets(texts, "score").groupBy("bucket").agg(F.max_by("key", F.struct("score", "key")).alias("leader"), F.count("*").alias("n")).where("n > 1")
     leaders = written(leaders)
     links = _first_links(texts, leaders, weights, threshold)

@@ -188,6 +188,54 @@ def test_crowded_buckets_match_brute_force(spark):
     want = brute_classes(rows, minhash.word_weights(docs))
     assert len(set(want.values())) >= 6
     assert got == want
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(minhash, "BLOCK_TEXTS", 16)  # now they are crowded
+        assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
+        patch.setattr(minhash, "BLOCK_BYTES", 4_000)  # about two texts a block
+        assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
+
+
+def test_pages_of_one_template_meet_by_their_rarest_shingles(spark, monkeypatch):
+    """400 pages, 0.6 alike by their template, with pairs among them at 0.8 and more."""
+    rng = random.Random(21)
+    page, texts = prose(rng, 150).split(), []
+    for i in range(400):
+        own = [f"own{i}x{j}" for j in range(48)]
+        texts.append(" ".join(page + own))
+        if i % 20 == 0:
+            texts.append(" ".join([*page, *own[:-2], f"near{i}"]))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    want, seen = brute_classes(rows, minhash.word_weights(docs)), []
+    assert 380 <= len(set(want.values())) <= 401
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 32)
+    split = minhash._split
+    def watched(members, crowded, *rest):
+        out = split(members, crowded, *rest)
+        met = minhash._mixed(out).join(crowded.select("bucket"), "bucket", "left_anti")
+        seen.append((crowded.agg({"n_all": "max"}).first()[0], met.agg({"n_all": "max"}).first()[0]))
+        return out
+    monkeypatch.setattr(minhash, "_split", watched)
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
+    assert seen and seen[0][0] > 33 and (seen[0][1] or 0) <= 33  # a crowd before, at most a block after
+
+
+def test_rarest_shingles_are_shared_by_all_pairs_of_the_similarity(spark):
+    """Random weighted sets of every similarity: no pair at the threshold lacks a common shingle among the rarest."""
+    rng = random.Random(22)
+    texts = []
+    for _ in range(25):
+        base = prose(rng, rng.randint(5, 90)).split()
+        texts += [" ".join(changed(rng, base, share)) for share in (0, 0.01, 0.02, 0.04, 0.1)]
+    weights = np.full(minhash.SLOTS, minhash._UNIT, np.int32)
+    counts = np.random.default_rng(1).integers(0, 50, minhash.SLOTS)
+    held = lambda x: type("Held", (), {"value": x})
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], names=["key", "text"])
+    rare = [set(x) for b in minhash._rarest(held(weights), held(counts), 0.8)([batch]) for x in b.column(1).to_pylist()]
+    sets = list(minhash._sets(batch.column(1), weights))
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if minhash.weighted_jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(alike) > 25 and all(rare[i] & rare[j] for i, j in alike)
+    assert sum(len(x) for x in rare) < 0.45 * sum(len(u) for u, _ in sets)
 
 
 def test_near_duplicates_of_odd_rows(spark):
