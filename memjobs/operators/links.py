@@ -157,8 +157,9 @@ def supersede_decisions(decisions: DataFrame) -> DataFrame:
     heads = runs.where("begins").select(*key, "run", F.struct("timestamp", "id", "said", "other_id").alias("head"))
     ahead = Window.partitionBy(*key).orderBy("run")
     after = heads.select(*key, "run", F.lead("head", 1).over(ahead).alias("next"), F.lead("head", 2).over(ahead).alias("then")).where("next is not null")
-    answers = runs.select(*key, "timestamp", "run").join(after, [*key, "run"]).select(*key, "timestamp", "next", "then")
-    met = listed.join(answers, [*key, "timestamp"])
+    # The list is far larger in memory than its encoded file, whose size the planner goes by: without the hints it is broadcast.
+    answers = runs.select(*key, "timestamp", "run").join(after.hint("merge"), [*key, "run"]).select(*key, "timestamp", "next", "then")
+    met = listed.join(answers.hint("merge"), [*key, "timestamp"])
     still = F.col("next.other_id").isNull() & (F.col("next.said") == F.col("said"))
     head = F.when(still, F.col("then")).otherwise(F.col("next"))
     yields = met.withColumn("head", head).where("head is not null").select("memory_id", F.col("head.timestamp").alias("at"), F.when(F.col("head.said") != F.col("said"), F.col("head.id")).otherwise(F.col("head.other_id")).alias("newer"))

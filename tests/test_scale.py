@@ -152,6 +152,12 @@ def test_decisions_of_a_large_project_are_superseded_in_linear_work(spark):
     assert got == n - 1 and time.time() - began < 120  # all pairs would be five billion
 
 
+def test_no_list_of_decisions_is_broadcast(spark):
+    rows = spark.range(200).select(F.format_string("m%03d", "id").alias("memory_id"), F.lit("p").alias("project_id"), F.timestamp_seconds(F.col("id")).alias("timestamp"), F.concat(F.lit("use engine "), (F.col("id") % 7).cast("string")).alias("statement"), F.array().cast("array<string>").alias("file_references"), F.lit("active").alias("validity"))
+    got = links.supersede_decisions(rows)  # the lists of these few are estimated small, like those of six million events were
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 199
+
+
 def test_a_walk_over_a_hub_of_many_edges(spark, monkeypatch):
     """0 - 1 - hub with 100,000 leaves, one of which goes on: six hops."""
     chain = [("n0", "n1"), ("n1", "hub"), ("leaf7", "m0"), ("m0", "m1"), ("m1", "m2"), ("m2", "m3")]
