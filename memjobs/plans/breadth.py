@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memjobs.operators import code, tools, verify
 from memjobs.plans import projects, writing
 from memjobs.plans.registry import registry
-from memjobs.sources import readers, views
+from memjobs.sources import readers, tables, views
 from memjobs.sources.views import EV_SQL, MEM_SQL
 from memjobs.streaming import jobs
 
@@ -148,20 +148,10 @@ _TREE_PATH = "'src/' || CASE WHEN i % 5 = 0 THEN 'node_modules/' WHEN i % 7 = 0
 
 
 def _tree(spark, d) -> str:
-    """The folder of the tree: a partition for each path is written by Spark, and its file then named."""
-    from memjobs.sources.tables import shared_folder
-
+    """The folder of the tree, whose files tasks write."""
     told = views.ev(spark, d).groupBy("project_id").agg(F.min_by("raw_text", F.struct("timestamp", "event_id")).alias("content")).withColumn("i", F.substring("project_id", 6, 10).cast("int"))
-    folder, staged = shared_folder(spark, "tree"), shared_folder(spark, "staged")
-    told.selectExpr("content AS value", f"{_TREE_PATH} AS path").repartition("path").write.partitionBy("path").text(staged)
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(staged)
-    fs = top.getFileSystem(hadoop)
-    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/path=*/part-*")) or []:  # names alone pass through here
-        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(part.getPath().getParent().getName())
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name.removeprefix('path=')}")
-        fs.mkdirs(target.getParent())
-        fs.rename(part.getPath(), target)
+    folder = tables.shared_folder(spark, "tree")
+    tables.write_files(told.selectExpr(f"{_TREE_PATH} AS path", "coalesce(content, '') || '\\n' AS content"), folder)
     return folder
 
 

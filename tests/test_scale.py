@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memjobs.operators import code, links, similarity, transfer, vectors, walks
+from memjobs.sources import tables
 
 
 def values(df):
@@ -218,3 +219,16 @@ def test_a_project_finds_its_own_vectors_only(spark):
     want = sorted(((-score(v), m) for m, p, v in rows if p == "p0"))[:5]
     got = vectors.vector_candidates(frame.repartition(3), requests, 5).orderBy("request_id", "rank").collect()
     assert [(r.request_id, r.memory_id, r["rank"]) for r in got] == [("r1", m, i) for i, (_, m) in enumerate(want, 1)]
+
+
+def test_files_are_written_by_several_tasks(spark, tmp_path):
+    lines = spark.range(600).select(F.concat(F.lit("a/f"), (F.col("id") % 60).cast("string"), F.lit(".txt")).alias("path"), F.concat(F.col("id").cast("string"), F.lit("\n")).alias("content"), (-F.col("id")).alias("at"))
+    spark.sparkContext.setJobGroup("files", "files")
+    try:
+        assert tables.write_files(lines, str(tmp_path / "tree"), ("at",)) == 60
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("files") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) >= 4  # a coalesced shuffle would leave all files to one
+    assert (tmp_path / "tree" / "a" / "f7.txt").read_text().split() == [str(n) for n in range(547, 0, -60)]
