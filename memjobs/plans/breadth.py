@@ -134,11 +134,9 @@ def _files(spark, d):
 
 @query("a1_read_session_logs", f"WITH {EV_SQL} SELECT 'evt_log_' || lpad((row_number() OVER (PARTITION BY project_id ORDER BY timestamp, event_id) - 1)::VARCHAR, 3, '0') AS event_id, event_type, raw_text, tool_name FROM ev")
 def _(spark, d):
-    from memjobs.sources.tables import shared_folder
-
-    folder = shared_folder(spark, "logs")
-    rows = views.ev(spark, d).repartition("project_id").sortWithinPartitions("project_id", "timestamp", "event_id")
-    rows.select("project_id", "event_type", "timestamp", "raw_text", "tool_name").write.partitionBy("project_id").json(folder)
+    folder = tables.shared_folder(spark, "logs")
+    line = F.concat(F.to_json(F.struct("event_type", F.col("timestamp"), "raw_text", "tool_name")), F.lit("\n"))
+    tables.write_files(views.ev(spark, d).select(F.concat(F.coalesce("project_id", F.lit("none")), F.lit(".json")).alias("path"), line.alias("content"), "timestamp", "event_id"), folder, ("timestamp", "event_id"))
     return readers.read_session_logs(spark, folder, "all", "log").select("event_id", "event_type", "raw_text", F.col("payload")["tool_name"].alias("tool_name"))
 
 
