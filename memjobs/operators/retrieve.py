@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,11 +45,6 @@ class Index:
     mean_length: float
     n_docs: int
 
-    @functools.cached_property
-    def tops(self) -> DataFrame:
-        """(term, block, top): the largest weight of a term in a block of memories, idf left out."""
-        return written(self.postings.groupBy("term", self.block().alias("block")).agg(F.max(self.weight()).alias("top")))
-
     def block(self) -> Column:
         return F.pmod(F.xxhash64("memory_id"), F.lit(max(1, self.n_docs // BLOCK_DOCS)))
 
@@ -74,18 +68,39 @@ def _scored(index: Index, met: DataFrame) -> DataFrame:
     return met.groupBy("request_id", "memory_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * index.weight()), 6).alias("score")).where("score > 0")
 
 
+MOST_ASKED = 1_000_000  # rows of asked terms up to which these are broadcast
+
+
+def _meet(rows: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+    """Postings and asked terms; where these are few, rows with one ``by`` come together before they are multiplied, so that what is summed for it needs no other shuffle."""
+    if asked.count() > MOST_ASKED:
+        return rows.join(asked, "term")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    return held.repartition(tasks, by).join(F.broadcast(asked), "term")
+
+
+def _scored_in_all(index: Index, asked: DataFrame) -> DataFrame:
+    return _scored(index, _meet(index.postings, written(asked), "memory_id"))
+
+
 def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: str = "project", index: Index | None = None) -> DataFrame:
     """request_id, memory_id, score, rank: the best k of each request.
 
     requests: request_id, project_id, query.  Scope ``project`` scores the
     request's project only; ``global`` scores all memories, by statistics of
     all memories either way.  Postings meet query terms by an equi-join, so
-    only terms that are asked for are scored.
+    only terms that are asked for are scored.  In scope ``global`` requests of
+    the same terms are scored once, as all of them find the same rows.
     """
     index = index or bm25_index(memories)
-    asked = _asked(index, requests)
-    met = index.postings.join(asked, "term") if scope == "global" else index.postings.join(asked.withColumnRenamed("asked_project", "project_id"), ["project_id", "term"])
-    return ranked(_scored(index, met), k)
+    if scope != "global":
+        met = index.postings.join(_asked(index, requests).withColumnRenamed("asked_project", "project_id"), ["project_id", "term"])
+        return ranked(_scored(index, met), k)
+    said = written(requests.select("request_id", F.sha2(F.array_join(F.array_sort(T.tokenize(F.col("query"))), " "), 256).alias("text_id"), "query"))
+    once = said.groupBy(F.col("text_id").alias("request_id")).agg(F.first("query").alias("query"), F.lit(None).cast("string").alias("project_id"))
+    found = written(ranked(_scored_in_all(index, _asked(index, once)), k).withColumnRenamed("request_id", "text_id"))
+    return said.select("request_id", "text_id").join(found, "text_id").select("request_id", "memory_id", "score", "rank")
 
 
 @dataclass
@@ -105,22 +120,30 @@ def bm25_pruned(index: Index, requests: DataFrame, k: int = 50) -> Pruned:
     terms lie in few blocks, so most blocks have the bounds of common terms only.
     """
     asked = written(_asked(index, requests).select("request_id", "term", "qtf", "idf"))
-    bounds = index.tops.join(asked, "term").groupBy("request_id", "block").agg(F.sum(F.greatest(F.lit(0.0), F.col("qtf") * F.col("idf") * F.col("top"))).alias("bound"))
-    order = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("bound"), "block"))
-    bounds = written(bounds.withColumn("place", order))
     rows = index.postings.select("memory_id", "term", "tf", "length", index.block().alias("block"))
+    few = asked.count() <= MOST_ASKED
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").repartition(tasks, "block") if few else rows
+    tops = held.groupBy("term", "block").agg(F.max(index.weight()).alias("top"), F.count("*").alias("n"))
+    bound = F.sum(F.greatest(F.lit(0.0), F.col("qtf") * F.col("idf") * F.col("top")))
+    bounds = written(tops.join(F.broadcast(asked) if few else asked, "term").groupBy("request_id", "block").agg(bound.alias("bound"), F.sum("n").alias("n")))
+    order = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("bound"), "block"))
+    leading = written(bounds.withColumn("place", order).where(F.col("place") <= FIRST_BLOCKS).select("request_id", "block", "n"))
 
     def scored(blocks: DataFrame) -> DataFrame:
-        return written(_scored(index, rows.join(asked.join(blocks.select("request_id", "block"), "request_id"), ["term", "block"])))
+        if not few:
+            return written(_scored(index, rows.join(asked.join(blocks.select("request_id", "block"), "request_id"), ["term", "block"])))
+        asking = blocks.groupBy("block").agg(F.collect_set("request_id").alias("asking"))
+        met = _meet(rows, asked, "block").join(asking.hint("shuffle_hash"), "block").where(F.array_contains("asking", F.col("request_id")))
+        return written(met.groupBy("block", "request_id", "memory_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * index.weight()), 6).alias("score")).where("score > 0").select("request_id", "memory_id", "score"))
 
-    first = scored(bounds.where(F.col("place") <= FIRST_BLOCKS))
+    first = scored(leading)
     least = ranked(first, k).where(F.col("rank") == k).select("request_id", F.col("score").alias("least"))
-    rest = written(bounds.where(F.col("place") > FIRST_BLOCKS).join(least, "request_id", "left").where("least is null or bound >= least - 1e-5").select("request_id", "block"))
-    found = ranked(first.union(scored(rest)), k)
-    counts = written(rows.groupBy("term", "block").count())
-    taken = bounds.where(F.col("place") <= FIRST_BLOCKS).select("request_id", "block").union(rest).withColumn("taken", F.lit(True))
-    each = asked.join(counts, "term").join(taken, ["request_id", "block"], "left")
-    read = each.groupBy("request_id").agg(F.sum("count").alias("postings"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("count"))), F.lit(0)).alias("read"))
+    rest = written(bounds.join(leading, ["request_id", "block"], "left_anti").join(least, "request_id", "left").where("least is null or bound >= least - 1e-5").select("request_id", "block", "n"))
+    found = ranked(ranked(first, k).drop("rank").union(ranked(scored(rest), k).drop("rank")), k)
+    totals = bounds.groupBy("request_id").agg(F.sum("n").alias("postings"))
+    taken = leading.union(rest).groupBy("request_id").agg(F.sum("n").alias("read"))
+    read = totals.join(taken, "request_id", "left").select("request_id", "postings", F.coalesce("read", F.lit(0)).alias("read"))
     return Pruned(found, read)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memjobs.operators import code, links, similarity, transfer, vectors, walks
+from memjobs.operators import code, links, retrieve, similarity, transfer, vectors, walks
 from memjobs.sources import tables
 
 
@@ -232,3 +232,26 @@ def test_files_are_written_by_several_tasks(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(s.numTasks for s in stages if s) >= 4  # a coalesced shuffle would leave all files to one
     assert (tmp_path / "tree" / "a" / "f7.txt").read_text().split() == [str(n) for n in range(547, 0, -60)]
+
+
+def test_requests_of_equal_terms_are_scored_once(spark, monkeypatch):
+    memories = spark.createDataFrame([(f"m{i}", f"p{i % 5}", f"fix parser {i % 7} now") for i in range(40)], "memory_id string, project_id string, raw_text string")
+    requests = spark.range(300).select(F.format_string("r%03d", "id").alias("request_id"), F.lit("p1").alias("project_id"), F.when(F.col("id") % 2 == 0, "fix parser").otherwise("parser fix").alias("query"))
+    asked, scored = [], retrieve._scored_in_all
+    monkeypatch.setattr(retrieve, "_scored_in_all", lambda index, terms: asked.append(terms.select("request_id").distinct().count()) or scored(index, terms))
+    got = values(retrieve.bm25_search(memories, requests, 3, "global").select("request_id", "rank", "memory_id", "score"))
+    assert asked == [1] and len(got) == 900 and got[:3] == [("r000", *r[1:]) for r in got[-3:]]
+
+
+def test_bm25_with_few_and_with_many_asked_terms(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(25)], k=rng.randint(1, 12))) for _ in range(200)]
+    index = retrieve.bm25_index(spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "memory_id int, project_id string, raw_text string"))
+    requests = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts[:6])], "request_id int, project_id string, query string")
+    found = []
+    for most in (retrieve.MOST_ASKED, 0):
+        monkeypatch.setattr(retrieve, "MOST_ASKED", most)
+        pruned = retrieve.bm25_pruned(index, requests, 5)
+        found += [(values(pruned.found.select("request_id", "memory_id", "score")), values(pruned.read))]
+        assert found[-1][0] == values(retrieve.bm25_search(None, requests, 5, "global", index).select("request_id", "memory_id", "score"))
+    assert found[0] == found[1]
