@@ -235,7 +235,7 @@ def test_files_are_written_by_several_tasks(spark, tmp_path):
 
 
 def test_requests_of_equal_terms_are_scored_once(spark, monkeypatch):
-    memories = spark.createDataFrame([(f"m{i}", f"p{i % 5}", f"fix parser {i % 7} now") for i in range(40)], "memory_id string, project_id string, raw_text string")
+    memories = spark.createDataFrame([(f"m{i}", f"p{i % 5}", f"fix parser now{i}" if i % 4 == 0 else f"plain text{i}") for i in range(40)], "memory_id string, project_id string, raw_text string")
     requests = spark.range(300).select(F.format_string("r%03d", "id").alias("request_id"), F.lit("p1").alias("project_id"), F.when(F.col("id") % 2 == 0, "fix parser").otherwise("parser fix").alias("query"))
     asked, scored = [], retrieve._scored_in_all
     monkeypatch.setattr(retrieve, "_scored_in_all", lambda index, terms: asked.append(terms.select("request_id").distinct().count()) or scored(index, terms))
@@ -255,3 +255,16 @@ def test_bm25_with_few_and_with_many_asked_terms(spark, monkeypatch):
         found += [(values(pruned.found.select("request_id", "memory_id", "score")), values(pruned.read))]
         assert found[-1][0] == values(retrieve.bm25_search(None, requests, 5, "global", index).select("request_id", "memory_id", "score"))
     assert found[0] == found[1]
+
+
+def test_closest_projects_are_the_first_of_all_pairs(spark):
+    rng = random.Random(8)
+    sets = random_sets(rng, 40)
+    rows = [(f"p{i:02d}", w) for i, s in enumerate(sets) for w in s] + [(f"q{i:02d}", w) for i in range(30) for w in ("common", "w1")]
+    signatures = spark.createDataFrame(rows, "project_id string, feature string")
+    want, by = set(), {}
+    for r in transfer.similar_projects(signatures).collect():
+        by.setdefault(r.project_id, []).append((-r.similarity, r.other_id))
+    for p, near in by.items():
+        want |= {(p, o, -s) for s, o in sorted(near)[:3]}
+    assert set(values(transfer.closest_projects(signatures, 3))) == want and len(want) > 150
