@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memjobs.operators.ledger import any_contains
+from memjobs.operators.vectors import vector_candidates
+from memjobs.sources.tables import written
 
 # Words that tell a reason, and words that excuse a stale fact.
 WHY = ("why", "because", "rationale", "reason", "tradeoff", "alternative", "instead of")
@@ -111,11 +113,22 @@ def unique_to(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
 
 
 def semantic_match(expected: DataFrame, sections: DataFrame, threshold: float = 0.65) -> DataFrame:
-    """expected (name, item, vector) and sections (name, vector) -> name, recall, mean best cosine."""
-    dot = F.aggregate(F.zip_with("e", "s", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda x, y: x + y * y))
-    pairs = expected.select("name", "item", F.col("vector").alias("e")).join(sections.select("name", F.col("vector").alias("s")), "name")
-    best = pairs.groupBy("name", "item").agg(F.max(dot / (norm("e") * norm("s") + 1e-10)).alias("best"))
+    """expected (name, item, vector) and sections (name, vector) -> name, recall, mean best cosine.
+
+    The best of each item is the nearest section of its name, found by multiplying
+    blocks of items with batches of sections.  Zero vectors have a cosine of 0
+    with those of their length; other lengths and nulls have none.
+    """
+    whole = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    zero = ~F.exists("vector", lambda x: x != 0)
+    asked = written(expected.where("name is not null").select("name", "item", "vector").withColumn("request_id", F.monotonically_increasing_id()))
+    told = sections.where("name is not null").select("name", F.when(whole(F.col("vector")), F.col("vector")).alias("vector"))
+    lengths = told.groupBy("name").agg(F.collect_set(F.size("vector")).alias("lengths"), F.collect_set(F.when(zero, F.size("vector"))).alias("zeros"))
+    rows = told.where("vector is not null").select(F.lit(0).alias("memory_id"), F.col("name").alias("project_id"), "vector")
+    near = vector_candidates(rows, asked.where(whole(F.col("vector"))).select("request_id", F.col("name").alias("project_id"), "vector"), 1).select("request_id", "score")
+    none = whole(F.col("vector")) & (F.array_contains("zeros", F.size("vector")) | (zero & F.array_contains("lengths", F.size("vector"))))
+    each = asked.join(lengths, "name").join(near, "request_id", "left").withColumn("best", F.greatest("score", F.when(none, 0.0)))
+    best = each.groupBy("name", "item").agg(F.max("best").alias("best"))
     return best.groupBy("name").agg(F.avg((F.col("best") >= threshold).cast("double")).alias("recall"), F.avg("best").alias("mean_best"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memjobs.operators import code, links, retrieve, similarity, transfer, vectors, walks
+from memjobs.operators import code, evals, links, retrieve, similarity, transfer, vectors, walks
 from memjobs.sources import tables
 
 
@@ -268,3 +268,18 @@ def test_closest_projects_are_the_first_of_all_pairs(spark):
     for p, near in by.items():
         want |= {(p, o, -s) for s, o in sorted(near)[:3]}
     assert set(values(transfer.closest_projects(signatures, 3))) == want and len(want) > 150
+
+
+def test_semantic_match_forms_no_pairs_of_rows_and_keeps_zero_vectors(spark):
+    rng = np.random.default_rng(5)
+    made = lambda n: [("a" if i % 3 else "b", i, [0.0] * 4 if i % 10 == 0 else [float(x) for x in rng.normal(size=4 if i % 7 else 3)]) for i in range(n)]
+    asked, told = made(40), made(60)
+    want = {}
+    for name in "ab":
+        best = [max(float(np.dot(e, s) / (np.linalg.norm(e) * np.linalg.norm(s) + 1e-10)) for m, _, s in told if m == name and len(s) == len(e)) for n, _, e in asked if n == name]
+        want[name] = (round(np.mean([b >= 0.3 for b in best]), 6), round(np.mean(best), 6))
+    schema = "name string, item int, vector array<double>"
+    got = evals.semantic_match(spark.createDataFrame(asked, schema), spark.createDataFrame(told, schema), 0.3)
+    assert {r.name: (round(r.recall, 6), round(r.mean_best, 6)) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
