@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memjobs.operators.walks import walk
@@ -46,22 +46,31 @@ def index_code_regex(files: DataFrame) -> DataFrame:
     """files (file_path, content) -> name, symbol_type, file_path, line_start, line_end, calls.
 
     Calls are the names before ``(`` in the symbol's line and the five after
-    it, without its own name and names that begin with ``_``.
+    it, without its own name and names that begin with ``_``.  A file's lines lie
+    in one array, so a line finds those after it without a shuffle; the language is
+    a column below the explode, so that no line works it out again.
     """
-    lines = files.select("file_path", language(F.col("file_path")).alias("lang"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    whole = files.select("file_path", language(F.col("file_path")).alias("lang"), F.split("content", "\n").alias("all"))
+    each = F.transform("all", lambda line, i: F.struct(i.alias("at"), line.alias("line"), F.slice("all", i + 1, WINDOW + 1).alias("near")))
+    lines = whole.where(F.col("lang").isin(*PATTERNS)).select("file_path", "lang", F.inline_outer(each))
+
+    fits, kinds = F.lit(False), F.lit(None).cast("struct<symbol_type:string,name:string>")
+    for lang, patterns in PATTERNS.items():
+        fits = F.when(F.col("lang") == lang, F.col("line").rlike("|".join(p for _, p in patterns))).otherwise(fits)
 
     def symbol(line: Column) -> Column:
-        found = F.lit(None).cast("struct<symbol_type:string,name:string>")
+        found = kinds
         for lang, patterns in PATTERNS.items():
+            own = kinds
             for kind, p in reversed(patterns):
-                found = F.when((F.col("lang") == lang) & line.rlike(p), F.struct(F.lit(kind).alias("symbol_type"), F.regexp_extract(line, p, 1).alias("name"))).otherwise(found)
+                own = F.when(line.rlike(p), F.struct(F.lit(kind).alias("symbol_type"), F.regexp_extract(line, p, 1).alias("name"))).otherwise(own)
+            found = F.when(F.col("lang") == lang, own).otherwise(found)
         return found
 
     found = F.get(F.transform(F.array("line"), symbol), F.lit(0))  # so many patterns outgrow one generated method
-    called = F.regexp_extract_all("line", F.lit(r"\b(\w+)\s*\("), F.lit(1))
-    ahead = Window.partitionBy("file_path").orderBy("at").rowsBetween(0, WINDOW)
-    rows = lines.select("file_path", "at", found.alias("s"), F.flatten(F.collect_list(called).over(ahead)).alias("near")).where("s.name <> ''")
-    own = F.filter(F.array_distinct("near"), lambda c: (c != F.col("s.name")) & ~c.startswith("_"))
+    called = F.flatten(F.transform("near", lambda x: F.regexp_extract_all(x, F.lit(r"\b(\w+)\s*\("), F.lit(1))))
+    rows = lines.where(fits).select("file_path", "at", found.alias("s"), F.array_distinct(called).alias("near"))
+    own = F.filter("near", lambda c: (c != F.col("s.name")) & ~c.startswith("_"))
     line = F.col("at") + 1
     return rows.select("s.name", "s.symbol_type", "file_path", line.alias("line_start"), line.alias("line_end"), own.alias("calls"))
 
@@ -105,22 +114,31 @@ def _symbols(tree: ast.Module, path: str) -> Iterator[dict]:
         todo += [(n, inside) for n in reversed(list(ast.iter_child_nodes(node))) if isinstance(n, ast.stmt | ast.excepthandler | ast.match_case)]
 
 
-def index_code_python(files: DataFrame) -> DataFrame:
-    """Symbols of Python files by their syntax tree; files that don't parse give none."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in PYTHON.split(", "))])
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in PYTHON.split(", "))])
+MOST_ROWS = 1000  # symbols that a task holds before it passes them on, besides one file's
+
 
-    def job(batches):
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows += _symbols(ast.parse(content or ""), path)
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+def symbol_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of files (file_path, content) to batches of up to ``MOST_ROWS`` symbols; one file's text is taken at a time."""
+    rows: list[dict] = []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            path, content = (batch.column(c)[at].as_py() for c in (0, 1))
+            try:
+                rows += _symbols(ast.parse(content or ""), path)
+            except (SyntaxError, ValueError, RecursionError):
+                continue
+            while len(rows) >= MOST_ROWS:
+                yield pa.RecordBatch.from_pylist(rows[:MOST_ROWS], schema=SCHEMA)
+                rows = rows[MOST_ROWS:]
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    return files.select("file_path", "content").mapInArrow(job, PYTHON)
+
+def index_code_python(files: DataFrame) -> DataFrame:
+    """Symbols of Python files by their syntax tree; files that don't parse give none."""
+    return files.select("file_path", "content").mapInArrow(symbol_batches, PYTHON)
 
 
 def search_symbols(symbols: DataFrame, needles: list[str]) -> DataFrame:
@@ -133,13 +151,14 @@ def call_edges(symbols: DataFrame, root: Column | None = None) -> DataFrame:
     """Distinct (file_path, caller, callee_path, callee): explode calls, equi-join on the bare name.
 
     Files of one ``root`` (an expression over file_path; all files without it)
-    call each other, so a name finds its definitions in other files too.
+    call each other, so a name finds its definitions in other files too.  Both
+    sides are distinct, and an edge tells its root and bare name, so none comes twice.
     """
     within = F.lit("") if root is None else root
     bare = F.element_at(F.split("name", r"\."), -1)
     callers = symbols.select(within.alias("root"), "file_path", F.col("name").alias("caller"), F.explode(F.array_distinct("calls")).alias("bare")).distinct()
     callees = symbols.where("symbol_type <> 'import'").select(within.alias("root"), F.col("file_path").alias("callee_path"), bare.alias("bare"), F.col("name").alias("callee")).distinct()
-    return callers.join(callees, ["root", "bare"]).where("caller <> callee or file_path <> callee_path").select("file_path", "caller", "callee_path", "callee").distinct()
+    return callers.join(callees, ["root", "bare"]).where("caller <> callee or file_path <> callee_path").select("file_path", "caller", "callee_path", "callee")
 
 
 def callers(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -171,16 +190,20 @@ def affected_symbols(symbols: DataFrame, changes: DataFrame) -> DataFrame:
 def transitive_affected(seeds: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
     """(file_path, name) reached over callers and callees, across files, in rounds 0..max_hops-1."""
     caller, callee = F.struct("file_path", F.col("caller").alias("name")), F.struct(F.col("callee_path").alias("file_path"), F.col("callee").alias("name"))
-    both = edges.select(caller.alias("node"), callee.alias("next")).union(edges.select(callee, caller))
+    ways = F.array(F.struct(caller.alias("node"), callee.alias("next")), F.struct(callee.alias("node"), caller.alias("next")))
+    both = edges.select(F.inline(ways))  # both ways of an edge from one reading of it
     reached = walk(seeds.select(F.lit(0).alias("group"), F.struct("file_path", "name").alias("node"), F.lit(max_hops).alias("hops")), both, max_hops)
     return reached.select("node.file_path", "node.name")
 
 
 def dependency_chain(edges: DataFrame) -> DataFrame:
     """file_path, name, upstream callers and downstream callees by name, sorted."""
-    up = edges.groupBy(F.col("callee_path").alias("file_path"), F.col("callee").alias("name")).agg(F.array_sort(F.collect_set("caller")).alias("upstream"))
-    down = edges.groupBy("file_path", F.col("caller").alias("name")).agg(F.array_sort(F.collect_set("callee")).alias("downstream"))
-    return up.join(down, ["file_path", "name"], "full")
+    none = F.lit(None).cast("string")
+    of_callee = F.struct(F.col("callee_path").alias("file_path"), F.col("callee").alias("name"), F.col("caller").alias("up"), none.alias("down"))
+    of_caller = F.struct(F.col("file_path"), F.col("caller").alias("name"), none.alias("up"), F.col("callee").alias("down"))
+    ends = edges.select(F.inline(F.array(of_callee, of_caller)))  # both ends of an edge from one reading of it
+    found = ends.groupBy("file_path", "name").agg(F.array_sort(F.collect_set("up")).alias("upstream"), F.array_sort(F.collect_set("down")).alias("downstream"))
+    return found.select("file_path", "name", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("upstream", "downstream")])
 
 
 def symbols_to_memories(symbols: DataFrame) -> DataFrame:

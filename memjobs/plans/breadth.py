@@ -182,7 +182,11 @@ ed AS (SELECT DISTINCT c.file_path, caller, f.file_path AS callee_path, callee F
 
 
 def _edges(spark, d):
-    return code.call_edges(code.index_code_regex(_files(spark, d)), F.regexp_extract("file_path", "^src/([^/]+)/", 1))
+    return _edges_of(code.index_code_regex(_files(spark, d)))
+
+
+def _edges_of(symbols):
+    return code.call_edges(symbols, F.regexp_extract("file_path", "^src/([^/]+)/", 1))
 
 
 @query("l4_call_edges", f"WITH {_EDGES} SELECT file_path, caller, callee_path, callee FROM ed")
@@ -192,10 +196,10 @@ def _(spark, d):
 
 @query("l4_callers_callees", f"WITH {_EDGES} SELECT 'caller' AS kind, callee AS name, file_path, caller AS other FROM ed WHERE callee IN ('fn_7', 'fn_12') UNION SELECT 'callee', caller, callee_path, callee FROM ed WHERE caller IN ('fn_7', 'fn_12')")
 def _(spark, d):
-    edges = _edges(spark, d)
-    names = edges.where("callee in ('fn_7', 'fn_12')").select("callee")
+    edges = _edges_of(tables.written(code.index_code_regex(_files(spark, d))))
+    names = spark.range(1).select(F.explode(F.array(F.lit("fn_7"), F.lit("fn_12"))).alias("callee"))  # stated, so no edge is made to find them
     up = code.callers(edges, names).select(F.lit("caller").alias("kind"), F.col("callee").alias("name"), "file_path", F.col("caller").alias("other"))
-    down = code.callees(edges, edges.where("caller in ('fn_7', 'fn_12')").select("caller"))
+    down = code.callees(edges, names.withColumnRenamed("callee", "caller"))
     return up.union(down.select(F.lit("callee"), "caller", "callee_path", "callee"))
 
 

@@ -5,6 +5,7 @@ import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,41 @@ def test_semantic_match_forms_no_pairs_of_rows_and_keeps_zero_vectors(spark):
     assert {r.name: (round(r.recall, 6), round(r.mean_best, 6)) for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_code_lines_need_no_shuffle_and_no_language_of_their_own(spark):
+    files = spark.createDataFrame([("a.py", "def f(x):\n  return g(\n  h (x)\nclass B:\n    pass\n\n\nk()"), ("b.txt", "def f(x):"), ("c.py", None)], "file_path string, content string")
+    made = code.index_code_regex(files)
+    assert "Exchange" not in plan_of(made) and "Window" not in plan_of(made)
+    assert plan_of(made).count("regexp_extract(file_path") < 20  # once a file, not in the patterns of each line
+    assert [(r.name, r.symbol_type, r.line_start, r.calls) for r in made.orderBy("line_start").collect()] == [("f", "function", 1, ["g", "h"]), ("B", "class", 4, ["k"])]
+
+
+def test_call_graph_reads_its_edges_once(spark):
+    rows = [("a", "x", "b", "y"), ("b", "y", "a", "x"), ("a", "x", "a", "z"), ("b", "x", "b", "y")]
+    edges = spark.createDataFrame(rows, "file_path string, caller string, callee_path string, callee string")
+    chain = code.dependency_chain(edges)
+    assert plan_of(chain).count("Exchange") == 1 and "Join" not in plan_of(chain)
+    assert sorted(tuple(r) for r in chain.collect()) == [("a", "x", ["y"], ["y", "z"]), ("a", "z", ["x"], None), ("b", "x", None, ["y"]), ("b", "y", ["x"], ["x"])]
+    assert values(code.transitive_affected(spark.createDataFrame([("a", "z")], "file_path string, name string"), edges, 3)) == [("a", "x"), ("a", "z"), ("b", "y")]
+
+
+def test_callers_of_stated_names_make_no_other_edges(spark, monkeypatch):
+    from memjobs.plans import breadth
+
+    made = []
+    own = tables.written
+    monkeypatch.setattr(breadth.tables, "written", lambda df: made.append(df) or own(df))
+    out = breadth.QUERIES["l4_callers_callees"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and "parquet" in plan_of(out) and "events.parquet" not in plan_of(out)
+
+
+def test_python_symbols_leave_a_task_in_small_batches(spark):
+    files = spark.createDataFrame([(f"{i}.py", "def f(): g()\n" * 700) for i in range(5)], "file_path string, content string").coalesce(1)
+    assert code.index_code_python(files).count() == 3500
+    batch = pa.RecordBatch.from_pydict({"file_path": [f"{i}.py" for i in range(5)], "content": ["def f(): g()\n" * 700] * 5})
+    assert [b.num_rows for b in code.symbol_batches([batch])] == [1000, 1000, 1000, 500]
