@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG = "event_type string, timestamp timestamp, raw_text string, tool_name string, file_path string"
@@ -37,15 +37,31 @@ def commits_to_events(commits: DataFrame) -> DataFrame:
     return commits.select("repo", "i", F.explode(F.array_compact(F.array(said, changed))).alias("e")).select("repo", "i", "e.*")
 
 
+def _most_frequent(words: Column, k: int) -> Column:
+    """The k most frequent words, equally frequent ones in order: a fold over the sorted words that holds k runs."""
+    run = "struct<n:int,word:string>"
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.array().cast(f"array<{run}>").alias("best"))
+
+    def held(state: Column) -> Column:
+        own = F.struct((-state["n"]).alias("n"), state["word"].alias("word"))
+        return F.when(state["n"] == 0, state["best"]).otherwise(F.slice(F.array_sort(F.concat(state["best"], F.array(own))), 1, k))
+
+    def step(state: Column, word: Column) -> Column:
+        same = state["word"] == word
+        return F.struct(word.alias("word"), F.when(same, state["n"] + 1).otherwise(1).alias("n"), F.when(same, state["best"]).otherwise(held(state)).alias("best"))
+
+    return F.transform(F.aggregate(F.array_sort(words), start, step, held), lambda x: x["word"])
+
+
 def commit_windows(commits: DataFrame, size: int, step: int | None = None) -> DataFrame:
-    """Full overlapping windows of each repo's commits in order: repo, start, goals (first three subjects), query (three most frequent long words)."""
+    """Full overlapping windows of each repo's commits in order: repo, start, goals (first three subjects), query (three most frequent long words).
+
+    A repo's commits are sorted once; a window's words are counted inside its row.
+    """
     step = step or max(1, size // 2)
-    place = F.row_number().over(Window.partitionBy("repo").orderBy("i")) - 1
-    rows = commits.withColumn("n", place)
-    firsts = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("n") - size + 1) / step)), F.floor(F.col("n") / step))
-    in_window = rows.withColumn("w", F.explode(F.when(F.ceil((F.col("n") - size + 1) / step) <= F.floor(F.col("n") / step), firsts)))
-    full = in_window.groupBy("repo", "w").agg(F.count("*").alias("c"), F.transform(F.array_sort(F.collect_list(F.struct("n", "subject"))), lambda x: x["subject"]).alias("subjects")).where(F.col("c") == size)
-    words = full.select("repo", "w", F.explode(F.filter(F.regexp_extract_all(F.lower(F.array_join("subjects", " ")), F.lit(r"\S+"), F.lit(0)), lambda x: F.length(x) > 3)).alias("word")).groupBy("repo", "w", "word").count()
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("repo", "w").orderBy(F.desc("count"), "word"))).where("r <= 3")
-    query = top.groupBy("repo", "w").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), " ").alias("query"))
-    return full.join(query, ["repo", "w"], "left").select("repo", (F.col("w") * step).alias("start"), F.slice("subjects", 1, 3).alias("goals"), F.coalesce("query", F.lit("")).alias("query"))
+    order = Window.partitionBy("repo").orderBy("i")
+    ahead = F.collect_list(F.struct("subject")).over(order.rowsBetween(0, size - 1))
+    rows = commits.select("repo", (F.row_number().over(order) - 1).alias("start"), ahead.alias("ahead"))
+    full = rows.where((F.col("start") % step == 0) & (F.size("ahead") == size)).select("repo", "start", F.col("ahead.subject").alias("subjects"))
+    words = F.filter(F.regexp_extract_all(F.lower(F.array_join("subjects", " ")), F.lit(r"\S+"), F.lit(0)), lambda x: F.length(x) > 3)
+    return full.select("repo", F.col("start").cast("long").alias("start"), F.slice("subjects", 1, 3).alias("goals"), F.array_join(_most_frequent(words, 3), " ").alias("query"))

@@ -322,3 +322,30 @@ def test_python_symbols_leave_a_task_in_small_batches(spark):
     assert code.index_code_python(files).count() == 3500
     batch = pa.RecordBatch.from_pydict({"file_path": [f"{i}.py" for i in range(5)], "content": ["def f(): g()\n" * 700] * 5})
     assert [b.num_rows for b in code.symbol_batches([batch])] == [1000, 1000, 1000, 500]
+
+
+def test_commit_windows_sort_commits_once(spark):
+    from memjobs.sources import readers
+
+    rows = [("r", i, s) for i, s in enumerate(["beta alpha", "beta alphas it", None, "gamma gamma", "beta", "x", "delta delta delta", "zeta"])] + [("short", 0, "alpha")]
+    made = readers.commit_windows(spark.createDataFrame(rows, "repo string, i int, subject string"), 4)
+    assert plan_of(made).count("Exchange") == 1 and "Join" not in plan_of(made)
+    assert sorted((r.start, r.goals, r["query"]) for r in made.collect()) == [
+        (0, ["beta alpha", "beta alphas it", None], "beta gamma alpha"), (2, [None, "gamma gamma", "beta"], "gamma beta"), (4, ["beta", "x", "delta delta delta"], "delta beta zeta"),
+    ]
+
+
+def test_written_memories_hash_an_event_once(spark):
+    from memjobs.operators import extract
+
+    log = spark.createDataFrame([("e1", "p", "s", "user_message", "We must fix api_key = abcdefghijklmnop1234 now")], "event_id string, project_id string, session_id string, event_type string, raw_text string").selectExpr("*", "timestamp'2024-01-01' AS timestamp", "CAST(null AS string) AS tool_name", "CAST(null AS string) AS file_path", "CAST(null AS string) AS error_kind")
+    made = extract.write_memories(log)
+    above = plan_of(made.select("event_id", "memory_type", "raw_text")).split("Generate inline")[0]
+    assert "sha2" not in above and "AKIA" not in above
+    assert {r.raw_text for r in made.collect()} == {"We must fix [REDACTED] now"}
+
+
+def test_verified_fixes_extract_once(spark):
+    from memjobs.plans import upkeep
+
+    assert "events.parquet" not in plan_of(upkeep.QUERIES["h8_add_verified_fix"](spark, "/root/testdata/sf0.001"))
