@@ -10,23 +10,30 @@ from pyspark.sql import functions as F
 from memjobs.functions import text as T
 from memjobs.operators.ledger import any_contains, rank_order, top_memories
 from memjobs.operators.vectors import ranked, vector_candidates, vector_search
-from memjobs.sources.tables import written
+from memjobs.sources.tables import dealt, written
 
 # BM25 parameters; floor of negative idf as a share of the mean.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def postings(memories: DataFrame) -> DataFrame:
-    """(memory_id, project_id, term, tf, length) of each text: semantic, else compressed, else raw."""
+    """(memory_id, project_id, term, tf, length) of each text: semantic, else compressed, else raw.
+
+    A text's terms are counted in its row: sorted, each starts where the one before differs, so nothing is shuffled.
+    """
     text = F.coalesce(F.nullif("semantic_summary", F.lit("")), F.nullif("compressed_summary", F.lit("")), "raw_text") if "semantic_summary" in memories.columns else F.col("raw_text")
-    tokens = memories.select("memory_id", "project_id", T.tokenize(text).alias("tokens"))
-    terms = tokens.select("memory_id", "project_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return terms.groupBy("memory_id", "project_id", "length", "term").agg(F.count("*").alias("tf"))
+    tokens = memories.select("memory_id", "project_id", F.sort_array(T.tokenize(text)).alias("tokens"))
+    places = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    rows = tokens.select("memory_id", "project_id", F.size("tokens").alias("length"), "tokens", starts.alias("starts"))
+    terms = F.transform("starts", lambda i, j: F.struct(F.get("tokens", i).alias("term"), (F.coalesce(F.get("starts", j + 1), F.col("length")) - i).cast("long").alias("tf")))
+    # The outer form keeps the optimizer from copying the tokens' whole expression into a filter on their number.
+    return rows.select("memory_id", "project_id", "length", F.explode_outer(terms).alias("x")).where("x is not null").select("memory_id", "project_id", "length", "x.term", "x.tf")
 
 
 def term_stats(index: DataFrame, n_docs: int) -> DataFrame:
     """term, df, idf; negative idf is lifted to a share of the mean idf."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    df = written(index.groupBy("term").agg(F.count("*").alias("df")))
     raw = df.withColumn("raw", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
@@ -53,8 +60,10 @@ class Index:
 
 
 def bm25_index(memories: DataFrame) -> Index:
+    """Texts are dealt over tasks before they are split: a file of few row groups would else be tokenized by as few."""
     n_docs = memories.count()
-    index = written(postings(memories))
+    texts = [c for c in ("semantic_summary", "compressed_summary", "raw_text") if c in memories.columns]
+    index = written(postings(dealt(memories.select("memory_id", "project_id", *texts), "memory_id")))
     words = index.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     return Index(index, written(term_stats(index, n_docs)), words / max(1, n_docs), n_docs)
 
@@ -71,13 +80,15 @@ def _scored(index: Index, met: DataFrame) -> DataFrame:
 MOST_ASKED = 1_000_000  # rows of asked terms up to which these are broadcast
 
 
-def _meet(rows: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+def _meet(rows: DataFrame, asked: DataFrame, by: str, on: tuple[str, ...] = ("term",)) -> DataFrame:
     """Postings and asked terms; where these are few, rows with one ``by`` come together before they are multiplied, so that what is summed for it needs no other shuffle."""
     if asked.count() > MOST_ASKED:
-        return rows.join(asked, "term")
+        terms = asked.select("term").distinct()  # few, unless requests have texts of their own: then no posting of another term is shuffled
+        held = rows.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= MOST_ASKED else rows
+        return held.join(asked, list(on))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = rows.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    return held.repartition(tasks, by).join(F.broadcast(asked), "term")
+    held = rows.join(F.broadcast(asked.select(*on).distinct()), list(on), "left_semi")
+    return held.repartition(tasks, by).join(F.broadcast(asked), list(on))
 
 
 def _scored_in_all(index: Index, asked: DataFrame) -> DataFrame:
@@ -95,8 +106,8 @@ def bm25_search(memories: DataFrame, requests: DataFrame, k: int = 50, scope: st
     """
     index = index or bm25_index(memories)
     if scope != "global":
-        met = index.postings.join(_asked(index, requests).withColumnRenamed("asked_project", "project_id"), ["project_id", "term"])
-        return ranked(_scored(index, met), k)
+        asked = written(_asked(index, requests).withColumnRenamed("asked_project", "project_id"))
+        return ranked(_scored(index, _meet(index.postings, asked, "memory_id", ("project_id", "term"))), k)
     said = written(requests.select("request_id", F.sha2(F.array_join(F.array_sort(T.tokenize(F.col("query"))), " "), 256).alias("text_id"), "query"))
     once = said.groupBy(F.col("text_id").alias("request_id")).agg(F.first("query").alias("query"), F.lit(None).cast("string").alias("project_id"))
     found = written(ranked(_scored_in_all(index, _asked(index, once)), k).withColumnRenamed("request_id", "text_id"))

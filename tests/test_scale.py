@@ -1,7 +1,10 @@
 """Operators whose plans must not grow with the square of a hot group, against plain readings and on large single groups."""
 
+import os
 import random
+import re
 import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -349,3 +352,31 @@ def test_verified_fixes_extract_once(spark):
     from memjobs.plans import upkeep
 
     assert "events.parquet" not in plan_of(upkeep.QUERIES["h8_add_verified_fix"](spark, "/root/testdata/sf0.001"))
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    texts = ["b a b x9_ B", "", None, "!", "one one one", "zz yy zz yy aa"]
+    made = retrieve.postings(spark.createDataFrame(list(enumerate(texts)), "memory_id int, raw_text string").withColumn("project_id", F.lit("p")))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    said = {i: re.findall("[a-z0-9_]{2,}", (t or "").lower()) for i, t in enumerate(texts)}
+    assert values(made.select("memory_id", "term", "tf", "length")) == sorted((i, t, n, len(w)) for i, w in said.items() for t, n in Counter(w).items())
+
+
+def test_project_search_sums_scores_where_its_postings_lie(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(25)], k=rng.randint(1, 12))) for _ in range(200)]
+    index = retrieve.bm25_index(spark.createDataFrame([(i, f"p{i % 3}", t) for i, t in enumerate(texts)], "memory_id int, project_id string, raw_text string"))
+    requests = spark.createDataFrame([(i, f"p{i % 4}", t) for i, t in enumerate(texts[:8])], "request_id int, project_id string, query string")
+    n, mean = len(texts), sum(len(t.split()) for t in texts) / len(texts)
+    idf = {r.term: r.idf for r in index.stats.collect()}
+    want = []
+    for q, query in enumerate(texts[:8]):
+        scores = {i: sum(idf[w] * (c := t.split().count(w)) * 2.5 / (c + 1.5 * (0.25 + 0.75 * len(t.split()) / mean)) for w in query.split() if w in t.split()) for i, t in enumerate(texts) if i % 3 == q % 4}
+        want += [(q, i, s) for i, s in sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0])) if round(s, 6) > 0][:n]
+    for most in (retrieve.MOST_ASKED, 0):
+        monkeypatch.setattr(retrieve, "MOST_ASKED", most)
+        found = retrieve.bm25_search(None, requests, n, "project", index)
+        rows = found.orderBy("request_id", "rank").collect()
+        assert [(q, i) for q, i, _ in want] == [(r.request_id, r.memory_id) for r in rows] and [s for *_, s in want] == pytest.approx([r.score for r in rows], abs=1e-6)
+        by_request_and_memory = re.search(r"hashpartitioning\(request_id#\d+L?, memory_id#\d+L?,", found._jdf.queryExecution().executedPlan().toString())
+        assert bool(by_request_and_memory) == (most == 0)
