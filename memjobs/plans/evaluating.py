@@ -9,6 +9,7 @@ from memjobs.operators import evals, packs, retrieve, sessions, state
 from memjobs.plans import relating
 from memjobs.plans.registry import registry
 from memjobs.sources import views
+from memjobs.sources.tables import written
 from memjobs.sources.views import MEM_SQL
 
 QUERIES, ORACLES, query = registry()
@@ -17,7 +18,7 @@ _RANK = "ORDER BY recency_score DESC, importance_score DESC, timestamp DESC, mem
 
 def _requests(spark, d, tokens: int = 65, budget: int = 2000):
     asks = retrieve.make_plan(relating._asks(spark, d))
-    return asks.withColumns({"token_budget": F.lit(budget), "max_pack_tokens": F.lit(tokens)})
+    return written(asks.withColumns({"token_budget": F.lit(budget), "max_pack_tokens": F.lit(tokens)}))
 
 
 def _packs(spark, d, **options):
@@ -38,7 +39,7 @@ def _(spark, d):
 
 @query("f3_rescue_terms")
 def _(spark, d):
-    memories = views.mem(spark, d)
+    memories = views.mem_table(spark, d)
     requests = _requests(spark, d).withColumn("required_terms", F.array(F.lit("CACHE_TTL_7"), F.lit("field3")))
     return packs.flat_packs(packs.build_packs(requests, retrieve.retrieve(requests, memories), memories)).where("section = 'protected_evidence'")
 

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from memjobs.operators import code, evals, links, retrieve, similarity, transfer, vectors, walks
-from memjobs.sources import tables
+from memjobs.plans import compositions, evaluating
+from memjobs.sources import tables, views
 
 
 def values(df):
@@ -380,3 +381,32 @@ def test_project_search_sums_scores_where_its_postings_lie(spark, monkeypatch):
         assert [(q, i) for q, i, _ in want] == [(r.request_id, r.memory_id) for r in rows] and [s for *_, s in want] == pytest.approx([r.score for r in rows], abs=1e-6)
         by_request_and_memory = re.search(r"hashpartitioning\(request_id#\d+L?, memory_id#\d+L?,", found._jdf.queryExecution().executedPlan().toString())
         assert bool(by_request_and_memory) == (most == 0)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_derived_memories_are_dealt_over_tasks(spark):
+    """The events lie in one row group, which one task reads."""
+    made = views.mem_table(spark, DATA)
+    assert len(made.inputFiles()) == 4 and values(made.select("memory_id", "raw_text")) == values(views.mem(spark, DATA).select("memory_id", "raw_text"))
+
+
+class Reached(Exception):
+    """The search has got its memories."""
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", ("f3_rescue_terms",))
+def test_retrieval_reads_stored_memories(spark, monkeypatch, name):
+    plans = []
+
+    def index(memories):
+        plans.append(memories._jdf.queryExecution().optimizedPlan().toString())
+        raise Reached
+
+    monkeypatch.setattr(retrieve, "bm25_index", index)
+    with pytest.raises(Reached):
+        (evaluating.QUERIES | compositions.QUERIES)[name](spark, DATA)
+    assert len(plans) == 1 and "get_json_object" not in plans[0]
