@@ -22,7 +22,7 @@ def _requests(spark, d, tokens: int = 65, budget: int = 2000):
 
 
 def _packs(spark, d, **options):
-    memories, requests = views.mem(spark, d), _requests(spark, d)
+    memories, requests = views.mem_table(spark, d), _requests(spark, d)
     found = retrieve.retrieve(requests, memories)
     return packs.build_packs(requests, found, memories, states=state.state_slot(state.project_state(memories)), **options)
 
