@@ -82,8 +82,8 @@ def _(spark, d):
 
 @query("f11_pack_trace")
 def _(spark, d):
-    memories, requests = views.mem(spark, d), _requests(spark, d)
-    found = retrieve.retrieve(requests, memories)
+    memories, requests = views.mem_table(spark, d), _requests(spark, d)
+    found = written(retrieve.retrieve(requests, memories))
     built = packs.build_packs(requests, found, memories)
     return packs.pack_trace(found.join(memories.select("memory_id", "validity"), "memory_id"), built)
 

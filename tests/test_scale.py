@@ -398,7 +398,7 @@ class Reached(Exception):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", ("f1_build_packs", "f3_rescue_terms", "f8_compose_prompts"))
+@pytest.mark.parametrize("name", ("f1_build_packs", "f3_rescue_terms", "f8_compose_prompts", "f11_pack_trace"))
 def test_retrieval_reads_stored_memories(spark, monkeypatch, name):
     plans = []
 
@@ -410,3 +410,9 @@ def test_retrieval_reads_stored_memories(spark, monkeypatch, name):
     with pytest.raises(Reached):
         (evaluating.QUERIES | compositions.QUERIES)[name](spark, DATA)
     assert len(plans) == 1 and "get_json_object" not in plans[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_a_trace_retrieves_once(spark):
+    plan = evaluating.QUERIES["f11_pack_trace"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tf#" not in plan  # no posting is read by the trace itself
