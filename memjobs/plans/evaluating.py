@@ -112,7 +112,7 @@ def _(spark, d):
 @query("m11_budget_curve")
 def _(spark, d):
     requests = relating._asks(spark, d).withColumn("expected", F.array(F.lit("Engine3"), F.lit("module store"), F.lit("parser")))
-    out = sessions.budget_curve(requests, views.mem(spark, d), [40, 70, 150, 500])
+    out = sessions.budget_curve(written(requests), views.mem_table(spark, d), [40, 70, 150, 500])
     return out.select("budget", *[F.round(n, 6).alias(n) for n in ("recall", "passed", "score", "tokens", "sections")], "n")
 
 
