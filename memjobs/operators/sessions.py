@@ -40,10 +40,9 @@ def auto_expand(requests: DataFrame, memories: DataFrame, rounds: int = ROUNDS)
     A request goes on while its pack is insufficient and its query grows by it.
     New candidates follow the old ones, and all enter the next pack.  The loop
     is over rounds; each reads the insufficient requests only, and writes what
-    the next one starts from.
+    the next one starts from.  Memories are read in each, so they should be stored.
     """
     index = retrieve.bm25_index(memories)
-    memories = written(memories)
     budget = {"token_budget": F.lit(32768), "max_pack_tokens": F.lit(65)}
     todo, found, done = requests, None, []
     for round_ in range(rounds + 1):

@@ -9,19 +9,20 @@ from memjobs.plans import evaluating, projects, relating
 from memjobs.plans.registry import registry
 from memjobs.plans.writing import _ROWS
 from memjobs.sources import views
+from memjobs.sources.tables import written
 
 QUERIES, ORACLES, query = registry()
 
 
 @query("f7_auto_expand")
 def _(spark, d):
-    return packs.flat_packs(sessions.auto_expand(relating._asks(spark, d), views.mem(spark, d)))
+    return packs.flat_packs(sessions.auto_expand(written(relating._asks(spark, d)), views.mem_table(spark, d)))
 
 
 @query("f10_restore_sessions")
 def _(spark, d):
-    memories = views.mem(spark, d)
-    rows = memories.select("session_id", "project_id").distinct()
+    memories = views.mem_table(spark, d)
+    rows = written(memories.select("session_id", "project_id").distinct())
     return packs.flat_packs(sessions.restore_sessions(rows, memories))
 
 

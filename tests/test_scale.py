@@ -398,7 +398,7 @@ class Reached(Exception):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", ("f1_build_packs", "f3_rescue_terms", "f8_compose_prompts", "f11_pack_trace", "m11_budget_curve"))
+@pytest.mark.parametrize("name", ("f1_build_packs", "f3_rescue_terms", "f7_auto_expand", "f8_compose_prompts", "f10_restore_sessions", "f11_pack_trace", "m11_budget_curve"))
 def test_retrieval_reads_stored_memories(spark, monkeypatch, name):
     plans = []
 
