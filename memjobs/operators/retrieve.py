@@ -16,10 +16,11 @@ from memjobs.sources.tables import dealt, written
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def postings(memories: DataFrame) -> DataFrame:
+def postings(memories: DataFrame, unique: bool = False) -> DataFrame:
     """(memory_id, project_id, term, tf, length) of each text: semantic, else compressed, else raw.
 
-    A text's terms are counted in its row: sorted, each starts where the one before differs, so nothing is shuffled.
+    A text's terms are counted in its row: sorted, each starts where the one before differs.
+    With ``unique`` ids nothing is shuffled; else rows of one id, project and length are counted together.
     """
     text = F.coalesce(F.nullif("semantic_summary", F.lit("")), F.nullif("compressed_summary", F.lit("")), "raw_text") if "semantic_summary" in memories.columns else F.col("raw_text")
     tokens = memories.select("memory_id", "project_id", F.sort_array(T.tokenize(text)).alias("tokens"))
@@ -28,7 +29,8 @@ def postings(memories: DataFrame) -> DataFrame:
     rows = tokens.select("memory_id", "project_id", F.size("tokens").alias("length"), "tokens", starts.alias("starts"))
     terms = F.transform("starts", lambda i, j: F.struct(F.get("tokens", i).alias("term"), (F.coalesce(F.get("starts", j + 1), F.col("length")) - i).cast("long").alias("tf")))
     # The outer form keeps the optimizer from copying the tokens' whole expression into a filter on their number.
-    return rows.select("memory_id", "project_id", "length", F.explode_outer(terms).alias("x")).where("x is not null").select("memory_id", "project_id", "length", "x.term", "x.tf")
+    out = rows.select("memory_id", "project_id", "length", F.explode_outer(terms).alias("x")).where("x is not null").select("memory_id", "project_id", "length", "x.term", "x.tf")
+    return out if unique else out.groupBy("memory_id", "project_id", "length", "term").agg(F.sum("tf").alias("tf"))
 
 
 def term_stats(index: DataFrame, n_docs: int) -> DataFrame:
@@ -61,9 +63,9 @@ class Index:
 
 def bm25_index(memories: DataFrame) -> Index:
     """Texts are dealt over tasks before they are split: a file of few row groups would else be tokenized by as few."""
-    n_docs = memories.count()
+    n_docs, n_ids = memories.agg(F.count("*"), F.countDistinct("memory_id")).first()
     texts = [c for c in ("semantic_summary", "compressed_summary", "raw_text") if c in memories.columns]
-    index = written(postings(dealt(memories.select("memory_id", "project_id", *texts), "memory_id")))
+    index = written(postings(dealt(memories.select("memory_id", "project_id", *texts), "memory_id"), unique=n_ids == n_docs))
     words = index.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     return Index(index, written(term_stats(index, n_docs)), words / max(1, n_docs), n_docs)
 

@@ -357,12 +357,19 @@ def test_verified_fixes_extract_once(spark):
 
 def test_postings_are_counted_without_a_shuffle(spark):
     texts = ["b a b x9_ B", "", None, "!", "one one one", "zz yy zz yy aa"]
-    made = retrieve.postings(spark.createDataFrame(list(enumerate(texts)), "memory_id int, raw_text string").withColumn("project_id", F.lit("p")))
+    made = retrieve.postings(spark.createDataFrame(list(enumerate(texts)), "memory_id int, raw_text string").withColumn("project_id", F.lit("p")), unique=True)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     said = {i: re.findall("[a-z0-9_]{2,}", (t or "").lower()) for i, t in enumerate(texts)}
     assert values(made.select("memory_id", "term", "tf", "length")) == sorted((i, t, n, len(w)) for i, w in said.items() for t, n in Counter(w).items())
 
 
+def test_rows_of_one_id_are_counted_together(spark):
+    rows = [(1, "p", "aa bb"), (1, "p", "aa cc"), (1, "p", "aa"), (2, "p", "aa bb")]
+    index = retrieve.bm25_index(spark.createDataFrame(rows, "memory_id int, project_id string, raw_text string"))
+    assert values(index.postings.select("memory_id", "length", "term", "tf")) == [(1, 1, "aa", 1), (1, 2, "aa", 2), (1, 2, "bb", 1), (1, 2, "cc", 1), (2, 2, "aa", 1), (2, 2, "bb", 1)]
+    assert {r.term: r.df for r in index.stats.collect()} == {"aa": 3, "bb": 2, "cc": 1} and index.n_docs == 4
+
+
 def test_project_search_sums_scores_where_its_postings_lie(spark, monkeypatch):
     rng = random.Random(5)
     texts = [" ".join(rng.choices([f"w{i}" for i in range(25)], k=rng.randint(1, 12))) for _ in range(200)]
