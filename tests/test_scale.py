@@ -148,6 +148,13 @@ def test_warnings_match_all_pairs_of_projects(spark, seed):
     assert got == want and len(want) > 50
 
 
+def test_rows_of_one_key_are_first_ranked_by_project(spark):
+    rows = [(1, f"p{i % 7}", i) for i in range(100)]
+    made = transfer._first(spark.createDataFrame(rows, "y int, other_id string, memory_id int"), ("y",), ("memory_id",), 3)
+    assert re.search(r"hashpartitioning\(y#\d+, other_id#\d+,", made._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.memory_id for r in made.collect()) == list(range(6))
+
+
 MEMORY = "memory_id string, project_id string, session_id string, timestamp timestamp, memory_type string, file_references array<string>, raw_text string, compressed_summary string, semantic_summary string, recency_score double, importance_score double"
 
 
